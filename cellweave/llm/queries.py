@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .digests import op3_digests
+from .substring_dedup import op10_substring_dedup
 from .token_counts import op8_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op10_substring_dedup": op10_substring_dedup,
     "op1_toxicity": op1_toxicity,
     "op3_digests": op3_digests,
     "op6_bpe_codec": op6_bpe_codec,
