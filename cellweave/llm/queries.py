@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .digests import op3_digests
+from .ngram_join import op5_ngram_join
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op8_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op5_ngram_join": op5_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op1_toxicity": op1_toxicity,
     "op3_digests": op3_digests,
