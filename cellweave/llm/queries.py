@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .digests import op3_digests
+from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op8_token_counts
+from .topk import OP2_SQL, op2_topk
 from .toxicity import op1_toxicity
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op9_mixing": op9_mixing,
+    "op4_warc": op4_warc,
+    "op2_topk": op2_topk,
     "op5_ngram_join": op5_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op1_toxicity": op1_toxicity,
@@ -17,4 +23,4 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op8_token_counts": op8_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_warc": OP4_SQL}
