@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .digests import op3_digests
+from .html_text import op7_html_text
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
 from .substring_dedup import op10_substring_dedup
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op7_html_text": op7_html_text,
     "op9_mixing": op9_mixing,
     "op4_warc": op4_warc,
     "op2_topk": op2_topk,
