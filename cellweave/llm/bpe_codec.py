@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,11 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     columns are not read; a table without rows gives none. Special strings inside a text are one id each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known: dict[str, tuple[str, str, int]] = {}
+    known: dict[str, tuple] = {}
 
     def one(batch: pa.RecordBatch):
         vocab = vocabulary(vocab_path)
-        special = {i: (str(i), vocab.name[i], 1) for i in vocab.special.values()}
+        special = {i: (str(i) if digests else [i], vocab.name[i], 1) for i in vocab.special.values()}
         for part in passes(batch, "text"):
             docs_words = []
             for text in part.column("text").to_pylist():
@@ -81,17 +82,17 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
             known.update(special)
             new = [w for w in set().union(*docs_words).difference(known) if w]
             for w, ids in zip(new, encode_words(vocab, new), strict=True):
-                known[w] = (" ".join(map(str, ids)), " ".join(vocab.name[i] for i in ids), len(ids))
+                known[w] = (" ".join(map(str, ids)) if digests else ids, " ".join(vocab.name[i] for i in ids), len(ids))
             n_tokens, ids_out, text_out = [], [], []
             for words in docs_words:
                 got = [known[w] for w in words if w != ""]
-                ids, decoded = " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                decoded = " ".join([g[1] for g in got])
                 n_tokens.append(sum([g[2] for g in got]))
                 if digests:
-                    ids_out.append(hashlib.sha256(ids.encode()).hexdigest())
+                    ids_out.append(hashlib.sha256(" ".join([g[0] for g in got]).encode()).hexdigest())
                     text_out.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    ids_out.append(list(map(int, ids.split())))
+                    ids_out.append(np.fromiter(itertools.chain.from_iterable([g[0] for g in got]), np.int32))
                     text_out.append(decoded)
             yield pa.record_batch([part.column("id"), pa.array(n_tokens, pa.int64()), pa.array(ids_out, pa.string() if digests else pa.list_(pa.int32())), pa.array(text_out, pa.string())], names)
 

@@ -170,6 +170,12 @@ def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id",
     return joined.withColumn("__times", times).drop("__u", "__rounds", "__extra", "__edge", "__last")
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as the mix takes it."""
+    taken = mix(docs, **options).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))))
+    return taken.select(docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs)

@@ -319,14 +319,8 @@ def residual_links(prefix: DataFrame, pivots: DataFrame, near: DataFrame, sets:
     return map_arrow(joined, "a long, b long", one)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Components of texts that link: id_col, n_shingles, class_id (a hash of the set), component_id.
-
-    Two texts link if 100 times their common shingles are at least percent times those of either. The id
-    of a component is the least id of its rows. Texts without words (null, empty) link with nothing. Rows with
-    a null id take part and have the component of their text, null if none of its rows has an id; repeated
-    rows stay. Ids are whole numbers; other columns are not read; a table without rows gives none.
-    """
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates by row: id, k1, k2 (hashes of id and text), n, c (class), component_id."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -341,14 +335,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stored(checked(pairs, sets, percent), "near")
     links = near.unionByName(residual_links(prefix, pivots, near, sets, percent))
     roots = components(links)
-    members = packs.select(F.explode(F.arrays_zip("ids", "classes", "sizes")).alias("m")).select(F.col("m.ids").alias("id"), F.col("m.classes").alias("c"), F.col("m.sizes").alias("n"))
+    members = packs.select(F.explode(F.arrays_zip("ids", "k1", "k2", "classes", "sizes")).alias("m"))
+    members = members.select(F.col("m.ids").alias("id"), "m.k1", "m.k2", F.col("m.classes").alias("c"), F.col("m.sizes").alias("n"))
     classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("c", "component_id")
-    whole = members.where("n > 0").join(named, "c").select("id", "n", "c", "component_id")
-    empty = members.where("n = 0").select("id", "n", "c", F.col("id").alias("component_id"))
-    return whole.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
+    whole = members.where("n > 0").join(named, "c").select("id", "k1", "k2", "n", "c", "component_id")
+    empty = members.where("n = 0").select("id", "k1", "k2", "n", "c", F.col("id").alias("component_id"))
+    return whole.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Components of texts that link: id_col, n_shingles, class_id (a hash of the set), component_id.
+
+    Two texts link if 100 times their common shingles are at least percent times those of either. The id
+    of a component is the least id of its rows. Texts without words (null, empty) link with nothing. Rows with
+    a null id take part and have the component of their text, null if none of its rows has an id; repeated
+    rows stay. Ids are whole numbers; other columns are not read; a table without rows gives none.
+    """
+    rows = linked_rows(docs, id_col, text_col, shingle, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns as they are, but only those with the least id of each component.
+
+    Of rows that repeat that id and text one stays. Texts without words stay. Texts move only where a bitmap of
+    fixed size says that their row may go.
+    """
+    rows = linked_rows(docs, id_col, text_col, shingle, percent).where("n > 0")
+    goes = rows.where("NOT (id <=> component_id)").select("k1", "k2").distinct()
+    again = rows.where("id <=> component_id").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    found = stored(goes.withColumn("goes", F.lit(True)).unionByName(again.withColumn("goes", F.lit(False))), "goes")
+    keyed = docs.withColumns({"k1": F.xxhash64(docs[id_col].cast("long")), "k2": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
+    marked = keyed.withColumn("hit", row_map(found.select("k1", "k2")))
+    stay = marked.where("NOT hit").select(docs.columns)
+    judged = marked.where("hit").join(found, ["k1", "k2"], "left").where("NOT coalesce(goes, false)")
+    single = judged.where("goes IS NULL").select(docs.columns)
+    return stay.unionByName(single).unionByName(judged.where("goes IS NOT NULL").dropDuplicates(["k1", "k2"]).select(docs.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

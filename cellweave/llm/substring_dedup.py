@@ -204,6 +204,20 @@ def repeats(rows: DataFrame, window: int) -> DataFrame:
     return found
 
 
+def kept_words(batch: pa.RecordBatch, window: int):
+    """All words of each text, and those that no window that starts at its positions (at) covers."""
+    at = batch.column("at").to_pylist() if "at" in batch.schema.names else [None] * batch.num_rows
+    for text, starts in zip(batch.column("text").to_pylist(), at, strict=True):
+        words = text.encode().split()
+        if not starts:
+            yield words, words
+            continue
+        edge = np.zeros(len(words) + 1, np.int64)
+        edge[np.array(starts)] += 1
+        edge[np.array(starts) + window] -= 1
+        yield words, [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digests: bool = False) -> DataFrame:
     """Each text without the words that a repeated window covers: id_col, n_words, n_removed, kept (text).
 
@@ -219,19 +233,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"id {kind}, n_words long, n_removed long, {last} string"
 
     def kept(batch: pa.RecordBatch):
-        at = batch.column("at").to_pylist() if "at" in batch.schema.names else [None] * batch.num_rows
         n_words, n_removed, out = [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), at, strict=True):
-            words = text.encode().split()
-            n = len(words)
-            if starts:
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, np.array(starts), 1)
-                np.subtract.at(edge, np.array(starts) + window, 1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-            n_words.append(n)
-            n_removed.append(n - len(words))
-            joined = b" ".join(words)
+        for words, left in kept_words(batch, window):
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            joined = b" ".join(left)
             out.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode())
         yield pa.record_batch([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["id", "n_words", "n_removed", last])
 
@@ -241,5 +247,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return plain.unionByName(cut).withColumnRenamed("id", id_col)
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """The rows of docs with repeated windows cut from their texts; cases as for remove_repeats.
+
+    A text that loses words becomes the rest, joined by one space, and size_col its code points; all other rows
+    and columns stay as they are.
+    """
+    rows = docs.withColumns({"k1": F.xxhash64(docs[id_col]), "k2": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
+    found = repeats(keyed(docs, id_col, text_col), window)
+    columns = docs.columns
+
+    def cut(batch: pa.RecordBatch):
+        own = batch.rename_columns(["text" if c == text_col else c for c in batch.schema.names])
+        texts = pa.array([b" ".join(left).decode() for _, left in kept_words(own, window)], pa.string())
+        yield pa.record_batch([texts if c == text_col else batch.column(c) for c in columns], columns)
+
+    marked = rows.withColumn("hit", row_map(found))
+    whole = marked.where("NOT hit").select(docs.columns)
+    joined = marked.where("hit").join(found, ["k1", "k2"], "left")
+    same = joined.where("at IS NULL").select(docs.columns)
+    less = map_arrow(joined.where("at IS NOT NULL").select(*docs.columns, "at"), docs.schema, cut)
+    return whole.unionByName(same).unionByName(less.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)

@@ -228,6 +228,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text for r in rows], [r.toxic for r in rows], counts.get(1, 0) / sum(counts.values()))
 
 
+def scored(texts: list[str], m: Field, known: dict[str, float]):
+    """Each text's score, its number of tokens, the first token of each and all marginals. known: odds of words met."""
+    sizes, words = np.zeros(len(texts), np.int64), []
+    for i, t in enumerate(texts):
+        own = TOKENS.findall(t)
+        sizes[i] = len(own)
+        words += own
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    new = list(set(words).difference(known))
+    if new:
+        sums = m.weights[np.array([features(w) for w in new])].sum(1)
+        known.update(zip(new, np.exp(np.clip(sums.astype(np.float64), -30, 30)).tolist(), strict=True))
+    odds = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    first = np.zeros(len(words), bool)
+    first[starts[sizes > 0]] = True
+    p = marginals(odds, first, m.moves)[2]
+    if m.scale.any():
+        return 1 / (1 + np.exp(-np.clip(document_inputs(p, sizes) @ m.scale, -30, 30))), sizes, starts, p
+    return np.full(len(texts), m.base), sizes, starts, p
+
+
 def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Every whole text's score and toxic spans: id_col, score, predicted, n_tokens, spans.
 
@@ -235,38 +258,16 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty; texts without letters have the score of no toxic token. Null ids and repeated
     rows stay, row by row; no column but the text is an input. Without rows, none.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     known: dict[str, float] = {}
 
     def one(batch: pa.RecordBatch):
-        m = sent.value
-        weights = m.weights
         for part in passes(batch, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            sizes, words = np.zeros(len(texts), np.int64), []
-            for i, t in enumerate(texts):
-                own = TOKENS.findall(t)
-                sizes[i] = len(own)
-                words += own
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list(set(words).difference(known))
-            if new:
-                sums = weights[np.array([features(w) for w in new])].sum(1)
-                known.update(zip(new, np.exp(np.clip(sums.astype(np.float64), -30, 30)).tolist(), strict=True))
-            odds = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            starts = np.cumsum(sizes) - sizes
-            first = np.zeros(len(words), bool)
-            first[starts[sizes > 0]] = True
-            p = marginals(odds, first, m.moves)[2]
-            if m.scale.any():
-                score = 1 / (1 + np.exp(-np.clip(document_inputs(p, sizes) @ m.scale, -30, 30)))
-            else:
-                score = np.full(len(texts), m.base)
+            score, sizes, starts, p = scored(texts, sent.value, known)
             hot = p >= threshold
-            some = np.add.reduceat(np.r_[hot, False].astype(np.int64), starts) * (sizes > 0) if len(starts) else starts
+            some = np.diff(np.r_[0, np.cumsum(hot)][np.r_[starts, len(p)]])
             spans = [[] for _ in texts]
             for i in np.flatnonzero(some).tolist():
                 marks = hot[starts[i] : starts[i] + sizes[i]]
@@ -280,6 +281,19 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
     return map_arrow(own, f"id {kind}, score double, predicted int, n_tokens long, spans array<struct<start:int,end:int,p:double>>", one).withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below 0.5. Nulls and repeats as for tag."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    known: dict[str, float] = {}
+
+    def one(batch: pa.RecordBatch):
+        for part in passes(batch, text_col):
+            score = scored([t or "" for t in part.column(text_col).to_pylist()], sent.value, known)[0]
+            yield part.filter(pa.array(score < 0.5))
+
+    return map_arrow(docs, docs.schema, one)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
