@@ -285,11 +285,10 @@ def group_links(x: list[dict], y: list[dict], same: bool, percent: int) -> list[
     return out
 
 
-def residual_links(prefix: DataFrame, pivots: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that no pivot has shown, between classes that meet in a bucket and are not yet known as linked."""
-    first = near.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("c"), F.least("a", "root").alias("l1"))
-    second = first.select(F.col("c").alias("l1"), F.col("l1").alias("l2"))
-    labels = first.join(second, "l1", "left").select("c", F.least("l1", F.coalesce("l2", "l1")).alias("label"))
+def residual_links(prefix: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that no pivot has shown, between classes that meet in a bucket and are not of one known component
+    (node, root): within one no more links are needed."""
+    labels = known.select(F.col("node").alias("c"), F.col("root").alias("label"))
     rows = prefix.join(pivots, "h").select("h", "c", "pivot", "rank").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     rest = stored(rows.where("c <> pivot"), "rest")
     mixed_h = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
@@ -332,9 +331,10 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pivots = prefix.groupBy("h").agg(F.min(F.struct(F.col("own"), F.col("c"))).alias("p"), F.count("*").alias("k")).where("k > 1")
     pivots = stored(pivots.select("h", F.col("p.c").alias("pivot"), F.col("p.own").alias("rank")), "pivots")
     pairs = stored(prefix.join(pivots, "h").where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    near = stored(checked(pairs, sets, percent), "near")
-    links = near.unionByName(residual_links(prefix, pivots, near, sets, percent))
-    roots = components(links)
+    near = checked(pairs, sets, percent)
+    known = components(near)
+    rest = residual_links(prefix, pivots, known, sets, percent)
+    roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
     members = packs.select(F.explode(F.arrays_zip("ids", "k1", "k2", "classes", "sizes")).alias("m"))
     members = members.select(F.col("m.ids").alias("id"), "m.k1", "m.k2", F.col("m.classes").alias("c"), F.col("m.sizes").alias("n"))
     classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
