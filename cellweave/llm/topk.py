@@ -20,14 +20,11 @@ SLAB = 4096
 QUERIES = 1024
 #: Leading coordinates of the partial sums.
 LEAD = 16
-
-
-def unpack(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, width).astype(np.float64)
+LAST_ID = (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, factor: int, width: int) -> DataFrame:
-    """id, v (bytes of long components), norm2. Vectors of another width, null ones and such with parts that are
+    """id, v (whole components), norm2. Vectors of another width, null ones and such with parts that are
     null or not finite are left out; so are rows without an id."""
     x = F.col("x")
     d = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
@@ -59,10 +56,10 @@ def rotation(moments: np.ndarray) -> np.ndarray:
     return np.linalg.svd(moments)[0]
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, v: np.ndarray, axes: np.ndarray, k: int):
+def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, ids: np.ndarray, v: np.ndarray, axes: np.ndarray, k: int):
     """For each query its k best candidates of those that can still reach its floor: rows of (query, id, score).
 
-    v is sorted by length, longest first; ties go to the smaller id.
+    A score equal to the floor counts for ids below floor_id. v is sorted by length, longest first; ties go to the smaller id.
     """
     if not len(q) or not len(v):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -81,8 +78,9 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray
     top = np.argsort(-score, axis=1, kind="stable")[:, :k] if score.shape[1] <= 4 * k else partial_top(score, k)
     rows = np.repeat(np.arange(len(q)), top.shape[1])
     got = score[rows, top.ravel()]
-    keep = np.isfinite(got) & (got >= floor[rows])
-    return q_ids[rows[keep]], ids[top.ravel()[keep]], got[keep]
+    own = ids[top.ravel()]
+    keep = np.isfinite(got) & ((got > floor[rows]) | ((got == floor[rows]) & (own < floor_id[rows])))
+    return q_ids[rows[keep]], own[keep], got[keep]
 
 
 def partial_top(score: np.ndarray, k: int) -> np.ndarray:
@@ -103,7 +101,7 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     Components count as floor(factor * x). Queries are the rows for which is_query (a condition on id) holds,
     candidates all rows but those with the query's own id; ties go to the smaller id; fewer than k if there are not more.
     Null vectors, other widths and parts that are null or not finite take no part, nor do null ids; rows that repeat
-    an id count each. Without rows, none.
+    an id are each a candidate of the others, and one query, by the least vector. Without rows, none.
     """
     spark = vectors.sparkSession
     rows = stored(scaled(vectors, id_col, vector_col, factor, width), "vectors")
@@ -117,7 +115,8 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     rank_of = {s: i for i, s in enumerate(order)}
     slabbed = slabbed.withColumn("slab", F.element_at(F.create_map(*[F.lit(x) for s in order for x in (s, rank_of[s])]), F.col("slab"))) if order else slabbed
     lengths = [longest[s] ** 0.5 for s in order]
-    queries = slabbed.where(is_query).select(F.col("id").alias("id"), "v", "norm2", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // (20 * QUERIES))))).cast("int").alias("block"))
+    queries = slabbed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "norm2")).alias("q"))
+    queries = queries.select("id", "q.v", "q.norm2", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // (20 * QUERIES))))).cast("int").alias("block"))
     queries = stored(queries, "queries")
     n_blocks = max(1, -(-total // (20 * QUERIES)))
 
@@ -132,7 +131,7 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
             right = right.sort_by([("norm2", "descending"), ("id", "ascending")])
             q = left.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             v = right.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            a, b, s = best_of(left.column("id").to_numpy(), q, left.column("floor").to_numpy(), right.column("id").to_numpy(), v, axes, k)
+            a, b, s = best_of(left.column("id").to_numpy(), q, left.column("floor").to_numpy(), left.column("floor_id").to_numpy(), right.column("id").to_numpy(), v, axes, k)
             return pa.table([pa.array(a), pa.array(b), pa.array(s.astype(np.int64))], schema=OUT)
 
         return asked.groupBy("slab", "block").cogroup(theirs.groupBy("slab", "block")).applyInArrow(pair, "query_id long, vec_id long, score long")
@@ -142,11 +141,10 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
-    first = ranked(scan(queries.withColumns({"floor": F.lit(float("-inf")), "slab": F.lit(0)}), slabbed.where("slab = 0")))
+    first = ranked(scan(queries.withColumns({"floor": F.lit(float("-inf")), "floor_id": F.lit(LAST_ID), "slab": F.lit(0)}), slabbed.where("slab = 0")))
     first = stored(first, "first")
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    floors = floors.groupBy("id").agg(F.max("floor").alias("floor"))
-    asked = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"), F.col("vec_id").alias("floor_id"))
+    asked = queries.join(floors, "id", "left").withColumns({"floor": F.coalesce("floor", F.lit(float("-inf"))), "floor_id": F.coalesce("floor_id", F.lit(LAST_ID))})
     reach = F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<double>")
     reached = F.size(F.filter(reach, lambda m: m * F.sqrt("norm2") * (1 + 1e-9) + 1e-6 >= F.col("floor")))
     asked = asked.withColumn("n", reached).where("n > 1").withColumn("slab", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).drop("n", "norm2")
