@@ -63,8 +63,8 @@ def global_score(truth: DataFrame, pred: DataFrame, radius: int = RADIUS) -> Dat
     return score(components(truth, pred, F.lit(0), radius), "candidate")
 
 
-def bootstrap(parts: DataFrame, reference: str, draws: int, draw: Column, n_parts: Column) -> DataFrame:
-    """Paired block bootstrap: percentiles of the index and of its contrast to the reference.
+def bootstrap(parts: DataFrame, reference: str, draws: int, draw: Column) -> DataFrame:
+    """Paired block bootstrap: percentiles of the index and of its contrast to the reference, and how often that is above 0.
 
     parts: candidate, slot (0.. of blocks), tp, fp, fn. draw: the slot drawn for (boot, place, n), the same for all candidates.
     """
@@ -74,6 +74,6 @@ def bootstrap(parts: DataFrame, reference: str, draws: int, draw: Column, n_part
     sums = drawn.select("boot", "slot").join(parts, "slot").groupBy("boot", "candidate").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
     sums = sums.withColumn("dti", F.col("tp") / (F.col("tp") + ALPHA * F.col("fp") + BETA * F.col("fn") + EPS))
     ref = sums.where(F.col("candidate") == reference).select("boot", F.col("dti").alias("ref"))
-    both = sums.join(ref, "boot").withColumn("diff", F.col("dti") - F.col("ref"))
+    both = sums.join(ref, "boot").withColumn("diff", F.round(F.col("dti") - F.col("ref"), 12))
     pct = [F.percentile(x, F.lit(q)).alias(f"{a}_p{name}") for x, a in (("dti", "dti"), ("diff", "contrast")) for q, name in ((0.025, "2_5"), (0.5, "50"), (0.975, "97_5"))]
-    return both.groupBy("candidate").agg(*pct, F.avg((F.col("diff") > 0).cast("double")).alias("prob_beats"))
+    return both.groupBy("candidate").agg(*pct, F.avg(F.when(F.col("candidate") != reference, (F.col("diff") > 0).cast("double"))).alias("prob_beats"))

@@ -103,7 +103,6 @@ sized AS (SELECT region, count(*) AS px, min(r) AS r0, max(r) AS r1, min(c) AS c
 """
 
 
-NORM = "norm_fold AS (SELECT lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[‘’]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '-\\n', '', 'g')) AS t, * FROM {0})"
 FOLDED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '-\\n', '', 'g')"
 TIDY = "trim(regexp_replace(" + FOLDED + ", '[ \\t\\n\\r]+', ' ', 'g'))"
 
@@ -167,8 +166,8 @@ ORACLE_SQL = {
       {parts('sh', '0')}, g AS (SELECT candidate // 100 AS radius, {GLOBAL} AS dti FROM comp GROUP BY candidate) SELECT radius, round(avg(dti), 6) AS mean, round(min(dti), 6) AS worst FROM g GROUP BY radius""",
     "bootstrap_paired": f"""WITH {EV}, {parts('fields', BLOCK)}, sl AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS slot FROM (SELECT DISTINCT part FROM comp)), n AS (SELECT count(*) AS n FROM sl),
       dr AS (SELECT boot, (boot * 7919 + place * 104729 + 17) % n AS slot FROM n, range(0, 200) a(boot), range(0, (SELECT n FROM n)) b(place)),
-      s AS (SELECT boot, candidate, {SCORE} AS dti FROM dr JOIN sl USING (slot) JOIN comp USING (part) GROUP BY ALL), x AS (SELECT s.candidate, s.dti, s.dti - t.dti AS diff FROM s JOIN s t ON t.boot = s.boot AND t.candidate = 'purchase')
-      SELECT candidate, {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {a}_p{m}' for c, a in (('dti', 'dti'), ('diff', 'contrast')) for q, m in ((0.025, '2_5'), (0.5, '50'), (0.975, '97_5')))}, round(avg(CASE WHEN diff > 0 THEN 1 ELSE 0 END), 6) AS prob_beats FROM x GROUP BY candidate""",
+      s AS (SELECT boot, candidate, {SCORE} AS dti FROM dr JOIN sl USING (slot) JOIN comp USING (part) GROUP BY ALL), x AS (SELECT s.candidate, s.dti, round(s.dti - t.dti, 12) AS diff FROM s JOIN s t ON t.boot = s.boot AND t.candidate = 'purchase')
+      SELECT candidate, {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {a}_p{m}' for c, a in (('dti', 'dti'), ('diff', 'contrast')) for q, m in ((0.025, '2_5'), (0.5, '50'), (0.975, '97_5')))}, CASE WHEN candidate <> 'purchase' THEN round(avg(CASE WHEN diff > 0 THEN 1 ELSE 0 END), 6) END AS prob_beats FROM x GROUP BY candidate""",
     "sign_agreement": f"""WITH {EV}, {parts('fields', BLOCK)}, s AS (SELECT candidate, part, CASE WHEN n_gt > 0 THEN {DTI} END AS dti FROM comp), x AS (SELECT a.candidate, round(a.dti - b.dti, 9) AS d FROM s a JOIN s b ON a.part = b.part AND b.candidate = 'purchase' WHERE a.candidate <> 'purchase' AND a.dti IS NOT NULL AND b.dti IS NOT NULL)
       SELECT candidate, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, count(*) FILTER (d = 0) AS equal, count(*) AS n, CASE WHEN count(*) >= 12 THEN 'readable' ELSE 'too few blocks' END AS reading FROM x GROUP BY candidate""",
     "cross_ensemble_rank": f"""WITH {EV}, lev AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE), (2, 0.5::DOUBLE), (3, 0.7::DOUBLE)) v(fi, t0)), hard AS (SELECT candidate || '-' || fi AS candidate, r, c, 1::DOUBLE AS p FROM fields, lev WHERE fields.p > t0), {parts('hard', '0')},
@@ -189,8 +188,8 @@ ORACLE_SQL = {
     "value_top20": "SELECT l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 20",
     "quantise_roundtrip": f"""WITH {SHIP}, e AS (SELECT band, min(v) AS lo, max(v) AS hi, CASE WHEN max(v) > min(v) THEN (max(v) - min(v)) / 32000 ELSE 1 END AS step FROM lb GROUP BY band), k AS (SELECT band, v, lo, step, CAST(floor((v - lo) / step + 0.5) AS INT) - 16000 AS q FROM lb JOIN e USING (band))
       SELECT band, min(q) AS q0, max(q) AS q1, CAST(sum(q) AS BIGINT) AS total, round(max(abs(v - ((q + 16000) * step + lo))), 6) AS error FROM k GROUP BY band""",
-    "window_stats": f"""WITH {SHIP}, s AS (SELECT a.r, a.c, any_value(a.valid) AS valid, sum(CASE WHEN b.valid THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN b.valid THEN b.v ELSE 0 END) AS s1, sum(CASE WHEN b.valid THEN b.v * b.v ELSE 0 END) AS s2 {window(2)} GROUP BY a.r, a.c)
-      SELECT r, c, CASE WHEN valid THEN CASE WHEN n / 25 > 0.5 THEN round(s1 / n, 5) ELSE 0 END END AS mean, CASE WHEN valid THEN CASE WHEN n / 25 > 0.5 THEN round(sqrt(greatest(0, s2 / n - (s1 / n) * (s1 / n))), 5) ELSE 0 END END AS std FROM s""",
+    "window_stats": f"""WITH {SHIP}, s AS (SELECT a.r, a.c, any_value(a.valid) AS valid, sum(CASE WHEN b.valid THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN b.valid THEN round(b.v * 100) ELSE 0 END) AS s1, sum(CASE WHEN b.valid THEN round(b.v * 100) * round(b.v * 100) ELSE 0 END) AS s2 {window(2)} GROUP BY a.r, a.c)
+      SELECT r, c, CASE WHEN valid THEN CASE WHEN n / 25 > 0.5 THEN round(s1 / n, 4) ELSE 0 END END AS mean, CASE WHEN valid THEN CASE WHEN n / 25 > 0.5 THEN round(sqrt(greatest(0, s2 / n - (s1 / n) * (s1 / n))), 4) ELSE 0 END END AS std FROM s""",
     "slope": f"WITH {GRAD} SELECT r, c, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope FROM gr",
     "curvature": f"WITH {GRAD}, g2 AS (SELECT r, c, {gradient('gy', 'r', 'c')} AS gyy, {gradient('gx', 'c', 'r')} AS gxx FROM gr) SELECT r, c, round(gxx + gyy + 0.0, 9) AS curvature FROM g2",
     "hillshade": f"""WITH {GRAD}, h AS (SELECT r, c, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) AS s, atan2(-gy, gx) AS a FROM gr)
@@ -231,5 +230,5 @@ ORACLE_SQL = {
       SELECT key, page, md5(CASE WHEN b IS NOT NULL AND NOT regexp_matches(b, '[.!?:] *$') AND regexp_matches(body, '^[0-9]{1,4}[A-Za-z]') THEN regexp_replace(body, '^[0-9]{1,4}', '') ELSE body END) AS digest FROM w""",
     "class_vocabulary": 'SELECT event_type AS "class", CAST(row_number() OVER (ORDER BY event_type) AS INT) AS id FROM (SELECT DISTINCT event_type FROM events)',
     "table_fingerprint": "SELECT o_orderstatus, count(*) AS n, min(h) AS low, max(h) AS high FROM (SELECT o_orderstatus, md5(concat_ws('|', o_orderkey, o_custkey, o_orderpriority)) AS h FROM orders) GROUP BY o_orderstatus",
-    "resample_mean": f"WITH {SHIP} SELECT r // 4 AS r, c // 4 AS c, round(avg(v), 7) AS v FROM li GROUP BY 1, 2",
+    "resample_mean": f"WITH {SHIP} SELECT r // 4 AS r, c // 4 AS c, round(avg(round(v * 100)), 4) AS v FROM li GROUP BY 1, 2",
 }

@@ -327,7 +327,7 @@ def slotted(cells):
 def bootstrap_paired(spark, sf):
     """200 draws; an arithmetic draw stands for a random one, so that other engines agree."""
     draw = ((F.col("boot") * 7919 + F.col("place") * 104729 + 17) % F.col("n")).cast("int")
-    return rounded(scoring.bootstrap(slotted(event_cells(spark, sf)), "purchase", 200, draw, F.lit(0)))
+    return rounded(scoring.bootstrap(slotted(event_cells(spark, sf)), "purchase", 200, draw))
 
 
 @query
@@ -407,9 +407,14 @@ def ship_dense(spark, sf):
     return focal.dense(ship_grid(spark, sf))
 
 
+def in_cents(grid):
+    """Whole cents: sums are exact, whatever their order."""
+    return grid.withColumn("v", F.round(F.col("v") * 100))
+
+
 @query
 def window_stats(spark, sf):
-    return rounded(focal.window_stats(ship_dense(spark, sf), 5), 5)
+    return rounded(focal.window_stats(in_cents(ship_dense(spark, sf)), 5), 4)
 
 
 @query
@@ -579,7 +584,7 @@ def table_fingerprint(spark, sf):
 
 @query
 def resample_mean(spark, sf):
-    return rounded(vectors.resampled(ship_grid(spark, sf), 4), 7)
+    return rounded(vectors.resampled(in_cents(ship_grid(spark, sf)), 4), 4)
 
 
 @query
