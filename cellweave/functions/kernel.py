@@ -71,3 +71,18 @@ def ceiling(ratio: Column, alpha: float = ALPHA, beta: float = BETA) -> Column:
 def projected(coverage: Column, fp: Column, truth: Column, alpha: float = ALPHA, beta: float = BETA) -> Column:
     tp = coverage * truth
     return F.when(truth > 0, tp / (tp + alpha * fp + beta * (truth - tp)))
+
+
+def tversky_loss(p: Column, y: Column, alpha: float = ALPHA, beta: float = BETA, smooth: float = 1e-6) -> Column:
+    """An aggregate: 1 - tp / (tp + alpha fp + beta fn) of probabilities p and labels y."""
+    tp, fp, fn = F.sum(p * y), F.sum(p * (1 - y)), F.sum((1 - p) * y)
+    return 1 - (tp + smooth) / (tp + alpha * fp + beta * fn + smooth)
+
+
+def focal_tversky_loss(p: Column, y: Column, gamma: float = 0.75, alpha: float = ALPHA, beta: float = BETA) -> Column:
+    return F.pow(tversky_loss(p, y, alpha, beta), F.lit(gamma))
+
+
+def cross_entropy(p: Column, y: Column, eps: float = 1e-7) -> Column:
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
+    return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))

@@ -66,3 +66,20 @@ def without_page_numbers(pages: DataFrame) -> DataFrame:
     out = pages.withColumn("body", body).withColumn("before", F.lag("body").over(w))
     open_end = F.col("before").isNotNull() & ~F.col("before").rlike("[.!?:] *$")
     return out.select("key", "page", F.when(open_end, F.regexp_replace("body", "^[0-9]{1,4}(?=[A-Za-z])", "")).otherwise(F.col("body")).alias("body"))
+
+
+def named_classes(classes: DataFrame, word: str = "fault", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Classes (id, name) whose name contains the word, in any case, or is one of the extra names."""
+    return classes.where(F.lower("name").contains(word.lower()) | F.col("name").isin(*extra)) if extra else classes.where(F.lower("name").contains(word.lower()))
+
+
+def bad_dates(rows: DataFrame, column: str, today: Column | None = None) -> DataFrame:
+    """Rows whose text is no ISO date, or one still to come."""
+    day = F.try_to_date(column, "yyyy-MM-dd")
+    return rows.where(day.isNull() | (day > (F.current_date() if today is None else today)))
+
+
+def policy(name: Column) -> tuple[Column, Column]:
+    """Floor and width that a policy's name tells, null where it does not."""
+    t, w = (F.regexp_extract(name, "t0_([0-9.]+)_width([0-9]+)px", i) for i in (1, 2))
+    return F.when(t != "", t.cast("double")), F.when(w != "", w.cast("int"))

@@ -103,6 +103,10 @@ sized AS (SELECT region, count(*) AS px, min(r) AS r0, max(r) AS r1, min(c) AS c
 """
 
 
+WINDOWS = """
+wr AS (SELECT unnest([0, 48, 96]) AS win_r), wc AS (SELECT unnest(range(0, 656, 48) || [656]) AS win_c),
+inw AS (SELECT r, c, p, win_r, win_c FROM main JOIN wr ON r BETWEEN win_r AND win_r + 63 JOIN wc ON c BETWEEN win_c AND win_c + 63 WHERE r < 160)
+"""
 FOLDED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '-\\n', '', 'g')"
 TIDY = "trim(regexp_replace(" + FOLDED + ", '[ \\t\\n\\r]+', ' ', 'g'))"
 
@@ -231,4 +235,11 @@ ORACLE_SQL = {
     "class_vocabulary": 'SELECT event_type AS "class", CAST(row_number() OVER (ORDER BY event_type) AS INT) AS id FROM (SELECT DISTINCT event_type FROM events)',
     "table_fingerprint": "SELECT o_orderstatus, count(*) AS n, min(h) AS low, max(h) AS high FROM (SELECT o_orderstatus, md5(concat_ws('|', o_orderkey, o_custkey, o_orderpriority)) AS h FROM orders) GROUP BY o_orderstatus",
     "resample_mean": f"WITH {SHIP} SELECT r // 4 AS r, c // 4 AS c, round(avg(round(v * 100)), 4) AS v FROM li GROUP BY 1, 2",
+    "window_counts": f"WITH {EV}, {WINDOWS} SELECT CAST(win_r AS INT) AS win_r, CAST(win_c AS INT) AS win_c, count(*) AS px FROM inw GROUP BY ALL",
+    "window_stitch": f"WITH {EV}, {WINDOWS} SELECT r, c, round(sum(p * exp(-((r - win_r - 31.5) * (r - win_r - 31.5) + (c - win_c - 31.5) * (c - win_c - 31.5))::DOUBLE / 512)) / sum(exp(-((r - win_r - 31.5) * (r - win_r - 31.5) + (c - win_c - 31.5) * (c - win_c - 31.5))::DOUBLE / 512)), 6) AS p FROM inw GROUP BY ALL",
+    "losses": f"""WITH {EV}, d AS (SELECT p, CASE WHEN t.r IS NULL THEN 0 ELSE 1 END AS y FROM main m LEFT JOIN truth t ON t.r = m.r AND t.c = m.c), s AS (SELECT sum(p * y) AS tp, sum(p * (1 - y)) AS fp, sum((1 - p) * y) AS fn, avg(-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p))))) AS e FROM d),
+      l AS (SELECT 1 - (tp + 1e-6) / (tp + 0.2::DOUBLE * fp + 0.8::DOUBLE * fn + 1e-6) AS t, e FROM s) SELECT round(t, 6) AS tversky, round(pow(t, 0.75), 6) AS focal, round(e, 6) AS entropy FROM l""",
+    "symmetry_views": f"""WITH {EV}, f AS (SELECT * FROM main WHERE r < 64 AND c < 64), v AS (SELECT p, unnest([{{'view': 0, 'y': r}}, {{'view': 1, 'y': c}}, {{'view': 2, 'y': 63 - r}}, {{'view': 3, 'y': 63 - c}}, {{'view': 4, 'y': r}}, {{'view': 5, 'y': c}}, {{'view': 6, 'y': 63 - r}}, {{'view': 7, 'y': 63 - c}}]) AS s FROM f)
+      SELECT s.view AS "view", count(*) AS n, round(sum(s.y * p), 4) AS moment FROM v GROUP BY 1""",
+    "bad_dates": "WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') AS day FROM orders) SELECT * FROM d WHERE try_strptime(day, '%Y-%m-%d') IS NULL",
 }

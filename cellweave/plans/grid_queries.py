@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernel
-from cellweave.operators import emission, focal, kernels, partition, regions, scoring, selection, stats, text
+from cellweave.operators import emission, focal, kernels, partition, regions, scoring, selection, stats, text, windows
 from cellweave.sources import grid_source, vectors
 from cellweave.sources.tables import BLOCK, COLUMNS, event_cells, field_of, fields, footprint_of, read, ship_grid, truth_of
 
@@ -595,6 +595,39 @@ def rasterize_lines(spark, sf):
     return vectors.rasterised(seg).groupBy("feature").agg(F.count("*").alias("px"), F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
+@query
+def window_stitch(spark, sf):
+    """A field cut into windows of 64, every 48, and put together again."""
+    f = field_of(event_cells(spark, sf)).where("r < 160")
+    return rounded(windows.stitched(windows.in_windows(f, 160, COLUMNS, 64, 48), 64))
+
+
+@query
+def window_counts(spark, sf):
+    f = field_of(event_cells(spark, sf)).where("r < 160")
+    return windows.in_windows(f, 160, COLUMNS, 64, 48).groupBy("win_r", "win_c").agg(F.count("*").alias("px"))
+
+
+@query
+def losses(spark, sf):
+    cells = event_cells(spark, sf)
+    d = field_of(cells).join(truth_of(cells).withColumn("y", F.lit(1.0)), ["r", "c"], "left").na.fill(0.0, ["y"])
+    p, y = F.col("p"), F.col("y")
+    return rounded(d.agg(kernel.tversky_loss(p, y).alias("tversky"), kernel.focal_tversky_loss(p, y).alias("focal"), kernel.cross_entropy(p, y).alias("entropy")))
+
+
+@query
+def symmetry_views(spark, sf):
+    cells = field_of(event_cells(spark, sf)).where("r < 64 AND c < 64")
+    return rounded(windows.symmetries(cells, 64).groupBy("view").agg(F.count("*").alias("n"), F.sum(F.col("r") * F.col("p")).alias("moment")), 4)
+
+
+@query
+def bad_dates(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0")).alias("day"))
+    return text.bad_dates(o, "day", F.lit("2100-01-01").cast("date"))
+
+
 @query
 def sato(spark, sf):
     return rounded(kernels.over_tiles(ship_grid(spark, sf).select("r", "c", "v"), kernels.ridgeness, 128, 16), 3)

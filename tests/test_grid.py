@@ -218,3 +218,29 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(df).collect()))
+
+
+def test_windows_and_views(spark):
+    from cellweave.operators import windows
+
+    cells = spark.createDataFrame([(y, x, float(y * 10 + x)) for y in range(10) for x in range(7)], "r int, c int, p double")
+    got = {(x.r, x.c, x.win_r, x.win_c) for x in windows.in_windows(cells, 10, 7, 4, 3).collect()}
+    starts = [(a, b) for a in windows.window_starts(10, 4, 3) for b in windows.window_starts(7, 4, 3)]
+    assert got == {(y, x, a, b) for y in range(10) for x in range(7) for a, b in starts if a <= y < a + 4 and b <= x < b + 4}
+    back = windows.stitched(windows.in_windows(cells, 10, 7, 4, 3), 4).collect()
+    assert len(back) == 70 and all(x.p == pytest.approx(x.r * 10 + x.c) for x in back)
+    a = np.arange(16.0).reshape(4, 4)
+    small = spark.createDataFrame([(y, x, float(a[y, x])) for y in range(4) for x in range(4)], "r int, c int, p double")
+    seen = {}
+    for x in windows.symmetries(small, 4).collect():
+        seen.setdefault(x.view, np.zeros((4, 4)))[x.r, x.c] = x.p
+    want = {b.tobytes() for k in range(4) for b in (np.rot90(a, k).copy(), np.rot90(a.T, k).copy())}
+    assert {v.tobytes() for v in seen.values()} == want
+
+
+def test_policy_and_classes(spark):
+    t, w = text.policy(F.col("n"))
+    got = spark.createDataFrame([("sweep_t0_0.25_width3px",), ("none",)], "n string").select(t.alias("t"), w.alias("w")).collect()
+    assert [tuple(x) for x in got] == [(0.25, 3), (None, None)]
+    c = spark.createDataFrame([(1, "Normal FAULT"), (2, "Lineament"), (3, "Fold")], "id int, name string")
+    assert [x.id for x in text.named_classes(c, extra=("Lineament",)).orderBy("id").collect()] == [1, 2]
