@@ -111,10 +111,10 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     cut = rows.repartitionByRange(slabs, F.desc("norm2"), F.asc("id"))
     slabbed = stored(cut.withColumn("slab", F.spark_partition_id()), "slabs")
     longest = {r.slab: r.m for r in slabbed.groupBy("slab").agg(F.max("norm2").alias("m")).collect()}
-    order = sorted(longest)
-    rank_of = {s: i for i, s in enumerate(order)}
-    slabbed = slabbed.withColumn("slab", F.element_at(F.create_map(*[F.lit(x) for s in order for x in (s, rank_of[s])]), F.col("slab"))) if order else slabbed
-    lengths = [longest[s] ** 0.5 for s in order]
+    lengths, most = [], 0.0
+    for i in reversed(range(slabs)):  # ranges may be empty
+        most = max(most, longest.get(i, 0.0))
+        lengths.append(most**0.5)
     queries = slabbed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "norm2")).alias("q"))
     queries = queries.select("id", "q.v", "q.norm2", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // (20 * QUERIES))))).cast("int").alias("block"))
     queries = stored(queries, "queries")
@@ -145,7 +145,7 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     first = stored(first, "first")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"), F.col("vec_id").alias("floor_id"))
     asked = queries.join(floors, "id", "left").withColumns({"floor": F.coalesce("floor", F.lit(float("-inf"))), "floor_id": F.coalesce("floor_id", F.lit(LAST_ID))})
-    reach = F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<double>")
+    reach = F.lit(lengths[::-1])
     reached = F.size(F.filter(reach, lambda m: m * F.sqrt("norm2") * (1 + 1e-9) + 1e-6 >= F.col("floor")))
     asked = asked.withColumn("n", reached).where("n > 1").withColumn("slab", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).drop("n", "norm2")
     rest = scan(asked, slabbed.where("slab > 0"))
