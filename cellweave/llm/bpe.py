@@ -15,7 +15,7 @@ import numpy as np
 
 NONE = np.iinfo(np.int32).max
 #: Words whose results a task keeps from batch to batch.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: White space of the tokenizer's \\s; str.split also cuts at 1C to 1F.
 NOT_SPACE = "[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,10 +46,20 @@ def map_arrow(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        release()
 
     return df.mapInArrow(run, schema, **options)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts have about limit bytes; a longer text comes alone."""
     import numpy as np

@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, passes, stored, table
 from .components import components
-from .substring_dedup import row_map
+from .row_map import RowMap, bit_of, hits
 from .words import grams, mixed, raw_texts, word_hashes
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
 PERCENT = 80
 #: Text that one pass packs together, and shingles of a group of classes.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 GROUP_SHINGLES = 1 << 15
 
 
@@ -169,10 +169,12 @@ CANDIDATES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("c", pa.int64()
 def class_sets(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """c, n, tokens (sorted shingles) of each candidate class, once."""
 
+    sent = RowMap(found.select("k1", "k2")).sent
+
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in passes(batch, "text"):
+            for part in passes(batch.filter(pa.array(hits(sent.value, batch))), "text"):
                 out = []
                 for s in shingle_sets(part.column("text"), size):
                     c = class_key(s)
@@ -182,7 +184,7 @@ def class_sets(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, SETS)
 
-    sets = rows.where(row_map(found.select("k1", "k2"))).select("text").mapInArrow(run, "c long, n int, tokens binary")
+    sets = rows.select("text", bit_of().alias("__bit")).mapInArrow(run, "c long, n int, tokens binary")
     return sets.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
@@ -369,9 +371,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = rows.where("id <=> component_id").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     found = stored(goes.withColumn("goes", F.lit(True)).unionByName(again.withColumn("goes", F.lit(False))), "goes")
     keyed = docs.withColumns({"k1": F.xxhash64(docs[id_col].cast("long")), "k2": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
-    marked = keyed.withColumn("hit", row_map(found.select("k1", "k2")))
-    stay = marked.where("NOT hit").select(docs.columns)
-    judged = marked.where("hit").join(found, ["k1", "k2"], "left").where("NOT coalesce(goes, false)")
+    stay, some = RowMap(found.select("k1", "k2")).split(keyed)
+    stay = stay.select(docs.columns)
+    judged = some.join(found, ["k1", "k2"], "left").where("NOT coalesce(goes, false)")
     single = judged.where("goes IS NULL").select(docs.columns)
     return stay.unionByName(single).unionByName(judged.where("goes IS NOT NULL").dropDuplicates(["k1", "k2"]).select(docs.columns))
 

@@ -13,15 +13,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, passes, stored, table
+from .row_map import RowMap, bit_of, hits
 from .words import grams, raw_texts, widened, word_hashes
 
 WINDOW = 35
-#: Bits of the map of rows that texts are held against before they move; its size does not grow with the data.
-MAP_BITS = 26
 #: Windows that one pass of the stand-in search works on.
 STEP = 1 << 22
 MARKS = "k1 long, k2 long, pos int, h long"
@@ -81,33 +80,6 @@ def repeated(marks: DataFrame) -> DataFrame:
     return marks.join(twice, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
 
-def row_bit() -> Column:
-    return F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << MAP_BITS))
-
-
-def row_map(found: DataFrame) -> Column:
-    """Whether a row's bit is set in a bitmap of found's keys: MAP_BITS bits at most, sent with the plan.
-
-    It spares the move of texts that nothing was found in; a join decides."""
-    spark = found.sparkSession
-    bits = found.select((row_bit() + 1).alias("b"))  # Spark numbers bits from 1
-    parts = bits.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    whole = np.zeros(1 << MAP_BITS, np.uint8) if parts else np.zeros(8, np.uint8)
-    for r in parts:
-        own = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        start = (r.bucket - 1) * len(own)
-        whole[start : start + len(own)] = own
-    sent = spark.sparkContext.broadcast(np.packbits(whole))
-
-    @F.arrow_udf("boolean")
-    def hit(b: pa.Array) -> pa.Array:
-        at = b.to_numpy(zero_copy_only=False)
-        own = sent.value
-        return pa.array((own[np.minimum(at >> 3, len(own) - 1)] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    return hit(row_bit())
-
-
 def first_marks(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """The stand-ins at the first level of all windows of all texts."""
     window = lengths[-1]
@@ -153,7 +125,7 @@ def stretches(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFram
                     out.append((k1[i], k2[i], int(a), own[a : b + window - 1].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("k1", "k2", "start", "words"), x, strict=True)) for x in out], STRETCH)
 
-    joined = rows.where(row_map(found)).select("k1", "k2", "text").join(found, ["k1", "k2"])
+    joined = RowMap(found).part(rows.select("k1", "k2", "text"), True).join(found, ["k1", "k2"])
     return map_arrow(joined, "k1 long, k2 long, start int, words binary", one)
 
 
@@ -169,23 +141,24 @@ def stretch_marks(parts: DataFrame, lengths: list[int], level: int) -> DataFrame
     narrowed = "at" in parts.columns
 
     def one(batch: pa.RecordBatch):
-        at = batch.column("at").to_pylist() if narrowed else None
-        k1, k2, start, raw = (batch.column(c).to_pylist() for c in ("k1", "k2", "start", "words"))
-        rows, pos, hashes = [], [], []
-        for i, text in enumerate(raw):
-            words = np.frombuffer(text, np.uint64)
-            h = hashes_at(words, lengths[: level + 1])
-            if narrowed:
-                before = hashes_at(words, lengths[:level])
-                own = np.flatnonzero(np.isin(stand_ins(before, window - lengths[level - 1] + 1) + start[i], np.array(at[i])))
-                own = own if level == len(lengths) - 1 else np.unique(stand_ins(h, window - lengths[level] + 1)[own])
-            else:
-                own = np.unique(stand_ins(h, window - lengths[level] + 1))
-            rows.append(np.full(len(own), i))
-            pos.append(own + start[i])
-            hashes.append(h[own])
-        row = np.concatenate(rows)
-        yield pa.record_batch([pa.array(np.array(k1)[row]), pa.array(np.array(k2)[row]), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["k1", "k2", "pos", "h"])
+        for part in passes(batch, "words"):
+            at = part.column("at").to_pylist() if narrowed else None
+            k1, k2, start, raw = (part.column(c).to_pylist() for c in ("k1", "k2", "start", "words"))
+            rows, pos, hashes = [], [], []
+            for i, text in enumerate(raw):
+                words = np.frombuffer(text, np.uint64)
+                h = hashes_at(words, lengths[: level + 1])
+                if narrowed:
+                    before = hashes_at(words, lengths[:level])
+                    own = np.flatnonzero(np.isin(stand_ins(before, window - lengths[level - 1] + 1) + start[i], np.array(at[i])))
+                    own = own if level == len(lengths) - 1 else np.unique(stand_ins(h, window - lengths[level] + 1)[own])
+                else:
+                    own = np.unique(stand_ins(h, window - lengths[level] + 1))
+                rows.append(np.full(len(own), i))
+                pos.append(own + start[i])
+                hashes.append(h[own])
+            row = np.concatenate(rows)
+            yield pa.record_batch([pa.array(np.array(k1)[row]), pa.array(np.array(k2)[row]), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["k1", "k2", "pos", "h"])
 
     return map_arrow(parts, MARKS, one)
 
@@ -233,17 +206,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"id {kind}, n_words long, n_removed long, {last} string"
 
     def kept(batch: pa.RecordBatch):
-        n_words, n_removed, out = [], [], []
-        for words, left in kept_words(batch, window):
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(left))
-            joined = b" ".join(left)
-            out.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode())
-        yield pa.record_batch([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["id", "n_words", "n_removed", last])
-
-    marked = rows.withColumn("hit", row_map(found))
-    plain = map_arrow(marked.where("NOT hit").select("id", "text"), schema, kept)
-    cut = map_arrow(marked.where("hit").select("k1", "k2", "id", "text").join(found, ["k1", "k2"], "left").select("id", "text", "at"), schema, kept)
+        for part in passes(batch, "text"):
+            n_words, n_removed, out = [], [], []
+            for words, left in kept_words(part, window):
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(left))
+                joined = b" ".join(left)
+                out.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode())
+            yield pa.record_batch([part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["id", "n_words", "n_removed", last])
+
+    own_map = RowMap(found)
+    sent = own_map.sent
+
+    def untouched(batch: pa.RecordBatch):
+        left = batch.filter(pa.array(~hits(sent.value, batch)))
+        if left.num_rows:
+            yield from kept(left)
+
+    plain = map_arrow(rows.select("id", "text", bit_of().alias("__bit")), schema, untouched)
+    cut = map_arrow(own_map.part(rows, True).join(found, ["k1", "k2"], "left").select("id", "text", "at"), schema, kept)
     return plain.unionByName(cut).withColumnRenamed("id", id_col)
 
 
@@ -259,12 +240,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batch: pa.RecordBatch):
         own = batch.rename_columns(["text" if c == text_col else c for c in batch.schema.names])
-        texts = pa.array([b" ".join(left).decode() for _, left in kept_words(own, window)], pa.string())
-        yield pa.record_batch([texts if c == text_col else batch.column(c) for c in columns], columns)
+        for part in passes(own, "text"):
+            texts = pa.array([b" ".join(left).decode() for _, left in kept_words(part, window)], pa.string())
+            yield pa.record_batch([texts if c == text_col else part.column(i) for i, c in enumerate(columns)], columns)
 
-    marked = rows.withColumn("hit", row_map(found))
-    whole = marked.where("NOT hit").select(docs.columns)
-    joined = marked.where("hit").join(found, ["k1", "k2"], "left")
+    whole, some = RowMap(found).split(rows)
+    whole = whole.select(docs.columns)
+    joined = some.join(found, ["k1", "k2"], "left")
     same = joined.where("at IS NULL").select(docs.columns)
     less = map_arrow(joined.where("at IS NOT NULL").select(*docs.columns, "at"), docs.schema, cut)
     return whole.unionByName(same).unionByName(less.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)))

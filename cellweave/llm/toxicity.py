@@ -26,7 +26,7 @@ from .common import map_arrow, passes, table
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 8_000_000
 BITS = 18
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 ROUNDS = 25
 #: Marginals below this are many in a long clean text and add up to nothing.
 LIKELY = 0.3
