@@ -24,7 +24,7 @@ from .common import map_arrow, passes, table
 
 #: The training sample: so many documents of each class, in order of a hash of their ids, and characters of each.
 SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 3_000_000
 BITS = 18
 CACHE_WORDS = 150_000
 ROUNDS = 25
@@ -45,7 +45,7 @@ class Field:
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
     moves: np.ndarray = field(default_factory=lambda: np.array([-4.0, -1.0, -4.0]))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(4))
     base: float = 0.0
 
 
@@ -117,9 +117,10 @@ def labelled_tokens(docs: list[list[str]], toxic: np.ndarray) -> list[np.ndarray
 
 
 def document_inputs(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each document 1, the logit of its largest marginal and the log of one plus the sum of likely ones."""
-    out = np.zeros((len(sizes), 3))
+    """For each document 1, the logit of its largest marginal and the logs of one plus the sum of likely ones and of its tokens."""
+    out = np.zeros((len(sizes), 4))
     out[:, 0] = 1
+    out[:, 3] = np.log1p(sizes)
     out[:, 1] = -12
     some = sizes > 0
     if some.any():
