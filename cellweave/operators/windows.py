@@ -13,15 +13,15 @@ def window_starts(n: int, size: int, step: int) -> list[int]:
     return [*range(0, n - size, step), n - size]
 
 
-def in_windows(cells: DataFrame, height: int, width: int, size: int, step: int) -> DataFrame:
+def in_windows(cells: DataFrame, height: int | Column, width: int | Column, size: int, step: int) -> DataFrame:
     """cells with win_r, win_c of every window that holds them: starts are met by division, the flush ones by test."""
 
-    def starts(x: str, n: int) -> Column:
-        last = max(0, n - size)
+    def starts(x: str, n: int | Column) -> Column:
+        last = F.greatest(F.lit(0), F.lit(n) - size)
         low = F.greatest(F.lit(0), F.floor((F.col(x) - size) / step).cast("int") + 1)
         high = F.floor(F.col(x) / step).cast("int")
         regular = F.filter(F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step), lambda s: (s < last) & (s <= F.col(x)))
-        return F.concat(regular, F.when(F.col(x) >= last, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")))
+        return F.concat(regular, F.when(F.col(x) >= last, F.array(last)).otherwise(F.array().cast("array<int>")))
 
     return cells.withColumn("win_r", F.explode(starts("r", height))).withColumn("win_c", F.explode(starts("c", width)))
 
@@ -39,6 +39,12 @@ def stitched(scores: DataFrame, size: int) -> DataFrame:
     return scores.groupBy("r", "c").agg((F.sum(w * F.col("p")) / F.sum(w)).alias("p"))
 
 
+def in_tiles(cells: DataFrame, size: int) -> DataFrame:
+    """cells with win_r, win_c, the corner of the tile of size by size that holds them, and r, c within it."""
+    r, c = F.col("r"), F.col("c")
+    return cells.withColumns({"win_r": r - r % size, "win_c": c - c % size, "r": r % size, "c": c % size})
+
+
 def symmetries(cells: DataFrame, size: int) -> DataFrame:
     """Each cell of a window under the eight symmetries of the square: view 0..7, r, c within 0..size-1."""
     r, c, n = F.col("r"), F.col("c"), size - 1

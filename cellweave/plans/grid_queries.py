@@ -595,17 +595,22 @@ def rasterize_lines(spark, sf):
     return vectors.rasterised(seg).groupBy("feature").agg(F.count("*").alias("px"), F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
+def main_windows(cells) -> DataFrame:
+    """The whole field in windows of 64, every 48; its height is that of its last row."""
+    f = field_of(cells)
+    high = f.agg((F.max("r") + 1).alias("h"))
+    return windows.in_windows(f.crossJoin(F.broadcast(high)), F.col("h"), COLUMNS, 64, 48).drop("h")
+
+
 @query
 def window_stitch(spark, sf):
     """A field cut into windows of 64, every 48, and put together again."""
-    f = field_of(event_cells(spark, sf)).where("r < 160")
-    return rounded(windows.stitched(windows.in_windows(f, 160, COLUMNS, 64, 48), 64))
+    return rounded(windows.stitched(main_windows(event_cells(spark, sf)), 64))
 
 
 @query
 def window_counts(spark, sf):
-    f = field_of(event_cells(spark, sf)).where("r < 160")
-    return windows.in_windows(f, 160, COLUMNS, 64, 48).groupBy("win_r", "win_c").agg(F.count("*").alias("px"))
+    return main_windows(event_cells(spark, sf)).groupBy("win_r", "win_c").agg(F.count("*").alias("px"))
 
 
 @query
