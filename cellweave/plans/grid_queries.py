@@ -623,7 +623,8 @@ def losses(spark, sf):
 
 @query
 def symmetry_views(spark, sf):
-    cells = field_of(event_cells(spark, sf)).where("r < 64 AND c < 64")
+    """The eight symmetries inside each of the windows of 64 that the whole field is cut into."""
+    cells = windows.in_tiles(field_of(event_cells(spark, sf)), 64)
     return rounded(windows.symmetries(cells, 64).groupBy("view").agg(F.count("*").alias("n"), F.sum(F.col("r") * F.col("p")).alias("moment")), 4)
 
 

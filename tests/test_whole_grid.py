@@ -37,3 +37,18 @@ def test_all_rows_are_stitched(spark, tall):
     want = rows(tall, f"WITH {EV} SELECT r, c, round(p, 6) FROM main")
     assert [x[:2] for x in got] == [x[:2] for x in want] and max(x[0] for x in got) == 399
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+
+
+def test_all_tiles_have_views(spark, tall):
+    got = sorted((x["view"], x.n, x.moment) for x in Q.symmetry_views(spark, tall).collect())
+    sides = ", ".join(f"{{'view': {i}, 'y': {y}}}" for i, y in enumerate(["y", "x", "63 - y", "63 - x"] * 2))
+    want = rows(tall, f"WITH {EV}, v AS (SELECT p, unnest([{sides}]) AS s FROM (SELECT r % 64 AS y, c % 64 AS x, p FROM main)) SELECT s.view, count(*), sum(s.y * p) FROM v GROUP BY 1")
+    assert [x[:2] for x in got] == [x[:2] for x in want] and got[0][1] == rows(tall, f"WITH {EV} SELECT count(*) FROM main")[0][0]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-3)
+
+
+def test_tiles(spark):
+    from cellweave.operators import windows
+
+    got = windows.in_tiles(spark.createDataFrame([(0, 0), (5, 9), (12, 3)], "r int, c int"), 4).collect()
+    assert sorted((x.win_r, x.win_c, x.r, x.c) for x in got) == [(0, 0, 0, 0), (4, 8, 1, 1), (12, 0, 0, 3)]
