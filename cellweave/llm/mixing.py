@@ -3,7 +3,8 @@
 Documents are aggregated by membership pattern, the set of sources that they belong to. Each pattern offers its
 words once, twice, ... up to REPEATS times, and each repetition costs more than the one before, so the flow to
 the sources' quotas repeats as little as it can. The flow of a pattern is then met by documents, drawn by a seeded
-hash: all of them as often as the flow fills whole rounds, and the first by hash once more, up to the rest.
+hash: all of them as often as the flow fills whole rounds, and, up to the rest, once more those that in order of
+the hash fit what is left.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ SEED = 17
 SLICES = 4096
 #: Up to so many patterns their bounds are sent to all tasks; beyond, a shuffled join takes its place.
 FEW_PATTERNS = 50_000
+#: So many of a pattern's next rows, and of all patterns' together, come to the driver at once.
+NEXT, NEXT_OF_ALL = 1000, 200_000
+#: Up to so many rows drawn beyond the prefixes are sent to all tasks.
+MANY_PICKS = 1_000_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -136,13 +141,43 @@ def plan(slim: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> d
     return {text: {"size": n, "take": sum(f.values()), "targets": {s: target[s] for s in p}, "sizes": {s: size[s] for s in p}} for (p, text, n), f in zip(patterns, flow, strict=True)}
 
 
+def fitting(slices: DataFrame, ends: list[tuple]) -> list[tuple]:
+    """pattern, __u of the rows beyond each pattern's prefix that in hash order fit what is left of its words.
+
+    ends: pattern, slice and __u where its prefix stops (null: before the slice) and words left, fewer than one row has.
+    Each turn brings the next rows that are no longer than what is left, until a pattern has none.
+    """
+    picked, spark = [], slices.sparkSession
+    ends = [x for x in ends if x[3] >= 1]
+    while ends:
+        n = max(1, min(NEXT, NEXT_OF_ALL // len(ends)))
+        at = spark.createDataFrame(ends, "__pattern string, __edge long, __last long, __left double")
+        beyond = (F.col("__slice") > F.col("__edge")) | ((F.col("__slice") == F.col("__edge")) & (F.col("__last").isNull() | (F.col("__u") > F.col("__last"))))
+        words = F.col("__size") * F.col("__k")
+        rest = slices.join(F.broadcast(at) if len(ends) <= FEW_PATTERNS else at, "__pattern").where(beyond & (words > 0) & (words <= F.col("__left")))
+        order = Window.partitionBy("__pattern").orderBy("__slice", "__u", "__size")
+        found = rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("__pattern", "n", "__slice", "__u", words.alias("words")).collect()
+        by: dict = {}
+        for x in sorted(found, key=lambda x: x.n):
+            by.setdefault(x["__pattern"], []).append(x)
+        left = {p: rest for p, _, _, rest in ends}
+        for p, own in by.items():
+            for x in own:
+                if x.words <= left[p]:
+                    picked.append((p, x["__u"]))
+                    left[p] -= x.words
+        ends = [(p, own[-1]["__slice"], own[-1]["__u"], left[p]) for p, own in by.items() if len(own) == n and left[p] >= 1]
+    return picked
+
+
 def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """docs with __size, __pattern, __times (how often the mix takes the row) and __source_size, __target (sums
     over the row's sources). sources: an array of the row's sources; by default the column source alone.
 
-    Every row is taken whole, as often as its pattern's flow has whole rounds, and rows that come first by a hash of
-    seed, id and text once more, as long as they fit the rest of the flow. So reruns agree, no row is
-    taken more than repeats times, and a pattern's words fall short of its flow by less than one of its rows.
+    Every row is taken whole, as often as its pattern's flow has whole rounds, and once more if, in order of a hash of
+    seed, id and text, it fits what the rows before it leave of the flow; one that does not is passed over. So
+    reruns agree, no row is taken more than repeats times, and no row without an extra time would fit
+    what a pattern's words fall short of its flow by (repeated rows are drawn together).
     A null source is a source, last in order; null and empty texts have size 0 and are taken 0 times; repeated
     rows tie and are ordered as they come within one class, which changes no sum. Without rows, none.
     """
@@ -161,13 +196,19 @@ def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id",
     edge = sums.where("before <= __extra AND before + n > __extra")
     inner = Window.partitionBy("__pattern").orderBy("__u", "__size")
     cut = slices.join(edge, ["__pattern", "__slice"]).withColumn("upto", F.col("before") + F.sum(F.col("__size") * F.col("__k")).over(inner))
-    cut = cut.where("upto <= __extra").groupBy("__pattern").agg(F.max(F.struct("__u")).alias("m")).select("__pattern", F.col("m.__u").alias("__last"))
-    bounds = plan_df.join(edge.select("__pattern", F.col("__slice").alias("__edge")), "__pattern", "left").join(cut, "__pattern", "left")
+    cut = cut.where("upto <= __extra").groupBy("__pattern").agg(F.max(F.struct("__u", "upto")).alias("m"))
+    ends = edge.join(cut, "__pattern", "left").select("__pattern", F.col("__slice").alias("__edge"), F.col("m.__u").alias("__last"), (F.col("__extra") - F.coalesce("m.upto", "before")).alias("__left"))
+    ends = [tuple(x) for x in ends.collect()]
+    edges = spark.createDataFrame([x[:3] for x in ends], "__pattern string, __edge long, __last long")
+    bounds = plan_df.join(edges, "__pattern", "left")
     joined = rows.join(F.broadcast(bounds) if len(told) <= FEW_PATTERNS else bounds, "__pattern")
+    picked = fitting(slices, ends)
+    few = spark.createDataFrame(picked, "__pattern string, __u long").withColumn("__fits", F.lit(1))
+    joined = joined.join(F.broadcast(few) if len(picked) <= MANY_PICKS else few, ["__pattern", "__u"], "left")
     slice_ = F.pmod(F.shiftrightunsigned("__u", 20), F.lit(SLICES))
-    more = F.when(F.col("__extra") <= 0, 0).when(F.col("__edge").isNull() | (slice_ < F.col("__edge")), 1).when((slice_ == F.col("__edge")) & (F.col("__u") <= F.col("__last")), 1).otherwise(0)
+    more = F.when(F.col("__extra") <= 0, 0).when(F.col("__edge").isNull() | (slice_ < F.col("__edge")), 1).when((slice_ == F.col("__edge")) & (F.col("__u") <= F.col("__last")), 1).otherwise(F.coalesce("__fits", F.lit(0)))
     times = F.when(F.col("__size") == 0, 0).otherwise(F.col("__rounds") + more).cast("long")
-    return joined.withColumn("__times", times).drop("__u", "__rounds", "__extra", "__edge", "__last")
+    return joined.withColumn("__times", times).drop("__u", "__rounds", "__extra", "__edge", "__last", "__fits")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -58,6 +58,21 @@ def test_sources_come_near_their_targets(spark):
     assert M.mixture(df).count() == sum(k for _, k in first)
 
 
+def test_long_documents_do_not_end_the_draw(spark, monkeypatch):
+    rows = [(i, "w " * (1000 if i < 10 else 10), "a") for i in range(310)] + [(400 + i, "w " * 10, "b") for i in range(618)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = M.quotas({"a": 13000, "b": 6180}, {"a": 5, "b": 2})
+    for seed in range(3):
+        taken = {}
+        for few in (1000, 2):
+            monkeypatch.setattr(M, "NEXT", few)
+            taken[few] = sorted((x.doc_id, x["__times"]) for x in M.mix(df, seed=seed).collect())
+        assert taken[1000] == taken[2] and len(taken[2]) == len(rows)
+        for s in "ab":
+            got = sum(k * len(rows[i if i < 310 else i - 90][1].split()) for i, k in taken[2] if (i < 400) == (s == "a"))
+            assert 0 <= target[s] - got < 10
+
+
 def test_awkward_rows(spark, awkward):
     assert M.mix(awkward).count() == awkward.count()
     assert M.mix(awkward.limit(0)).count() == 0
