@@ -52,3 +52,22 @@ def test_tiles(spark):
 
     got = windows.in_tiles(spark.createDataFrame([(0, 0), (5, 9), (12, 3)], "r int, c int"), 4).collect()
     assert sorted((x.win_r, x.win_c, x.r, x.c) for x in got) == [(0, 0, 0, 0), (4, 8, 1, 1), (12, 0, 0, 3)]
+
+
+def test_any_change_of_a_table_shows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    duckdb.sql(f"""COPY (SELECT i AS o_orderkey, i * 37 % 90 AS o_custkey, ['F', 'O', NULL][1 + i % 3] AS o_orderstatus, CASE WHEN i % 7 > 0 THEN 900 + i * 1001 / 100 END AS o_totalprice,
+        TIMESTAMP '1995-01-01' + to_hours(CAST(i * 5 AS INT)) AS o_orderdate, CASE WHEN i % 5 > 0 THEN '1-URGENT' ELSE '' END AS o_orderpriority FROM range(3000) t(i)) TO '{tmp_path}/orders.parquet'""")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in names)
+    con = duckdb.connect()
+    want = con.execute(f"""SELECT o_orderstatus, count(*), CAST(sum(h) % 4611686018427387904 AS BIGINT), bit_xor(h)
+        FROM (SELECT o_orderstatus, CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS h FROM '{tmp_path}/orders.parquet') GROUP BY 1""").fetchall()
+    got = {tuple(x) for x in Q.table_fingerprint(spark, str(tmp_path)).select("o_orderstatus", "n", "s", "x").collect()}
+    assert got == set(want) and len(got) == 3
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    one = F.col("o_orderkey") == 1501
+    for i, (c, v) in enumerate([("o_totalprice", F.lit(0.5)), ("o_orderdate", F.lit("2001-01-01").cast("timestamp")), ("o_custkey", F.lit(91)), ("o_orderpriority", F.lit(None))]):
+        orders.withColumn(c, F.when(one, v).otherwise(F.col(c))).write.parquet(f"{tmp_path}/{i}/orders.parquet")
+        assert len(got - {tuple(x) for x in Q.table_fingerprint(spark, f"{tmp_path}/{i}").select("o_orderstatus", "n", "s", "x").collect()}) == 1
