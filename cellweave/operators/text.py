@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def normalised(text: Column) -> Column:
-    """Quotes and dashes folded, words that a line break cuts joined, white space single."""
-    t = F.regexp_replace(text, "[‘’]", "'")
+    """NFKC, quotes and dashes folded, words that a line break cuts joined, white space single."""
+    t = F.regexp_replace(nfkc(text), "[‘’]", "'")
     t = F.regexp_replace(t, "[“”]", '"')
     t = F.regexp_replace(t, "[‐-―]", "-")
     t = F.regexp_replace(t, "-\n", "")
@@ -20,7 +29,7 @@ def quoted(documents: DataFrame, quotes: DataFrame) -> DataFrame:
 
     Documents are cut into shingles of the quote's first 8 words, so the join is by equality.
     """
-    words = lambda c: F.split(normalised(F.lower(c)), " ")
+    words = lambda c: F.split(F.lower(normalised(c)), " ")
     q = quotes.select("item_id", words(F.col("text")).alias("q")).where(F.size("q") >= 8)
     q = q.select("item_id", F.array_join("q", " ").alias("quote"), F.array_join(F.slice("q", 1, 8), " ").alias("head"))
     d = documents.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 8)
