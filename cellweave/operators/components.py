@@ -31,7 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, seen = stored(edges, "edges"), None
     for _ in range(rounds):
-        edges = stored(star(star(edges, True), False), "edges")
+        edges = stored(star(stored(star(edges, True), "middle"), False), "edges")
         now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if seen == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
