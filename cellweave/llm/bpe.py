@@ -14,8 +14,6 @@ from collections import defaultdict
 import numpy as np
 
 NONE = np.iinfo(np.int32).max
-#: Words whose results a task keeps from batch to batch.
-CACHE_WORDS = 200_000
 #: White space of the tokenizer's \\s; str.split also cuts at 1C to 1F.
 NOT_SPACE = "[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
@@ -58,6 +56,7 @@ class Vocabulary:
         self.name = [""] * (max([self.size - 1, *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.name[i] = token
+        self.number = [str(i) for i in range(len(self.name))]
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces_and_breaks = regex.compile(split["pattern"]["Regex"].replace("\\s", NOT_SPACE[2:-2]) + "|\n").findall

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_WORDS, Vocabulary, merge_ranks, numbered, vocabulary
-from .common import map_arrow, passes, table
+from .bpe import Vocabulary, merge_ranks, numbered, vocabulary
+from .common import Kept, map_arrow, passes, table
+
+#: Text bytes whose words are encoded together.
+PART_BYTES = 1 << 19
 
 
 def fragments(vocab: Vocabulary, pre_tokens: list[bytes]) -> tuple[list[tuple[bytes, bool]], np.ndarray]:
@@ -35,71 +37,70 @@ def fragments(vocab: Vocabulary, pre_tokens: list[bytes]) -> tuple[list[tuple[by
     return own, np.diff(np.r_[-1, np.flatnonzero(last)])
 
 
-def encode_words(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
-    """The ids of each word: its fragments are encoded on their own, then put together."""
+def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The positions of the runs that begin at starts, one after another."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+def encode_words(vocab: Vocabulary, words: list[str]) -> list[bytes]:
+    """The ids (int32) of each word: its fragments are encoded on their own, then put together."""
     if not words:
         return []
     pieces, sizes = vocab.pre_tokens(words)
     own, at = numbered(pieces)
     if not own:
-        return [[] for _ in words]
+        return [b""] * len(words)
     parts, per_piece = fragments(vocab, [p.encode() for p in own])
     distinct, which = numbered(parts)
     sym, lens = vocab.symbols([p for p, _ in distinct], np.fromiter((x for _, x in distinct), bool, len(distinct)))
     tokens, left = merge_ranks(vocab, sym, lens)
-    tokens, stops = tokens.tolist(), np.cumsum(left)
-    encoded = [tokens[a:b] for a, b in zip((stops - left).tolist(), stops.tolist(), strict=True)]
-    joined = [encoded[i] for i in which.tolist()]
-    stops = np.cumsum(per_piece)
-    of_piece = [joined[a] if b - a == 1 else sum(joined[a:b], []) for a, b in zip((stops - per_piece).tolist(), stops.tolist(), strict=True)]
-    in_words = [of_piece[i] for i in at.tolist()]
-    stops = np.cumsum(sizes)
-    return [in_words[a] if b - a == 1 else sum(in_words[a:b], []) for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+    fragment = which[spans((np.cumsum(per_piece) - per_piece)[at], per_piece[at])]
+    ids = tokens[spans((np.cumsum(left) - left)[fragment], left[fragment])].astype(np.int32).tobytes()
+    ends = 4 * np.r_[0, np.cumsum(left[fragment])][np.r_[0, np.cumsum(per_piece[at])][np.r_[0, np.cumsum(sizes)]]]
+    ends = ends.tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Every whole text as BPE ids: id_col, n_tokens, ids (array<int>), decoded (text). No shuffle.
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
+    """Every whole text as BPE ids: id_col, n_tokens, ids (array<int>), decoded (text; not without decoded). No shuffle.
 
     With digests, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 stand for the two.
     A null text counts as empty and gives no ids; null ids and repeated rows stay, row by row; other
     columns are not read; a table without rows gives none. Special strings inside a text are one id each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known: dict[str, tuple] = {}
+    kept = Kept()
 
     def one(batch: pa.RecordBatch):
         vocab = vocabulary(vocab_path)
-        special = {i: (str(i) if digests else [i], vocab.name[i], 1) for i in vocab.special.values()}
-        for part in passes(batch, "text"):
-            docs_words = []
+        for part in passes(batch, "text", PART_BYTES):
+            texts = []
             for text in part.column("text").to_pylist():
                 words: list[str | int] = []
                 for x in vocab.segments(text or ""):
                     words += [x] if isinstance(x, int) else vocab.split_words(x)
-                docs_words.append(words)
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            known.update(special)
-            new = [w for w in set().union(*docs_words).difference(known) if w]
-            for w, ids in zip(new, encode_words(vocab, new), strict=True):
-                known[w] = (" ".join(map(str, ids)) if digests else ids, " ".join(vocab.name[i] for i in ids), len(ids))
-            n_tokens, ids_out, text_out = [], [], []
-            for words in docs_words:
-                got = [known[w] for w in words if w != ""]
-                decoded = " ".join([g[1] for g in got])
-                n_tokens.append(sum([g[2] for g in got]))
-                if digests:
-                    ids_out.append(hashlib.sha256(" ".join([g[0] for g in got]).encode()).hexdigest())
-                    text_out.append(hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    ids_out.append(np.fromiter(itertools.chain.from_iterable([g[0] for g in got]), np.int32))
-                    text_out.append(decoded)
-            yield pa.record_batch([part.column("id"), pa.array(n_tokens, pa.int64()), pa.array(ids_out, pa.string() if digests else pa.list_(pa.int32())), pa.array(text_out, pa.string())], names)
-
-    names = ["id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+                texts.append(words)
+            distinct = {w for w in set().union(*texts) if isinstance(w, str)}
+            known = kept.of(distinct, lambda new: encode_words(vocab, new))
+            known.update({i: np.int32(i).tobytes() for i in vocab.special.values()})
+            rows = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in texts]
+            columns = [part.column("id"), pa.array([len(r) for r in rows], pa.int64())]
+            if digests:
+                columns.append(pa.array([hashlib.sha256(" ".join(map(vocab.number.__getitem__, r.tolist())).encode()).hexdigest() for r in rows]))
+            else:
+                ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows), pa.int32())))
+            if decoded:
+                names_of = (" ".join(map(vocab.name.__getitem__, r.tolist())) for r in rows)
+                columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if digests else x for x in names_of], pa.string()))
+            yield pa.record_batch(columns, names)
+
+    kinds = {"id": kind, "n_tokens": "long"} | ({"ids_sha256": "string"} if digests else {"ids": "array<int>"})
+    if decoded:
+        kinds["decoded_sha256" if digests else "decoded"] = "string"
+    names = list(kinds)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    schema = f"id {kind}, n_tokens long, {names[2]} {'string' if digests else 'array<int>'}, {names[3]} string"
-    return map_arrow(own, schema, one).withColumnRenamed("id", id_col)
+    return map_arrow(own, ", ".join(f"{c} {t}" for c, t in kinds.items()), one).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

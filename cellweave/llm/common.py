@@ -3,40 +3,55 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cellweave.sources.shared import shared_dir, stored
+
+__all__ = ["PASS_BYTES", "Kept", "in_row", "map_arrow", "passes", "release", "shared_dir", "stored", "table"]
+
 #: Text bytes that one numpy pass of a kernel works on; longer texts are passes of their own.
 PASS_BYTES = 1 << 20
+#: What a task keeps of words met before, in bytes (with about ENTRY for each word's objects), and letters of the longest.
+KEPT_BYTES = 12 << 20
+ENTRY = 180
+KEPT_LETTERS = 48
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+def in_row(df: DataFrame) -> DataFrame:
+    """df as one column, row, a struct of all its columns: names that an operator adds beside it clash with none."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
 
-    Only where the session names none (tests, one machine) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cellweave-{uuid.uuid4().hex}"
 
+class Kept:
+    """Results by word that a task keeps from part to part, KEPT_BYTES of them at most; long words are not kept."""
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there and no executor's loss matters."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self.held = 0
+
+    def of(self, words: set[str], compute: Callable[[list[str]], list]) -> dict:
+        """The result of each of words, by compute where it is not known."""
+        out = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in out]
+        found = dict(zip(new, compute(new), strict=True)) if new else {}
+        out.update(found)
+        short = {w: x for w, x in found.items() if len(w) <= KEPT_LETTERS}
+        more = sum(ENTRY + len(w) + (len(x) if isinstance(x, bytes) else 0) for w, x in short.items())
+        if self.held + more > KEPT_BYTES:
+            self.known, self.held = {}, 0
+        if more <= KEPT_BYTES:
+            self.known.update(short)
+            self.held += more
+        return out
 
 
 def map_arrow(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], **options) -> DataFrame:
@@ -74,7 +89,3 @@ def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Itera
         yield batch.slice(start, stop - start)
         start = stop
 
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deal rows out by columns, by as many partitions as the session asks for."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, passes, stored, table
-from .components import components
+from cellweave.operators.components import components
 from .row_map import RowMap, bit_of, hits
 from .words import grams, mixed, raw_texts, word_hashes
 

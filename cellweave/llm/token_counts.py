@@ -7,8 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import CACHE_WORDS, merge_ranks, numbered, vocabulary
-from .common import map_arrow, passes, table
+from .bpe import merge_ranks, numbered, vocabulary
+from .common import Kept, map_arrow, passes, table
 
 
 def word_counts(vocab, words: list[str]) -> np.ndarray:
@@ -34,7 +34,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     count as one token each, as the library takes them by default. Memory is bounded by the longest text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known: dict[str, int] = {}
+    kept = Kept()
 
     def one(batch: pa.RecordBatch):
         vocab = vocabulary(vocab_path)
@@ -52,10 +52,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 texts += words
                 sizes.append(len(words))
                 more.append(extra)
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list(set(texts).difference(known))
-            known.update(zip(new, word_counts(vocab, new).tolist(), strict=True))
+            known = kept.of(set(texts), lambda new: word_counts(vocab, new).tolist())
             sums = np.r_[0, np.cumsum(np.fromiter(map(known.__getitem__, texts), np.int64, len(texts)))]
             stops = np.cumsum(sizes)
             out.append(sums[stops] - sums[stops - sizes] + more)

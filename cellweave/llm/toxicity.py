@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, passes, table
+from .common import Kept, map_arrow, passes, table
 
 #: The training sample: so many documents of each class, in order of a hash of their ids, and characters of each.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 3_000_000
 BITS = 18
-CACHE_WORDS = 150_000
 ROUNDS = 25
 #: Marginals below this are many in a long clean text and add up to nothing.
 LIKELY = 0.3
@@ -229,19 +228,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text for r in rows], [r.toxic for r in rows], counts.get(1, 0) / sum(counts.values()))
 
 
-def scored(texts: list[str], m: Field, known: dict[str, float]):
-    """Each text's score, its number of tokens, the first token of each and all marginals. known: odds of words met."""
+def word_odds(words: list[str], m: Field) -> list[float]:
+    sums = m.weights[np.array([features(w) for w in words])].sum(1)
+    return np.exp(np.clip(sums.astype(np.float64), -30, 30)).tolist()
+
+
+def scored(texts: list[str], m: Field, kept: Kept):
+    """Each text's score, its number of tokens, the first token of each and all marginals. kept: odds of words met."""
     sizes, words = np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts):
         own = TOKENS.findall(t)
         sizes[i] = len(own)
         words += own
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = list(set(words).difference(known))
-    if new:
-        sums = m.weights[np.array([features(w) for w in new])].sum(1)
-        known.update(zip(new, np.exp(np.clip(sums.astype(np.float64), -30, 30)).tolist(), strict=True))
+    known = kept.of(set(words), lambda new: word_odds(new, m))
     odds = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
     starts = np.cumsum(sizes) - sizes
     first = np.zeros(len(words), bool)
@@ -261,12 +260,12 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, float] = {}
+    kept = Kept()
 
     def one(batch: pa.RecordBatch):
         for part in passes(batch, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            score, sizes, starts, p = scored(texts, sent.value, known)
+            score, sizes, starts, p = scored(texts, sent.value, kept)
             hot = p >= threshold
             some = np.diff(np.r_[0, np.cumsum(hot)][np.r_[starts, len(p)]])
             spans = [[] for _ in texts]
@@ -285,11 +284,11 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
 def drop_toxic(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose score is below 0.5. Nulls and repeats as for tag."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, float] = {}
+    kept = Kept()
 
     def one(batch: pa.RecordBatch):
         for part in passes(batch, text_col):
-            score = scored([t or "" for t in part.column(text_col).to_pylist()], sent.value, known)[0]
+            score = scored([t or "" for t in part.column(text_col).to_pylist()], sent.value, kept)[0]
             yield part.filter(pa.array(score < 0.5))
 
     return map_arrow(docs, docs.schema, one)

@@ -12,26 +12,34 @@ from cellweave.llm import bpe_codec, common, mixing, ngram_join, substring_dedup
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs whose score is below 0.5, as the field learnt from docs and labels gives it.
+
+    Null and empty texts stay, as do null ids and repeated rows; columns stay as they are. Without labels of both
+    kinds every score is the share of toxic ones.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs with the least id of each group of near copies; texts without words are no copies and stay."""
     return ngram_join.one_of_each(docs)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs, their texts without words that a repeated window covers; no row goes, null texts stay null."""
     return substring_dedup.cut_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: texts without words, null ones among them, go."""
     return mixing.mixture(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row of the mix."""
+    """doc_id, n_tokens and ids of every row of the mix; a null or empty text has no ids."""
     import public_tokenizers
 
-    return bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
+    return bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
 
 
 STAGES = [("toxicity", toxic_out), ("near_duplicates", near_copies_out), ("substring_dedup", repeats_out), ("mixing", mixed), ("bpe_codec", encoded)]
