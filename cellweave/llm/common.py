@@ -7,12 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cellweave.sources.shared import shared_dir, stored
 
-__all__ = ["PASS_BYTES", "Kept", "in_row", "map_arrow", "passes", "release", "shared_dir", "stored", "table"]
+__all__ = ["PASS_BYTES", "Kept", "map_arrow", "passes", "release", "shared_dir", "stored", "table"]
 
 #: Text bytes that one numpy pass of a kernel works on; longer texts are passes of their own.
 PASS_BYTES = 1 << 20
@@ -26,11 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_row(df: DataFrame) -> DataFrame:
-    """df as one column, row, a struct of all its columns: names that an operator adds beside it clash with none."""
-    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
-
-
 class Kept:
     """Results by word that a task keeps from part to part, KEPT_BYTES of them at most; long words are not kept."""
 

@@ -1,12 +1,15 @@
 """Operator 5, exact n-gram Jaccard join by a token-group matrix.
 
-Texts with equal shingle sets are one class. Classes that could link at all are found by counting, in compact
-arrays, which of their shingles any other text has. What is left is ordered by rarity; two linked classes share
-one of their rarest shingles (the prefix). In each prefix shingle's bucket all classes meet its pivot, the class
-with the fewest shingles of its own, which links most near copies at once. The rest meets in groups: similar
-classes (of one pivot) form groups of bounded size, a matrix row holds each group's union of shingles, the
-overlap of a query with the union bounds what it can share with any member, and only groups that reach the
-query's bound are opened and compared set by set.
+Texts with equal shingle sets are one class. Classes that could link at all are found by counting which of their
+shingles any other text has (counting.py). Their shingles are ordered by rarity; two linked classes share one of
+their rarest ones (the prefix). Similar classes form groups of bounded size: a class goes with the class of its
+prefix's shingles that has the fewest shingles of its own (their pivot). A row of the matrix holds a group: the
+union of its shingles, and its members as places in that union. A query class is sent to groups with which its
+prefix says that it may share enough; there its overlap with the union bounds what it can share with any member, and
+only a group that reaches the query's bound is opened. All links come out of opened groups.
+
+Queries go out twice: first each class to its own group and to its pivots' groups, which links most near copies; then,
+where a shingle is met by classes of several components, those of the smaller ones to all groups with it.
 """
 
 from __future__ import annotations
@@ -18,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, passes, stored, table
 from cellweave.operators.components import components
-from .row_map import RowMap, bit_of, hits
-from .words import grams, mixed, raw_texts, word_hashes
+
+from . import counting
+from .common import map_arrow, passes, stored, table
+from .row_map import RowMap, bit_of, hits, keyed
+from .words import grams, raw_texts, word_hashes
 
 SHINGLE = 5
 #: Percent of the union that two linked sets share at least.
 PERCENT = 80
-#: Text that one pass packs together, and shingles of a group of classes.
+#: Text that one pass packs together; shingles of a group of classes, and of the queries that a task sends to one.
 PACK_BYTES = 2 << 20
 GROUP_SHINGLES = 1 << 15
+QUERY_SHINGLES = 1 << 19
 
 
 def need(n, percent: int):
@@ -50,125 +56,60 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def class_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
+def class_key(s: np.ndarray) -> tuple[int, int]:
+    """A hash of a set, of 128 bits: equal ones are equal sets."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return tuple(np.frombuffer(raw, np.int64).tolist())
 
-def pack_id(*parts: np.ndarray) -> int:
-    h = hashlib.blake2b(digest_size=8)
-    for p in parts:
-        h.update(p.tobytes())
-    return int.from_bytes(h.digest(), "little", signed=True)
 
+def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all sets end to end, and the set of each."""
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
-def requests(sets: list[np.ndarray], buckets: int):
-    """For each bucket the number of each set's shingles in it, and 32 bits of each of those."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    short, owner = flat.astype(np.uint32)[order], owner[order]
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        at = slice(bounds[b], bounds[b + 1])
-        counts = np.bincount(owner[at], minlength=len(sets)).astype(np.uint32)
-        yield b, pa.compress(counts.tobytes(), "zstd", asbytes=True), short[at].tobytes()
-
-
-def counted(asked: DataFrame, buckets: int, per_set: bool) -> DataFrame:
-    """Answers to requests (pack, size, bucket, counts, shingles): pack, bucket, answer.
-
-    One task holds one bucket, whose share of all shingles is fixed by the number of buckets. A shingle's count
-    is the number of sets that have it. The answer has, for each set of the pack, how many of its shingles are
-    met at least twice, or else the count of each shingle.
-    """
 
-    def run(batches):
-        for bucket, rows in whole_buckets(batches):
-            shingles = [np.frombuffer(r[3], np.uint32) for r in rows]
-            flat = np.concatenate(shingles)
-            order = np.argsort(flat, kind="stable")
-            new = np.r_[True, np.diff(flat[order]) != 0]
-            run_of = np.cumsum(new) - 1
-            met = np.empty(len(flat), np.uint32)
-            met[order] = np.bincount(run_of)[run_of]
-            stop = 0
-            packs, answers = [], []
-            for (pack, size, counts, _), own in zip(rows, shingles, strict=True):
-                part, stop = met[stop : stop + len(own)], stop + len(own)
-                if per_set:
-                    n = np.frombuffer(pa.decompress(counts, size * 4, "zstd", asbytes=True), np.uint32)
-                    part = np.bincount(np.repeat(np.arange(size), n), weights=part > 1, minlength=size).astype(np.uint32)
-                packs.append(pack)
-                answers.append(pa.compress(part.tobytes(), "zstd", asbytes=True))
-            yield pa.record_batch([pa.array(packs, pa.int64()), pa.array([bucket] * len(packs), pa.int32()), pa.array(answers, pa.binary())], ["pack", "bucket", "answer"])
-
-    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "pack long, bucket int, answer binary")
-
-
-def whole_buckets(batches):
-    held: dict[int, list] = {}
-    for batch in batches:
-        for pack, size, bucket, counts, shingles in zip(*(batch.column(c).to_pylist() for c in ("pack", "size", "bucket", "counts", "shingles")), strict=True):
-            held.setdefault(bucket, []).append((pack, size, counts, shingles))
-    yield from held.items()
-
-
-ASKED = "pack long, size int, bucket int, counts binary, shingles binary"
-
-
-def asked_batch(pack: int, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    rows = list(requests(sets, buckets))
-    n = len(rows)
-    return pa.record_batch(
-        [pa.array([pack] * n, pa.int64()), pa.array([len(sets)] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        ["pack", "size", "bucket", "counts", "shingles"],
-    )
-
-
-def packed_sets(rows: DataFrame, size: int, ask: int = 0) -> DataFrame:
-    """Texts (k1, k2, id, text) by packs. With ask buckets their requests, else each pack's rows:
-    pack, ids, k1, k2, classes and sizes as arrays. A pack's name is a hash of what it holds."""
+def packed_sets(rows: DataFrame, size: int, buckets: int, ask: bool) -> DataFrame:
+    """Texts (k1, k2, id, text) by packs: what each asks, or its rows as arrays (PACKS), known being the number of
+    shingles of a set that another set of the pack has too."""
 
     def one(batch: pa.RecordBatch):
         for part in passes(batch, "text", PACK_BYTES):
             sets = shingle_sets(part.column("text"), size)
             k1, k2 = (part.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-            name = pack_id(k1, k2)
+            name, (tokens, owner) = counting.pack_id(k1, k2), flat(sets)
+            keys = counting.Keys(tokens, buckets)
             if ask:
-                yield asked_batch(name, sets, ask)
+                yield counting.requests(name, len(sets), keys, owner=owner)
             else:
-                own = {"pack": name, "ids": part.column("id").to_pylist(), "k1": k1.tolist(), "k2": k2.tolist(), "classes": [class_key(s) for s in sets], "sizes": [len(s) for s in sets]}
+                known = np.bincount(owner[keys.others()], minlength=len(sets)).tolist()
+                c = [class_key(s) for s in sets]
+                own = {"pack": name, "ids": part.column("id").to_pylist(), "k1": k1.tolist(), "k2": k2.tolist(), "c1": [x for x, _ in c], "c2": [x for _, x in c], "sizes": [len(s) for s in sets], "known": known}
                 yield pa.RecordBatch.from_pylist([own], PACKS)
 
-    return map_arrow(rows, ASKED if ask else "pack long, ids array<long>, k1 array<long>, k2 array<long>, classes array<long>, sizes array<int>", one)
+    whole = "pack long, ids array<long>, k1 array<long>, k2 array<long>, c1 array<long>, c2 array<long>, sizes array<int>, known array<int>"
+    return map_arrow(rows, counting.ASKED if ask else whole, one)
 
 
-PACKS = pa.schema([("pack", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "k1", "k2", "classes")), ("sizes", pa.list_(pa.int32()))])
+PACKS = pa.schema([("pack", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "k1", "k2", "c1", "c2")), *((c, pa.list_(pa.int32())) for c in ("sizes", "known"))])
+JUDGED = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("may", pa.bool_())])
 
 
-def candidates(packs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """k1, k2, c, n of the texts that have enough shingles that any other text has."""
-    got = answers.groupBy("pack").agg(F.collect_list("answer").alias("answers"))
+def judged(packs: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
+    """Every row's id, k1, k2, class (c1, c2), n, and may: whether any other text has enough of its shingles."""
 
     def one(batch: pa.RecordBatch):
         for r in batch.to_pylist():
-            sizes = np.array(r["sizes"])
-            if r["answers"] is None and sizes.any():
-                raise RuntimeError("a pack has no answers: the input was not read alike twice")
-            met = sum(np.frombuffer(pa.decompress(x, len(sizes) * 4, "zstd", asbytes=True), np.uint32).astype(np.int64) for x in r["answers"] or [])
-            keep = np.flatnonzero((sizes > 0) & (met >= need(sizes, percent))).tolist()
-            yield pa.RecordBatch.from_pylist([{"k1": r["k1"][i], "k2": r["k2"][i], "c": r["classes"][i], "n": r["sizes"][i]} for i in keep], CANDIDATES)
-
-    return map_arrow(packs.select("pack", "k1", "k2", "classes", "sizes").join(got, "pack", "left"), "k1 long, k2 long, c long, n int", one)
+            sizes, met = np.array(r["sizes"]), np.array(r["known"], np.int64)
+            for x in r["answers"] or []:
+                met = met + counting.unpacked(x, len(sizes))
+            may = (sizes > 0) & (met >= need(sizes, percent))
+            columns = [r["ids"], r["k1"], r["k2"], r["c1"], r["c2"], r["sizes"], may.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, JUDGED, strict=True)], schema=JUDGED)
 
+    return map_arrow(packs.join(replies, "pack", "left"), "id long, k1 long, k2 long, c1 long, c2 long, n int, may boolean", one)
 
-CANDIDATES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("c", pa.int64()), ("n", pa.int32())])
 
-
-def class_sets(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
+def class_sets(rows: DataFrame, found: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """c, n, tokens (sorted shingles) of each candidate class, once."""
-
     sent = RowMap(found.select("k1", "k2")).sent
 
     def run(batches):
@@ -180,31 +121,33 @@ def class_sets(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
                     c = class_key(s)
                     if len(s) and c not in seen:
                         seen.add(c)
-                        out.append({"c": c, "n": len(s), "tokens": s.tobytes()})
+                        out.append({"c1": c[0], "c2": c[1], "n": len(s), "tokens": s.tobytes()})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, SETS)
 
-    sets = rows.select("text", bit_of().alias("__bit")).mapInArrow(run, "c long, n int, tokens binary")
-    return sets.join(found.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = rows.select("text", bit_of().alias("__bit")).mapInArrow(run, "c1 long, c2 long, n int, tokens binary")
+    return sets.join(classes, ["c1", "c2"]).groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
-SETS = pa.schema([("c", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+SETS = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
 
 
-def prefixes(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """h, c, own: the rarest shingles of each class, as many as must hold one that it shares with a linked class.
 
     own: the share of its shingles that no other class has. Shingles are ordered by count, then hash.
     """
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    buckets = counting.bucket_count(sets.sparkSession, total)
 
     def in_packs(batch: pa.RecordBatch):
         for part in passes(batch, "tokens", PACK_BYTES):
             own = [np.frombuffer(t, np.uint64) for t in part.column("tokens").to_pylist()]
-            yield part, own, pack_id(part.column("c").to_numpy(zero_copy_only=False))
+            yield part, own, counting.pack_id(part.column("c").to_numpy(zero_copy_only=False))
 
     def ask(batch: pa.RecordBatch):
         for _, own, name in in_packs(batch):
-            yield asked_batch(name, own, buckets)
+            yield counting.requests(name, len(own), counting.Keys(flat(own)[0], buckets), totals=True)
 
     def keep(batch: pa.RecordBatch):
         for part, own, name in in_packs(batch):
@@ -213,15 +156,11 @@ def prefixes(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
     def choose(batch: pa.RecordBatch):
         for r in batch.to_pylist():
             sets = [np.frombuffer(t, np.uint64) for t in r["sets"]]
-            flat = np.concatenate(sets)
-            if r["answers"] is None:
-                raise RuntimeError("a pack has no answers: the input was not read alike twice")
-            bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            met = np.empty(len(flat), np.uint32)
-            sizes = np.bincount(bucket, minlength=buckets)
-            by_bucket = dict(zip(r["buckets"], r["answers"], strict=True))
-            met[order] = np.concatenate([np.frombuffer(pa.decompress(by_bucket[b], int(sizes[b]) * 4, "zstd", asbytes=True), np.uint32) for b in np.flatnonzero(sizes).tolist()])
+            keys = counting.Keys(flat(sets)[0], buckets)
+            sizes = np.bincount(keys.bucket)
+            totals = np.concatenate([counting.unpacked(x, int(sizes[b])) for b, x in zip(r["buckets"], r["answers"], strict=True)])
+            met = np.empty(len(keys.order), np.uint32)
+            met[keys.order] = totals[keys.run]
             hs, cs, owns, stop = [], [], [], 0
             for c, s in zip(r["cs"], sets, strict=True):
                 part, stop = met[stop : stop + len(s)], stop + len(s)
@@ -236,146 +175,165 @@ def prefixes(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
             if hs:
                 yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(owns))], ["h", "c", "own"])
 
-    answers = counted(map_arrow(sets, ASKED, ask), buckets, False).groupBy("pack").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("answer").alias("answers"))
+    replies = counting.answers(map_arrow(sets, counting.ASKED, ask), "totals")
     packs = map_arrow(sets, "pack long, cs array<long>, sets array<binary>", keep)
-    return map_arrow(packs.join(answers, "pack", "left"), "h long, c long, own double", choose)
+    return map_arrow(packs.join(replies, "pack"), "h long, c long, own double", choose)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def grouped(prefix: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """meets (h, c, pivot) for shingles that prefixes of several classes hold, and members (c, n, g): the group of each.
 
+    A shingle's pivot is the class with the least share of own shingles; a group's classes have one pivot, and
+    as many groups share a pivot as its classes' shingles need.
+    """
+    pivots = prefix.groupBy("h").agg(F.min(F.struct("own", "c")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    pivots = stored(pivots.select("h", F.col("p.c").alias("pivot"), F.col("p.own").alias("rank")), "pivots")
+    meets = stored(prefix.select("h", "c").join(pivots, "h"), "meets")
+    top = meets.groupBy("c").agg(F.min(F.struct("rank", "pivot")).alias("top")).select("c", F.col("top.pivot").alias("pivot"))
+    top = stored(top.join(sets.select("c", "n"), "c"), "tops")
+    parts = stored(top.groupBy("pivot").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("m")), "sizes")
+    return meets.select("h", "c", "pivot"), stored(top.join(parts, "pivot").select("c", "n", F.xxhash64("pivot", F.pmod(F.xxhash64("c"), "m")).alias("g")), "members")
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    like = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
-    sized = pairs.join(left.drop("ta"), "a").join(right.drop("tb"), "b").where(like).select("a", "b")
 
-    def one(batch: pa.RecordBatch):
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return map_arrow(sized.join(left.drop("na"), "a").join(right.drop("nb"), "b"), "a long, b long", one)
-
-
-def group_links(x: list[dict], y: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between the members of two groups (c, label, tokens) whose labels differ; of those of one query with
-    one label the first will do. Only queries whose overlap with the other group's union reaches their bound open it."""
-    theirs = [np.frombuffer(m["tokens"], np.uint64) for m in y]
-    union = np.unique(np.concatenate(theirs))
-    labels, out = np.array([m["label"] for m in y]), []
-    sizes = np.array([len(t) for t in theirs])
-    member = np.repeat(np.arange(len(y)), sizes)
-    at = np.searchsorted(union, np.concatenate(theirs))
-    for k, m in enumerate(x):
-        q = np.frombuffer(m["tokens"], np.uint64)
+def matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each group: g, union (its sorted shingles), cs, sizes, places (of all members' shingles in the union)."""
+
+    def one(t: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        tokens = np.concatenate(own)
+        union = np.unique(tokens)
+        row = {"g": t.column("g")[0].as_py(), "union": union.tobytes(), "cs": t.column("c").to_pylist(), "sizes": [len(x) for x in own], "places": np.searchsorted(union, tokens).astype(np.uint32).tobytes()}
+        return pa.Table.from_pylist([row], MATRIX)
+
+    return members.select("c", "g").join(sets.select("c", "tokens"), "c").groupBy("g").applyInArrow(one, "g long, union binary, cs array<long>, sizes array<int>, places binary")
+
+
+MATRIX = pa.schema([("g", pa.int64()), ("union", pa.binary()), ("cs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def opened(queries: list[tuple[int, np.ndarray]], union: np.ndarray, cs: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between queries (class, sorted shingles) and a group's members, as a forest: a link of two classes that
+    links found here before already join is left out. A query whose overlap with the union is too small opens nothing."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    starts, out = np.cumsum(sizes) - sizes, []
+    for c, q in queries:
         where = np.searchsorted(union, q)
-        inside = where[(where < len(union)) & (union[np.minimum(where, len(union) - 1)] == q)]
+        inside = where[union[np.minimum(where, len(union) - 1)] == q]
         if len(inside) < need(len(q), percent):
             continue
-        mark = np.zeros(len(union), bool)
-        mark[inside] = True
-        both = np.bincount(member, weights=mark[at], minlength=len(y)).astype(np.int64)
-        hit = (100 * both >= percent * (len(q) + sizes - both)) & (labels != m["label"])
-        if same:
-            hit[: k + 1] = False
-        own = np.flatnonzero(hit)
-        for i in own[np.unique(labels[own], return_index=True)[1]].tolist():
-            out.append((m["c"], y[i]["c"]))
+        mark = np.zeros(len(union), np.int64)
+        mark[inside] = 1
+        both = np.add.reduceat(mark[places], starts)
+        for other in cs[(100 * both >= percent * (len(q) + sizes - both)) & (cs != c)].tolist():
+            a, b = find(c), find(other)
+            if a != b:
+                root[a] = b
+                out.append((c, other))
     return out
 
 
-def residual_links(prefix: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that no pivot has shown, between classes that meet in a bucket and are not of one known component
-    (node, root): within one no more links are needed."""
-    labels = known.select(F.col("node").alias("c"), F.col("root").alias("label"))
-    rows = prefix.join(pivots, "h").select("h", "c", "pivot", "rank").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    rest = stored(rows.where("c <> pivot"), "rest")
-    mixed_h = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    rest = stored(rest.join(mixed_h, "h"), "mixed")
-    main = rest.groupBy("c").agg(F.min("label").alias("label"), F.min(F.struct("rank", "pivot")).alias("top")).select("c", "label", F.col("top.pivot").alias("grp"))
-    main = main.join(sets.select("c", "n"), "c")
-    parts = main.groupBy("grp").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("m"))
-    main = stored(main.join(parts, "grp").select("c", "label", F.xxhash64("grp", F.pmod(F.xxhash64("c"), "m")).alias("g")), "groups")
-    met = rest.select("h", "c").join(main, "c").groupBy("h", "g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = met.select("h", *(F.col(x).alias(f"{x}2") for x in ("g", "lo", "hi")))
-    pairs = met.join(other, "h").where("g <= g2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("g", "g2").distinct()
-    packs = main.join(sets, "c").groupBy("g").agg(F.collect_list(F.struct("c", "label", "tokens")).alias("x"))
+def links(asked: DataFrame, members: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that queries asked (c, g) find in their groups. rows: the matrix.
 
-    def one(batch: pa.RecordBatch):
-        g, g2, x, y = (batch.column(c) for c in ("g", "g2", "x", "y"))
-        found = []
-        for i in range(batch.num_rows):
-            same = g[i].as_py() == g2[i].as_py()
-            mine, theirs = x[i].as_py(), y[i].as_py()
-            found += group_links(mine, theirs, same, percent)
-            if not same:
-                found += group_links(theirs, mine, same, percent)
-        yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    packs = stored(packs, "matrix")
-    joined = pairs.join(packs, "g").join(packs.select(F.col("g").alias("g2"), F.col("x").alias("y")), "g2")
-    return map_arrow(joined, "a long, b long", one)
-
-
-def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """near_duplicates by row: id, k1, k2 (hashes of id and text), n, c (class), component_id."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = rows.withColumns({"k1": F.xxhash64("id"), "k2": F.xxhash64("text")})
-    packs = stored(packed_sets(rows, shingle), "packs")
-    found = stored(candidates(packs, counted(packed_sets(rows, shingle, buckets), buckets, True), percent), "candidates")
-    sets = stored(class_sets(rows, found, shingle), "sets")
-    prefix = stored(prefixes(sets, buckets, percent), "prefixes")
-    pivots = prefix.groupBy("h").agg(F.min(F.struct(F.col("own"), F.col("c"))).alias("p"), F.count("*").alias("k")).where("k > 1")
-    pivots = stored(pivots.select("h", F.col("p.c").alias("pivot"), F.col("p.own").alias("rank")), "pivots")
-    pairs = stored(prefix.join(pivots, "h").where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    near = checked(pairs, sets, percent)
-    known = components(near)
-    rest = residual_links(prefix, pivots, known, sets, percent)
+    Pairs whose sizes exclude a link go first. The queries of a group are dealt out by parts of bounded size.
+    """
+    span = members.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fit = asked.join(members.select("c", "n"), "c").join(span, "g").where((F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent))
+    fit = stored(fit.select("g", "c", "n"), "asked")
+    parts = stored(fit.groupBy("g").agg(F.ceil(F.sum("n") / QUERY_SHINGLES).cast("int").alias("m")), "parts")
+    queries = fit.select("g", "c").join(parts, "g").select("g", "c", F.pmod(F.xxhash64("c"), "m").cast("int").alias("part")).join(sets.select("c", "tokens"), "c")
+    theirs = rows.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m")
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return LINKS.empty_table()
+        own = [(c, np.frombuffer(x, np.uint64)) for c, x in zip(left.column("c").to_pylist(), left.column("tokens").to_pylist(), strict=True)]
+        r = right.slice(0, 1).to_pylist()[0]
+        found = opened(own, np.frombuffer(r["union"], np.uint64), np.array(r["cs"], np.int64), np.array(r["sizes"], np.int64), np.frombuffer(r["places"], np.uint32), percent)
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=LINKS)
+
+    return queries.groupBy("g", "part").cogroup(theirs.groupBy("g", "part")).applyInArrow(pair, "a long, b long")
+
+
+def still_open(meets: DataFrame, members: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
+    """Queries (c, g) beyond those asked, where a shingle is met by classes of several known components (node, root).
+
+    At each such shingle the classes of the component that most of its classes are of ask nothing; the others ask
+    every group with the shingle that has a class of another component. So each two classes of two components meet.
+    """
+    labels = members.select("c", "g").join(known.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "g", F.coalesce("root", "c").alias("label"))
+    rows = stored(meets.select("h", "c").join(labels, "c"), "labelled")
+    several = stored(rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h"), "several")
+    rows = stored(rows.join(several, "h"), "mixed")
+    by_label = rows.groupBy("h", "label").agg(F.count("*").alias("k"))
+    most = stored(by_label.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m")).select("h", F.col("m.label").alias("most")), "most")
+    askers = rows.join(most, "h").where("label <> most").select("h", "c", "label")
+    groups = stored(rows.groupBy("h", "g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "met_groups")
+    pairs = askers.join(groups, "h").where("NOT (lo = hi AND lo = label)").select("c", "g").distinct()
+    return pairs.join(asked, ["c", "g"], "left_anti")
+
+
+def linked_rows(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates by row, for rows (id, text, k1, k2): id, k1, k2, n, c1 (of the class), component_id."""
+    spark = rows.sparkSession
+    chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    buckets = counting.bucket_count(spark, chars // 6)
+    packs = stored(packed_sets(rows, shingle, buckets, False), "packs")
+    every = stored(judged(packs, counting.answers(packed_sets(rows, shingle, buckets, True), "sets"), percent), "judged")
+    found = every.where("may")
+    classes = stored(found.select("c1", "c2").distinct().select("c1", "c2", F.monotonically_increasing_id().alias("c")), "classes")
+    sets = stored(class_sets(rows, found, classes, shingle), "sets")
+    meets, members = grouped(stored(prefixes(sets, percent), "prefixes"), sets)
+    groups = stored(matrix(members, sets), "matrix")
+    first = members.select("c", "g").unionByName(meets.select("c", F.col("pivot").alias("p")).distinct().join(members.select(F.col("c").alias("p"), "g"), "p").select("c", "g")).distinct()
+    first = stored(first, "first")
+    known = components(links(first, members, sets, groups, percent))
+    rest = links(still_open(meets, members, known, first), members, sets, groups, percent)
     roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    members = packs.select(F.explode(F.arrays_zip("ids", "k1", "k2", "classes", "sizes")).alias("m"))
-    members = members.select(F.col("m.ids").alias("id"), "m.k1", "m.k2", F.col("m.classes").alias("c"), F.col("m.sizes").alias("n"))
-    classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("c", "component_id")
-    whole = members.where("n > 0").join(named, "c").select("id", "k1", "k2", "n", "c", "component_id")
-    empty = members.where("n = 0").select("id", "k1", "k2", "n", "c", F.col("id").alias("component_id"))
-    return whole.unionByName(empty)
+    rooted = found.join(classes, ["c1", "c2"]).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = stored(rooted.select("id", "k1", "k2", "n", "c1", "root"), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    whole = rooted.join(least, "root").select("id", "k1", "k2", "n", "c1", "component_id")
+    return whole.unionByName(every.where("NOT may").select("id", "k1", "k2", "n", "c1", F.col("id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Components of texts that link: id_col, n_shingles, class_id (a hash of the set), component_id.
+    """Components of texts that link: id_col, n_shingles, class_id (64 bits of a hash of the set), component_id.
 
     Two texts link if 100 times their common shingles are at least percent times those of either. The id
     of a component is the least id of its rows. Texts without words (null, empty) link with nothing. Rows with
     a null id take part and have the component of their text, null if none of its rows has an id; repeated
     rows stay. Ids are whole numbers; other columns are not read; a table without rows gives none.
     """
-    rows = linked_rows(docs, id_col, text_col, shingle, percent)
-    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = keyed(own, "id", "text").select("k1", "k2", "row.id", F.coalesce("row.text", F.lit("")).alias("text"))
+    found = linked_rows(rows, shingle, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c1").alias("class_id"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns as they are, but only those with the least id of each component.
+    """The rows of docs, all columns as they are, whatever their names, but only those with the least id of each component.
 
-    Of rows that repeat that id and text one stays. Texts without words stay. Texts move only where a bitmap of
-    fixed size says that their row may go.
+    Of rows that repeat that id and text one stays. Texts without words stay, as do all texts of a component without
+    any id. Texts move only where a bitmap of fixed size says that their row may go.
     """
-    rows = linked_rows(docs, id_col, text_col, shingle, percent).where("n > 0")
+    whole = keyed(docs, id_col, text_col)
+    rows = whole.select("k1", "k2", F.col("row").getField(id_col).cast("long").alias("id"), F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
+    rows = linked_rows(rows, shingle, percent).where("n > 0")
     goes = rows.where("NOT (id <=> component_id)").select("k1", "k2").distinct()
     again = rows.where("id <=> component_id").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     found = stored(goes.withColumn("goes", F.lit(True)).unionByName(again.withColumn("goes", F.lit(False))), "goes")
-    keyed = docs.withColumns({"k1": F.xxhash64(docs[id_col].cast("long")), "k2": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
-    stay, some = RowMap(found.select("k1", "k2")).split(keyed)
-    stay = stay.select(docs.columns)
-    judged = some.join(found, ["k1", "k2"], "left").where("NOT coalesce(goes, false)")
-    single = judged.where("goes IS NULL").select(docs.columns)
-    return stay.unionByName(single).unionByName(judged.where("goes IS NOT NULL").dropDuplicates(["k1", "k2"]).select(docs.columns))
+    stay, some = RowMap(found.select("k1", "k2")).split(whole)
+    left = some.join(found, ["k1", "k2"], "left").where("NOT coalesce(goes, false)")
+    single = left.where("goes IS NULL").select("row.*")
+    return stay.select("row.*").unionByName(single).unionByName(left.where("goes IS NOT NULL").dropDuplicates(["k1", "k2"]).select("row.*"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

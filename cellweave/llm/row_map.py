@@ -17,6 +17,15 @@ def bit_of() -> Column:
     return F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << MAP_BITS))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2 (hashes of id and text) and row, all of docs' columns: their names cannot clash with the keys'.
+
+    Rows that share both have equal ids and texts, and so equal results.
+    """
+    keys = (F.xxhash64(docs[id_col].cast("string")), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    return docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
 class RowMap:
     """Whether a row (k1, k2) may be among found; no row of found is missed, joins decide."""
 

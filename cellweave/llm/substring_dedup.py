@@ -5,6 +5,10 @@ the length up to it. At a level each window is stood for by that shorter window
 equal windows are stood for by equal ones. Only windows whose stand-in is met at least twice in the corpus
 go on to the next level, where windows are twice as long; at the last the windows themselves are counted.
 Levels below the last count about 7 and 10 of 100 positions, and each reads only what the one before left.
+
+Hashes are counted by packs (counting.py): no hash, however hot, is a group of rows. Below the last level a hash
+that two windows share by chance lets one through that the next level stops; at the last, two hashes of 64 bits
+each say that windows are equal.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import counting
+from .bpe import numbered
 from .common import map_arrow, passes, stored, table
-from .row_map import RowMap, bit_of, hits
-from .words import grams, raw_texts, widened, word_hashes
+from .row_map import RowMap, bit_of, hits, keyed
+from .words import GOLD, grams, mixed, raw_texts, widened, word_hashes, word_starts
 
 WINDOW = 35
 #: Windows that one pass of the stand-in search works on.
 STEP = 1 << 22
-MARKS = "k1 long, k2 long, pos int, h long"
+#: Text bytes of a pack.
+PACK_BYTES = 2 << 20
 
 
 def levels(window: int) -> list[int]:
@@ -67,37 +74,93 @@ def whole_windows(counts: np.ndarray, window: int) -> np.ndarray:
     return owner[:n] == owner[window - 1 :] if n else np.zeros(0, bool)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and a key of two hashes: rows that share it have equal texts, and so equal results."""
-    d = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return d.withColumns({"k1": F.xxhash64("id"), "k2": F.xxhash64("text")})
+def marks(words: np.ndarray, counts: np.ndarray, lengths: list[int], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """What stands for the windows of texts laid end to end (word hashes, words of each): positions of the marks, their
+    hashes, a second hash at the last level alone, and for each window its mark (-1 where it spans two texts)."""
+    window, none = lengths[-1], np.zeros(0, np.int64)
+    whole = whole_windows(counts, window)
+    h = hashes_at(words, lengths[: level + 1])
+    if level == len(lengths) - 1:
+        own = np.flatnonzero(whole)
+        second = hashes_at(mixed(words ^ GOLD), lengths)[own] if len(own) else none.astype(np.uint64)
+        return own, h[own], second, np.where(whole, np.arange(len(whole)), -1)
+    stand = np.where(whole, stand_ins(h, window - lengths[level] + 1), -1) if len(whole) else none
+    own = np.unique(stand)
+    own = own[own >= 0]
+    return own, h[own], None, stand
 
 
-def repeated(marks: DataFrame) -> DataFrame:
-    """Positions, by key, of the marks whose hash is met at least twice. Hot hashes are summed before they
-    move, and the join's large partitions are split by adaptive execution."""
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return marks.join(twice, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+PACKS = "pack long, k1 array<long>, k2 array<long>, row binary, pos binary, known int, sizes binary, buckets array<int>, asked array<int>, keys array<binary>"
+TEXTS = "pack long, k1 array<long>, k2 array<long>, start array<int>, text array<string>, n long"
+FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.list_(pa.int32()))])
 
 
-def first_marks(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The stand-ins at the first level of all windows of all texts."""
-    window = lengths[-1]
+def first_packs(rows: DataFrame, lengths: list[int], buckets: int) -> DataFrame:
+    """The marks of the first level by packs: the row and position of each, and what is asked."""
+    wide = len(lengths) == 1
 
     def one(batch: pa.RecordBatch):
-        for part in passes(batch, "text"):
+        for part in passes(batch, "text", PACK_BYTES):
             raw, ends = raw_texts(part.column("text"))
             words, counts = word_hashes(raw, ends)
-            if len(words) < window:
+            own, h, second, _ = marks(words, counts, lengths, 0)
+            if not len(own):
                 continue
-            h = grams(words, lengths[0])
-            own = np.unique(stand_ins(h, window - lengths[0] + 1)[whole_windows(counts, window)])
+            keys = counting.Keys(h, buckets, second if wide else None)
+            singles = keys.singles()
+            at = own[np.concatenate([singles, keys.others()])]
             stops = np.cumsum(counts)
-            row = np.searchsorted(stops, own, side="right")
-            k1, k2 = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k1", "k2"))
-            yield pa.record_batch([pa.array(k1), pa.array(k2), pa.array((own - (stops - counts)[row]).astype(np.int32)), pa.array(h[own].view(np.int64))], ["k1", "k2", "pos", "h"])
+            row = np.searchsorted(stops, at, side="right")
+            k1, k2 = (part.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            pack = counting.pack_id(k1, k2)
+            asked = counting.requests(pack, 0, keys)
+            yield pa.RecordBatch.from_pylist(
+                [
+                    {
+                        "pack": pack, "k1": k1.tolist(), "k2": k2.tolist(), "row": row.astype(np.int32).tobytes(), "pos": (at - (stops - counts)[row]).astype(np.int32).tobytes(),
+                        "known": len(at) - len(singles), "sizes": np.bincount(keys.bucket[keys.times == 1], minlength=1).astype(np.int32).tobytes(),
+                        "buckets": asked.column("bucket").to_pylist(), "asked": asked.column("asked").to_pylist(), "keys": asked.column("keys").to_pylist(),
+                    }
+                ],
+                FIRST,
+            )
+
+    return map_arrow(rows, PACKS, one)
+
+
+FIRST = pa.schema(
+    [("pack", pa.int64()), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64())), ("row", pa.binary()), ("pos", pa.binary()), ("known", pa.int32()), ("sizes", pa.binary())]
+    + [("buckets", pa.list_(pa.int32())), ("asked", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary()))]
+)
+
+
+def first_found(packs: DataFrame, wide: bool) -> DataFrame:
+    """k1, k2, at: the positions of the first level's marks that are met at least twice."""
+    none = F.lit(None).cast("binary")
+    each = packs.select("pack", F.explode(F.arrays_zip("buckets", "asked", "keys")).alias("x"))
+    asked = each.select("pack", F.lit(0).alias("size"), F.col("x.buckets").alias("bucket"), "x.asked", "x.keys", none.alias("counts"), none.alias("times"))
+    replies = counting.answers(asked, "bits", wide)
+
+    def one(batch: pa.RecordBatch):
+        for r in batch.to_pylist():
+            known = counting.bits_in_order(np.frombuffer(r["sizes"], np.int32), r["got"] or [], r["answers"] or [])
+            met = np.r_[known, np.ones(r["known"], bool)]
+            yield by_row(r["k1"], r["k2"], np.frombuffer(r["row"], np.int32)[met], np.frombuffer(r["pos"], np.int32)[met])
+
+    joined = packs.select("pack", "k1", "k2", "row", "pos", "known", "sizes").join(replies.withColumnRenamed("buckets", "got"), "pack", "left")
+    return map_arrow(joined, "k1 long, k2 long, at array<int>", one).dropDuplicates(["k1", "k2"])
 
-    return map_arrow(rows, MARKS, one)
+
+def by_row(k1: list[int], k2: list[int], row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """FOUND rows of the marks (row, pos)."""
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    again = np.r_[False, (row[1:] == row[:-1]) & (pos[1:] == pos[:-1])] if len(row) else np.zeros(0, bool)
+    row, pos = row[~again], pos[~again]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    at = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(pos, pa.int32()))
+    own = row[starts].tolist()
+    return pa.record_batch([pa.array([k1[i] for i in own], pa.int64()), pa.array([k2[i] for i in own], pa.int64()), at], schema=FOUND)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,76 +168,110 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def cut_out(k1: list, k2: list, start: list, raw: np.ndarray, ends: np.ndarray, counts: np.ndarray, left: np.ndarray, window: int):
+    """A pack of the stretches in which windows are left: (key, first word in the document, text) of each.
+
+    start: the word at which each text begins in its document; left: the windows that are left of the texts end to end.
+    """
+    a, b = runs(left)
+    if not len(a):
+        return None
+    first, stops = word_starts(raw, ends), np.cumsum(counts)
+    row = np.searchsorted(stops, a, side="right")
+    last = b + window - 2
+    text_ends = ends[row]
+    after = np.minimum(last + 1, len(first) - 1)
+    stop = np.where(last + 1 < stops[row], first[after], text_ends)
+    blob = raw.tobytes()
+    texts = [blob[i:j].decode() for i, j in zip(first[a].tolist(), stop.tolist(), strict=True)]
+    begin = np.array(start)[row] + a - (stops - counts)[row]
+    own = row.tolist()
+    k1, k2 = [k1[i] for i in own], [k2[i] for i in own]
+    pack = counting.pack_id(np.array(k1), np.array(k2), begin)
+    return pa.RecordBatch.from_pylist([{"pack": pack, "k1": k1, "k2": k2, "start": begin.tolist(), "text": texts, "n": int((last + 1 - a).sum())}], STRETCHES)
+
+
+STRETCHES = pa.schema([("pack", pa.int64()), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64())), ("start", pa.list_(pa.int32())), ("text", pa.list_(pa.string())), ("n", pa.int64())])
+
+
 def stretches(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
-    """The word hashes of each stretch of surviving windows: k1, k2, start, words."""
-    window = lengths[-1]
+    """Packs of the stretches of windows that the first level leaves: TEXTS."""
 
     def one(batch: pa.RecordBatch):
-        for part in passes(batch, "text"):
-            out = []
-            k1, k2, at = (part.column(c).to_pylist() for c in ("k1", "k2", "at"))
+        for part in passes(batch, "text", PACK_BYTES):
             raw, ends = raw_texts(part.column("text"))
             words, counts = word_hashes(raw, ends)
-            stop = 0
-            for i, n in enumerate(counts.tolist()):
-                own, stop = words[stop : stop + n], stop + n
-                if n < window:
-                    continue
-                left = np.isin(stand_ins(grams(own, lengths[0]), window - lengths[0] + 1), np.array(at[i]))
-                for a, b in zip(*runs(left), strict=True):
-                    out.append((k1[i], k2[i], int(a), own[a : b + window - 1].tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("k1", "k2", "start", "words"), x, strict=True)) for x in out], STRETCH)
+            at = part.column("at")
+            met = np.zeros(len(words) + 1, bool)
+            met[np.repeat(np.cumsum(counts) - counts, np.diff(at.offsets.to_numpy())) + at.flatten().to_numpy()] = True
+            stand = marks(words, counts, lengths, 0)[3]
+            pack = cut_out(part.column("k1").to_pylist(), part.column("k2").to_pylist(), [0] * len(counts), raw, ends, counts, (stand >= 0) & met[stand], lengths[-1])
+            if pack is not None:
+                yield pack
 
-    joined = RowMap(found).part(rows.select("k1", "k2", "text"), True).join(found, ["k1", "k2"])
-    return map_arrow(joined, "k1 long, k2 long, start int, words binary", one)
+    joined = RowMap(found).part(rows, True).join(found, ["k1", "k2"]).select("k1", "k2", "text", "at")
+    return map_arrow(joined, TEXTS, one)
 
 
-STRETCH = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+def of_pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw, ends = raw_texts(pa.array(texts, pa.string()))
+    return (raw, ends, *word_hashes(raw, ends))
 
 
-def stretch_marks(parts: DataFrame, lengths: list[int], level: int) -> DataFrame:
-    """The stand-ins, at a level, of the windows of stretches; the last level marks the windows themselves.
+def asked_by(packs: DataFrame, lengths: list[int], level: int, buckets: int) -> DataFrame:
+    def one(batch: pa.RecordBatch):
+        for pack, texts in zip(batch.column("pack").to_pylist(), batch.column("text"), strict=True):
+            _, h, second, _ = marks(*of_pack(texts.as_py())[2:], lengths, level)
+            yield counting.requests(pack, 0, counting.Keys(h, buckets, second))
+
+    return map_arrow(packs.select("pack", "text"), counting.ASKED, one)
 
-    Where parts has positions (at), only windows whose stand-in at the level before is among them count.
-    """
-    window = lengths[-1]
-    narrowed = "at" in parts.columns
+
+def left_of(packs: DataFrame, lengths: list[int], level: int, buckets: int) -> DataFrame:
+    """Packs of the stretches of windows that a level leaves; at the last level the windows: k1, k2, at."""
+    window, last = lengths[-1], level == len(lengths) - 1
+    replies = counting.answers(asked_by(packs, lengths, level, buckets), "bits", last)
 
     def one(batch: pa.RecordBatch):
-        for part in passes(batch, "words"):
-            at = part.column("at").to_pylist() if narrowed else None
-            k1, k2, start, raw = (part.column(c).to_pylist() for c in ("k1", "k2", "start", "words"))
-            rows, pos, hashes = [], [], []
-            for i, text in enumerate(raw):
-                words = np.frombuffer(text, np.uint64)
-                h = hashes_at(words, lengths[: level + 1])
-                if narrowed:
-                    before = hashes_at(words, lengths[:level])
-                    own = np.flatnonzero(np.isin(stand_ins(before, window - lengths[level - 1] + 1) + start[i], np.array(at[i])))
-                    own = own if level == len(lengths) - 1 else np.unique(stand_ins(h, window - lengths[level] + 1)[own])
-                else:
-                    own = np.unique(stand_ins(h, window - lengths[level] + 1))
-                rows.append(np.full(len(own), i))
-                pos.append(own + start[i])
-                hashes.append(h[own])
-            row = np.concatenate(rows)
-            yield pa.record_batch([pa.array(np.array(k1)[row]), pa.array(np.array(k2)[row]), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["k1", "k2", "pos", "h"])
-
-    return map_arrow(parts, MARKS, one)
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in ("k1", "k2", "start", "text", "buckets", "answers")}
+            raw, ends, words, counts = of_pack(r["text"])
+            own, h, second, stand = marks(words, counts, lengths, level)
+            keys = counting.Keys(h, buckets, second)
+            met = np.zeros(len(words) + 1, bool)
+            met[own[keys.others()]] = True
+            met[own[keys.singles()[counting.bits_of(keys, r["buckets"] or [], r["answers"] or [])]]] = True
+            if last:
+                at = np.flatnonzero(met)
+                stops = np.cumsum(counts)
+                row = np.searchsorted(stops, at, side="right")
+                pos = np.array(r["start"])[row] + at - (stops - counts)[row]
+                own, of = numbered(list(zip(r["k1"], r["k2"], strict=True)))  # a document may have several stretches
+                yield by_row([a for a, _ in own], [b for _, b in own], of[row], pos)
+            else:
+                pack = cut_out(r["k1"], r["k2"], r["start"], raw, ends, counts, (stand >= 0) & met[stand], window)
+                if pack is not None:
+                    yield pack
+
+    joined = packs.select("pack", "k1", "k2", "start", "text").join(replies, "pack", "left")
+    return map_arrow(joined, "k1 long, k2 long, at array<int>" if last else TEXTS, one)
 
 
 def repeats(rows: DataFrame, window: int) -> DataFrame:
-    """Where repeated windows start, by key: k1, k2, at (sorted positions)."""
-    lengths = levels(window)
-    found = stored(repeated(first_marks(rows, lengths)), "level0")
-    parts = stored(stretches(rows, found, lengths), "stretches")
+    """Where repeated windows of rows (k1, k2, text) start, by key: k1, k2, at (positions)."""
+    spark, lengths = rows.sparkSession, levels(window)
+    chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    packs = stored(first_packs(rows, lengths, counting.bucket_count(spark, chars // 80)), "marks")
+    found = stored(first_found(packs, len(lengths) == 1), "level0")
+    if len(lengths) == 1:
+        return found
+    packs = stored(stretches(rows, found, lengths), "stretches")
     for level in range(1, len(lengths)):
-        if level == 1:
-            marks = stretch_marks(parts, lengths, level)
-        else:
-            marks = stored(stretch_marks(parts.join(found, ["k1", "k2"]), lengths, level), f"marks{level}")
-        found = stored(repeated(marks), f"level{level}")
-    return found
+        last = level == len(lengths) - 1
+        n = packs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        left = left_of(packs, lengths, level, counting.bucket_count(spark, n if last else n // 8))
+        packs = stored(left.dropDuplicates(["k1", "k2"]) if last else left, f"level{level}")
+    return packs
 
 
 def kept_words(batch: pa.RecordBatch, window: int):
@@ -200,8 +297,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay, row by row; other columns are not read; a table without rows gives none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = keyed(docs, id_col, text_col)
-    found = repeats(rows, window)
+    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = keyed(own, "id", "text").select("k1", "k2", "row.id", "row.text")
+    found = repeats(rows.select("k1", "k2", "text"), window)
     last = "kept_sha256" if digests else "kept"
     schema = f"id {kind}, n_words long, n_removed long, {last} string"
 
@@ -231,25 +329,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """The rows of docs with repeated windows cut from their texts; cases as for remove_repeats.
 
-    A text that loses words becomes the rest, joined by one space, and size_col its code points; all other rows
-    and columns stay as they are.
+    A text that loses words becomes the rest, joined by one space, and size_col, where docs has it, its code points; all
+    other rows and columns, whatever their names, stay as they are.
     """
-    rows = docs.withColumns({"k1": F.xxhash64(docs[id_col]), "k2": F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
-    found = repeats(keyed(docs, id_col, text_col), window)
+    rows = keyed(docs, id_col, text_col)
+    found = repeats(rows.select("k1", "k2", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text")), window)
     columns = docs.columns
 
     def cut(batch: pa.RecordBatch):
-        own = batch.rename_columns(["text" if c == text_col else c for c in batch.schema.names])
-        for part in passes(own, "text"):
+        for part in passes(batch, "text"):
             texts = pa.array([b" ".join(left).decode() for _, left in kept_words(part, window)], pa.string())
-            yield pa.record_batch([texts if c == text_col else part.column(i) for i, c in enumerate(columns)], columns)
+            own = dict(zip(columns, part.column("row").flatten(), strict=True)) | {text_col: texts}
+            if size_col in own:
+                own[size_col] = pa.array([len(t) for t in texts.to_pylist()]).cast(own[size_col].type)
+            yield pa.record_batch([own[c] for c in columns], columns)
 
     whole, some = RowMap(found).split(rows)
-    whole = whole.select(docs.columns)
     joined = some.join(found, ["k1", "k2"], "left")
-    same = joined.where("at IS NULL").select(docs.columns)
-    less = map_arrow(joined.where("at IS NOT NULL").select(*docs.columns, "at"), docs.schema, cut)
-    return whole.unionByName(same).unionByName(less.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)))
+    same = joined.where("at IS NULL").select("row.*")
+    less = joined.where("at IS NOT NULL").select("row", F.col("row").getField(text_col).alias("text"), "at")
+    return whole.select("row.*").unionByName(same).unionByName(map_arrow(less, docs.schema, cut))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

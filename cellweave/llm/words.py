@@ -50,18 +50,23 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at[1:] - at[0]
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, in order, and the number of words in each text."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    table = letters(fold)
+def word_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where in raw each word begins; a word ends with its text."""
     inside = letters(False)[raw] != 0
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     firsts = np.r_[0, ends[:-1]]
     firsts = firsts[firsts < len(raw)]
     start[firsts] = inside[firsts]
-    starts = np.flatnonzero(start)
+    return np.flatnonzero(start)
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, in order, and the number of words in each text."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    table = letters(fold)
+    starts = word_starts(raw, ends)
     per_text = np.diff(np.r_[0, np.searchsorted(starts, ends)])
     if not len(starts):
         return np.zeros(0, np.uint64), per_text
