@@ -16,7 +16,7 @@ __all__ = ["PASS_BYTES", "Kept", "map_arrow", "passes", "release", "shared_dir",
 #: Text bytes that one numpy pass of a kernel works on; longer texts are passes of their own.
 PASS_BYTES = 1 << 20
 #: What a task keeps of words met before, in bytes (with about ENTRY for each word's objects), and letters of the longest.
-KEPT_BYTES = 12 << 20
+KEPT_BYTES = 24 << 20
 ENTRY = 180
 KEPT_LETTERS = 48
 
@@ -26,26 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Kept:
-    """Results by word that a task keeps from part to part, KEPT_BYTES of them at most; long words are not kept."""
+    """Results by word that a task keeps from part to part, about KEPT_BYTES of them at most; long words are not kept.
+
+    Two generations: when the young one has half of that, it takes the place of the old one.
+    """
 
     def __init__(self) -> None:
-        self.known: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
         self.held = 0
 
     def of(self, words: set[str], compute: Callable[[list[str]], list]) -> dict:
         """The result of each of words, by compute where it is not known."""
-        out = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in out]
+        out = {w: self.young[w] for w in words if w in self.young}
+        again = {w: self.old[w] for w in words if w not in out and w in self.old}
+        new = [w for w in words if w not in out and w not in again]
         found = dict(zip(new, compute(new), strict=True)) if new else {}
-        out.update(found)
-        short = {w: x for w, x in found.items() if len(w) <= KEPT_LETTERS}
-        more = sum(ENTRY + len(w) + (len(x) if isinstance(x, bytes) else 0) for w, x in short.items())
-        if self.held + more > KEPT_BYTES:
-            self.known, self.held = {}, 0
-        if more <= KEPT_BYTES:
-            self.known.update(short)
+        keep = again | {w: x for w, x in found.items() if len(w) <= KEPT_LETTERS}
+        more = sum(ENTRY + len(w) + (len(x) if isinstance(x, bytes) else 0) for w, x in keep.items())
+        if self.held + more > KEPT_BYTES // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        if more <= KEPT_BYTES // 2:
+            self.young.update(keep)
             self.held += more
-        return out
+        return out | again | found
 
 
 def map_arrow(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], **options) -> DataFrame:

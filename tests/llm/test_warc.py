@@ -8,10 +8,14 @@ from cellweave.llm import warc
 NASTY = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb\r\n\r\n"
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_round_trip(spark, tmp_path, monkeypatch, piece):
     rows = [(3, "u3", "x"), (1, "u1", "x"), (2, None, None), (4, "u4", ""), (5, "u\r\n5", NASTY), (6, "u6", "é" * 70000), (7, "u7", NASTY), (None, "u8", "x"), (1, "u1", "x")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_archives(df, f"file://{tmp_path}/a")
+    monkeypatch.setattr(warc, "PIECE_BYTES", piece)
+    odd = "page_id long, url string, html string, id string, payload int, digest string, key string, size string, http int"
+    df = spark.createDataFrame([(*x, "x", 1, "x", "x", "x", 1) for x in rows], odd)
+    warc.write_archives(df, f"file://{tmp_path}/a", file_bytes=60_000)
+    assert len(list((tmp_path / "a").glob("*.gz"))) > 1
     got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload) for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect())
     want = []
     for i, _, h in rows:
@@ -34,3 +38,14 @@ def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(df, f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_several_members_and_broken_archives():
+    import gzip
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    raw = gzip.compress(record) + gzip.compress(record * 2)
+    assert [b for _, b in warc.cut_records(warc.unpacked(memoryview(raw)))] == [b"abc"] * 3
+    for bad in (record[:-8], b"x" + record, b"WARC/1.1\r\nx"):
+        with pytest.raises(ValueError):
+            list(warc.cut_records(iter([bad])))
