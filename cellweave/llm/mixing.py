@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern, the set of sources that they bel
 words once, twice, ... up to REPEATS times, and each repetition costs more than the one before, so the flow to
 the sources' quotas repeats as little as it can. The flow of a pattern is then met by documents, drawn by a seeded
 hash: all of them as often as the flow fills whole rounds, and, up to the rest, once more those that in order of
-the hash fit what is left.
+the hash fit what is left. Rows that repeat an id and a text have one hash; as many of them are drawn as fit.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ NEXT, NEXT_OF_ALL = 1000, 200_000
 MANY_PICKS = 1_000_000
 
 
-def n_words(text: str = "text") -> Column:
+def n_words(text: str | Column = "text") -> Column:
     """Words of a text, runs of other than white space (20, 09 to 0D); null has none."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]+", "x")
     return F.length(F.translate(marked, " \t\n\x0b\f\r", "")).cast("long")
@@ -63,6 +63,11 @@ def min_cost_flow(patterns: list[tuple[frozenset, int]], demand: dict, repeats:
     for i, (p, _) in enumerate(patterns):
         for s in p:
             users[s].append(i)
+    for s, own in users.items():  # a source that shares no document with another has one way
+        if len(own) == 1 and len(patterns[own[0]][0]) == 1:
+            i = own[0]
+            sent[i] = flow[i][s] = min(left[s], float(repeats * patterns[i][1]))
+            left[s] = 0.0
     tiny = 1e-9 * max(1.0, sum(demand.values()))
 
     def price(i: int) -> float | None:
@@ -122,10 +127,16 @@ def min_cost_flow(patterns: list[tuple[frozenset, int]], demand: dict, repeats:
         left[path[0][1]] -= amount
 
 
-def with_pattern(docs: DataFrame, sources: Column, text_col: str) -> DataFrame:
-    """docs with size, pattern (its sources, sorted, as text) and a seeded hash of the row."""
+#: The columns that mix adds.
+OWN = ("__size", "__pattern", "__times", "__source_size", "__target")
+
+
+def with_pattern(docs: DataFrame, sources: Column, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """row (all columns of docs, a struct: no name clashes), __size, __pattern (its sources, sorted, as text) and __u, a
+    seeded hash of id and text."""
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
-    return docs.withColumns({"__size": n_words(text_col), "__pattern": pattern})
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return docs.select(row.alias("row"), n_words(docs[text_col]).alias("__size"), pattern.alias("__pattern"), F.xxhash64(F.lit(seed), docs[id_col], docs[text_col]).alias("__u"))
 
 
 def plan(slim: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> dict:
@@ -142,10 +153,10 @@ def plan(slim: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> d
 
 
 def fitting(slices: DataFrame, ends: list[tuple]) -> list[tuple]:
-    """pattern, __u of the rows beyond each pattern's prefix that in hash order fit what is left of its words.
+    """pattern, __u and number of the rows beyond each pattern's prefix that in hash order fit what is left of its words.
 
-    ends: pattern, slice and __u where its prefix stops (null: before the slice) and words left, fewer than one row has.
-    Each turn brings the next rows that are no longer than what is left, until a pattern has none.
+    ends: pattern, slice and __u where its prefix stops (null: before the slice) and words left. Each turn brings the next
+    rows that are no longer than what is left, until a pattern has none.
     """
     picked, spark = [], slices.sparkSession
     ends = [x for x in ends if x[3] >= 1]
@@ -153,23 +164,36 @@ def fitting(slices: DataFrame, ends: list[tuple]) -> list[tuple]:
         n = max(1, min(NEXT, NEXT_OF_ALL // len(ends)))
         at = spark.createDataFrame(ends, "__pattern string, __edge long, __last long, __left double")
         beyond = (F.col("__slice") > F.col("__edge")) | ((F.col("__slice") == F.col("__edge")) & (F.col("__last").isNull() | (F.col("__u") > F.col("__last"))))
-        words = F.col("__size") * F.col("__k")
-        rest = slices.join(F.broadcast(at) if len(ends) <= FEW_PATTERNS else at, "__pattern").where(beyond & (words > 0) & (words <= F.col("__left")))
+        rest = slices.join(F.broadcast(at) if len(ends) <= FEW_PATTERNS else at, "__pattern").where(beyond & (F.col("__size") > 0) & (F.col("__size") <= F.col("__left")))
         order = Window.partitionBy("__pattern").orderBy("__slice", "__u", "__size")
-        found = rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("__pattern", "n", "__slice", "__u", words.alias("words")).collect()
+        found = rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("__pattern", "n", "__slice", "__u", "__size", "__k").collect()
         by: dict = {}
         for x in sorted(found, key=lambda x: x.n):
             by.setdefault(x["__pattern"], []).append(x)
         left = {p: rest for p, _, _, rest in ends}
         for p, own in by.items():
             for x in own:
-                if x.words <= left[p]:
-                    picked.append((p, x["__u"]))
-                    left[p] -= x.words
+                if k := min(x["__k"], int(left[p] // x["__size"])):
+                    picked.append((p, x["__u"], k))
+                    left[p] -= k * x["__size"]
         ends = [(p, own[-1]["__slice"], own[-1]["__u"], left[p]) for p, own in by.items() if len(own) == n and left[p] >= 1]
     return picked
 
 
+def numbered_ties(rows: DataFrame) -> DataFrame:
+    """rows with __nth, from 0, among those of one __pattern and __u, in some order: such rows have equal ids and texts.
+
+    Rows are numbered within each part of the input, after all those of the parts before it, so no task gets all ties.
+    Both passes read the input, so that it must be read alike twice.
+    """
+    parts = rows.withColumn("__part", F.spark_partition_id())
+    sums = parts.groupBy("__pattern", "__u", "__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__pattern", "__u").orderBy("__part")) - F.col("n")
+    sums = sums.select("__pattern", "__u", "__part", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__pattern", "__u", "__part").orderBy(F.lit(0))) - 1
+    return parts.withColumn("__nth", nth).join(sums, ["__pattern", "__u", "__part"]).withColumn("__nth", F.col("__nth") + F.col("__before")).drop("__part", "__before")
+
+
 def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """docs with __size, __pattern, __times (how often the mix takes the row) and __source_size, __target (sums
     over the row's sources). sources: an array of the row's sources; by default the column source alone.
@@ -177,19 +201,29 @@ def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id",
     Every row is taken whole, as often as its pattern's flow has whole rounds, and once more if, in order of a hash of
     seed, id and text, it fits what the rows before it leave of the flow; one that does not is passed over. So
     reruns agree, no row is taken more than repeats times, and no row without an extra time would fit
-    what a pattern's words fall short of its flow by (repeated rows are drawn together).
-    A null source is a source, last in order; null and empty texts have size 0 and are taken 0 times; repeated
-    rows tie and are ordered as they come within one class, which changes no sum. Without rows, none.
+    what a pattern's words fall short of its flow by. Rows that repeat an id and a text tie: as many of them as fit
+    have an extra time, whichever they are.
+    A null source is a source, last in order; null and empty texts have size 0 and are taken 0 times.
+    Columns of docs with one of the five names give way to them (mixture keeps them). Without rows, none.
+
+    The driver holds one sum for each pattern: sources and their combinations, not documents.
     """
-    rows = with_pattern(docs, F.array("source") if sources is None else sources, text_col)
-    rows = rows.withColumn("__u", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    mixed = mixed_rows(docs, F.array(docs["source"]) if sources is None else sources, id_col, text_col, weights, repeats, seed)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in OWN]
+    return mixed.select(*kept, *OWN)
+
+
+def mixed_rows(docs: DataFrame, sources: Column, id_col: str, text_col: str, weights: tuple, repeats: int, seed: int) -> DataFrame:
+    """row (a struct of all columns of docs) and the columns of mix."""
+    rows = with_pattern(docs, sources, id_col, text_col, seed)
     slim = stored(rows.groupBy("__pattern", "__u", "__size").agg(F.count("*").alias("__k")), "sizes")
     chosen = plan(slim, weights, repeats)
     spark = docs.sparkSession
     told = [(p, int(x["take"] // x["size"]) if x["size"] else 0, x["take"] - x["size"] * (x["take"] // x["size"]) if x["size"] else 0.0, sum(x["sizes"].values()), sum(x["targets"].values())) for p, x in chosen.items()]
     told = [(p, r if r < repeats else repeats, e if r < repeats else 0.0, s, t) for p, r, e, s, t in told]
     plan_df = spark.createDataFrame(told, "__pattern string, __rounds int, __extra double, __source_size long, __target double")
-    slices = slim.withColumn("__slice", F.pmod(F.shiftrightunsigned("__u", 20), F.lit(SLICES)))
+    slice_ = F.pmod(F.shiftrightunsigned("__u", 20), F.lit(SLICES))
+    slices = slim.withColumn("__slice", slice_)
     sums = slices.groupBy("__pattern", "__slice").agg(F.sum(F.col("__size") * F.col("__k")).alias("n"))
     order = Window.partitionBy("__pattern").orderBy("__slice")
     sums = sums.withColumn("before", F.sum("n").over(order) - F.col("n")).join(plan_df.select("__pattern", "__extra"), "__pattern")
@@ -203,18 +237,23 @@ def mix(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id",
     bounds = plan_df.join(edges, "__pattern", "left")
     joined = rows.join(F.broadcast(bounds) if len(told) <= FEW_PATTERNS else bounds, "__pattern")
     picked = fitting(slices, ends)
-    few = spark.createDataFrame(picked, "__pattern string, __u long").withColumn("__fits", F.lit(1))
+    few = spark.createDataFrame(picked, "__pattern string, __u long, __fits long")
     joined = joined.join(F.broadcast(few) if len(picked) <= MANY_PICKS else few, ["__pattern", "__u"], "left")
-    slice_ = F.pmod(F.shiftrightunsigned("__u", 20), F.lit(SLICES))
-    more = F.when(F.col("__extra") <= 0, 0).when(F.col("__edge").isNull() | (slice_ < F.col("__edge")), 1).when((slice_ == F.col("__edge")) & (F.col("__u") <= F.col("__last")), 1).otherwise(F.coalesce("__fits", F.lit(0)))
+    tied = slim.where("__k > 1").join(few.withColumnRenamed("__fits", "__some"), ["__pattern", "__u"]).where("__some < __k").select("__pattern", "__u").collect()
+    if tied:  # groups of repeated rows of which a part fits
+        some = F.broadcast(spark.createDataFrame([tuple(x) for x in tied], "__pattern string, __u long"))
+        part = numbered_ties(joined.join(some, ["__pattern", "__u"], "left_semi"))
+        part = part.withColumn("__fits", (F.col("__nth") < F.col("__fits")).cast("long")).drop("__nth")
+        joined = joined.join(some, ["__pattern", "__u"], "left_anti").unionByName(part)
+    more = F.when(F.col("__extra") <= 0, 0).when(F.col("__edge").isNull() | (slice_ < F.col("__edge")), 1).when((slice_ == F.col("__edge")) & (F.col("__u") <= F.col("__last")), 1).otherwise(F.least(F.coalesce("__fits", F.lit(0)), F.lit(1)))
     times = F.when(F.col("__size") == 0, 0).otherwise(F.col("__rounds") + more).cast("long")
-    return joined.withColumn("__times", times).drop("__u", "__rounds", "__extra", "__edge", "__last", "__fits")
+    return joined.withColumn("__times", times).select("row", *OWN)
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns as they are, each as often as the mix takes it."""
-    taken = mix(docs, **options).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))))
-    return taken.select(docs.columns)
+def mixture(docs: DataFrame, sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns as they are, whatever their names, each as often as the mix takes it (see mix)."""
+    taken = mixed_rows(docs, F.array(docs["source"]) if sources is None else sources, id_col, text_col, weights, repeats, seed)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,25 @@ def test_long_documents_do_not_end_the_draw(spark, monkeypatch):
             assert 0 <= target[s] - got < 10
 
 
+def test_repeated_rows_are_drawn_as_far_as_they_fit(spark):
+    rows = [(7, "w " * 10, "a")] * 40 + [(i, "w " * 10, "b") for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = M.quotas({"a": 400, "b": 400}, {"a": 5, "b": 2})
+    got = M.mix(df).collect()
+    for s in "ab":
+        assert 0 <= target[s] - sum(x["__times"] * 10 for x in got if x.source == s) < 10
+    assert len(got) == 80 and M.mixture(df).count() == sum(x["__times"] for x in got)
+
+
+def test_columns_keep_their_names_and_values(spark):
+    names = "row, id, n, k1, goes, at, copy, __size, __u, __times, __fits, __edge, __pattern, __nth".split(", ")
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), "ab"[i % 2], *(f"{c}{i}" for c in names)) for i in range(50)], ["doc_id", "text", "source", *names])
+    got = M.mixture(df)
+    assert got.columns == df.columns
+    assert {tuple(x) for x in got.collect()} <= {tuple(x) for x in df.collect()}
+    assert {"row", "id", "k1", "__nth"} <= set(M.mix(df).columns)
+
+
 def test_awkward_rows(spark, awkward):
     assert M.mix(awkward).count() == awkward.count()
     assert M.mix(awkward.limit(0)).count() == 0
