@@ -3,7 +3,7 @@
 A feature is a window of 64 bytes. Its entropy falls in one of BINS classes; classes that few windows of the
 corpus have are rare. In each run of 64 windows the rarest one gains a vote, and windows with a quarter of
 the votes that one can have are selected. Short texts also give windows of 16 and 8 bytes, selected
-alike, and a text in which nothing is selected gives itself. Features are hashed into a chain of Bloom filters:
+alike, and a text in which nothing is selected gives itself, one below SHORT bytes also all its runs of 2 to 4 bytes. Features are hashed into a chain of Bloom filters:
 a filter takes PER_FILTER features, then the next one begins. Two digests compare by the bits that they share.
 """
 
@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PASS_BYTES, map_arrow, passes, table
@@ -23,6 +24,8 @@ from .common import PASS_BYTES, map_arrow, passes, table
 WIDTHS = (64, 16, 8)
 #: Texts below so many bytes also give windows of the width in the same place.
 BELOW = (None, 1024, 128)
+#: Texts below so many bytes have too few windows to select from.
+SHORT = 32
 BINS = 1000
 FILTER_BYTES = 256
 PER_FILTER = 128
@@ -107,6 +110,14 @@ def features(texts: list[bytes], rank: np.ndarray, window: int) -> list[np.ndarr
     return np.split(byte_hashes(raw, at, window), np.searchsorted(at, ends[:-1]))
 
 
+def whole_and_runs(text: bytes) -> np.ndarray:
+    """The hash of a text, and those of all its runs of 2 to 4 bytes if it is short."""
+    parts = [text]
+    if len(text) < SHORT:
+        parts += [text[i : i + n] for n in (2, 3, 4) for i in range(len(text) - n + 1)]
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in parts], np.uint64)
+
+
 def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     """The filters of each text, one row of FILTER_BYTES each; none for an empty text. ranks: a row for each of WIDTHS."""
     if not texts:
@@ -117,8 +128,8 @@ def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         for i, more in zip(short, features([texts[i] for i in short], rank, window) if short else [], strict=True):
             found[i] = np.concatenate([found[i], more])
     for i, text in enumerate(texts):
-        if text and not len(found[i]):
-            found[i] = np.frombuffer(hashlib.sha256(text).digest()[:8], np.uint64)
+        if text and (not len(found[i]) or len(text) < SHORT):
+            found[i] = np.concatenate([found[i], whole_and_runs(text)])
     out = []
     for mine in found:
         _, first = np.unique(mine, return_index=True)
@@ -198,6 +209,19 @@ def digest(docs: DataFrame, ranks: list[list[int]], id_col: str = "doc_id", text
     return map_arrow(own, f"id {kind}, fingerprint string", one).withColumnRenamed("id", id_col)
 
 
+def below(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted cuts are less than x: first among every so many-th, then among those between two of these,
+    so a row is compared with twice the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    firsts = F.array(*[F.lit(g[0]) for g in groups])
+    g = F.greatest(F.lit(0), F.size(F.filter(firsts, lambda c: c < x)) - 1)
+    inside = F.get(F.array(*[F.array(*[F.lit(c) for c in own]) for own in groups]), g)
+    return g * step + F.size(F.filter(inside, lambda c: c < x))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt by ranges of descending id (nulls last, ties by text), each range sorted: part, id, text, own.
 
@@ -209,8 +233,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = d.agg(F.percentile_approx("id", [i / n_parts for i in range(1, n_parts)], 10_000).alias("q")).first().q or []
     cuts = sorted({-c for c in cuts})
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c < -F.col("id"))))
+    part = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(below(cuts, -F.col("id")))
     parted = d.withColumn("part", part.cast("int"))
     first = parted.groupBy("part").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("top")).collect()
     firsts = sorted((r.part, r.top.id) for r in first)

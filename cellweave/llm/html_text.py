@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +33,75 @@ PARTS = re.compile(r"[a-z]+")
 END = {t: re.compile(rf"</{t}\s*[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
+#: What may stand in a head whose end tag is left out; anything else begins the body.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
+#: Weights of ancestors are summed in whole units of 1 / UNITS, so that sums do not depend on their order.
+UNITS = 1 << 24
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "gold")
+    """A leaf block: its text, the letters of it within links, its innermost block element, what its ancestors say (their
+    features, or with weights the sum of those), whether any ancestor has a name, and the mark of a labelled page."""
+
+    __slots__ = ("text", "linked", "last", "around", "named", "gold")
+
+    def __init__(self, text: str, linked: int, last: str, around, named: bool, gold: str | None):
+        self.text, self.linked, self.last, self.around, self.named, self.gold = text, linked, last, around, named, gold
 
-    def __init__(self, text: str, linked: int, path: tuple, gold: str | None):
-        self.text, self.linked, self.path, self.gold = text, linked, path, gold
 
+class Open:
+    """The open elements of a page, with counts of tags and of features: no step walks all of them."""
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The text blocks in page order: text, letters within links, ancestors (tag and name parts), the mark."""
+    def __init__(self, weights: dict[str, float] | None):
+        self.stack: list[tuple[str, list[str], str | None]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[str] = []
+        self.golds: list[str] = []
+        self.met: Counter = Counter()
+        self.weights, self.total, self.names = weights, 0, 0
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at[tag] else -1
+
+    def push(self, tag: str, names: list[str], gold: str | None) -> None:
+        own = ["name=" + x for x in names]
+        if tag in BLOCKS:
+            own.append("in=" + tag)
+            self.blocks.append(tag)
+        for f in own:
+            self.met[f] += 1
+            if self.weights is not None and self.met[f] == 1:
+                self.total += round(self.weights.get(f, 0.0) * UNITS)
+        if gold is not None:
+            self.golds.append(gold)
+        self.names += len(names)
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, own, gold))
+
+    def pop(self) -> str:
+        tag, own, gold = self.stack.pop()
+        self.at[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        for f in own:
+            self.met[f] -= 1
+            if not self.met[f]:
+                del self.met[f]
+                if self.weights is not None:
+                    self.total -= round(self.weights.get(f, 0.0) * UNITS)
+            self.names -= f.startswith("name=")
+        if gold is not None:
+            self.golds.pop()
+        return tag
+
+    def around(self):
+        return frozenset(self.met) if self.weights is None else self.total / UNITS
+
+
+def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The text blocks in page order. Time and memory grow with the page, however deep its elements are nested."""
     out: list[Block] = []
-    stack: list[tuple] = []
+    opened = Open(weights)
     pieces: list[str] = []
     linked = hidden = 0
     at, n = 0, len(page)
@@ -53,17 +111,16 @@ def leaf_blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                gold = next((s[2] for s in reversed(stack) if s[2] is not None), None)
-                out.append(Block(text, linked, tuple(stack), gold))
+                out.append(Block(text, linked, opened.blocks[-1] if opened.blocks else "none", opened.around(), opened.names > 0, opened.golds[-1] if opened.golds else None))
             pieces.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal hidden
-        if any(s[0] in BLOCKS for s in stack[k:]):
+        if opened.blocks and opened.last(opened.blocks[-1]) >= k:
             flush()
-        hidden -= sum(s[0] in HIDDEN for s in stack[k:])
-        del stack[k:]
+        while len(opened.stack) > k:
+            hidden -= opened.pop() in HIDDEN
 
     def show(text: str) -> None:
         nonlocal linked
@@ -72,7 +129,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if "&" in text:
             text = html.unescape(text)
         pieces.append(text)
-        if any(s[0] == "a" for s in stack):
+        if opened.at["a"]:
             linked += len(text.strip())
 
     while at < n:
@@ -91,58 +148,48 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0:
+            if (k := opened.last(tag)) >= 0:
                 close(k)
             elif tag in BLOCKS:
                 flush()
             continue
+        if opened.at["head"] and tag not in IN_HEAD:
+            close(opened.last("head"))
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-            if k >= 0:
-                close(k)
+        if tag in CLOSES_P and (k := opened.last("p")) >= 0:
+            close(k)
         for other in ALONE.get(tag, ()):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == other or stack[i][0] in ("ul", "ol", "dl", "table", "select")), -1)
-            if k >= 0 and stack[k][0] == other:
+            k = opened.last(other)
+            if k > max(opened.last(x) for x in ("ul", "ol", "dl", "table", "select")):
                 close(k)
         if tag in BLOCKS:
             flush()
         if tag in VOID:
             continue
-        names, gold = (), None
+        names, gold = [], None
         attributes = m[3] or m[6]
         if attributes:
-            found = []
             for key, a, b, c in NAMES.findall(attributes):
                 value = a or b or c
                 if key.lower() == "data-y":
                     gold = value
                 else:
-                    found += PARTS.findall(value.lower())
-            names = tuple(found)
+                    names += PARTS.findall(value.lower())
         if tag in RAW:
             m = END[tag].search(page, at)
             at = m.end() if m else n
             continue
-        stack.append((tag, names, gold))
+        opened.push(tag, names, gold)
         hidden += tag in HIDDEN
     flush()
     return out
 
 
-def features(block: Block) -> list[str]:
-    out, text = set(), block.text
-    depth = 0
-    for tag, names, _ in block.path:
-        if tag in BLOCKS:
-            out.add("in=" + tag)
-        depth += 1
-        for x in names:
-            out.add("name=" + x)
-    last = next((s[0] for s in reversed(block.path) if s[0] in BLOCKS), "none")
+def own_features(block: Block) -> list[str]:
+    """Of the block's text and innermost element."""
+    out, text, last = set(), block.text, block.last
     words = text.count(" ") + 1
     out.add("tag=" + last)
     out.add(f"words={min(8, words.bit_length())}")
@@ -154,11 +201,22 @@ def features(block: Block) -> list[str]:
         out.add("copyright")
     if text.count(",") + text.count(". ") > 2:
         out.add("prose")
-    if not any(n for _, n, _ in block.path):
+    if not block.named:
         out.add("nameless")
     return list(out)
 
 
+def features(block: Block) -> list[str]:
+    """All features of a block that was read without weights."""
+    return sorted({*own_features(block), *block.around})
+
+
+def emissions(page: str, weights: dict[str, float]) -> tuple[list[Block], list[float]]:
+    """A page's blocks and the log-odds of each."""
+    blocks = leaf_blocks(page, weights)
+    return blocks, [b.around + sum(weights.get(f, 0.0) for f in own_features(b)) for b in blocks]
+
+
 def decode(odds: list[float], moves: tuple[float, float, float]) -> list[int]:
     """The likeliest labels (Viterbi) from log-odds of emission and scores of moves to label 1."""
     from0, from1, start = moves
@@ -213,10 +271,9 @@ def trained(n: int = TRAIN_PAGES, seed: int = SEED):
 
 def main_blocks(page: str, model) -> list[str]:
     weights, moves = model
-    blocks = leaf_blocks(page)
+    blocks, odds = emissions(page, weights)
     if not blocks:
         return []
-    odds = [sum(weights.get(f, 0.0) for f in features(b)) for b in blocks]
     return [b.text for b, y in zip(blocks, decode(odds, moves), strict=True) if y]
 
 

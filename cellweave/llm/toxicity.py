@@ -25,6 +25,8 @@ from .common import Kept, map_arrow, passes, table
 #: The training sample: so many documents of each class, in order of a hash of their ids, and characters of each.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 3_000_000
+#: A text of more than this share of SAMPLE_CHARS is left out of the sample: one long text does not displace all others.
+LONGEST = 20
 BITS = 18
 ROUNDS = 25
 #: Marginals below this are many in a long clean text and add up to nothing.
@@ -209,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the field on a bounded sample of the rows of labels whose crc32 of the id as text is no multiple of 5.
 
     The sample has sample_docs documents of each class at most, the first by a hash of their ids, as long as
-    they have sample_chars characters together (one at least). Rows with a null id or label, and
-    ids that docs lack, count for nothing. Without both classes every score is the share of toxic labels.
+    they have sample_chars characters together; texts of over a LONGEST-th of that are left out. Of rows that repeat an
+    id the shortest text counts, once. Rows with a null id or label, and ids that docs lack, count for nothing.
+    Without both classes every score is the share of toxic labels.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(id AS string)) % 5 != 0")
     known = known.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -220,10 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rank = F.xxhash64(F.col("id").cast("string"), F.lit(1))
     picked = [known.where(F.col("toxic") == k).orderBy(rank, "id").limit(sample_docs) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "id")
-    order = Window.partitionBy("toxic").orderBy(rank, "id", "text")
-    found = found.withColumn("n", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = found.where((F.col("n") <= sample_docs) & ((F.col("chars") <= sample_chars) | (F.col("n") == 1))).select("id", "toxic", "n", "text").collect()
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.length(docs[text_col]) <= sample_chars // LONGEST)
+    found = found.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("t"))
+    order = Window.partitionBy("toxic").orderBy(rank, "id")
+    found = found.select("id", "toxic", F.col("t.text").alias("text")).withColumn("n", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = found.where(F.col("chars") <= sample_chars).select("id", "toxic", "n", "text").collect()
     rows.sort(key=lambda r: (r.toxic, r.n))
     return fit([r.text for r in rows], [r.toxic for r in rows], counts.get(1, 0) / sum(counts.values()))
 

@@ -38,9 +38,62 @@ def test_viterbi_is_the_best_of_all():
     assert tuple(H.decode(odds, moves)) == max(itertools.product((0, 1), repeat=5), key=value)
 
 
+def test_same_letters_as_another_parser():
+    from html.parser import HTMLParser
+
+    class Letters(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in H.HIDDEN:
+                self.hidden.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    for page in [PAGE, *labelled_pages(150, 91)]:
+        other = Letters()
+        other.feed(page)
+        other.close()
+        assert "".join("".join(b.text for b in H.leaf_blocks(page)).split()) == "".join("".join(other.out).split())
+
+
+def test_a_head_without_end():
+    model = H.trained()
+    assert H.main_blocks(PAGE.replace("</head>", ""), model) == H.main_blocks(PAGE, model)
+    assert H.main_blocks(PAGE.replace("</head><body>", ""), model) == H.main_blocks(PAGE, model)
+
+
+def test_weights_of_ancestors_add_up():
+    weights, _ = H.trained()
+    for page in [PAGE, "<div class='a b'>x" * 300, *labelled_pages(20, 5)]:
+        blocks, odds = H.emissions(page, weights)
+        plain = [sum(weights.get(f, 0.0) for f in H.features(b)) for b in H.leaf_blocks(page)]
+        assert len(blocks) == len(plain) and all(abs(a - b) < 1e-4 for a, b in zip(odds, plain))
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        start = time.perf_counter()
+        assert len(H.leaf_blocks("<div class='a'>x" * n, {})) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_awkward_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p"), (3, "u", "plain words only, nothing else here."), (4, "u", "<" * 2000), (5, "u", "<div>" * 3000 + "x"), (6, "u", "<a title='x" * 50)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, id string, n_chars int, text string")
     got = H.extract(df).collect()
     assert len(got) == len(rows) and all(r.text == "" for r in got if r.page_id in (1, 2)) and all(r.n_chars == len(r.text) for r in got)
     assert H.extract(df.limit(0)).count() == 0
