@@ -9,32 +9,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.scoring import spread
+from cellweave.sources.shared import stored
+
 
 def tiles(grid: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Each cell in its own tile and in those whose halo it lies in: ty, tx, r, c, v. A tile and its halo are bounded."""
+    """Each cell in its own tile and in those whose halo it lies in: grid with ty, tx. A tile and its halo are bounded."""
     span = lambda x: F.sequence(F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int"))
     return grid.withColumn("ty", F.explode(span("r"))).withColumn("tx", F.explode(span("c")))
 
 
 def over_tiles(grid: DataFrame, fn, tile: int, halo: int, fill: float = 0.0) -> DataFrame:
-    """r, c, x: fn of each tile's dense array (holes filled, borders of the data repeated), read off at its own cells."""
+    """r, c, x: fn of each tile's dense array (holes filled), read off at the tile's own cells.
+
+    An array ends where the data's bounding box does, so fn sees the border there and treats it as it would that of the
+    whole grid; elsewhere it has halo cells more than it needs.
+    """
     box = grid.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
     if box.r0 is None:
         return grid.select("r", "c", F.lit(0.0).alias("x"))
     r0, r1, c0, c1 = box.r0, box.r1, box.c0, box.c1
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = key
         top, left = max(r0, ty * tile - halo), max(c0, tx * tile - halo)
         down, right = min(r1, (ty + 1) * tile + halo - 1), min(c1, (tx + 1) * tile + halo - 1)
-        if down < top or right < left:
+        own = pdf[(pdf.r // tile == ty) & (pdf.c // tile == tx)]
+        if down < top or right < left or own.empty:
             return pd.DataFrame({"r": [], "c": [], "x": []})
         a = np.full((down - top + 1, right - left + 1), fill)
         a[pdf.r - top, pdf.c - left] = pdf.v
-        pad = ((halo if top == r0 else 0, halo if down == r1 else 0), (halo if left == c0 else 0, halo if right == c1 else 0))
-        x = fn(np.pad(a, pad, mode="edge"))
-        own = pdf[(pdf.r // tile == ty) & (pdf.c // tile == tx)]
-        return pd.DataFrame({"r": own.r, "c": own.c, "x": x[own.r - top + pad[0][0], own.c - left + pad[1][0]]})
+        return pd.DataFrame({"r": own.r, "c": own.c, "x": fn(a)[own.r - top, own.c - left]})
 
     return tiles(grid.select("r", "c", F.col("v").cast("double").alias("v")), tile, halo).groupBy("ty", "tx").applyInPandas(run, "r int, c int, x double")
 
@@ -47,12 +52,31 @@ def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> np.ndarray:
     return g if order == 0 else -x / sigma**2 * g if order == 1 else (x**2 / sigma**4 - 1 / sigma**2) * g
 
 
-def along(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
-    return np.apply_along_axis(lambda v: np.convolve(np.pad(v, len(k) // 2, mode="edge"), k, mode="valid"), axis, a)
+def along(a: np.ndarray, k: np.ndarray, axis: int, border: str = "edge") -> np.ndarray:
+    """The convolution of each line with k; border: as numpy pads lines (edge, symmetric, constant zeros)."""
+    return np.apply_along_axis(lambda v: np.convolve(padded(v, len(k) // 2, border), k, mode="valid"), axis, a)
+
+
+def padded(v: np.ndarray, n: int, border: str) -> np.ndarray:
+    while n > len(v) and border == "symmetric":  # a short line is mirrored again and again
+        v, n = np.pad(v, len(v), mode=border), n - len(v)
+    return np.pad(v, n, mode=border)
+
 
+def smooth(a: np.ndarray, sigma: float, orders: tuple[int, int] = (0, 0), border: str = "edge", truncate: float = 4.0) -> np.ndarray:
+    return along(along(a, gauss(sigma, orders[0], truncate), 0, border), gauss(sigma, orders[1], truncate), 1, border)
 
-def smooth(a: np.ndarray, sigma: float, orders: tuple[int, int] = (0, 0)) -> np.ndarray:
-    return along(along(a, gauss(sigma, orders[0]), 0), gauss(sigma, orders[1]), 1)
+
+def hessian(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Second derivatives (by rows, mixed, by columns): two first derivatives, each of the image smoothed at sigma over
+    the root of 2, with mirrored borders."""
+    s = sigma / math.sqrt(2)
+    by_row, by_column = ((smooth(a, s, o, "symmetric", 8.0)) for o in ((1, 0), (0, 1)))
+    return smooth(by_row, s, (1, 0), "symmetric", 8.0), smooth(by_row, s, (0, 1), "symmetric", 8.0), smooth(by_column, s, (0, 1), "symmetric", 8.0)
+
+
+def hessian_halo(sigma: float) -> int:
+    return 2 * int(8 * sigma / math.sqrt(2) + 0.5)
 
 
 def eigenvalues(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +86,26 @@ def eigenvalues(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray
 
 
 def ridgeness(a: np.ndarray, sigmas=(1.0, 2.0, 3.0)) -> np.ndarray:
-    """Bright ridges over several scales: the largest scaled negative Hessian eigenvalue, 0 at least."""
-    out = np.zeros_like(a)
-    for s in sigmas:
-        _, low = eigenvalues(smooth(a, s, (2, 0)), smooth(a, s, (1, 1)), smooth(a, s, (0, 2)))
-        out = np.maximum(out, np.maximum(0, -low) * s * s)
-    return out
+    """Bright ridges over several scales (Sato): the most negative Hessian eigenvalue, scaled and turned, 0 at least."""
+    return np.maximum.reduce([np.maximum(0, -eigenvalues(*hessian(a, s))[1]) * s * s for s in sigmas])
+
+
+def sobel(a: np.ndarray, axis: int) -> np.ndarray:
+    """Difference along axis, weights 1, 2, 1 across; beyond the border lies 0."""
+    return along(along(a, np.array([1.0, 0.0, -1.0]), axis, "constant"), np.array([1.0, 2.0, 1.0]), 1 - axis, "constant")
 
 
 def coherence(a: np.ndarray, sigma: float = 1.5) -> np.ndarray:
-    gy, gx = np.gradient(a)
-    high, low = eigenvalues(smooth(gy * gy, sigma), smooth(gy * gx, sigma), smooth(gx * gx, sigma))
-    total = np.abs(high) + np.abs(low)
-    return np.where(total > 0, (np.abs(high) - np.abs(low)) / np.where(total > 0, total, 1), 0)
+    """How far one direction leads in the structure tensor: the difference of its eigenvalues over their sum, 0 to 1.
+
+    Both come from trace t and determinant d: the root of t * t - 4 * d over t; flat places have none.
+    """
+    y, x = sobel(a, 0), sobel(a, 1)
+    yy, yx, xx = (smooth(m, sigma, border="constant") for m in (y * y, y * x, x * x))
+    t, d = yy + xx, yy * xx - yx * yx
+    out = np.zeros_like(t)
+    np.divide(np.sqrt(np.maximum(t * t - 4 * d, 0)), t, out=out, where=t > 0)
+    return np.minimum(out, 1)
 
 
 def detrended(grid: DataFrame, sigma: float = 50.0, tile: int = 256) -> DataFrame:
@@ -83,101 +114,110 @@ def detrended(grid: DataFrame, sigma: float = 50.0, tile: int = 256) -> DataFram
 
 
 def vesselness(a: np.ndarray, sigmas=(1.0, 3.0, 5.0, 7.0, 9.0), beta: float = 0.5, gamma: float = 15.0) -> np.ndarray:
+    """Dark ridges over several scales (Frangi): not blob-like, and of some structure."""
     out = np.zeros_like(a)
     for s in sigmas:
-        hi, lo = eigenvalues(smooth(a, s, (2, 0)) * s * s, smooth(a, s, (1, 1)) * s * s, smooth(a, s, (0, 2)) * s * s)
-        swap = np.abs(hi) > np.abs(lo)
-        l1, l2 = np.where(swap, lo, hi), np.where(swap, hi, lo)
-        ratio, size = (l1 / np.where(l2 == 0, 1e-10, l2)) ** 2, l1**2 + l2**2
-        v = np.exp(-ratio / (2 * beta**2)) * (1 - np.exp(-size / (2 * gamma**2)))
-        out = np.maximum(out, np.where(l2 > 0, 0, v))
+        both = np.stack(eigenvalues(*hessian(a, s)))
+        weak, strong = np.take_along_axis(both, np.abs(both).argsort(0, kind="stable"), 0)
+        blob = np.abs(weak) / np.maximum(strong, 1e-10)
+        out = np.maximum(out, np.exp(-(blob**2) / (2 * beta**2)) * (1 - np.exp(-(weak**2 + strong**2) / (2 * gamma**2))))
     return out
 
 
 def vessel_blend(pred: DataFrame, weight: float = 0.4, tile: int = 256) -> DataFrame:
     """r, c, p: (1 - weight) p + weight times the vesselness scaled to the whole grid's range."""
     grid = pred.select("r", "c", F.col("p").alias("v"))
-    v = over_tiles(grid, vesselness, tile, 37)
+    v = over_tiles(grid, vesselness, tile, hessian_halo(9.0))
     edge = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("x"))
     both = pred.join(v, ["r", "c"]).crossJoin(F.broadcast(edge))
     return both.select("r", "c", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - weight) * F.col("p") + weight * scaled)).alias("p"))
 
 
-def distance_to(cells: DataFrame, truth: DataFrame) -> DataFrame:
+def distance_to(cells: DataFrame, truth: DataFrame, first: int = 16) -> DataFrame:
     """r, c, d: the exact distance of each cell to the nearest truth cell, however far (null without truth).
 
-    Two passes: by row the distance to the nearest truth column, then by column the least of row steps and those. A
-    row's truth columns and a column's rows are what a task holds.
+    Rounds with tiles of growing side: a cell meets the truth of its tile and the eight around it, by an equi-join.
+    A distance up to the side is settled; cells with a greater one, or none, go to the next round.
     """
-    asked = cells.select("c").distinct()
-    cols = truth.groupBy("r").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    near = F.array_min(F.transform("cs", lambda x: F.abs(x - F.col("c"))))
-    rows = cols.crossJoin(asked).select("r", "c", near.alias("g"))
-    packed = rows.groupBy("c").agg(F.collect_list(F.struct("r", "g")).alias("g"))
-    both = cells.select("r", "c").groupBy("c").agg(F.collect_set("r").alias("rs")).join(packed, "c", "left")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for c, rs, g in zip(pdf.c, pdf.rs, pdf.g, strict=True):
-                rs = np.asarray(rs)
-                if g is None:
-                    d = np.full(len(rs), np.nan)
-                else:
-                    y, x = np.array([q["r"] for q in g]), np.array([q["g"] for q in g], float)
-                    d = np.array([math.sqrt(((y - r) ** 2 + x**2).min()) for r in rs])
-                out.append(pd.DataFrame({"r": rs, "c": c, "d": d}))
-            if out:
-                yield pd.concat(out)
-
-    return both.mapInPandas(run, "r int, c int, d double").withColumn("d", F.when(~F.isnan("d"), F.col("d")))
-
-
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """Two-subiteration thinning (Zhang and Suen) of a boolean array; the result lies within it."""
-    m = np.pad(mask.astype(bool), 1)
+    truth, left, out = stored(truth.select("r", "c").distinct(), "truth"), cells.select("r", "c").distinct(), None
+    box = truth.unionByName(left).agg((F.max("r") - F.min("r") + F.max("c") - F.min("c") + 1).alias("n"), F.count("*").alias("k")).first()
+    if truth.isEmpty():
+        return cells.select("r", "c", F.lit(None).cast("double").alias("d")).distinct()
+    side = first
     while True:
-        changed = False
-        for first in (True, False):
-            n = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-            around = sum(x.astype(int) for x in n)
-            turns = sum((~n[i] & n[(i + 1) % 8]).astype(int) for i in range(8))
-            a, b = ((n[0] & n[2] & n[4]), (n[2] & n[4] & n[6])) if first else ((n[0] & n[2] & n[6]), (n[0] & n[4] & n[6]))
-            gone = m[1:-1, 1:-1] & (around >= 2) & (around <= 6) & (turns == 1) & ~a & ~b
-            if gone.any():
-                m[1:-1, 1:-1] &= ~gone
-                changed = True
-        if not changed:
-            return m[1:-1, 1:-1]
-
-
-def dominating(mask: np.ndarray, p: np.ndarray | None = None, radius: int = 3, extra: int = 40) -> np.ndarray:
-    """The skeleton, and up to extra cells more, greedily, until every mask cell has a chosen one within radius."""
-    chosen = thinned(mask) if mask.any() else mask.copy()
-    y, x = np.nonzero(mask)
-    for _ in range(extra):
-        cy, cx = np.nonzero(chosen)
-        far = np.ones(len(y), bool) if not len(cy) else np.array([((cy - a) ** 2 + (cx - b) ** 2).min() > radius**2 for a, b in zip(y, x, strict=True)])
-        if not far.any():
+        at = lambda x: F.floor(F.col(x) / side).cast("int")  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
+        near = truth.withColumn("o", around).select((at("r") + F.col("o.y")).alias("ty"), (at("c") + F.col("o.x")).alias("tx"), F.col("r").alias("y"), F.col("c").alias("x"))
+        met = left.withColumns({"ty": at("r"), "tx": at("c")}).join(near, ["ty", "tx"], "left")
+        square = lambda a, b: (F.col(a) - F.col(b)).cast("long") * (F.col(a) - F.col(b))
+        found = stored(met.groupBy("r", "c").agg(F.min(square("y", "r") + square("x", "c")).alias("d2")), "near")
+        settled = F.col("d2") <= side * side
+        own = found.where(settled).select("r", "c", F.sqrt(F.col("d2").cast("double")).alias("d"))
+        out = own if out is None else out.unionByName(own)
+        left = found.where(F.col("d2").isNull() | ~settled).select("r", "c")
+        if side >= box.n or left.isEmpty():
+            return out
+        side *= 4
+
+
+def zhang_suen(mask: np.ndarray, rounds: int) -> np.ndarray:
+    """A boolean array after so many rounds of thinning (Zhang and Suen), or as many as change it; beyond it lies nothing."""
+    m = np.pad(mask, 1)
+    for _ in range(rounds):
+        before = m.sum()
+        for ends in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6))):
+            ring = np.stack([np.roll(m, (-y, -x), (0, 1)) for y, x in RING])
+            count = ring.sum(0)
+            turns = (~ring & np.roll(ring, -1, 0)).sum(0)
+            free = np.logical_and.reduce([~ring[list(e)].all(0) for e in ends])
+            m = m & ~((count >= 2) & (count <= 6) & (turns == 1) & free)
+        if m.sum() == before:
             break
-        open_ = np.zeros(mask.shape)
-        open_[y[far], x[far]] = 1
-        box = np.ones(2 * radius + 1) / (2 * radius + 1)
-        score = along(along(open_, box, 0), box, 1) + (1e-3 * p if p is not None else 0)
-        score = np.where(mask & ~chosen, score, -np.inf)
-        chosen[np.unravel_index(np.argmax(score), score.shape)] = True
-    return chosen
-
-
-def thin_regions(found: DataFrame, radius: int = 3) -> DataFrame:
-    """r, c kept of each region (r, c, region): a region's cells are what a task holds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf.r.min(), pdf.c.min()
-        m = np.zeros((pdf.r.max() - r0 + 1, pdf.c.max() - c0 + 1), bool)
-        m[pdf.r - r0, pdf.c - c0] = True
-        y, x = np.nonzero(dominating(m, None, radius))
-        return pd.DataFrame({"r": (y + r0).astype(np.int32), "c": (x + c0).astype(np.int32), "region": pdf.region.iloc[0]})
-
-    return found.groupBy("region").applyInPandas(run, "r int, c int, region long")
+    return m[1:-1, 1:-1]
+
+
+#: Neighbours of a cell, clockwise from the one above.
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+#: Rounds of thinning that a task does at once; each reaches two cells far.
+ROUNDS = 8
+
+
+def skeleton(mask: DataFrame, key: str, tile: int = 128) -> DataFrame:
+    """key, r, c: each key's mask (key, r, c), thinned till nothing changes; what the whole array would give.
+
+    A task does ROUNDS rounds on a tile with a halo that they cannot reach across; then all tiles start from the result.
+    """
+    halo = 2 * ROUNDS
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k, ty, tx = keys
+        top, left = ty * tile - halo, tx * tile - halo
+        m = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        m[pdf.r - top, pdf.c - left] = True
+        y, x = np.nonzero(zhang_suen(m, ROUNDS)[halo:-halo, halo:-halo])
+        return pd.DataFrame({"k": k, "r": (y + top + halo).astype(np.int32), "c": (x + left + halo).astype(np.int32)})
+
+    now = stored(mask.select(F.col(key).cast("int").alias("k"), "r", "c").distinct(), "mask")
+    n = now.count()
+    while True:
+        now = stored(tiles(now, tile, halo).groupBy("k", "ty", "tx").applyInPandas(run, "k int, r int, c int"), "thinned")
+        before, n = n, now.count()
+        if n == before:
+            return now.withColumnRenamed("k", key)
+
+
+def thin_cover(mask: DataFrame, key: str, radius: int = 3, tile: int = 128) -> DataFrame:
+    """key, r, c: cells of each key's mask (key, r, c, p) such that each of its cells has one of them within radius.
+
+    The skeleton, and where it is too far away (in wide blobs) a cell of each small square of the mask that is: the one
+    with the greatest p, then the first. No two cells of such a square are further apart than radius. Unlike a greedy
+    choice with a budget this covers every cell, and each square by itself.
+    """
+    own = mask.select(F.col(key).cast("int").alias("of"), "r", "c", "p")
+    lines = skeleton(own, "of", tile)
+    near = spread(lines, radius, positive=False).select("of", F.col("nr").alias("r"), F.col("nc").alias("c")).distinct()
+    side = int(radius / math.sqrt(2)) + 1
+    far = own.join(near, ["of", "r", "c"], "left_anti").withColumns({"y": F.floor(F.col("r") / side), "x": F.floor(F.col("c") / side)})
+    best = far.groupBy("of", "y", "x").agg(F.min(F.struct((-F.col("p")).alias("p"), "r", "c")).alias("m"))
+    return lines.unionByName(best.select("of", F.col("m.r").alias("r"), F.col("m.c").alias("c"))).withColumnRenamed("of", key)

@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.components import components
+from cellweave.sources.shared import stored
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """End lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/cellweave-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager)
+#: Half of the eight, or four, neighbours; the others are met from the other side.
+FORWARD = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
+SIDE_BITS = 24
 
 
-def regions(mask: DataFrame, rounds: int = 200) -> DataFrame:
-    """r, c, region: cells and the least cell number (r * 2^32 + c) of their region.
+def regions(mask: DataFrame, key: str | None = None, neighbours: int = 8) -> DataFrame:
+    """r, c, region: cells and the least cell number (r * 2^32 + c) of their region. With key (a whole number below
+    2^15), a column of mask: regions of each key's mask apart; key, r, c, region.
 
-    Each round every cell takes the least label around it, then the label that its label has (pointer jumping).
+    Cells are linked to their neighbours and joined by star steps, whose number grows as the logarithm of a region's
+    length. With key, rows and columns lie below 2^24.
     """
-    step = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    keys = [key] if key else []
     number = F.col("r").cast("long") * (1 << 32) + F.col("c")
-    cells = mask.select("r", "c").distinct().withColumn("id", number)
-    edges = cells.withColumn("o", F.explode(step)).select("id", ((F.col("r") + F.col("o.y")).cast("long") * (1 << 32) + F.col("c") + F.col("o.x")).alias("to"))
-    edges = cut(edges.join(cells.select(F.col("id").alias("to")), "to").select("id", "to"))
-    labels = cut(cells.select("id", F.col("id").alias("region")))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("region").alias("region"))
-        jump = near.select(F.col("id").alias("region"), F.col("region").alias("up"))
-        new = cut(near.join(jump, "region").select("id", F.col("up").alias("region")))
-        changed = new.join(labels.withColumnRenamed("region", "old"), "id").where("region <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError("regions have not settled")
-    return cells.join(labels, "id").select("r", "c", "region")
+    node = F.col(key).cast("long") * (1 << 2 * SIDE_BITS) + F.col("r").cast("long") * (1 << SIDE_BITS) + F.col("c") if key else number
+    cells = stored(mask.select(*keys, "r", "c").distinct().withColumns({"id": node, "cell": number}), "cells")
+    step = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in FORWARD[neighbours]]))
+    near = cells.withColumn("o", step).select(*keys, F.col("id").alias("a"), (F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c"))
+    links = near.join(cells.select(*keys, "r", "c", F.col("id").alias("b")), [*keys, "r", "c"]).select("a", "b")
+    roots = components(links).withColumnRenamed("node", "id")
+    labelled = cells.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if not key:
+        return labelled.select("r", "c", F.col("root").alias("region"))
+    low = F.pmod("root", F.lit(1 << 2 * SIDE_BITS))
+    region = F.shiftright(low, SIDE_BITS) * (1 << 32) + F.pmod(low, F.lit(1 << SIDE_BITS))
+    return labelled.select(key, "r", "c", region.alias("region"))
 
 
 def region_sizes(found: DataFrame) -> DataFrame:

@@ -36,18 +36,41 @@ def penalties(truth: DataFrame, pred: DataFrame, radius: int = RADIUS) -> DataFr
     return pred.join(nearness(truth, radius), ["r", "c"], "left").withColumn("fp", F.col("p") * (1 - F.coalesce("m", F.lit(0.0)))).drop("m")
 
 
+def facts(truth: DataFrame, pred: DataFrame, by: Column, radius: int = RADIUS) -> DataFrame:
+    """candidate, part, tp, fp, pred_px for parts that have any: truth is spread once, and met once by pred.
+
+    A cell of pred meets the truth cells around it as one row (as many as the disk has); it gives each of them a
+    credit, and pays by the nearest.
+    """
+    near = spread(truth.select("r", "c").withColumn("part", by), radius)
+    around = near.groupBy("nr", "nc").agg(F.max("k").alias("m"), F.collect_list(F.struct("r", "c", "part", "k")).alias("ts"))
+    met = pred.select("candidate", "r", "c", "p").withColumn("part", by).join(around.withColumnsRenamed({"nr": "r", "nc": "c"}), ["r", "c"], "left")
+    none = F.lit(None).cast("int")
+    price = F.struct("part", none.alias("r"), none.alias("c"), F.lit(0.0).alias("credit"), (F.col("p") * (1 - F.coalesce("m", F.lit(0.0)))).alias("fp"), F.lit(1).alias("px"))
+    credits = F.transform("ts", lambda t: F.struct(t["part"].alias("part"), t["r"].alias("r"), t["c"].alias("c"), (t["k"] * F.col("p")).alias("credit"), F.lit(0.0).alias("fp"), F.lit(0).alias("px")))
+    rows = met.select("candidate", F.explode(F.concat(F.array(price), F.coalesce(credits, F.array().cast("array<struct<part:int,r:int,c:int,credit:double,fp:double,px:int>>")))).alias("x"))
+    best = rows.select("candidate", "x.*").groupBy("candidate", "part", "r", "c").agg(F.max("credit").alias("tp"), F.sum("fp").alias("fp"), F.sum("px").alias("px"))
+    return best.groupBy("candidate", "part").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("px").alias("pred_px"))
+
+
 def components(truth: DataFrame, pred: DataFrame, by: Column, radius: int = RADIUS) -> DataFrame:
-    """candidate, part, tp, fp, fn, n_gt, pred_px: sums of the global geometry by part (an expression of r and c).
+    """candidate, part, tp, fp, fn, n_gt, pred_px: sums of the global geometry by part (a whole number, of r and c).
 
     Parts without truth or prediction are there for every candidate; the sums over parts are those of the whole.
     """
-    names = pred.select("candidate").distinct()
+    by = by.cast("int")
     gt = truth.select("r", "c").withColumn("part", by).groupBy("part").agg(F.count("*").alias("n_gt"))
-    tp = credit(truth, pred, radius).withColumn("part", by).groupBy("candidate", "part").agg(F.sum("credit").alias("tp"))
-    fp = penalties(truth, pred, radius).withColumn("part", by).groupBy("candidate", "part").agg(F.sum("fp").alias("fp"), F.count("*").alias("pred_px"))
-    parts = gt.select("part").union(fp.select("part")).distinct()
-    grid = names.crossJoin(parts)  # one row for each candidate and part
-    out = grid.join(gt, "part", "left").join(tp, ["candidate", "part"], "left").join(fp, ["candidate", "part"], "left").na.fill(0)
+    own = facts(truth, pred, by, radius)
+    whole = gt.select(F.lit(None).cast(own.schema["candidate"].dataType).alias("candidate"), "part", F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp"), F.lit(0).cast("long").alias("pred_px"), "n_gt")
+    rows = own.withColumn("n_gt", F.lit(0).cast("long")).unionByName(whole)
+    # a row for each part, with what each candidate has there; then each candidate of any part at every part
+    by_part = rows.groupBy("part").agg(F.sum("n_gt").alias("n_gt"), F.collect_list(F.when(F.col("candidate").isNotNull(), F.struct("candidate", "tp", "fp", "pred_px"))).alias("own"))
+    names = own.select("candidate").distinct().agg(F.collect_list("candidate").alias("names"))
+    grid = by_part.crossJoin(F.broadcast(names)).select("part", "n_gt", "own", F.explode("names").alias("candidate"))
+    mine = F.get(F.filter("own", lambda x: x["candidate"] == F.col("candidate")), F.lit(0))
+    out = grid.select("candidate", "part", "n_gt", mine.alias("x"))
+    zero = {"tp": F.lit(0.0), "fp": F.lit(0.0), "pred_px": F.lit(0).cast("long")}
+    out = out.select("candidate", "part", "n_gt", *[F.coalesce(F.col(f"x.{c}"), z).alias(c) for c, z in zero.items()])
     return out.withColumn("fn", F.col("n_gt") - F.col("tp"))
 
 

@@ -5,18 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import stored
+
 
 def long_bands(grid: DataFrame, bands: list[str]) -> DataFrame:
     """r, c, band, v."""
     return grid.unpivot(["r", "c"], [F.col(b).cast("double").alias(b) for b in bands], "band", "v")
 
 
+#: Buckets of a band's range; one bucket's distinct values are what a task ranks.
+BUCKETS = 4096
+
+
+def histogram(bands: DataFrame) -> DataFrame:
+    """band, v, n: how often each value is met; null and NaN are not. Written, as all statistics come from it."""
+    fine = bands.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return stored(fine.groupBy("band", "v").agg(F.count("*").alias("n")), "histogram")
+
+
+def quantiles(hist: DataFrame, names: dict[str, float]) -> DataFrame:
+    """band and, for each name, the exact quantile of hist (band, v, n), linear between ranks.
+
+    Counts of the buckets of a band's range say in which bucket a rank lies; only such buckets are put in order.
+    """
+    edges = hist.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    span = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1))).otherwise(0).cast("int")
+    placed = hist.join(F.broadcast(edges), "band").withColumn("bucket", span)
+    sums = placed.groupBy("band", "bucket", "total").agg(F.sum("n").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("band").orderBy("bucket")) - F.col("k")
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("total") - 1)).alias("at")) for name, q in names.items()]))
+    asked = sums.withColumn("before", before).withColumn("q", ranks).select("band", "bucket", "before", "k", "q.name", "q.at")
+    low, high = F.floor("at").cast("long"), F.ceil("at").cast("long")
+    asked = asked.withColumns({"low": low, "high": high}).where("(low >= before AND low < before + k) OR (high >= before AND high < before + k)")
+    upto = F.sum("n").over(Window.partitionBy("band", "bucket", "name").orderBy("v"))
+    inside = placed.select("band", "bucket", "v", "n").join(F.broadcast(asked), ["band", "bucket"]).withColumn("upto", F.col("before") + upto)
+    at_low = F.min(F.when(F.col("upto") > F.col("low"), F.col("v")))
+    at_high = F.min(F.when(F.col("upto") > F.col("high"), F.col("v")))
+    found = inside.where("upto > low OR upto > high").groupBy("band", "name", "at", "low", "high").agg(at_low.alias("a"), at_high.alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))
+    return found.groupBy("band").agg(*[F.max(F.when(F.col("name") == name, value)).alias(name) for name in names])
+
+
+def moments(hist: DataFrame) -> DataFrame:
+    """band, n, low, high, mean, std (population), n_distinct of hist."""
+    first = hist.groupBy("band").agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.count("*").alias("n_distinct"))
+    off = F.col("v") - F.col("mean")
+    var = hist.join(F.broadcast(first.select("band", "mean")), "band").groupBy("band").agg((F.sum(off * off * F.col("n")) / F.sum("n")).alias("var"))
+    return first.join(var, "band").withColumn("std", F.sqrt("var")).drop("var")
+
+
 def norm_stats(bands: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """band, lo, hi (percentiles, linear), mean and population std of the values between them; std below 1e-8 is 1."""
-    fine = bands.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    edges = fine.groupBy("band").agg(F.percentile("v", F.lit(low)).alias("lo"), F.percentile("v", F.lit(high)).alias("hi"))
-    inside = fine.join(F.broadcast(edges), "band").where("v BETWEEN lo AND hi")
-    out = inside.groupBy("band", "lo", "hi").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    hist = histogram(bands)
+    edges = quantiles(hist, {"lo": low, "hi": high})
+    inside = hist.join(F.broadcast(edges), "band").where("v BETWEEN lo AND hi").select("band", "v", "n")
+    out = edges.join(moments(inside).select("band", "mean", "std"), "band")
     return out.withColumn("std", F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))
 
 
@@ -31,8 +74,9 @@ def apply_norm(bands: DataFrame, stats: DataFrame, mode: str = "clip_zscore") ->
 
 
 def profile(bands: DataFrame) -> DataFrame:
-    pct = [F.percentile("v", F.lit(q)).alias(n) for q, n in ((0.01, "p01"), (0.5, "p50"), (0.99, "p99"))]
-    return bands.groupBy("band").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), *pct, F.count_distinct("v").alias("n_distinct"))
+    """band, n, low, high, mean, std, p01, p50, p99, n_distinct."""
+    hist = histogram(bands)
+    return moments(hist).join(quantiles(hist, {"p01": 0.01, "p50": 0.5, "p99": 0.99}), "band")
 
 
 def quantised(bands: DataFrame, levels: int = 32000, offset: int = -16000) -> DataFrame:

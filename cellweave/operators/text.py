@@ -10,33 +10,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Quotes that one pass over the documents looks for, in bytes of text; more are looked for in several passes.
+QUOTE_BYTES = 32 << 20
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def normalised(text: Column) -> Column:
-    """NFKC, quotes and dashes folded, words that a line break cuts joined, white space single."""
+    """NFKC; quotes, dashes and no-break spaces folded; words that a line break cuts joined; white space single; trimmed."""
     t = F.regexp_replace(nfkc(text), "[‘’]", "'")
     t = F.regexp_replace(t, "[“”]", '"')
     t = F.regexp_replace(t, "[‐-―]", "-")
-    t = F.regexp_replace(t, "-\n", "")
-    return F.trim(F.regexp_replace(t, "[ \t\n\r]+", " "))
+    t = F.regexp_replace(t, "-(?U)\\s*\n\\s*", "")
+    return F.trim(F.regexp_replace(t, "(?U)\\s+", " "))
+
+
+def words_alone(text: Column) -> Column:
+    """The normalised text in small letters, with a space at both ends, so that whole words are found by their spaces."""
+    return F.concat(F.lit(" "), F.lower(normalised(text)), F.lit(" "))
 
 
 def quoted(documents: DataFrame, quotes: DataFrame) -> DataFrame:
-    """item_id, doc_id of quotes (item_id, text) that stand word for word in a document, both normalised.
+    """item_id, doc_id of quotes (item_id, text) of any length that stand word for word in a document, both normalised.
 
-    Documents are cut into shingles of the quote's first 8 words, so the join is by equality.
+    Every document is read once, by an automaton of all quotes; nothing moves. Quotes of more than QUOTE_BYTES are dealt
+    to as many automata, one pass each. A quote without words stands nowhere.
     """
-    words = lambda c: F.split(F.lower(normalised(c)), " ")
-    q = quotes.select("item_id", words(F.col("text")).alias("q")).where(F.size("q") >= 8)
-    q = q.select("item_id", F.array_join("q", " ").alias("quote"), F.array_join(F.slice("q", 1, 8), " ").alias("head"))
-    d = documents.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 8)
-    d = d.select("doc_id", F.array_join("w", " ").alias("whole"), "w")
-    heads = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("head"))
-    near = heads.join(q, "head").select("doc_id", "item_id", "quote")
-    return near.join(d.select("doc_id", "whole"), "doc_id").where(F.contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")), F.concat(F.lit(" "), F.col("quote"), F.lit(" ")))).select("item_id", "doc_id").distinct()
+    import ahocorasick
+
+    q = quotes.select("item_id", words_alone(F.col("text")).alias("quote")).where("length(trim(quote)) > 0")
+    size = q.agg(F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("n")).first().n
+    d, passes = documents.select("doc_id", words_alone(F.col("text")).alias("whole")).where("whole IS NOT NULL"), max(1, -(-size // QUOTE_BYTES))
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((quotes, "item_id"), (documents, "doc_id"))}
+    out = []
+    for k in range(passes):
+        own: dict[str, list] = {}
+        for r in q.where(F.pmod(F.xxhash64("quote"), F.lit(passes)) == k).collect():
+            own.setdefault(r.quote, []).append(r.item_id)
+        sent = documents.sparkSession.sparkContext.broadcast(own)
+
+        def find(batches, sent=sent):
+            automaton = ahocorasick.Automaton()
+            for quote, items in sent.value.items():
+                automaton.add_word(quote, items)
+            automaton.make_automaton()
+            for pdf in batches:
+                rows = [(i, doc) for doc, whole in zip(pdf.doc_id, pdf.whole, strict=True) if len(automaton) for i in {i for _, items in automaton.iter(whole) for i in items}]
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+
+        out.append(d.mapInPandas(find, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}"))
+    found = out[0]
+    for other in out[1:]:
+        found = found.unionByName(other)
+    return found.distinct()
+
+
+def divergence(quote: Column, text: Column, window: int = 120) -> Column:
+    """Where a text stops to agree with a quote: the length of the quote's longest start that stands in the text, and how
+    both go on from there (null for the text if no start does)."""
+    lengths = F.filter(F.sequence(F.lit(0), F.length(quote)), lambda n: F.instr(text, F.substr(quote, F.lit(1), n)) > 0)
+    n = F.coalesce(F.array_max(F.when(F.length(quote) > 0, lengths)), F.lit(0))
+    at = F.instr(text, F.substr(quote, F.lit(1), n))
+    return F.struct(n.alias("agrees"), F.substr(quote, n + 1, F.lit(window)).alias("quote_goes_on"), F.when(n > 0, F.substr(text, at + n, F.lit(window))).alias("text_goes_on"))
 
 
 def entities(text: Column, pattern: str) -> Column:
@@ -51,19 +89,36 @@ def link_class(status: Column, secure: Column) -> Column:
     return F.when(status.isNull(), "unreached").when(status.between(200, 299) & secure, "ok").when(status.between(200, 399), "moved").when(status.isin(401, 403, 429), "refused").otherwise("broken")
 
 
+def letters(name: Column) -> Column:
+    """Letters and digits alone, small."""
+    return F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+
+
 def fuzzy(guesses: DataFrame, names: DataFrame, cutoff: float = 0.9) -> DataFrame:
-    """guess, name, how: the same, the same but for case, or the most similar name (1 - edits / longer length).
+    """guess, name, how: the same, the same but for case, or the most similar name (1 - edits / longer length, of
+    letters and digits alone) at cutoff or above; of equal ones the first.
 
-    names is a list of real names of bounded number; guesses of a name's first letter and length alone are compared.
+    A name that so few edits turn into a guess keeps at least one of its pieces: it is cut into one piece more than there
+    may be edits, and the guess is asked for each where it may stand. So only names with a piece in common are compared.
     """
-    g, n = guesses.select("guess").distinct(), names.select("name").distinct()
-    key = [F.lower(F.substring("guess", 1, 1)).alias("k"), F.explode(F.sequence(F.floor(F.length("guess") * cutoff).cast("int"), F.ceil(F.length("guess") / cutoff).cast("int"))).alias("m")]
-    both = g.select("guess", *key).join(n.select("name", F.lower(F.substring("name", 1, 1)).alias("k"), F.length("name").alias("m")), ["k", "m"])
-    like = 1 - F.levenshtein(F.lower("guess"), F.lower("name")) / F.greatest(F.length("guess"), F.length("name"))
-    both = both.withColumn("how", F.when(F.col("guess") == F.col("name"), "exact").when(F.lower("guess") == F.lower("name"), "case").otherwise("similar"))
-    both = both.withColumn("like", F.when(F.col("how") == "exact", 3.0).when(F.col("how") == "case", 2.0).otherwise(like)).where(F.col("like") >= cutoff)
-    best = both.withColumn("n", F.row_number().over(Window.partitionBy("guess").orderBy(F.desc("like"), "name"))).where("n = 1")
-    return g.join(best.select("guess", "name", "how"), "guess", "left")
+    g = guesses.select("guess").distinct().withColumn("g", letters(F.col("guess"))).withColumn("m", F.length("g"))
+    n = names.select("name").distinct().withColumn("n", letters(F.col("name"))).withColumn("len", F.length("n"))
+    edits = F.floor(F.ceil(F.col("len") / cutoff) * (1 - cutoff) + 1e-9).cast("int")
+    start = lambda i: F.floor(i * F.col("len") / (F.col("edits") + 1)).cast("int")
+    pieces = n.withColumn("edits", edits).withColumn("i", F.explode(F.sequence(F.lit(0), "edits")))
+    pieces = pieces.select("name", "n", "len", "i", F.substr("n", start(F.col("i")) + 1, start(F.col("i") + 1) - start(F.col("i"))).alias("piece"))
+    asked = g.withColumn("len", F.explode(F.sequence(F.floor(F.col("m") * cutoff).cast("int"), F.ceil(F.col("m") / cutoff).cast("int")))).where("len > 0")
+    asked = asked.withColumn("edits", edits).withColumn("i", F.explode(F.sequence(F.lit(0), "edits"))).withColumn("shift", F.explode(F.sequence(-F.col("edits"), F.col("edits"))))
+    asked = asked.withColumn("at", start(F.col("i")) + F.col("shift")).where("at >= 0 AND at <= m")
+    asked = asked.select("guess", "g", "m", "len", "i", F.substr("g", F.col("at") + 1, start(F.col("i") + 1) - start(F.col("i"))).alias("piece")).distinct()
+    near = asked.join(pieces, ["len", "i", "piece"]).select("guess", "g", "m", "name", "n", "len").distinct()
+    like = 1 - F.levenshtein("g", "n") / F.greatest("m", "len")
+    named = near.select("guess", "name", F.lit("similar").alias("how"), like.alias("like"))
+    same = g.join(n.select("name", F.lower("name").alias("k")), F.lower(F.col("guess")) == F.col("k"))
+    exact = F.col("guess") == F.col("name")
+    named = named.unionByName(same.select("guess", "name", F.when(exact, "exact").otherwise("case").alias("how"), F.when(exact, 3.0).otherwise(2.0).alias("like")))
+    best = named.where(F.col("like") >= cutoff - 1e-12).withColumn("n", F.row_number().over(Window.partitionBy("guess").orderBy(F.desc("like"), "name"))).where("n = 1")
+    return g.select("guess").join(best.select("guess", "name", "how"), "guess", "left")
 
 
 def without_page_numbers(pages: DataFrame) -> DataFrame:

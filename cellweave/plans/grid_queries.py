@@ -635,7 +635,7 @@ def bad_dates(spark, sf):
 
 @query
 def sato(spark, sf):
-    return rounded(kernels.over_tiles(ship_grid(spark, sf).select("r", "c", "v"), kernels.ridgeness, 128, 16), 3)
+    return rounded(kernels.over_tiles(ship_grid(spark, sf).select("r", "c", "v"), kernels.ridgeness, 128, kernels.hessian_halo(3.0)), 3)
 
 
 @query
@@ -655,7 +655,8 @@ def frangi(spark, sf):
 
 @query
 def thin(spark, sf):
-    return kernels.thin_regions(regions.regions(truth_of(event_cells(spark, sf))))
+    cells = event_cells(spark, sf)
+    return kernels.thin_cover(field_of(cells).where("p > 0.05").withColumn("k", F.lit(0)), "k").select("r", "c")
 
 
 @query

@@ -78,7 +78,7 @@ def test_folds(spark):
     col_of = {v: i for i, g in enumerate(np.array_split(np.arange(7), 2)) for v in g}
     want = {b: row_of[y] * 2 + col_of[x] if v else -1 for b, y, x, _, v in rows}
     assert {x.block: x.fold for x in partition.contiguous_folds(t).collect()} == want
-    assert partition.super_grid(8, 7, 5) == (5, 1) and partition.super_grid(3, 9, 3) == (1, 3)
+    assert partition.fold_shape(5, 8 / 7) == (5, 1) and partition.fold_shape(3, 3 / 9) == (1, 3) and partition.fold_shape(6, 1.0) == (2, 3) and partition.fold_shape(6, 3.0) == (3, 2)
 
 
 def test_collar_is_a_square(spark):
@@ -139,9 +139,8 @@ def test_focal(spark):
 def test_tiles_do_not_show(spark):
     a = np.random.default_rng(2).normal(size=(40, 37))
     g = spark.createDataFrame([(y, x, float(a[y, x])) for y in range(40) for x in range(37)], "r int, c int, v double")
-    for fn, halo in ((kernels.ridgeness, 16), (kernels.coherence, 8)):
-        pad = np.pad(a, halo, mode="edge")
-        want = fn(pad)[halo:-halo, halo:-halo]
+    for fn, halo in ((kernels.ridgeness, kernels.hessian_halo(3.0)), (kernels.coherence, 8)):
+        want = fn(a)
         assert all(x.x == pytest.approx(want[x.r, x.c], abs=1e-9) for x in kernels.over_tiles(g, fn, 16, halo).collect())
 
 
@@ -151,12 +150,20 @@ def test_distances_and_thinning(spark):
     cells = [(y, x) for y in range(0, 30, 3) for x in range(0, 30, 4)]
     got = kernels.distance_to(spark.createDataFrame(cells, TRUTH), spark.createDataFrame(truth, TRUTH)).collect()
     assert len(got) == len(cells) and all(x.d == pytest.approx(min(math.dist((x.r, x.c), t) for t in truth)) for x in got)
-    m = np.zeros((30, 40), bool)
-    m[10:17, 5:35] = True
-    kept = kernels.dominating(m)
-    y, x = np.nonzero(kept)
-    assert (kept & ~m).sum() == 0 and kept.sum() < m.sum() / 3
-    assert all(min((y - a) ** 2 + (x - b) ** 2) <= 9 for a, b in zip(*np.nonzero(m), strict=True))
+    masks = [np.zeros((70, 60), bool) for _ in range(3)]
+    masks[0][10:17, 5:35] = True
+    masks[1][3:66, 4:52] = True
+    masks[1][20:30, 20:40] = False
+    masks[2] |= np.random.default_rng(1).random((70, 60)) < 0.6
+    rows = [(k, int(y), int(x), 0.5) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m), strict=True)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, p double")
+    lines, cover = kernels.skeleton(df, "k", 24).collect(), kernels.thin_cover(df, "k", 3, 24).collect()
+    for k, m in enumerate(masks):
+        whole = kernels.zhang_suen(m, 1000)
+        assert {(x.r, x.c) for x in lines if x.k == k} == set(zip(*(v.tolist() for v in np.nonzero(whole)), strict=True))
+        kept = np.array([(x.r, x.c) for x in cover if x.k == k])
+        assert m[kept[:, 0], kept[:, 1]].all() and (k == 2 or len(kept) < m.sum() / 2)  # noise has no lines to thin to
+        assert all(((kept - [a, b]) ** 2).sum(1).min() <= 9 for a, b in zip(*np.nonzero(m), strict=True))
 
 
 def test_runs_and_quanta(spark):
@@ -186,6 +193,39 @@ def test_text(spark):
     g = spark.createDataFrame([("Alpha River",), ("alpha river",), ("Alpha Rivet",), ("zzz",)], "guess string")
     got = {x.guess: (x.name, x.how) for x in text.fuzzy(g, spark.createDataFrame([("Alpha River",), ("Beta",)], "name string")).collect()}
     assert got == {"Alpha River": ("Alpha River", "exact"), "alpha river": ("Alpha River", "case"), "Alpha Rivet": ("Alpha River", "similar"), "zzz": (None, None)}
+    r, names = random.Random(4), set()
+    while len(names) < 60:
+        names.add("".join(r.choice("abc -") for _ in range(r.randint(1, 24))))
+    asked = {*names, *("".join(r.choice("abcd") if r.random() < 0.08 else x for x in n)[r.randint(0, 1) :] for n in names), ""}
+    fold = lambda x: "".join(c for c in x.lower() if c.isalnum())
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = step(row, i, x, b)
+        return row[-1]
+
+    def step(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        return new
+
+    got = {x.guess: x for x in text.fuzzy(spark.createDataFrame([(x,) for x in asked], "guess string"), spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+    for q in asked:
+        like = {n: 3 if n == q else 2 if n.lower() == q.lower() else 1 - edits(fold(q), fold(n)) / max(len(fold(q)), len(fold(n))) if fold(q) or fold(n) else 0 for n in names}
+        best = max(like.values())
+        assert got[q].name == (min(n for n in names if like[n] == best) if best >= 0.9 - 1e-12 else None)
+
+
+def test_quotes_and_their_ends(spark):
+    docs = spark.createDataFrame([(1, "He said: “one\u00a0two — three” and ﬁne cut-\n ting."), (2, "onetwo three"), (3, None), (4, "")], "doc_id int, text string")
+    quotes = spark.createDataFrame([("a", "two - three"), ("b", "fine cutting."), ("c", "one"), ("d", ""), ("e", None), ("f", "He said: \"one two"), ("g", "three\" and")], "item_id string, text string")
+    want = {("b", 1), ("f", 1), ("g", 1)}
+    assert {tuple(x) for x in text.quoted(docs, quotes).collect()} == want
+    d = text.divergence(F.col("q"), F.col("t"), 5)
+    got = spark.createDataFrame([("abcdef", "xxabcxyz"), ("q", "abc"), ("", "abc")], "q string, t string").select(d.alias("d")).collect()
+    assert [tuple(x.d) for x in got] == [(3, "def", "xyz"), (0, "q", None), (0, "", None)]
 
 
 def test_sources(spark, tmp_path):
