@@ -86,3 +86,13 @@ def focal_tversky_loss(p: Column, y: Column, gamma: float = 0.75, alpha: float =
 def cross_entropy(p: Column, y: Column, eps: float = 1e-7) -> Column:
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
     return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))
+
+
+def distance_weighted_loss(tp: Column, fp: Column, n_gt: Column, background: Column | float = 0.0) -> Column:
+    """1 - the index of a patch; without truth a price for false mass, background times its share within 0..1 (none by default)."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fp))
+    return F.when(n_gt > 0, 1 - tp / (tp + ALPHA * fp + BETA * (n_gt - tp) + EPS)).otherwise(background * share)
+
+
+def combined_loss(entropy: Column, weighted: Column, focal: Column, weights: tuple[float, float, float] = (0.3, 0.5, 0.2)) -> Column:
+    return weights[0] * entropy + weights[1] * weighted + weights[2] * focal

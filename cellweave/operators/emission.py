@@ -56,6 +56,13 @@ def weighted_mean(pred: DataFrame, weights: DataFrame) -> DataFrame:
     return pred.where(F.col("p").isNotNull() & ~F.isnan("p")).join(F.broadcast(weights), "candidate").groupBy("r", "c").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
 
 
+def softmax_weights(scores: DataFrame, sharpness: float = 8.0) -> DataFrame:
+    """candidate, w: exp(sharpness * (dti - the greatest)), over their sum."""
+    top = scores.agg(F.max("dti").alias("top"))
+    raw = scores.crossJoin(F.broadcast(top)).select("candidate", F.exp(sharpness * (F.col("dti") - F.col("top"))).alias("x"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.sum("x").alias("all")))).select("candidate", (F.col("x") / F.col("all")).alias("w"))
+
+
 def shifted(pred: DataFrame, radius: int, width: int) -> DataFrame:
     """pred at the identity and eight compass shifts: shift, dy, dx, r, c, p; what leaves the columns is lost."""
     steps = [(0, 0), *[(y * radius, x * radius) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]]

@@ -100,3 +100,16 @@ def tri(grid: DataFrame) -> DataFrame:
     )
     other = grid.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("v").alias("nv"))
     return asked.join(other, ["nr", "nc"]).groupBy("r", "c").agg((F.sum(F.abs(F.col("nv") - F.col("v"))) / 9).alias("tri"))
+
+
+def dem_stack(grid: DataFrame, step: float = 100.0) -> DataFrame:
+    """r, c, slope, curvature, tpi, tri, hillshade of a grid (r, c, v) with holes: they take the median while derivatives are
+    computed, and are left out of the result."""
+    middle = grid.agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    box = dense(grid).select("r", "c", "v", "valid").crossJoin(F.broadcast(middle))
+    full = box.select("r", "c", F.when(F.col("valid"), F.col("v")).otherwise(F.col("m")).alias("v"), "valid")
+    out = full.where("valid").select("r", "c")
+    parts = (slope(full, step).select("r", "c", "slope"), curvature(full, step).select("r", "c", "curvature"), tpi(full).select("r", "c", "tpi"), tri(full), hillshade(full, step=step).select("r", "c", F.col("shade").alias("hillshade")))
+    for part in parts:
+        out = out.join(part, ["r", "c"])
+    return out

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators import focal
 from cellweave.operators.scoring import spread
 from cellweave.sources.shared import stored
 
@@ -221,3 +222,23 @@ def thin_cover(mask: DataFrame, key: str, radius: int = 3, tile: int = 128) -> D
     far = own.join(near, ["of", "r", "c"], "left_anti").withColumns({"y": F.floor(F.col("r") / side), "x": F.floor(F.col("c") / side)})
     best = far.groupBy("of", "y", "x").agg(F.min(F.struct((-F.col("p")).alias("p"), "r", "c")).alias("m"))
     return lines.unionByName(best.select("of", F.col("m.r").alias("r"), F.col("m.c").alias("c"))).withColumnRenamed("of", key)
+
+
+def feature_matrix(grid: DataFrame, bands: dict[str, list[str]], sizes=(5, 11), tile: int = 128) -> DataFrame:
+    """r, c and the columns of the model matrix in their order: every band of grid (r, c, bands); ridge_b of the bands under
+    ridge; coher_b of those under coher; mean5_b, std5_b, mean11_b, std11_b of those under window. Null where the band is.
+
+    A missing value counts as 0 while a filter passes over it.
+    """
+    own = [c for c in grid.columns if c not in ("r", "c")]
+    out = grid
+    for prefix, fn, halo in (("ridge", ridgeness, hessian_halo(3.0)), ("coher", coherence, 8)):
+        for b in bands.get(prefix, []):
+            found = over_tiles(grid.select("r", "c", F.coalesce(b, F.lit(0.0)).alias("v")), fn, tile, halo)
+            out = out.join(found.withColumnRenamed("x", "found"), ["r", "c"]).withColumn(f"{prefix}_{b}", F.when(F.col(b).isNotNull(), F.col("found"))).drop("found")
+    for b in bands.get("window", []):
+        cells = focal.dense(grid.select("r", "c", F.col(b).cast("double").alias("v")))
+        for n in sizes:
+            found = focal.window_stats(cells, n).select("r", "c", F.col("mean").alias(f"mean{n}_{b}"), F.col("std").alias(f"std{n}_{b}"))
+            out = out.join(found, ["r", "c"])
+    return out.select("r", "c", *own, *[c for c in out.columns if c not in ("r", "c", *own)])

@@ -41,21 +41,35 @@ def marginal_gain(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("step", F.lead("dti").over(w) - F.col("dti")).where("step IS NOT NULL")
 
 
-def calibrated(folds: DataFrame) -> DataFrame:
-    """candidate, mean: the mean score over folds of each candidate (fold, candidate, dti)."""
-    return folds.groupBy("candidate").agg(F.avg("dti").alias("mean"))
+def width_gains(sweep: DataFrame) -> DataFrame:
+    """n, low, mean, high of width_gain over the floors."""
+    return width_gain(sweep).agg(F.count("gain").alias("n"), F.min("gain").alias("low"), F.avg("gain").alias("mean"), F.max("gain").alias("high"))
+
+
+def calibrated(folds: DataFrame, seed=None) -> DataFrame:
+    """candidate, mean, best: the mean score over folds of each candidate (fold, candidate, dti), and which is chosen: the
+    first of the greatest, by candidate; the candidate seed, the field as it is, where none is above it."""
+    means = folds.groupBy("candidate").agg(F.avg("dti").alias("mean"))
+    first = F.row_number().over(Window.orderBy(F.desc(F.round("mean", 9)), F.desc(F.col("candidate") == F.lit(seed)) if seed is not None else F.asc("candidate"), "candidate"))
+    return means.withColumn("best", first == 1)
 
 
 def leave_one_out(folds: DataFrame) -> DataFrame:
-    """held, candidate (best mean on the other folds), dti on the held fold, oracle (the best there), regret."""
+    """held, candidate (best mean on the other folds), dti on the held fold, oracle (the best there), regret.
+
+    Fewer than three folds leave too little to learn from: then all but held is null.
+    """
     held = folds.select(F.col("fold").alias("held")).distinct()
+    n = held.agg(F.count("*").alias("folds"))
     others = folds.join(F.broadcast(held), F.col("fold") != F.col("held"))
     means = others.groupBy("held", "candidate").agg(F.avg("dti").alias("mean"))
     w = Window.partitionBy("held").orderBy(F.desc(F.round("mean", 9)), "candidate")
     pick = means.withColumn("n", F.row_number().over(w)).where("n = 1").select("held", "candidate")
     own = folds.withColumnRenamed("fold", "held")
     best = own.groupBy("held").agg(F.max("dti").alias("oracle"))
-    return pick.join(own, ["held", "candidate"]).join(best, "held").select("held", "candidate", "dti", "oracle", (F.col("oracle") - F.col("dti")).alias("regret"))
+    out = pick.join(own, ["held", "candidate"]).join(best, "held").withColumn("regret", F.col("oracle") - F.col("dti"))
+    every = held.join(out, "held", "left").crossJoin(F.broadcast(n))
+    return every.select("held", *[F.when(F.col("folds") >= 3, F.col(c)).alias(c) for c in ("candidate", "dti", "oracle", "regret")])
 
 
 def sign_agreement(scores: DataFrame, reference) -> DataFrame:
@@ -75,6 +89,11 @@ def cross_rank(sweeps: DataFrame, limit: int) -> DataFrame:
     return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("candidate", "worst", "mean", "rank")
 
 
+def rank_of(ranked: DataFrame, candidate) -> DataFrame:
+    """The rank of a candidate in a list, and its length; null where the list lacks it."""
+    return ranked.agg(F.max(F.when(F.col("candidate") == candidate, F.col("rank"))).alias("rank"), F.count("*").alias("n"))
+
+
 def reliability(n_scoreable: Column, least: int = 12) -> Column:
     return F.when(n_scoreable >= least, "readable").otherwise("too few blocks")
 
@@ -90,13 +109,6 @@ def decision(conditions: dict[str, Column]) -> Column:
     return F.when(n == len(conditions), "ADOPT").when(n == 0, "KEEP").otherwise("CONFLICT")
 
 
-def degradations(before: DataFrame, after: DataFrame, order: list[str]) -> DataFrame:
-    """Checks whose status fell: name, old, new; order runs from worst to best."""
-    level = F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)])
-    both = before.select("name", F.col("status").alias("old")).join(after.select("name", F.col("status").alias("new")), "name", "left")
-    return both.where(F.coalesce(level[F.col("new")], F.lit(-1)) < level[F.col("old")])
-
-
 def exposure(members: DataFrame) -> DataFrame:
     """Difference in differences, halved: (treated - control) after less the same before, over members."""
     cell = lambda a, b: F.avg(F.when((F.col("treated") == a) & (F.col("exposed") == b), F.col("score")))

@@ -39,7 +39,7 @@ def bases(field: DataFrame, policy: DataFrame, radius: int = 3) -> DataFrame:
     return stored(kept.unionByName(whole), "bases")
 
 
-def grown(kept: DataFrame, policy: DataFrame, inside: Column) -> DataFrame:
+def grown(kept: DataFrame, policy: DataFrame, inside: Column | str) -> DataFrame:
     """candidate, r, c, p of each policy over its base (base, r, c): a hard band of its width, or with soft a ramp."""
     first = policy.groupBy("t0").agg(F.min("candidate").alias("first"))
     asked = policy.join(first, "t0").select("candidate", "width", "soft", "gamma", (F.col("first") * 2 + F.col("thin").cast("int")).alias("base"))
@@ -50,12 +50,12 @@ def grown(kept: DataFrame, policy: DataFrame, inside: Column) -> DataFrame:
     return met.select("candidate", "r", "c", F.when(F.col("soft"), ramp).otherwise(1.0).alias("p"))
 
 
-def shaped(field: DataFrame, policy: DataFrame, inside: Column, radius: int = 3) -> DataFrame:
+def shaped(field: DataFrame, policy: DataFrame, inside: Column | str, radius: int = 3) -> DataFrame:
     """candidate, r, c, p: full shaping of a field (r, c, p): floor, thin, then band or ramp, cut to inside (of r, c)."""
     return grown(bases(field, policy, radius), policy, inside)
 
 
-def pruned_sweep(field: DataFrame, truth: DataFrame, policy: DataFrame, inside: Column, cap: int, radius: int = 3) -> DataFrame:
+def pruned_sweep(field: DataFrame, truth: DataFrame, policy: DataFrame, inside: Column | str, cap: int, radius: int = 3) -> DataFrame:
     """policy with emitted_px, duplicate_of, skipped and the scores of each candidate; what need not be is not scored.
 
     Floors that keep as many cells keep the same ones: the later ones take the first's rows (duplicate_of, its t0). A
@@ -82,7 +82,7 @@ def cross_dilated(mask: DataFrame) -> DataFrame:
     return mask.select("r", "c").withColumn("o", steps).select((F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c")).distinct()
 
 
-def postprocessed(field: DataFrame, inside: Column, threshold: float = 0.15, close: int = 3, least: int = 5, vessel_weight: float | None = None, boost: bool = True) -> DataFrame:
+def postprocessed(field: DataFrame, inside: Column | str, threshold: float = 0.15, close: int = 3, least: int = 5, vessel_weight: float | None = None, boost: bool = True) -> DataFrame:
     """r, c, p, kept: ridges enhanced (with vessel_weight), cut at the threshold, closed, grown by four neighbours, small
     regions (of four neighbours, below least cells) dropped; p of what is kept is the threshold at least, if that is below 0.5."""
     field = field.select("r", "c", "p") if vessel_weight is None else kernels.vessel_blend(field, vessel_weight)

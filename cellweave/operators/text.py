@@ -147,3 +147,36 @@ def policy(name: Column) -> tuple[Column, Column]:
     """Floor and width that a policy's name tells, null where it does not."""
     t, w = (F.regexp_extract(name, "t0_([0-9.]+)_width([0-9]+)px", i) for i in (1, 2))
     return F.when(t != "", t.cast("double")), F.when(w != "", w.cast("int"))
+
+
+def json_first(doc: Column, paths: list[str]) -> Column:
+    """The value at the first of paths that a JSON document has, as text; null if it has none or is no JSON."""
+    return F.coalesce(*[F.get_json_object(doc, p) for p in paths])
+
+
+def link_audit(pages: DataFrame, hosts: list[str]) -> DataFrame:
+    """page_id, href, problem of links in pages (page_id, url, html): another host (none of hosts, nor below one), or no
+    page (a local link whose path no page's url has)."""
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]*)'), F.lit(1))).alias("href")).distinct()
+    own = host(F.col("href"))
+    known = F.lit(False)
+    for h in hosts:
+        known = known | (own == h) | own.endswith("." + h)
+    away = links.where((own != "") & ~known).withColumn("problem", F.lit("another host"))
+    paths = pages.select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("href")).distinct()
+    local = links.where(F.col("href").startswith("/")).join(paths, "href", "left_anti").select("page_id", "href").withColumn("problem", F.lit("no page"))
+    return away.unionByName(local)
+
+
+#: Letters that recognition gives for digits, and the digits.
+READ_WRONG, READ_RIGHT = "OolIS", "00115"
+
+
+def repaired_addresses(documents: DataFrame) -> DataFrame:
+    """source, found, repaired, rejected: things like four numbers between dots in documents (source, text), those of them
+    that are addresses only after letters were put right, and those that still are none (a number above 255)."""
+    like = "[.]".join(["[0-9OolIS]{1,3}"] * 4)
+    each = documents.select("source", F.explode(entities(F.col("text"), like)).alias("raw"))
+    each = each.withColumn("fine", F.translate("raw", READ_WRONG, READ_RIGHT))
+    good = F.forall(F.split("fine", "[.]"), lambda x: x.cast("int") <= 255)
+    return each.groupBy("source").agg(F.count("*").alias("found"), F.count_if(good & (F.col("raw") != F.col("fine"))).alias("repaired"), F.count_if(~good).alias("rejected"))

@@ -103,12 +103,17 @@ sized AS (SELECT region, count(*) AS px, min(r) AS r0, max(r) AS r1, min(c) AS c
 """
 
 
-WINDOWS = """
-wr AS (SELECT unnest([0, 48, 96]) AS win_r), wc AS (SELECT unnest(range(0, 656, 48) || [656]) AS win_c),
-inw AS (SELECT r, c, p, win_r, win_c FROM main JOIN wr ON r BETWEEN win_r AND win_r + 63 JOIN wc ON c BETWEEN win_c AND win_c + 63 WHERE r < 160)
+STARTS = "(SELECT unnest(list_distinct(range(0, greatest(0, {n} - 64), 48) || [greatest(0, {n} - 64)])) AS w{of})"
+WINDOWS = f"""
+high AS (SELECT CAST(max(r) + 1 AS BIGINT) AS h FROM main),
+inw AS (SELECT r, c, p, a.w AS win_r, b.w AS win_c FROM main JOIN {STARTS.format(n='h', of=' FROM high')} a ON r BETWEEN a.w AND a.w + 63 JOIN {STARTS.format(n='720', of='')} b ON c BETWEEN b.w AND b.w + 63)
 """
-FOLDED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '-\\n', '', 'g')"
-TIDY = "trim(regexp_replace(" + FOLDED + ", '[ \\t\\n\\r]+', ' ', 'g'))"
+VIEWS = ", ".join(f"{{'view': {i}, 'y': {y}}}" for i, y in enumerate(["y", "x", "63 - y", "63 - x"] * 2))
+ORDER_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split())
+FOLDED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '-\\s*\\n\\s*', '', 'g')"
+TIDY = "trim(regexp_replace(" + FOLDED + ", '\\s+', ' ', 'g'))"
+
+LETTERS = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
 
 ORACLE_SQL = {
     "kernel_offsets": f"WITH {EV} SELECT dy, dx, round(d, 6) AS d, round(k, 6) AS k FROM disk",
@@ -222,24 +227,23 @@ ORACLE_SQL = {
       SELECT candidate, CASE n WHEN 3 THEN 'ADOPT' WHEN 0 THEN 'KEEP' ELSE 'CONFLICT' END AS verdict FROM x""",
     "text_norm": f"SELECT doc_id, md5({TIDY.format('text')}) AS digest FROM documents",
     "quote_check": f"""WITH d AS (SELECT doc_id, {TIDY.format('lower(text)')} AS t FROM documents), q AS (SELECT item_id, {TIDY.format('lower(text)')} AS t FROM benchmark)
-      SELECT DISTINCT item_id, doc_id FROM q, d WHERE len(string_split(q.t, ' ')) >= 8 AND len(string_split(d.t, ' ')) >= 8 AND contains(' ' || d.t || ' ', ' ' || q.t || ' ')""",
+      SELECT DISTINCT item_id, doc_id FROM q, d WHERE q.t <> '' AND contains(' ' || d.t || ' ', ' ' || q.t || ' ')""",
     "entity_extract": "WITH x AS (SELECT source, unnest(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS e FROM documents) SELECT source, count(*) AS n, count(DISTINCT e) AS n_distinct FROM x GROUP BY source",
     "link_classify": """WITH x AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, starts_with(url, 'https:') AS s, page_id % 4 * 101 + 200 AS st FROM pages)
       SELECT host, CASE WHEN st BETWEEN 200 AND 299 AND s THEN 'ok' WHEN st BETWEEN 200 AND 399 THEN 'moved' WHEN st IN (401, 403, 429) THEN 'refused' ELSE 'broken' END AS class, count(*) AS n FROM x GROUP BY ALL""",
     "page_links": """WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM x GROUP BY href""",
-    "fuzzy_match": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT DISTINCT lower(p_name) AS guess FROM part UNION SELECT substr(p_name, 1, 6) || substr(p_name, 8, 50) FROM part),
-      x AS (SELECT guess, name, CASE WHEN guess = name THEN 'exact' WHEN lower(guess) = lower(name) THEN 'case' ELSE 'similar' END AS how, CASE WHEN guess = name THEN 3 WHEN lower(guess) = lower(name) THEN 2 ELSE 1 - levenshtein(lower(guess), lower(name)) / greatest(length(guess), length(name))::DOUBLE END AS likeness FROM g JOIN n ON lower(guess[1]) = lower(name[1]) AND length(name) BETWEEN floor(length(guess) * 0.9) AND ceil(length(guess) / 0.9)),
-      b AS (SELECT * FROM x WHERE likeness >= 0.9 QUALIFY row_number() OVER (PARTITION BY guess ORDER BY likeness DESC, name) = 1) SELECT g.guess, b.name, b.how FROM g LEFT JOIN b ON b.guess = g.guess""",
+    "fuzzy_match": f"""WITH n AS (SELECT DISTINCT p_name AS name, {LETTERS.format('p_name')} AS n FROM part), g AS (SELECT DISTINCT guess, {LETTERS.format('guess')} AS g FROM (SELECT lower(p_name) AS guess FROM part UNION ALL SELECT substr(p_name, 1, 6) || substr(p_name, 8, 50) FROM part)),
+      x AS (SELECT guess, name, CASE WHEN guess = name THEN 'exact' WHEN lower(guess) = lower(name) THEN 'case' ELSE 'similar' END AS how, CASE WHEN guess = name THEN 3 WHEN lower(guess) = lower(name) THEN 2 ELSE 1 - levenshtein(g, n) / greatest(length(g), length(n))::DOUBLE END AS likeness FROM g, n),
+      b AS (SELECT * FROM x WHERE likeness >= 0.9 - 1e-12 QUALIFY row_number() OVER (PARTITION BY guess ORDER BY likeness DESC, name) = 1) SELECT g.guess, b.name, b.how FROM g LEFT JOIN b ON b.guess = g.guess""",
     "page_furniture": """WITH c AS (SELECT conv_id AS key, turn AS page, turn || text AS t FROM conversations), l AS (SELECT key, page, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^ *[0-9]{1,4} *$')), chr(10)) AS body FROM c), w AS (SELECT *, lag(body) OVER (PARTITION BY key ORDER BY page) AS b FROM l)
       SELECT key, page, md5(CASE WHEN b IS NOT NULL AND NOT regexp_matches(b, '[.!?:] *$') AND regexp_matches(body, '^[0-9]{1,4}[A-Za-z]') THEN regexp_replace(body, '^[0-9]{1,4}', '') ELSE body END) AS digest FROM w""",
     "class_vocabulary": 'SELECT event_type AS "class", CAST(row_number() OVER (ORDER BY event_type) AS INT) AS id FROM (SELECT DISTINCT event_type FROM events)',
-    "table_fingerprint": "SELECT o_orderstatus, count(*) AS n, min(h) AS low, max(h) AS high FROM (SELECT o_orderstatus, md5(concat_ws('|', o_orderkey, o_custkey, o_orderpriority)) AS h FROM orders) GROUP BY o_orderstatus",
+    "table_fingerprint": f"SELECT o_orderstatus, count(*) AS n, CAST(sum(h) % 4611686018427387904 AS BIGINT) AS s, bit_xor(h) AS x FROM (SELECT o_orderstatus, CAST('0x' || substr(md5({ORDER_TEXT}), 1, 15) AS BIGINT) AS h FROM orders) GROUP BY o_orderstatus",
     "resample_mean": f"WITH {SHIP} SELECT r // 4 AS r, c // 4 AS c, round(avg(round(v * 100)), 4) AS v FROM li GROUP BY 1, 2",
     "window_counts": f"WITH {EV}, {WINDOWS} SELECT CAST(win_r AS INT) AS win_r, CAST(win_c AS INT) AS win_c, count(*) AS px FROM inw GROUP BY ALL",
     "window_stitch": f"WITH {EV}, {WINDOWS} SELECT r, c, round(sum(p * exp(-((r - win_r - 31.5) * (r - win_r - 31.5) + (c - win_c - 31.5) * (c - win_c - 31.5))::DOUBLE / 512)) / sum(exp(-((r - win_r - 31.5) * (r - win_r - 31.5) + (c - win_c - 31.5) * (c - win_c - 31.5))::DOUBLE / 512)), 6) AS p FROM inw GROUP BY ALL",
     "losses": f"""WITH {EV}, d AS (SELECT p, CASE WHEN t.r IS NULL THEN 0 ELSE 1 END AS y FROM main m LEFT JOIN truth t ON t.r = m.r AND t.c = m.c), s AS (SELECT sum(p * y) AS tp, sum(p * (1 - y)) AS fp, sum((1 - p) * y) AS fn, avg(-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p))))) AS e FROM d),
       l AS (SELECT 1 - (tp + 1e-6) / (tp + 0.2::DOUBLE * fp + 0.8::DOUBLE * fn + 1e-6) AS t, e FROM s) SELECT round(t, 6) AS tversky, round(pow(t, 0.75), 6) AS focal, round(e, 6) AS entropy FROM l""",
-    "symmetry_views": f"""WITH {EV}, f AS (SELECT * FROM main WHERE r < 64 AND c < 64), v AS (SELECT p, unnest([{{'view': 0, 'y': r}}, {{'view': 1, 'y': c}}, {{'view': 2, 'y': 63 - r}}, {{'view': 3, 'y': 63 - c}}, {{'view': 4, 'y': r}}, {{'view': 5, 'y': c}}, {{'view': 6, 'y': 63 - r}}, {{'view': 7, 'y': 63 - c}}]) AS s FROM f)
-      SELECT s.view AS "view", count(*) AS n, round(sum(s.y * p), 4) AS moment FROM v GROUP BY 1""",
+    "symmetry_views": f"WITH {EV}, v AS (SELECT p, unnest([{VIEWS}]) AS s FROM (SELECT r % 64 AS y, c % 64 AS x, p FROM main)) SELECT CAST(s.view AS INT) AS \"view\", count(*) AS n, round(sum(s.y * p), 4) AS moment FROM v GROUP BY 1",
     "bad_dates": "WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') AS day FROM orders) SELECT * FROM d WHERE try_strptime(day, '%Y-%m-%d') IS NULL",
 }

@@ -182,9 +182,6 @@ def test_leave_one_out_and_rules(spark):
     assert got == {0: (0, 0.6), 1: (1, 0.4), 2: (0, 0.9)}
     with pytest.raises(Exception, match="no score"):
         selection.winner(spark.createDataFrame([(1, None)], "candidate int, dti double"), F.desc("dti")).collect()
-    before = spark.createDataFrame([("a", "pass"), ("b", "fail"), ("c", "pass")], "name string, status string")
-    after = spark.createDataFrame([("a", "fail"), ("b", "pass")], "name string, status string")
-    assert sorted(x.name for x in selection.degradations(before, after, ["fail", "warn", "pass"]).collect()) == ["a", "c"]
 
 
 def test_text(spark):
