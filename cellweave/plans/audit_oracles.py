@@ -122,4 +122,14 @@ ORACLE_SQL = {
       SELECT candidate, round(mean, 6) AS mean, row_number() OVER (ORDER BY round(mean, 9) DESC, candidate = 30 DESC, candidate) = 1 AS best FROM m""",
     "fold_gap_signs": f"""WITH {EV}, {parts('fields', BLOCK)}, s AS (SELECT candidate, part, CASE WHEN n_gt > 0 THEN {DTI} END AS dti FROM comp), g AS (SELECT round(a.dti - b.dti, 9) AS gap FROM s a JOIN s b ON a.part = b.part AND a.candidate = 'purchase' AND b.candidate = 'click' WHERE a.dti IS NOT NULL AND b.dti IS NOT NULL)
       SELECT count(gap) AS n, round(avg(gap), 6) AS mean, round(min(gap), 6) AS low, round(max(gap), 6) AS high, round(max(gap) - min(gap), 6) AS spread, count(*) FILTER (gap > 1e-6) AS positive, count(*) FILTER (gap < -1e-6) AS negative, count(*) FILTER (abs(gap) <= 1e-6) AS near_zero FROM g""",
+    "gaussian_detrend": f"""WITH {SHIP}, g0 AS (SELECT x, exp(-x * x / 128::DOUBLE) AS w FROM range(-32, 33) t(x)), g AS MATERIALIZED (SELECT x, w / (SELECT sum(w) FROM g0) AS w FROM g0), full_ AS MATERIALIZED (SELECT * FROM dn),
+      a AS MATERIALIZED (SELECT r, c, greatest(r0, least(r1, r + x)) AS nr, w FROM full_, box, g), p AS MATERIALIZED (SELECT a.r, a.c, sum(w * f.v) AS v FROM a JOIN full_ f ON f.r = a.nr AND f.c = a.c GROUP BY a.r, a.c),
+      b AS MATERIALIZED (SELECT r, c, greatest(c0, least(c1, c + x)) AS nc, w FROM full_, box, g), q AS (SELECT b.r, b.c, sum(w * p.v) AS v FROM b JOIN p ON p.r = b.r AND p.c = b.nc GROUP BY b.r, b.c)
+      SELECT f.r, f.c, round(f.v - q.v, 3) AS x FROM full_ f JOIN q ON q.r = f.r AND q.c = f.c WHERE valid""",
+    "structure_coherence": f"""WITH {SHIP}, full_ AS MATERIALIZED (SELECT * FROM dn), s AS (SELECT unnest([-1, 0, 1]) AS s), n AS MATERIALIZED (SELECT f.r, f.c, y.s AS y, x.s AS x, f.r + y.s AS nr, f.c + x.s AS nc FROM full_ f, s y, s x),
+      d AS MATERIALIZED (SELECT n.r, n.c, sum(n.y * (2 - abs(n.x)) * f.v) AS dy, sum(n.x * (2 - abs(n.y)) * f.v) AS dx FROM n JOIN full_ f ON f.r = n.nr AND f.c = n.nc GROUP BY n.r, n.c),
+      g0 AS (SELECT x, exp(-x * x / 4.5::DOUBLE) AS w FROM range(-6, 7) t(x)), g AS MATERIALIZED (SELECT x, w / (SELECT sum(w) FROM g0) AS w FROM g0), a AS MATERIALIZED (SELECT r, c, r + x AS nr, w FROM full_, g), b AS MATERIALIZED (SELECT r, c, c + x AS nc, w FROM full_, g),
+      p AS MATERIALIZED (SELECT a.r, a.c, sum(w * dy * dy) AS yy, sum(w * dy * dx) AS yx, sum(w * dx * dx) AS xx FROM a JOIN d ON d.r = a.nr AND d.c = a.c GROUP BY a.r, a.c),
+      q AS MATERIALIZED (SELECT b.r, b.c, sum(w * yy) AS yy, sum(w * yx) AS yx, sum(w * xx) AS xx FROM b JOIN p ON p.r = b.r AND p.c = b.nc GROUP BY b.r, b.c)
+      SELECT f.r, f.c, round(CASE WHEN yy + xx > 0 THEN least(1, sqrt(greatest(0, (yy + xx) * (yy + xx) - 4 * (yy * xx - yx * yx))) / (yy + xx)) ELSE 0 END, 4) AS x FROM full_ f JOIN q ON q.r = f.r AND q.c = f.c WHERE valid""",
 }

@@ -477,21 +477,14 @@ def train_windows(spark, sf):
     foot = footprint_of(cells)
     zone = partition.collar(foot, partition.contiguous_folds(blocks(cells)), COLUMNS, BLOCK, 3).where("fold = 0").select("r", "c", F.lit(1).alias("held"))
     marked = foot.join(zone, ["r", "c"], "left").join(truth_of(cells).withColumn("t", F.lit(1)), ["r", "c"], "left").na.fill(0, ["held", "t"])
-    corner = lambda x: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(x) - 32) / 16).cast("int") + 1), F.floor(F.col(x) / 16).cast("int")))
-    met = marked.withColumn("i", corner("r")).withColumn("j", corner("c")).groupBy((F.col("i") * 16).alias("r0"), (F.col("j") * 16).alias("c0"))
-    g = met.agg(F.count("*").alias("n"), F.sum("t").alias("truth"), F.sum("held").alias("held"))
-    use = F.when(F.col("held") == F.col("n"), "test").when(F.col("held") > 0, "dropped").when(F.col("truth") >= 3, "positive").otherwise("negative")
-    return g.withColumn("use", use)
+    return partition.window_purposes(marked, 32, 16, 3)
 
 
 @query
 def neg_sample(spark, sf):
     """All truth cells and three other cells for each, first by a hash."""
     cells = event_cells(spark, sf)
-    truth = truth_of(cells)
-    rest = footprint_of(cells).join(truth, ["r", "c"], "left_anti").withColumn("h", F.md5(F.concat_ws("-", F.lit("7"), "r", "c")))
-    picked = rest.orderBy("h", "r", "c").limit(min(3 * truth.count(), 1_000_000)).select("r", "c", F.lit(0).alias("y"))
-    return truth.select("r", "c", F.lit(1).alias("y")).unionByName(picked)
+    return partition.training_sample(truth_of(cells), footprint_of(cells))
 
 
 @query

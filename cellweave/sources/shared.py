@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "spark.checkpoint.dir"
+#: By application, the temporary folder of a session that names none.
+LOCAL: dict[str, str] = {}
 OPEN_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("cellweave_run", default=None)
 
 
@@ -21,8 +23,7 @@ def shared_root(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {FOLDER} to a folder that driver and executors share: master is {master!r}")
-        root = f"file://{tempfile.mkdtemp(prefix='cellweave-')}"
-        spark.conf.set(FOLDER, root)
+        root = LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cellweave-{uuid.uuid4().hex}")
     return root.rstrip("/")
 
 
