@@ -130,6 +130,17 @@ def partial_top(score: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def in_ranges(df: DataFrame, count: int, name: str, *order) -> DataFrame:
+    """df, written, with the number (name) of the range of order that a row lies in, of count ranges of about equal size.
+
+    Sorted partitions make the ranges, however many the session deals rows to.
+    """
+    cut = df.repartitionByRange(count, *order).withColumn("part", F.spark_partition_id())
+    cut = stored(cut, name)
+    parts = (cut.agg(F.max("part").alias("n")).first().n or 0) + 1
+    return cut.withColumn(name, F.floor(F.col("part") * min(count, parts) / parts).cast("int")).drop("part")
+
+
 def reached(blocks: DataFrame, tops: DataFrame) -> DataFrame:
     """block and the last slab (last) whose longest vector reaches the block's least need.
 
@@ -173,8 +184,7 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
     rows = stored(narrow(rows), "vectors")
     slabs = max(1, -(-rows.count() // SLAB))
     axes = rotation(second_moments(rows, width))
-    cut = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(slabs, F.desc("norm2"), F.asc("id"), F.asc("row")).drop("row")
-    slabbed = stored(cut.withColumn("slab", F.spark_partition_id()), "slabs")
+    slabbed = in_ranges(rows.withColumn("row", F.monotonically_increasing_id()), slabs, "slab", F.desc("norm2"), F.asc("id"), F.asc("row")).drop("row")
     tops = stored(slabbed.groupBy("slab").agg((F.sqrt(F.max("norm2")) * (1 + 1e-9) + LOOSE).alias("m")), "tops")
     queries = slabbed.where(is_query).groupBy("id").agg(F.min(F.struct("s", "d", "norm2")).alias("q"))
     queries = stored(queries.select("id", "q.s", "q.d", "q.norm2"), "queries")
@@ -195,8 +205,7 @@ def search(vectors: DataFrame, is_query, width: int, factor: int = 64, k: int =
         asked = asked.withColumn("need", need).drop("norm2")
         longest = tops.where(own).agg(F.max("m").alias("m")).first().m
         if longest is not None:
-            asked = asked.where(F.col("need") <= longest).repartitionByRange(blocks, F.asc("need"), F.asc("id")).withColumn("block", F.spark_partition_id())
-            asked = stored(asked, "asked")
+            asked = in_ranges(asked.where(F.col("need") <= longest), blocks, "block", F.asc("need"), F.asc("id"))
             if asked.isEmpty():  # nor will it reach the shorter vectors of later rounds
                 break
             by_block = reached(asked.groupBy("block").agg(F.min("need").alias("need")), tops.where(own))
