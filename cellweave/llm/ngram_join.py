@@ -34,7 +34,7 @@ PERCENT = 80
 #: Text that one pass packs together; shingles of a group of classes, and of the queries that a task sends to one.
 PACK_BYTES = 2 << 20
 GROUP_SHINGLES = 1 << 15
-QUERY_SHINGLES = 1 << 19
+QUERY_SHINGLES = 1 << 16
 
 
 def need(n, percent: int):
