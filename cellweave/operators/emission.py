@@ -82,3 +82,30 @@ def eligible(sweep: DataFrame, footprint_px: Column, least: int, share: float) -
     """sweep with eligible and reason; rows that fail stay."""
     reason = F.when(F.col("pred_px") < least, "too few cells").when(F.col("pred_px") > share * footprint_px, "too many cells")
     return sweep.withColumn("reason", reason).withColumn("eligible", F.col("reason").isNull())
+
+
+def failed_format(field: DataFrame, template: DataFrame, slack: float = 0.01, most_missing: float = 0.9) -> DataFrame:
+    """failed: the names of the rules that a field (r, c, p) breaks against a template (r, c, of its footprint), in one row.
+
+    type (p is a float), cells (a cell twice), range (0 to 1, with slack), mask (a value outside, or none inside), missing
+    (more than this share of cells without a value), empty (no value above 0).
+    """
+    kind = field.schema["p"].dataType.simpleString()
+    value = F.when(~F.isnan("p"), F.col("p"))
+    own = field.groupBy("r", "c").agg(F.count("*").alias("k"), F.max(value).alias("hi"), F.min(value).alias("lo"), F.count(value).alias("has"))
+    both = own.join(template.select("r", "c").distinct().withColumn("inside", F.lit(1)), ["r", "c"], "full")
+    has = F.coalesce("has", F.lit(0)) > 0
+    sums = both.agg(
+        F.max("k").alias("k"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.count_if(has != F.col("inside").isNotNull()).alias("off"),
+        F.count("*").alias("n"), F.count_if(~has).alias("none"),
+    )
+    rules = {
+        "type": F.lit(kind in ("float", "double")),
+        "cells": F.coalesce("k", F.lit(1)) == 1,
+        "range": (F.coalesce("lo", F.lit(0.0)) >= -slack) & (F.coalesce("hi", F.lit(0.0)) <= 1 + slack),
+        "mask": F.col("off") == 0,
+        "missing": F.col("none") <= most_missing * F.col("n"),
+        "empty": F.coalesce("hi", F.lit(0.0)) > 0,
+    }
+    broken = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
+    return sums.select(broken.alias("failed"))

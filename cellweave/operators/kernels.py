@@ -20,11 +20,12 @@ def tiles(grid: DataFrame, tile: int, halo: int) -> DataFrame:
     return grid.withColumn("ty", F.explode(span("r"))).withColumn("tx", F.explode(span("c")))
 
 
-def over_tiles(grid: DataFrame, fn, tile: int, halo: int, fill: float = 0.0) -> DataFrame:
+def over_tiles(grid: DataFrame, fn, tile: int, halo: int, fill: float = 0.0, wanted: DataFrame | None = None) -> DataFrame:
     """r, c, x: fn of each tile's dense array (holes filled), read off at the tile's own cells.
 
     An array ends where the data's bounding box does, so fn sees the border there and treats it as it would that of the
-    whole grid; elsewhere it has halo cells more than it needs.
+    whole grid; elsewhere it has halo cells more than it needs. With wanted (r, c), its cells alone, and only tiles that
+    hold any are made.
     """
     box = grid.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
     if box.r0 is None:
@@ -42,7 +43,12 @@ def over_tiles(grid: DataFrame, fn, tile: int, halo: int, fill: float = 0.0) ->
         a[pdf.r - top, pdf.c - left] = pdf.v
         return pd.DataFrame({"r": own.r, "c": own.c, "x": fn(a)[own.r - top, own.c - left]})
 
-    return tiles(grid.select("r", "c", F.col("v").cast("double").alias("v")), tile, halo).groupBy("ty", "tx").applyInPandas(run, "r int, c int, x double")
+    dealt = tiles(grid.select("r", "c", F.col("v").cast("double").alias("v")), tile, halo)
+    if wanted is None:
+        return dealt.groupBy("ty", "tx").applyInPandas(run, "r int, c int, x double")
+    asked = wanted.select("r", "c").distinct()
+    own = asked.select(F.floor(F.col("r") / tile).cast("int").alias("ty"), F.floor(F.col("c") / tile).cast("int").alias("tx")).distinct()
+    return dealt.join(own, ["ty", "tx"], "left_semi").groupBy("ty", "tx").applyInPandas(run, "r int, c int, x double").join(asked, ["r", "c"], "left_semi")
 
 
 def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> np.ndarray:

@@ -180,3 +180,12 @@ def repaired_addresses(documents: DataFrame) -> DataFrame:
     each = each.withColumn("fine", F.translate("raw", READ_WRONG, READ_RIGHT))
     good = F.forall(F.split("fine", "[.]"), lambda x: x.cast("int") <= 255)
     return each.groupBy("source").agg(F.count("*").alias("found"), F.count_if(good & (F.col("raw") != F.col("fine"))).alias("repaired"), F.count_if(~good).alias("rejected"))
+
+
+def class_ids(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """class, id: the vocabulary (class, id) as it is, and classes of seen (class, at) that it lacks, numbered after it in the
+    order in which they are first seen, then by name. Their number is that of classes, not of rows."""
+    new = seen.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("at").alias("at")).join(vocabulary, "class", "left_anti")
+    last = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    numbered = new.crossJoin(F.broadcast(last)).select("class", (F.col("last") + F.row_number().over(Window.orderBy("at", "class"))).cast("int").alias("id"))
+    return vocabulary.select("class", F.col("id").cast("int").alias("id")).unionByName(numbered)

@@ -132,4 +132,9 @@ ORACLE_SQL = {
       p AS MATERIALIZED (SELECT a.r, a.c, sum(w * dy * dy) AS yy, sum(w * dy * dx) AS yx, sum(w * dx * dx) AS xx FROM a JOIN d ON d.r = a.nr AND d.c = a.c GROUP BY a.r, a.c),
       q AS MATERIALIZED (SELECT b.r, b.c, sum(w * yy) AS yy, sum(w * yx) AS yx, sum(w * xx) AS xx FROM b JOIN p ON p.r = b.r AND p.c = b.nc GROUP BY b.r, b.c)
       SELECT f.r, f.c, round(CASE WHEN yy + xx > 0 THEN least(1, sqrt(greatest(0, (yy + xx) * (yy + xx) - 4 * (yy * xx - yx * yx))) / (yy + xx)) ELSE 0 END, 4) AS x FROM full_ f JOIN q ON q.r = f.r AND q.c = f.c WHERE valid""",
+    "field_format": f"""WITH {EV}, f AS (SELECT 'whole' AS form, 1 AS k, r, c, p FROM main UNION ALL SELECT 'doubled', 1, r, c, p * 2 FROM main UNION ALL SELECT 'half', 1, r, c, p FROM main WHERE p > 0.5 UNION ALL SELECT 'twice', 2, r, c, p FROM main),
+      g AS (SELECT form, max(k) AS k, max(p) AS hi, min(p) AS lo, count(*) AS n FROM f GROUP BY form) SELECT form, concat_ws(',', CASE WHEN k > 1 THEN 'cells' END, CASE WHEN lo < -0.01 OR hi > 1.01 THEN 'range' END, CASE WHEN n < (SELECT count(*) FROM main) THEN 'mask' END,
+        CASE WHEN (SELECT count(*) FROM main) - n > 0.9 * (SELECT count(*) FROM main) THEN 'missing' END) AS failed FROM g""",
+    "class_ids_appended": """WITH k AS (SELECT 'view' AS cls, 3 AS id UNION ALL SELECT 'click', 5), n AS (SELECT event_type AS cls, min(event_id) AS first_at FROM events WHERE event_type NOT IN (SELECT cls FROM k) GROUP BY 1)
+      SELECT cls AS "class", id FROM k UNION ALL SELECT cls, CAST(5 + row_number() OVER (ORDER BY first_at, cls) AS INT) FROM n""",
 }

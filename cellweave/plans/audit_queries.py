@@ -333,3 +333,22 @@ def fold_gap_signs(spark, sf):
     s = by_part(scoring.components(truth_of(cells), fields(cells), by_block())).where("dti IS NOT NULL")
     a, b = (s.where(F.col("candidate") == c).select("part", F.col("dti").alias(n)) for c, n in (("purchase", "a"), ("click", "b")))
     return rounded(audits.gap_summary(a.join(b, "part").select(F.col("part").alias("fold"), F.round(F.col("a") - F.col("b"), 9).alias("gap"))))
+
+
+@query
+def field_format(spark, sf):
+    """What is wrong with a field, with twice its values, and with its upper half alone, against the cells of purchases."""
+    f = field_of(event_cells(spark, sf))
+    forms = {"whole": f, "doubled": f.withColumn("p", F.col("p") * 2), "half": f.where("p > 0.5"), "twice": f.unionByName(f)}
+    found = [emission.failed_format(d, f).select(F.lit(n).alias("form"), F.array_join("failed", ",").alias("failed")) for n, d in forms.items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query
+def class_ids_appended(spark, sf):
+    """Numbers of event types: two are known, the others follow in the order of their first event."""
+    known = spark.createDataFrame([("view", 3), ("click", 5)], "class string, id int")
+    return text.class_ids(read(spark, sf, "events").select(F.col("event_type").alias("class"), F.col("event_id").alias("at")), known)

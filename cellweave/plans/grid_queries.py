@@ -464,10 +464,7 @@ def best_window(spark, sf):
 @query
 def compact_windows(spark, sf):
     """The three consecutive occupied blocks with truth whose rows span least."""
-    t = blocks(event_cells(spark, sf)).where("valid_px > 0")
-    w = Window.orderBy("block").rowsBetween(0, 2)
-    run = t.select("block", F.count("*").over(w).alias("n"), F.sum("fault_px").over(w).alias("faults"), ((F.max("block_row").over(w) - F.min("block_row").over(w) + 1) * (F.max("block_col").over(w) - F.min("block_col").over(w) + 1)).alias("area"))
-    return run.where("n = 3 AND faults > 0").orderBy("area", F.desc("faults"), "block").limit(1)
+    return partition.compact_runs(blocks(event_cells(spark, sf)), 3).where("rank = 1 AND faults > 0").drop("rank")
 
 
 @query

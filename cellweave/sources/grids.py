@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from cellweave.sources.files import clean_cells
 
+#: Rows of a chunk: cells are stored by chunks of rows, so that a scan of some rows reads theirs alone.
+CHUNK = 256
 #: What two grids must share to be joined cell by cell, and the description's schema.
 ALIGNED = ("height", "width", "crs", "transform")
 META = "height int, width int, crs string, transform array<double>, nodata double, tags map<string, string>"
 
 
 def write_grid(cells: DataFrame, path: str, meta: dict) -> None:
-    """Cells (r, c, bands) and their description below path."""
-    cells.write.parquet(f"{path}/cells")
+    """Cells (r, c, bands) and their description below path, cells in a folder for each chunk of rows."""
+    cells.withColumn("chunk", F.floor(F.col("r") / CHUNK).cast("int")).repartition("chunk").write.partitionBy("chunk").parquet(f"{path}/cells")
     cells.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
@@ -26,12 +28,15 @@ def describe_grid(spark: SparkSession, path: str) -> dict:
     return row.asDict(recursive=True)
 
 
-def read_grid(spark: SparkSession, path: str, bands: list[str] | None = None) -> DataFrame:
+def read_grid(spark: SparkSession, path: str, bands: list[str] | None = None, sample: DataFrame | None = None) -> DataFrame:
     """r, c, the bands (all by default) with sentinels, nodata and non-finite values as null, and valid: whether any has a
-    value. Only the bands asked for are read."""
+    value. Only the bands asked for are read, and with sample (r, c) only its cells, of chunks that hold any."""
     meta = describe_grid(spark, path)
     cells = spark.read.parquet(f"{path}/cells")
-    bands = bands or [c for c in cells.columns if c not in ("r", "c")]
+    bands = bands or [c for c in cells.columns if c not in ("r", "c", "chunk")]
+    if sample is not None:
+        wanted = sample.select("r", "c").distinct().withColumn("chunk", F.floor(F.col("r") / CHUNK).cast("int"))
+        cells = cells.join(wanted.select("chunk").distinct(), "chunk", "left_semi").join(wanted, ["chunk", "r", "c"], "left_semi")
     clean = clean_cells(cells.select("r", "c", *bands), bands, nodata=meta["nodata"])
     return clean.withColumn("valid", F.coalesce(*[F.col(b).isNotNull() for b in bands]) if len(bands) == 1 else F.greatest(*[F.col(b).isNotNull().cast("int") for b in bands]).cast("boolean"))
 

@@ -107,6 +107,8 @@ def test_described_grids(spark, tmp_path):
     got = {(x.r, x.c): (x.b01, x.valid) for x in grids.read_grid(spark, f"{tmp_path}/a", ["b01"]).collect()}
     assert got == {(0, 0): (1.0, True), (0, 1): (None, False), (1, 0): (None, False)}
     assert grids.read_grid(spark, f"{tmp_path}/a").where("valid").count() == 2
+    sample = spark.createDataFrame([(0, 1), (9, 9), (0, 1)], CELLS)
+    assert [(x.r, x.c, x.label) for x in grids.read_grid(spark, f"{tmp_path}/a", sample=sample).collect()] == [(0, 1, 2.0)]
     assert {(x.r, x.c): (x.fault, x.valid) for x in grids.read_labels(spark, f"{tmp_path}/a").collect()} == {(0, 0): (False, False), (0, 1): (True, True), (1, 0): (False, False)}
     assert grids.aligned(spark, f"{tmp_path}/a", f"{tmp_path}/b")["tags"] == {"b01": "anomaly"}
     with pytest.raises(ValueError, match="width, transform"):
@@ -158,6 +160,23 @@ def test_samples(spark):
     assert s.join(truth, ["r", "c"], "left_semi").where("y = 0").count() == 0
 
 
+def test_wanted_cells_classes_and_runs(spark):
+    from cellweave.operators import text
+
+    a = np.random.default_rng(5).normal(size=(50, 30))
+    g = spark.createDataFrame([(y, x, float(a[y, x])) for y in range(50) for x in range(30)], "r int, c int, v double")
+    wanted = spark.createDataFrame([(0, 0), (17, 29), (49, 3)], CELLS)
+    got = {(x.r, x.c): x.x for x in kernels.over_tiles(g, kernels.coherence, 8, 8, wanted=wanted).collect()}
+    whole = kernels.coherence(a)
+    assert set(got) == {(0, 0), (17, 29), (49, 3)} and all(v == pytest.approx(whole[k], abs=1e-9) for k, v in got.items())
+    seen = spark.createDataFrame([("x", 5), ("b", 2), ("x", 1), ("a", 2), (None, 0)], "class string, at int")
+    known = spark.createDataFrame([("k", 4), ("a", 9)], "class string, id int")
+    assert {tuple(x) for x in text.class_ids(seen, known).collect()} == {("k", 4), ("a", 9), ("x", 10), ("b", 11)}
+    table = spark.createDataFrame([(0, 0, 0, 5, 0), (1, 0, 1, 5, 2), (2, 0, 2, 0, 0), (3, 1, 0, 5, 0), (4, 1, 1, 5, 1)], "block int, block_row int, block_col int, valid_px long, fault_px long")
+    assert [(x.block, x.area, x.faults) for x in partition.compact_runs(table, 2).orderBy("rank").collect()] == [(0, 2, 2), (3, 2, 1), (1, 4, 2)]
+    assert partition.compact_runs(table, 5).count() == 0
+
+
 def test_kernels_on_literal_arrays():
     line = np.zeros((41, 41))
     line[20] = 1.0
