@@ -14,7 +14,7 @@ def docs_of(spark):
 
 @pytest.fixture
 def awkward(spark):
-    """Null and empty texts, null ids, repeated rows, ties, one long text, and a column whose name clashes."""
+    """Null and empty texts, null ids, repeated rows, ties, one long text, and columns whose names clash."""
     long_text = " ".join(f"w{i % 977}x{i}" for i in range(40_000))
     rows = [
         (1, "one two three four five six seven", None, None, None, "a"),
@@ -27,4 +27,6 @@ def awkward(spark):
         (6, "é漢字 <|endoftext|> Ünïcode’s \x1c x", "de", None, 9, "f"),
         (7, "word", "en", "s", 4, "g"),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    odd = "k1 k2 goes at n c row pack h __bit __size __u html score".split()
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, id string, " + ", ".join(f"{c} string" for c in odd)
+    return spark.createDataFrame([(*r, *(f"{c}-{r[0]}" for c in odd)) for r in rows], kinds)

@@ -34,6 +34,23 @@ def test_same_ids_as_the_library(spark):
         assert short[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_kept_words_are_bounded(monkeypatch):
+    from cellweave.llm import common
+
+    monkeypatch.setattr(common, "KEPT_BYTES", 40_000)
+    kept, computed = common.Kept(), []
+
+    def compute(new):
+        computed.extend(new)
+        return [w.encode() for w in new]
+
+    for k in range(200):
+        words = {f"w{(k * 37 + i) % 3000}" for i in range(60)} | {"the", "x" * 100}
+        assert kept.of(words, compute) == {w: w.encode() for w in words}
+        assert kept.held <= 20_000 and len(kept.young) + len(kept.old) < 300
+    assert computed.count("the") < 5 and computed.count("x" * 100) == 200
+
+
 def test_cuts_are_forced():
     v = bpe.vocabulary(P.path("word_bpe_49k.json"))
     own, per = bpe_codec.fragments(v, ["zqxjéß漢a".encode(), b"the"])

@@ -66,4 +66,38 @@ def test_one_of_each(spark):
 def test_awkward_rows(spark, awkward):
     assert N.near_duplicates(awkward).count() == awkward.count()
     assert N.near_duplicates(awkward.limit(0)).count() == 0
-    assert N.one_of_each(awkward).columns == awkward.columns
+    once = N.one_of_each(awkward)
+    assert once.columns == awkward.columns
+    rows, every = sorted(map(repr, once.collect())), sorted(map(repr, awkward.collect()))
+    assert set(rows) <= set(every) and len(rows) == len(every) - 2  # the repeated row and the text without an id go
+
+
+def test_groups_are_bounded_and_forests():
+    import numpy as np
+
+    union = np.arange(100, dtype=np.uint64)
+    cs, sizes = np.array([1, 2, 3]), np.array([50, 50, 40])
+    places = np.concatenate([np.arange(50), np.arange(50), np.arange(60, 100)]).astype(np.uint32)
+    same, other = np.arange(50, dtype=np.uint64), np.arange(60, 100, dtype=np.uint64)
+    assert N.opened([(1, same), (2, same)], union, cs, sizes, places, 80) == [(1, 2)]
+    assert sorted(N.opened([(9, same), (3, other)], union, cs, sizes, places, 80)) == [(9, 1), (9, 2)]
+    assert N.opened([(9, np.arange(200, 260, dtype=np.uint64))], union, cs, sizes, places, 80) == []
+
+
+def test_counts_by_packs(spark, monkeypatch):
+    import numpy as np
+
+    from cellweave.llm import counting
+
+    r = np.random.default_rng(3)
+    for wide in (False, True):
+        packs = [r.integers(0, 300, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(7)]
+        keys = [counting.Keys(p, 13, p + np.uint64(1) if wide else None) for p in packs]
+        rows = [x for i, k in enumerate(keys) for x in counting.requests(i, 0, k).to_pylist()]
+        got = {x["pack"]: x for x in counting.answers(spark.createDataFrame(rows, counting.ASKED), "bits", wide).collect()}
+        whole = Counter(h for p in packs for h in p.tolist())
+        for i, (p, k) in enumerate(zip(packs, keys)):
+            met = np.zeros(len(p), bool)
+            met[k.others()] = True
+            met[k.singles()[counting.bits_of(k, got[i].buckets, got[i].answers)]] = True
+            assert met.tolist() == [whole[h] > 1 for h in p.tolist()]

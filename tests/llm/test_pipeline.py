@@ -66,3 +66,17 @@ def test_stages_against_plain_python(spark, tmp_path):
             kept.append(df.count())
     digest = lambda rows: hashlib.sha256(repr(sorted((x.doc_id, x.n_tokens) for x in rows)).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, str(tmp_path)).collect()) == digest(got)
+
+
+def test_stages_with_awkward_rows(spark, awkward, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (5, 1, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (awkward, awkward.limit(0)):
+        df = rows
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, str(tmp_path))
+            path = f"{tmp_path}/{rows is awkward}-{name}"
+            out.write.parquet(path)
+            if name != "bpe_codec":
+                assert out.columns == awkward.columns
+            df = spark.read.parquet(path)
+        assert (df.count() > 0) == (rows is awkward)

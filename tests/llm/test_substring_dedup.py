@@ -59,4 +59,18 @@ def test_rows_keep_their_columns(spark, docs_of):
 def test_awkward_rows(spark, awkward):
     assert S.remove_repeats(awkward).count() == awkward.count()
     assert S.remove_repeats(awkward.limit(0)).count() == 0
-    assert S.cut_repeats(awkward).columns == awkward.columns
+    cut = S.cut_repeats(awkward)
+    assert cut.columns == awkward.columns
+    rest = [c for c in awkward.columns if c not in ("text", "n_chars")]
+    assert sorted(map(repr, cut.select(rest).collect())) == sorted(map(repr, awkward.select(rest).collect()))
+    other = awkward.withColumnsRenamed({"text": "body", "k1": "text"}).drop("n_chars")
+    assert S.cut_repeats(other, text_col="body").columns == other.columns
+
+
+def test_many_packs_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "PACK_BYTES", 700)
+    texts = corpus(11)
+    rows = [*enumerate(texts), *[(3, texts[3])] * 5, *[(900, " ".join(f"u{i}" for i in range(40)))] * 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, len(w), len(w) - len(k), b" ".join(k).decode()) for (i, _), w, k in zip(rows, *brute([t for _, t in rows], 35)))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in S.remove_repeats(df).collect()) == want
