@@ -180,6 +180,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Field:
         model.weights[buckets] = w
         model.moves = moves
     held = np.flatnonzero(rest)
+    if len(np.unique(y[held])) < 2:  # too few labels to set any apart
+        held = np.arange(len(y))
     model.scale = logistic(inputs_of([docs[i] for i in held], model), y[held], share)
     return model
 
@@ -286,7 +288,12 @@ def tag(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is below 0.5. Nulls and repeats as for tag."""
+    """The rows of docs, all columns as they are, whose score is below 0.5. Nulls and repeats as for tag.
+
+    A model that learnt nothing, for want of labels of both kinds, rejects nothing.
+    """
+    if not model.scale.any():
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = Kept()
 

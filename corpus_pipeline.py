@@ -15,7 +15,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose score is below 0.5, as the field learnt from docs and labels gives it.
 
     Null and empty texts stay, as do null ids and repeated rows; columns stay as they are. Without labels of both
-    kinds every score is the share of toxic ones.
+    kinds nothing is learnt and nothing goes.
     """
     return toxicity.drop_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
