@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .digests import op3_digests
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_text import op7_html_text
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op3_digests": op3_digests,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_token_counts": op8_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_warc": OP4_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_warc": OP4_SQL, "op13_hard_negatives": OP13_SQL}

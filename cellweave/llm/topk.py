@@ -29,11 +29,11 @@ LAST_ID = (1 << 63) - 1
 LOOSE = 1e-6
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str, factor: int, width: int) -> DataFrame:
-    """id, v (whole components), norm2. Vectors of another width, null ones and such with parts that are
+def scaled(vectors: DataFrame, id_col: str, vector_col: str, factor: int, width: int, kind: str = "long") -> DataFrame:
+    """id (of a kind), v (whole components), norm2. Vectors of another width, null ones and such with parts that are
     null or not finite are left out; so are rows without an id."""
     x = F.col("x")
-    d = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
+    d = vectors.select(vectors[id_col].cast(kind).alias("id"), vectors[vector_col].alias("x")).where("id IS NOT NULL AND x IS NOT NULL")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     d = d.where((F.size(x) == width) & fine)
     whole = F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("double"))
