@@ -8,6 +8,7 @@ from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_text import op7_html_text
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
+from .spelling import OP12_SQL, op12_spelling
 from .substring_dedup import op10_substring_dedup
 from .token_counts import op8_token_counts
 from .topk import OP2_SQL, op2_topk
@@ -25,6 +26,7 @@ QUERIES = {
     "op3_digests": op3_digests,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_token_counts": op8_token_counts,
+    "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_warc": OP4_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op4_warc": OP4_SQL, "op12_spelling": OP12_SQL, "op13_hard_negatives": OP13_SQL}
