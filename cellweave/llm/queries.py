@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
+from .context_tree import op11_context_tree
 from .digests import op3_digests
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_text import op7_html_text
@@ -26,6 +27,7 @@ QUERIES = {
     "op3_digests": op3_digests,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_token_counts": op8_token_counts,
+    "op11_context_tree": op11_context_tree,
     "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
 }
