@@ -16,6 +16,7 @@ Words of the base score are counted the same way.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
@@ -29,8 +30,8 @@ from .common import map_arrow, passes, release, stored, table
 from .counting import partitions
 from .words import raw_texts, word_hashes
 
-#: Bytes of context; bytes of it that name a shard.
-DEPTH, TOP = 5, 3
+#: Bytes of context, six at most; bytes of it that name a shard.
+DEPTH, TOP = 6, 3
 #: Shards of grams, and of words behind them. Fixed: what a pack sends each does not shrink as packs grow in number.
 SHARDS = 512
 #: Text of a pack, and bytes that one pass of numpy looks at.
@@ -158,12 +159,27 @@ def distinct(blob: np.ndarray, sizes: np.ndarray, held: np.ndarray, depth: int)
     """The grams of a pack, sorted, and how often its training texts have each (0 where only others do)."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for k, owner in stretches(blob, sizes, depth):
-        a, b = summed([k], [(~held[owner]).astype(np.int64)])
-        keys.append(a)
-        counts.append(b)
+        k = np.sort((k << np.uint64(1)) | ~held[owner])  # a gram has 56 bits
+        first = np.flatnonzero(np.r_[True, (k[1:] ^ k[:-1]) > 1]) if len(k) else np.zeros(0, np.int64)
+        keys.append(k[first] >> np.uint64(1))
+        counts.append(np.add.reduceat((k & np.uint64(1)).astype(np.int64), first) if len(k) else np.zeros(0, np.int64))
     return summed(keys, counts)
 
 
+def log_sums(blob: np.ndarray, sizes: np.ndarray, depth: int, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The sum of the logs of each text's grams; keys: those of the pack, sorted."""
+    out = np.zeros(len(sizes))
+    for k, owner in stretches(blob, sizes, depth):
+        if not len(k):
+            continue
+        order = np.argsort(k)
+        k = k[order]
+        new = np.r_[True, k[1:] != k[:-1]]
+        own = logs[np.searchsorted(keys, k[new])].astype(float)  # in order: near ones are met together
+        out += np.bincount(owner[order], weights=own[np.cumsum(new) - 1], minlength=len(sizes))
+    return out
+
+
 def in_shards(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted keys by shard, and where in it each shard ends."""
     shard = shard_of(keys, depth, shards)
@@ -260,9 +276,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - low
 
 
+@functools.cache
+def small_gammas(more: float) -> np.ndarray:
+    return log_gamma(np.arange(1 << 14) + more)
+
+
+def log_gamma_of(counts: np.ndarray, more: float) -> np.ndarray:
+    """log_gamma(counts + more): most counts are small and come from a table."""
+    known = small_gammas(more)
+    out = known[np.minimum(counts, len(known) - 1).astype(np.int64)]
+    large = np.flatnonzero(counts >= len(known))
+    out[large] = log_gamma(counts[large] + more)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The log of the Krichevsky-Trofimov estimate of so many zeros and ones in a row."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
+    return log_gamma_of(zeros, 0.5) + log_gamma_of(ones, 0.5) - math.log(math.pi) - log_gamma_of(zeros + ones, 1.0)
 
 
 def mixed(estimate: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -465,9 +495,7 @@ def scores(packs: DataFrame, replies: DataFrame, depth: int, count: int, tokens:
             order, ends = in_shards(keys, depth, count)
             logs = np.empty(len(keys), np.float32)
             logs[order] = np.concatenate([np.frombuffer(got[s], np.float32) for s in range(count) if s in got])
-            score = np.zeros(len(sizes))
-            for k, owner in stretches(blob, sizes, depth):
-                score += np.bincount(owner, weights=logs[np.searchsorted(keys, k)], minlength=len(sizes))
+            score = log_sums(blob, sizes, depth, keys, logs)
             w, owner = word_keys(blob, sizes)
             known, at = np.unique(w, return_inverse=True)
             shard = (known % np.uint64(count)).astype(np.int64)
