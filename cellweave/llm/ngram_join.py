@@ -67,9 +67,9 @@ def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
-def packed_sets(rows: DataFrame, size: int, buckets: int, ask: bool) -> DataFrame:
-    """Texts (k1, k2, id, text) by packs: what each asks, or its rows as arrays (PACKS), known being the number of
-    shingles of a set that another set of the pack has too."""
+def packed_sets(rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Texts (k1, k2, id, text) by packs (PACKS): their rows as arrays, and what the pack asks of each bucket. known: the number
+    of shingles of a set that another set of the pack has too. Written once: rows and requests are of one reading."""
 
     def one(batch: pa.RecordBatch):
         for part in passes(batch, "text", PACK_BYTES):
@@ -77,27 +77,40 @@ def packed_sets(rows: DataFrame, size: int, buckets: int, ask: bool) -> DataFram
             k1, k2 = (part.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             name, (tokens, owner) = counting.pack_id(k1, k2), flat(sets)
             keys = counting.Keys(tokens, buckets)
-            if ask:
-                yield counting.requests(name, len(sets), keys, owner=owner)
-            else:
-                known = np.bincount(owner[keys.others()], minlength=len(sets)).tolist()
-                c = [class_key(s) for s in sets]
-                own = {"pack": name, "ids": part.column("id").to_pylist(), "k1": k1.tolist(), "k2": k2.tolist(), "c1": [x for x, _ in c], "c2": [x for _, x in c], "sizes": [len(s) for s in sets], "known": known}
-                yield pa.RecordBatch.from_pylist([own], PACKS)
+            asks = counting.requests(name, len(sets), keys, owner=owner)
+            known = np.bincount(owner[keys.others()], minlength=len(sets)).tolist()
+            c = [class_key(s) for s in sets]
+            own = {"pack": name, "ids": part.column("id").to_pylist(), "k1": k1.tolist(), "k2": k2.tolist(), "c1": [x for x, _ in c], "c2": [x for _, x in c], "sizes": [len(s) for s in sets], "known": known}
+            own |= {f: asks.column(f).to_pylist() for f in ASKS}
+            yield pa.RecordBatch.from_pylist([own], PACKS)
 
     whole = "pack long, ids array<long>, k1 array<long>, k2 array<long>, c1 array<long>, c2 array<long>, sizes array<int>, known array<int>"
-    return map_arrow(rows, counting.ASKED if ask else whole, one)
+    return map_arrow(rows, whole + ", bucket array<int>, asked array<int>, keys array<binary>, counts array<binary>", one)
 
 
-PACKS = pa.schema([("pack", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "k1", "k2", "c1", "c2")), *((c, pa.list_(pa.int32())) for c in ("sizes", "known"))])
+#: What a pack asks, by bucket.
+ASKS = ("bucket", "asked", "keys", "counts")
+ROWS = [("pack", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "k1", "k2", "c1", "c2")), *((c, pa.list_(pa.int32())) for c in ("sizes", "known"))]
+PACKS = pa.schema([*ROWS, ("bucket", pa.list_(pa.int32())), ("asked", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
 JUDGED = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("may", pa.bool_())])
 
 
+def asked_of(packs: DataFrame) -> DataFrame:
+    """The packs' requests, a row for each bucket."""
+    each = packs.select("pack", F.size("sizes").alias("size"), F.explode(F.arrays_zip(*ASKS)).alias("x"))
+    return each.select("pack", "size", *(f"x.{c}" for c in ASKS), F.lit(None).cast("binary").alias("times"))
+
+
 def judged(packs: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
-    """Every row's id, k1, k2, class (c1, c2), n, and may: whether any other text has enough of its shingles."""
+    """Every row's id, k1, k2, class (c1, c2), n, and may: whether any other text has enough of its shingles.
+
+    A pack whose buckets have not all answered is an error: its rows would lose links.
+    """
 
     def one(batch: pa.RecordBatch):
         for r in batch.to_pylist():
+            if sorted(r["bucket"] or []) != sorted(r["buckets"] or []):
+                raise RuntimeError("a pack lacks answers")
             sizes, met = np.array(r["sizes"]), np.array(r["known"], np.int64)
             for x in r["answers"] or []:
                 met = met + counting.unpacked(x, len(sizes))
@@ -105,7 +118,8 @@ def judged(packs: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
             columns = [r["ids"], r["k1"], r["k2"], r["c1"], r["c2"], r["sizes"], may.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, JUDGED, strict=True)], schema=JUDGED)
 
-    return map_arrow(packs.join(replies, "pack", "left"), "id long, k1 long, k2 long, c1 long, c2 long, n int, may boolean", one)
+    own = packs.drop("asked", "keys", "counts")
+    return map_arrow(own.join(replies, "pack", "left"), "id long, k1 long, k2 long, c1 long, c2 long, n int, may boolean", one)
 
 
 def class_sets(rows: DataFrame, found: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -158,6 +172,8 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             sets = [np.frombuffer(t, np.uint64) for t in r["sets"]]
             keys = counting.Keys(flat(sets)[0], buckets)
             sizes = np.bincount(keys.bucket)
+            if np.flatnonzero(sizes).tolist() != (r["buckets"] or []):
+                raise RuntimeError("a pack lacks answers")
             totals = np.concatenate([counting.unpacked(x, int(sizes[b])) for b, x in zip(r["buckets"], r["answers"], strict=True)])
             met = np.empty(len(keys.order), np.uint32)
             met[keys.order] = totals[keys.run]
@@ -177,7 +193,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     replies = counting.answers(map_arrow(sets, counting.ASKED, ask), "totals")
     packs = map_arrow(sets, "pack long, cs array<long>, sets array<binary>", keep)
-    return map_arrow(packs.join(replies, "pack"), "h long, c long, own double", choose)
+    return map_arrow(packs.join(replies, "pack", "left"), "h long, c long, own double", choose)
 
 
 def grouped(prefix: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,8 +301,8 @@ def linked_rows(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     spark = rows.sparkSession
     chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = counting.bucket_count(spark, chars // 6)
-    packs = stored(packed_sets(rows, shingle, buckets, False), "packs")
-    every = stored(judged(packs, counting.answers(packed_sets(rows, shingle, buckets, True), "sets"), percent), "judged")
+    packs = stored(packed_sets(rows, shingle, buckets), "packs")
+    every = stored(judged(packs, counting.answers(asked_of(packs), "sets"), percent), "judged")
     found = every.where("may")
     classes = stored(found.select("c1", "c2").distinct().select("c1", "c2", F.monotonically_increasing_id().alias("c")), "classes")
     sets = stored(class_sets(rows, found, classes, shingle), "sets")

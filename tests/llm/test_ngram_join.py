@@ -2,6 +2,8 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from cellweave.llm import ngram_join as N
 
@@ -101,3 +103,26 @@ def test_counts_by_packs(spark, monkeypatch):
             met[k.others()] = True
             met[k.singles()[counting.bits_of(k, got[i].buckets, got[i].answers)]] = True
             assert met.tolist() == [whole[h] > 1 for h in p.tolist()]
+
+
+def test_input_in_another_order_at_each_read(spark):
+    """A shuffle before the join that deals rows anew, by a random number, at each read loses nothing."""
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, F.rand()).sortWithinPartitions(F.rand())
+    df = df.where(F.udf(lambda i: i is not None, "boolean").asNondeterministic()("doc_id"))
+    first, again = ([r.doc_id for r in df.collect()] for _ in range(2))
+    assert sorted(first) == sorted(again)
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df).collect())
+    assert got == brute(rows)
+
+
+def test_a_pack_without_answers_is_an_error(spark):
+    df = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    rows = N.keyed(df, "doc_id", "text").select("k1", "k2", F.col("row.doc_id").alias("id"), "row.text")
+    packs = N.stored(N.packed_sets(rows, 5, 4), "packs")
+    replies = N.counting.answers(N.asked_of(packs), "sets")
+    assert N.judged(packs, replies, 80).count() == len(corpus(7))
+    fewer = replies.select("pack", F.slice("buckets", 1, 3).alias("buckets"), F.slice("answers", 1, 3).alias("answers"))
+    for part in (fewer, replies.limit(0)):
+        with pytest.raises(PythonException, match="a pack lacks answers"):
+            N.judged(packs, part, 80).collect()
