@@ -19,18 +19,31 @@ TRAIN_PAGES = 1500
 SEED = 5
 ROUNDS = 100
 
-#: Fixed values of HTML: elements that begin a new block, that hold no text to show, that have no end tag.
+#: Fixed values of HTML: elements that begin a new block, that hold no text to show, that have no end tag. What noscript, object,
+#: canvas, audio, video and iframe hold is shown only where the thing itself is not, so it is no text of the article;
+#: formulas (math) are, but not their annotations.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul label caption".split())
-HIDDEN = frozenset("script style noscript template svg math head title iframe object canvas audio video select button textarea option".split())
+HIDDEN = frozenset("script style noscript template svg head title iframe object canvas audio video select button textarea option annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"label", "caption", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 ALONE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-
-TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
-NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Hidden elements that people leave open, and those of them that do not hold another of their kind.
+LEFT_OPEN = frozenset("object canvas audio video select button option svg template".split())
+NOT_NESTED = frozenset("audio video select button option".split())
+#: Elements that a slash before the end of their tag closes.
+FOREIGN = frozenset("svg math".split())
+
+#: A comment, another declaration, or a tag: slash, name and attributes. A quote counts only where a value begins with it;
+#: one that is never closed is part of a name, so that its tag ends at the next >.
+ATTRIBUTE = r"""[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+TAG = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/(?![a-zA-Z])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:{ATTRIBUTE})*+)(?:>|\Z))", re.S)
+VALUE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?+)?+)?+""")
+NAMED = frozenset(("class", "id", "role", "data-y"))
 PARTS = re.compile(r"[a-z]+")
-END = {t: re.compile(rf"</{t}\s*[^>]*(?:>|\Z)", re.I) for t in RAW}
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+#: Where elements that may be left open begin and end.
+BOUNDS = {t: (re.compile(rf"<{t}(?=[\s/>])", re.I), re.compile(rf"</{t}(?=[\s/>])", re.I)) for t in LEFT_OPEN}
 
 
 #: What may stand in a head whose end tag is left out; anything else begins the body.
@@ -49,6 +62,25 @@ class Block:
         self.text, self.linked, self.last, self.around, self.named, self.gold = text, linked, last, around, named, gold
 
 
+class Ahead:
+    """Whether an element that begins here is closed later on. Where tags are is looked up once, from left to right."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[tuple[str, int], int] = {}
+
+    def next(self, tag: str, end: int, at: int) -> int:
+        where = self.found.get((tag, end), -1)
+        if where < at:
+            m = BOUNDS[tag][end].search(self.page, at)
+            where = self.found[tag, end] = m.start() if m else len(self.page)
+        return where
+
+    def closed(self, tag: str, at: int) -> bool:
+        end = self.next(tag, 1, at)
+        return end < len(self.page) and (tag not in NOT_NESTED or end < self.next(tag, 0, at))
+
+
 class Open:
     """The open elements of a page, with counts of tags and of features: no step walks all of them."""
 
@@ -94,15 +126,28 @@ class Open:
             self.golds.pop()
         return tag
 
+    def leave(self, k: int) -> None:
+        """The element at k ends, those within it stay open."""
+        tag, own, gold = self.stack[k]
+        self.at[tag].pop()
+        self.at[""].append(k)
+        self.stack[k] = ("", own, gold)
+
     def around(self):
         return frozenset(self.met) if self.weights is None else self.total / UNITS
 
 
 def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
-    """The text blocks in page order. Time and memory grow with the page, however deep its elements are nested."""
+    """The text blocks in page order. Time and memory grow with the page, however deep its elements are nested.
+
+    No text is lost to markup that is not closed: text closes a head, and a hidden element without an end tag of its own
+    ends where the next block begins.
+    """
     out: list[Block] = []
     opened = Open(weights)
+    ahead = Ahead(page)
     pieces: list[str] = []
+    loose: list[int] = []  # places in the stack of hidden elements that nothing closes
     linked = hidden = 0
     at, n = 0, len(page)
 
@@ -121,9 +166,13 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Bloc
             flush()
         while len(opened.stack) > k:
             hidden -= opened.pop() in HIDDEN
+        while loose and loose[-1] >= k:
+            loose.pop()
 
     def show(text: str) -> None:
         nonlocal linked
+        if hidden and opened.stack[-1][0] == "head" and text.strip():
+            close(len(opened.stack) - 1)
         if hidden or not text:
             return
         if "&" in text:
@@ -144,12 +193,15 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Bloc
             at = start + 1
             continue
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if (k := opened.last(tag)) >= 0:
-                close(k)
+                if tag not in BLOCKS and tag not in HIDDEN and opened.blocks and opened.last(opened.blocks[-1]) > k:
+                    opened.leave(k)  # a block inside it goes on
+                else:
+                    close(k)
             elif tag in BLOCKS:
                 flush()
             continue
@@ -158,6 +210,8 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Bloc
         if tag == "br":
             pieces.append(" ")
             continue
+        if loose and tag in BLOCKS:
+            close(loose[0])
         if tag in CLOSES_P and (k := opened.last("p")) >= 0:
             close(k)
         for other in ALONE.get(tag, ()):
@@ -169,18 +223,24 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Bloc
         if tag in VOID:
             continue
         names, gold = [], None
-        attributes = m[3] or m[6]
+        attributes = m[3]
         if attributes:
-            for key, a, b, c in NAMES.findall(attributes):
-                value = a or b or c
-                if key.lower() == "data-y":
+            for key, a, b, c in VALUE.findall(attributes):
+                key, value = key.lower(), a or b or c
+                if key not in NAMED:
+                    continue
+                if key == "data-y":
                     gold = value
                 else:
                     names += PARTS.findall(value.lower())
+            if tag in FOREIGN and attributes.endswith("/"):
+                continue
         if tag in RAW:
             m = END[tag].search(page, at)
             at = m.end() if m else n
             continue
+        if tag in LEFT_OPEN and not ahead.closed(tag, at):
+            loose.append(len(opened.stack))
         opened.push(tag, names, gold)
         hidden += tag in HIDDEN
     flush()

@@ -1,3 +1,5 @@
+import pytest
+
 from cellweave.llm import html_text as H
 from cellweave.llm.labelled_pages import labelled_pages
 
@@ -97,3 +99,74 @@ def test_awkward_rows(spark):
     got = H.extract(df).collect()
     assert len(got) == len(rows) and all(r.text == "" for r in got if r.page_id in (1, 2)) and all(r.n_chars == len(r.text) for r in got)
     assert H.extract(df.limit(0)).count() == 0
+
+
+#: Malformed pages, and their blocks written by hand.
+MALFORMED = {
+    "<p title=it's>Hello one</p><p>second paragraph</p><p>don't drop me</p><p>four</p>": ["Hello one", "second paragraph", "don't drop me", "four"],
+    "<p>a<!-->b</p><p>c</p>": ["ab", "c"],
+    "<p>a<!--->b</p><p>c</p>": ["ab", "c"],
+    "<p>a<!-- x --!>b</p><p>c</p>": ["ab", "c"],
+    "<p>a<!-- > -- - -> -->b": ["ab"],
+    "<p>a<!---->b": ["ab"],
+    "<p>a<!x>b<?php y ?>c</ z>d</>e": ["abcde"],
+    "<select><option>x<p>para</p><h2>head</h2>": ["para", "head"],
+    "<select><option>x</option></select><p>one<select><option>y<p>two</p><select><option>z</select><p>three": ["one", "two", "three"],
+    "<p>a</p><button>go<p>b</p><div>c</div>": ["a", "b", "c"],
+    "<button><p>go</p></button><p>b</p>": ["b"],
+    "<p>one</p><audio src=x><p>two</p><video src=y><p>three</p>": ["one", "two", "three"],
+    "<audio src=x>your browser</audio><p>two</p>": ["two"],
+    "<p>a <svg/> b</p><p>c <svg viewBox='0 0 1 1' /> d</p>": ["a b", "c d"],
+    "<p>a <svg><path d='M0'/><title>t</title></svg> b</p>": ["a b"],
+    "<p>a <svg><path d='M0'> b</p><p>c</p>": ["a", "c"],
+    "<head><title>T</title>Body text<p>p</p>": ["Body text", "p"],
+    "<head><title>T</title> <meta charset=x> <p>p</p>": ["p"],
+    "<head><style>x</style></head>\n<p>p": ["p"],
+    "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold": ["Let x=2 hold"],
+    "<p>Let <math><semantics><mi>x</mi><annotation encoding='t'>\\x</annotation></semantics></math> hold": ["Let x hold"],
+    '<p class="a"b="c">x</p><p id=a"b>y</p>': ["x", "y"],
+    "<p class='a>b'>x</p><p title='a\"b'>y": ["x", "y"],
+    "<p title=\"never closed>x</p><p>y</p>": ["x", "y"],
+    "<p title='never closed>x</p><p>y</p>": ["x", "y"],
+    "<p title = 'spaced > out' >x<p title=>y<p =a>z": ["x", "y", "z"],
+    "<p>1 < 2 and 3 > 2, a<b>c</b> <3 </p>": ["1 < 2 and 3 > 2, ac <3"],
+    "<p/>x<div/>y": ["x", "y"],
+    "<p>x<br/>y<hr>z": ["x y", "z"],
+    "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": ["a", "b", "c", "d"],
+    "<table><tr><td>a<td>b<tr><th>c</table>": ["a", "b", "c"],
+    "<p>a<script>if (a < b) '</p>'</script >b<style>p{}</style/>c": ["abc"],
+    "<p>a<script>x</scripty></script>b": ["ab"],
+    "<p>a</p><textarea><p>b</textarea><p>c": ["a", "c"],
+    "<P CLASS=X>a</P><DIV>b": ["a", "b"],
+    "<p>a</div></span></p>b<p>c": ["a", "b", "c"],
+    "<b><p>a</b>b</p>c": ["ab", "c"],
+    "<object data=x><p>a</p><p>b": ["a", "b"],
+    "<template><p>no</p></template><p>a<template>b<p>c": ["a", "c"],
+    "a<p": ["a"],
+    "<p>a<": ["a<"],
+    "<p>a &amp b &nosuch; &#x41;&#66; &lt;p&gt;": ["a & b &nosuch; AB <p>"],
+}
+
+
+@pytest.mark.parametrize("page", MALFORMED)
+def test_malformed_pages(page):
+    assert [b.text for b in H.leaf_blocks(page)] == MALFORMED[page]
+
+
+@pytest.mark.parametrize("odd", ["title=it's", "data-x=\"a>b\"", "title='"])
+def test_an_article_with_odd_tags_is_whole(odd):
+    model = H.trained()
+    whole = H.main_blocks(PAGE, model)
+    for change in (PAGE.replace("<h1>", f"<h1 {odd}>"), PAGE.replace("<article>", "<article><!-->"), PAGE.replace("Second paragraph", "Second <svg/>paragraph"), PAGE.replace("<h1>", "<select><option>x<h1>")):
+        assert H.main_blocks(change, model) == whole
+
+
+def test_many_elements_left_open_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        start = time.perf_counter()
+        H.leaf_blocks("<select><option>x<button>y<p title='a>z" * n, {})
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 1
