@@ -41,19 +41,26 @@ HALF = math.log(0.5)
 #: The key of the end token among words.
 END_KEY = np.uint64(0)
 
-PACKS = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("blob", pa.binary()), ("sizes", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
-PACKS_SQL = "pack long, ids array<long>, blob binary, sizes array<long>, held array<boolean>"
+PACKS = pa.schema(
+    [("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("blob", pa.binary()), ("sizes", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
+    + [("shard", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]
+)
+PACKS_SQL = "pack long, ids array<long>, blob binary, sizes array<long>, held array<boolean>, shard array<int>, n array<int>, keys array<binary>, counts array<binary>"
+#: What a pack asks, by shard.
+ASKS = ("shard", "n", "keys", "counts")
+#: A request, or a shard.
 ASKED = pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ASKED_SQL = "shard int, pack long, n int, keys binary, counts binary"
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    """An array of 8-byte numbers as bytes, like places together, compressed."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+    """An array of numbers as bytes, like places together, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
 def restored(raw: bytes, n: int, kind=np.uint64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * 8, "zstd", asbytes=True), np.uint8).reshape(8, n).T).view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -65,6 +72,15 @@ def unpacked_keys(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(restored(raw, n), dtype=np.uint64)
 
 
+@functools.cache
+def seen_bytes() -> np.ndarray:
+    """A-Z as a-z, all white space as spaces."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    out[9:14] = SPACE
+    return out
+
+
 def plain_bytes(raw: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts end to end as the model sees them, and how long each is: depth end bytes of context, words with a space
     behind each (A-Z lower-cased), an end byte."""
@@ -72,11 +88,10 @@ def plain_bytes(raw: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarr
     sizes = np.diff(np.r_[0, ends]) + depth + 2
     out = np.full(int(sizes.sum()), END, np.uint8)
     starts = np.cumsum(sizes) - sizes
-    own = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))
-    low = raw.copy()
-    low[(raw >= 65) & (raw <= 90)] += 32
-    low[((raw >= 9) & (raw <= 13)) | (raw == SPACE)] = SPACE
-    out[np.arange(len(raw)) + depth + own * (depth + 2)] = low
+    body = np.ones(len(out), bool)
+    for k in (*range(depth), -2, -1):
+        body[(starts if k >= 0 else starts + sizes) + k] = False
+    out[body] = seen_bytes()[raw]
     out[starts + sizes - 2] = SPACE
     keep = out != SPACE
     keep[1:] |= (out[:-1] != SPACE) & (out[:-1] != END)
@@ -101,13 +116,18 @@ def scored(sizes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def stretches(blob: np.ndarray, sizes: np.ndarray, depth: int):
-    """Parts of a pack: the numbers of the bytes that are scored, and the text of each."""
-    ok, owner, n = scored(sizes, depth), np.repeat(np.arange(len(sizes)), sizes), len(blob)
-    for start in range(depth, n, STEP):
-        stop = min(n, start + STEP)
-        own = ok[start:stop]
-        yield grams(blob[start - depth : stop], depth)[own], owner[start:stop][own]
+def stretches(blob: np.ndarray, sizes: np.ndarray, depth: int, texts: int = 1 << 30):
+    """Parts of a pack, of so many texts at most: the numbers of the bytes that are scored, the text of each less the
+    first, and the first."""
+    ok, ends = scored(sizes, depth), np.cumsum(sizes)
+    for first in range(0, len(sizes), texts):
+        own = sizes[first : first + texts]
+        begin, end = int(ends[first] - sizes[first]), int(ends[first + len(own) - 1])
+        owner = np.repeat(np.arange(len(own), dtype=np.uint64), own)
+        for start in range(begin + depth, end, STEP):
+            stop = min(end, start + STEP)
+            keep = ok[start:stop]
+            yield grams(blob[start - depth : stop], depth)[keep], owner[start - begin : stop - begin][keep], first
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,22 +153,6 @@ def word_keys(blob: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.r_[hashes, np.full(len(sizes), END_KEY)], np.r_[owner, np.arange(len(sizes))]
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, depth: int, every: int) -> DataFrame:
-    """PACKS: what the model sees of some texts, as one row."""
-
-    def one(batch: pa.RecordBatch):
-        for part in passes(batch, "text", PACK_BYTES):
-            blob, sizes = plain_bytes(*raw_texts(part.column("text")), depth)
-            ids = part.column("id").to_pylist()
-            held = [i is None or zlib.crc32(str(i).encode()) % every == 0 for i in ids]
-            raw = blob.tobytes()
-            name = int.from_bytes(hashlib.blake2b(repr(ids).encode() + raw, digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_pylist([{"pack": name, "ids": ids, "blob": pa.compress(raw, "zstd", asbytes=True), "sizes": sizes.tolist(), "held": held}], PACKS)
-
-    own = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return map_arrow(own, PACKS_SQL, one)
-
-
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array(row["sizes"], np.int64)
     blob = np.frombuffer(pa.decompress(row["blob"], int(sizes.sum()), "zstd", asbytes=True), np.uint8)
@@ -158,25 +162,36 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def distinct(blob: np.ndarray, sizes: np.ndarray, held: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The grams of a pack, sorted, and how often its training texts have each (0 where only others do)."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k, owner in stretches(blob, sizes, depth):
-        k = np.sort((k << np.uint64(1)) | ~held[owner])  # a gram has 56 bits
-        first = np.flatnonzero(np.r_[True, (k[1:] ^ k[:-1]) > 1]) if len(k) else np.zeros(0, np.int64)
-        keys.append(k[first] >> np.uint64(1))
-        counts.append(np.add.reduceat((k & np.uint64(1)).astype(np.int64), first) if len(k) else np.zeros(0, np.int64))
+    train = (~held).astype(np.uint64)
+    for k, owner, first in stretches(blob, sizes, depth):
+        k = (k << np.uint64(1)) | train[first:][owner]  # a gram has 56 bits
+        k.sort()
+        new = np.flatnonzero(np.r_[True, (k[1:] ^ k[:-1]) > 1]) if len(k) else np.zeros(0, np.int64)
+        keys.append(k[new] >> np.uint64(1))
+        counts.append(np.add.reduceat((k & np.uint64(1)).astype(np.int64), new) if len(k) else np.zeros(0, np.int64))
     return summed(keys, counts)
 
 
-def log_sums(blob: np.ndarray, sizes: np.ndarray, depth: int, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+def grams_by_text(blob: np.ndarray, sizes: np.ndarray, depth: int):
+    """The distinct grams of a pack, and parts of it: the grams of each part, sorted, how many times it has each, and
+    the texts in that order. A part has 256 texts at most: a gram and a text are one number."""
+    parts, every = [], [np.zeros(0, np.uint64)]
+    for k, owner, first in stretches(blob, sizes, depth, 256):
+        k = (k << np.uint64(8)) | owner
+        k.sort()
+        gram = k >> np.uint64(8)
+        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(k) else np.zeros(0, np.int64)
+        parts.append((gram[new], np.diff(np.r_[new, len(k)]), (k & np.uint64(255)).astype(np.uint8), first))
+        every.append(gram[new])
+    return np.unique(np.concatenate(every)), parts
+
+
+def log_sums(keys: np.ndarray, logs: np.ndarray, parts: list, texts: int) -> np.ndarray:
     """The sum of the logs of each text's grams; keys: those of the pack, sorted."""
-    out = np.zeros(len(sizes))
-    for k, owner in stretches(blob, sizes, depth):
-        if not len(k):
-            continue
-        order = np.argsort(k)
-        k = k[order]
-        new = np.r_[True, k[1:] != k[:-1]]
-        own = logs[np.searchsorted(keys, k[new])].astype(float)  # in order: near ones are met together
-        out += np.bincount(owner[order], weights=own[np.cumsum(new) - 1], minlength=len(sizes))
+    out = np.zeros(texts)
+    for gram, times, owner, first in parts:
+        found = np.bincount(owner, weights=np.repeat(logs[np.searchsorted(keys, gram)].astype(float), times))
+        out[first : first + len(found)] += found
     return out
 
 
@@ -186,31 +201,47 @@ def in_shards(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np
     return np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))
 
 
-def requests(packs: DataFrame, depth: int, shards: int) -> DataFrame:
-    """ASKED: the grams and words of each pack by shard; those of words come behind those of grams."""
+def requests(blob: np.ndarray, sizes: np.ndarray, held: np.ndarray, depth: int, shards: int) -> dict[str, list]:
+    """The grams and words of a pack by shard; those of words come behind those of grams."""
+    out: dict[str, list] = {c: [] for c in ASKS}
+    for words in (False, True):
+        if words:
+            w, owner = word_keys(blob, sizes)
+            keys, counts = summed([w], [(~held[owner]).astype(np.int64)])
+            shard = (keys % np.uint64(shards)).astype(np.int64)
+            order, ends = np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))
+        else:
+            keys, counts = distinct(blob, sizes, held, depth)
+            order, ends = in_shards(keys, depth, shards)
+        keys, counts = keys[order], counts[order]
+        for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if b > a:
+                for c, x in zip(ASKS, (s + shards * words, b - a, packed_keys(keys[a:b]), squeezed(counts[a:b])), strict=True):
+                    out[c].append(x)
+    return out
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str, depth: int, every: int, shards: int) -> DataFrame:
+    """PACKS: what the model sees of some texts, and what they ask of each shard, as one row."""
 
     def one(batch: pa.RecordBatch):
-        for i in range(batch.num_rows):
-            (row,) = batch.slice(i, 1).to_pylist()
-            blob, sizes, held = unpacked(row)
-            columns: list[list] = [[] for _ in ASKED]
-            for words in (False, True):
-                if words:
-                    w, owner = word_keys(blob, sizes)
-                    keys, counts = summed([w], [(~held[owner]).astype(np.int64)])
-                    shard = (keys % np.uint64(shards)).astype(np.int64)
-                    order, ends = np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards))
-                else:
-                    keys, counts = distinct(blob, sizes, held, depth)
-                    order, ends = in_shards(keys, depth, shards)
-                keys, counts = keys[order], counts[order]
-                for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                    if b > a:
-                        for c, x in zip(columns, (s + shards * words, row["pack"], b - a, packed_keys(keys[a:b]), squeezed(counts[a:b])), strict=True):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED, strict=True)], schema=ASKED)
-
-    return map_arrow(packs, ASKED_SQL, one)
+        for part in passes(batch, "text", PACK_BYTES):
+            blob, sizes = plain_bytes(*raw_texts(part.column("text")), depth)
+            ids = part.column("id").to_pylist()
+            held = [i is None or zlib.crc32(str(i).encode()) % every == 0 for i in ids]
+            raw = blob.tobytes()
+            name = int.from_bytes(hashlib.blake2b(repr(ids).encode() + raw, digest_size=8).digest(), "little", signed=True)
+            row = {"pack": name, "ids": ids, "blob": pa.compress(raw, "zstd", asbytes=True), "sizes": sizes.tolist(), "held": held}
+            yield pa.RecordBatch.from_pylist([row | requests(blob, sizes, np.array(held, bool), depth, shards)], PACKS)
+
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return map_arrow(own, PACKS_SQL, one)
+
+
+def asked_of(packs: DataFrame) -> DataFrame:
+    """The packs' requests, a row for each shard (ASKED)."""
+    each = packs.select("pack", F.explode(F.arrays_zip(*ASKS)).alias("x"))
+    return each.select("x.shard", "pack", "x.n", "x.keys", "x.counts")
 
 
 class Sums:
@@ -468,7 +499,7 @@ def answers(asked: DataFrame, shards: DataFrame, depth: int, count: int, top: To
                 if shard != at:
                     raise RuntimeError("a shard is missing")
                 got = values[np.searchsorted(known, own)]
-                raw = squeezed(got) if shard >= count else got.astype(np.float32).tobytes()
+                raw = squeezed(got if shard >= count else got.astype(np.float32))
                 for column, x in zip(out, (pack, shard, raw), strict=True):
                     column.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["pack", "shard", "answer"])
@@ -491,11 +522,12 @@ def scores(packs: DataFrame, replies: DataFrame, depth: int, count: int, tokens:
             (row,) = batch.slice(i, 1).to_pylist()
             blob, sizes, held = unpacked(row)
             got = {r["shard"]: r["answer"] for r in row["a"] or []}
-            keys, _ = distinct(blob, sizes, held, depth)
+            keys, parts = grams_by_text(blob, sizes, depth)
             order, ends = in_shards(keys, depth, count)
             logs = np.empty(len(keys), np.float32)
-            logs[order] = np.concatenate([np.frombuffer(got[s], np.float32) for s in range(count) if s in got])
-            score = log_sums(blob, sizes, depth, keys, logs)
+            logs[order] = np.concatenate([restored(got[s], n, np.float32) for s, n in enumerate(np.diff(ends, prepend=0).tolist()) if n])
+            score = log_sums(keys, logs, parts, len(sizes))
+            del keys, parts, order, logs
             w, owner = word_keys(blob, sizes)
             known, at = np.unique(w, return_inverse=True)
             shard = (known % np.uint64(count)).astype(np.int64)
@@ -509,7 +541,7 @@ def scores(packs: DataFrame, replies: DataFrame, depth: int, count: int, tokens:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCORES, strict=True)], schema=SCORES)
 
     by_pack = replies.groupBy("pack").agg(F.collect_list(F.struct("shard", "answer")).alias("a"))
-    return map_arrow(packs.join(by_pack, "pack", "left"), SCORES_SQL, one)
+    return map_arrow(packs.drop(*ASKS).join(by_pack, "pack", "left"), SCORES_SQL, one)
 
 
 def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 10, depth: int = DEPTH, shards: int = SHARDS) -> DataFrame:
@@ -521,8 +553,8 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have. Null and empty texts are the end alone; repeated rows count each; ids are whole numbers; other columns are not
     read. Without training rows all estimates are even; a table without rows gives none.
     """
-    packs = stored(texts_of(docs, id_col, text_col, depth, every), "packs")
-    asked = requests(packs, depth, shards)
+    packs = stored(texts_of(docs, id_col, text_col, depth, every, shards), "packs")
+    asked = asked_of(packs)
     trained = stored(model(asked), "shards")
     tokens, kinds = totals(trained, shards)
     replies = answers(asked, trained, depth, shards, top_tree(trained, depth, shards))

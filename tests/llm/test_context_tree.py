@@ -142,9 +142,12 @@ def test_probabilities_of_all_bytes_sum_to_one():
 def test_steps_of_a_pack(monkeypatch):
     blob, sizes = ct.plain_bytes(*(np.frombuffer(b"ab  cD\n\n", np.uint8), np.array([0, 8])), DEPTH)
     assert blob.tobytes() == b"\n" * (2 * DEPTH + 1) + b"ab cd \n" and sizes.tolist() == [DEPTH + 1, DEPTH + 7]
-    whole = [k.tolist() for k, _ in ct.stretches(blob, sizes, DEPTH)]
+    whole = [k.tolist() for k, *_ in ct.stretches(blob, sizes, DEPTH)]
     monkeypatch.setattr(ct, "STEP", 3)
-    assert [x for k, _ in ct.stretches(blob, sizes, DEPTH) for x in k.tolist()] == whole[0] and len(whole[0]) == 8
+    for texts in (1, 256):
+        parts = list(ct.stretches(blob, sizes, DEPTH, texts))
+        assert [x for k, *_ in parts for x in k.tolist()] == whole[0] and len(whole[0]) == 8
+        assert [int(o) + f for _, owner, f in parts for o in owner] == [0] + [1] * 7
 
 
 @pytest.mark.parametrize("x", [0.5, 1.0, 1.5, 7.0, 1000.5, 1e9])
