@@ -141,33 +141,6 @@ def vessel_blend(pred: DataFrame, weight: float = 0.4, tile: int = 256) -> DataF
     return both.select("r", "c", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - weight) * F.col("p") + weight * scaled)).alias("p"))
 
 
-def distance_to(cells: DataFrame, truth: DataFrame, first: int = 16) -> DataFrame:
-    """r, c, d: the exact distance of each cell to the nearest truth cell, however far (null without truth).
-
-    Rounds with tiles of growing side: a cell meets the truth of its tile and the eight around it, by an equi-join.
-    A distance up to the side is settled; cells with a greater one, or none, go to the next round.
-    """
-    truth, left, out = stored(truth.select("r", "c").distinct(), "truth"), cells.select("r", "c").distinct(), None
-    box = truth.unionByName(left).agg((F.max("r") - F.min("r") + F.max("c") - F.min("c") + 1).alias("n"), F.count("*").alias("k")).first()
-    if truth.isEmpty():
-        return cells.select("r", "c", F.lit(None).cast("double").alias("d")).distinct()
-    side = first
-    while True:
-        at = lambda x: F.floor(F.col(x) / side).cast("int")  # noqa: B023, E731
-        around = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-        near = truth.withColumn("o", around).select((at("r") + F.col("o.y")).alias("ty"), (at("c") + F.col("o.x")).alias("tx"), F.col("r").alias("y"), F.col("c").alias("x"))
-        met = left.withColumns({"ty": at("r"), "tx": at("c")}).join(near, ["ty", "tx"], "left")
-        square = lambda a, b: (F.col(a) - F.col(b)).cast("long") * (F.col(a) - F.col(b))
-        found = stored(met.groupBy("r", "c").agg(F.min(square("y", "r") + square("x", "c")).alias("d2")), "near")
-        settled = F.col("d2") <= side * side
-        own = found.where(settled).select("r", "c", F.sqrt(F.col("d2").cast("double")).alias("d"))
-        out = own if out is None else out.unionByName(own)
-        left = found.where(F.col("d2").isNull() | ~settled).select("r", "c")
-        if side >= box.n or left.isEmpty():
-            return out
-        side *= 4
-
-
 def zhang_suen(mask: np.ndarray, rounds: int) -> np.ndarray:
     """A boolean array after so many rounds of thinning (Zhang and Suen), or as many as change it; beyond it lies nothing."""
     m = np.pad(mask, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernel
-from cellweave.operators import audits, emission, focal, kernels, partition, scoring, selection, shaping, stats, text, windows
+from cellweave.operators import audits, distance, emission, focal, kernels, partition, scoring, selection, shaping, stats, text, windows
 from cellweave.plans.grid_queries import by_block, by_fold, footprint_of, in_cents, main_field, near_cells, query, rounded, ship_bands, slotted, sweep_of  # noqa: F401
 from cellweave.sources import codec, grids
 from cellweave.sources.tables import COLUMNS, event_cells, field_of, fields, read, ship_grid, truth_of
@@ -91,7 +91,7 @@ def mask_boxes(spark, sf):
 @query
 def miss_reach(spark, sf):
     cells = event_cells(spark, sf)
-    d = kernels.distance_to(truth_of(cells), field_of(cells).where("p > 0.5"))
+    d = distance.distance_to(truth_of(cells), field_of(cells).where("p > 0.5"))
     return rounded(audits.reach_shares(d))
 
 

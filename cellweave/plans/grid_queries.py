@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernel
-from cellweave.operators import emission, focal, kernels, partition, regions, scoring, selection, stats, text, windows
+from cellweave.operators import distance, emission, focal, kernels, partition, regions, scoring, selection, stats, text, windows
 from cellweave.sources import grid_source, vectors
 from cellweave.sources.tables import BLOCK, COLUMNS, event_cells, field_of, fields, footprint_of, read, ship_grid, truth_of
 
@@ -276,14 +276,14 @@ def component_stats(spark, sf):
 @query
 def edt(spark, sf):
     cells = event_cells(spark, sf)
-    return rounded(kernels.distance_to(truth_of(cells, "signup"), truth_of(cells)))
+    return rounded(distance.distance_to(truth_of(cells, "signup"), truth_of(cells)))
 
 
 @query
 def miss_distance(spark, sf):
     """How far truth is from where the field is above a floor."""
     cells = event_cells(spark, sf)
-    d = kernels.distance_to(truth_of(cells), field_of(cells).where("p > 0.5"))
+    d = distance.distance_to(truth_of(cells), field_of(cells).where("p > 0.5"))
     shares = [F.avg((F.col("d") <= k).cast("double")).alias(f"within_{k}") for k in (3, 6, 12)]
     pct = [F.percentile("d", F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 95)]
     return rounded(d.agg(F.count("*").alias("n"), *shares, *pct, F.max("d").alias("most")))

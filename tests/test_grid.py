@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import kernel
-from cellweave.operators import emission, focal, kernels, partition, regions, scoring, selection, stats, text
+from cellweave.operators import distance, emission, focal, kernels, partition, regions, scoring, selection, stats, text
 from cellweave.sources import files, grid_source, vectors
 
 TRUTH, PRED = "r int, c int", "candidate string, r int, c int, p double"
@@ -148,7 +148,7 @@ def test_distances_and_thinning(spark):
     r = random.Random(3)
     truth = [(r.randrange(30), r.randrange(30)) for _ in range(9)]
     cells = [(y, x) for y in range(0, 30, 3) for x in range(0, 30, 4)]
-    got = kernels.distance_to(spark.createDataFrame(cells, TRUTH), spark.createDataFrame(truth, TRUTH)).collect()
+    got = distance.distance_to(spark.createDataFrame(cells, TRUTH), spark.createDataFrame(truth, TRUTH)).collect()
     assert len(got) == len(cells) and all(x.d == pytest.approx(min(math.dist((x.r, x.c), t) for t in truth)) for x in got)
     masks = [np.zeros((70, 60), bool) for _ in range(3)]
     masks[0][10:17, 5:35] = True
