@@ -53,9 +53,18 @@ ASKED = pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()
 ASKED_SQL = "shard int, pack long, n int, keys binary, counts binary"
 
 
+def compressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", 4).compress(raw, asbytes=True)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """x as floats of 16 significant bits, the nearest: their last byte is nothing."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """An array of numbers as bytes, like places together, compressed."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), "zstd", asbytes=True)
+    return compressed(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def restored(raw: bytes, n: int, kind=np.uint64) -> np.ndarray:
@@ -231,7 +240,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, depth: int, every: int
             held = [i is None or zlib.crc32(str(i).encode()) % every == 0 for i in ids]
             raw = blob.tobytes()
             name = int.from_bytes(hashlib.blake2b(repr(ids).encode() + raw, digest_size=8).digest(), "little", signed=True)
-            row = {"pack": name, "ids": ids, "blob": pa.compress(raw, "zstd", asbytes=True), "sizes": sizes.tolist(), "held": held}
+            row = {"pack": name, "ids": ids, "blob": compressed(raw), "sizes": sizes.tolist(), "held": held}
             yield pa.RecordBatch.from_pylist([row | requests(blob, sizes, np.array(held, bool), depth, shards)], PACKS)
 
     own = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -499,7 +508,7 @@ def answers(asked: DataFrame, shards: DataFrame, depth: int, count: int, top: To
                 if shard != at:
                     raise RuntimeError("a shard is missing")
                 got = values[np.searchsorted(known, own)]
-                raw = squeezed(got if shard >= count else got.astype(np.float32))
+                raw = squeezed(got if shard >= count else rounded(got))
                 for column, x in zip(out, (pack, shard, raw), strict=True):
                     column.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["pack", "shard", "answer"])
@@ -549,7 +558,7 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The model learns from the rows whose crc32 of the id as text every does not divide; the others, and rows without
     an id, are held out. score is log10 of the model's probability of the text as the model sees it (n_bytes long),
-    base_score that of a unigram model of words. n_tokens counts words and the end, n_known those that training texts
+    base_score that of a unigram model of words. A byte's log counts with 16 significant bits. n_tokens counts words and the end, n_known those that training texts
     have. Null and empty texts are the end alone; repeated rows count each; ids are whole numbers; other columns are not
     read. Without training rows all estimates are even; a table without rows gives none.
     """
