@@ -57,3 +57,33 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
         east = east + x * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + x * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + k0 * big * east, k0 * big * north
+
+
+def geographic(east: Column, north: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude on WGS 84 of a UTM place north of the equator: the inverse of utm."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi0, eta0 = north / (k0 * big), (east - 500000) / (k0 * big)
+    xi, eta = xi0, eta0
+    for j, x in enumerate(beta, 1):
+        xi = xi - x * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - x * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, x in enumerate(delta, 1):
+        lat = lat + x * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6 * zone - 183), F.degrees(lat)
+
+
+def box_utm(west: float, south: float, east: float, north: float, zone: int, spark: SparkSession, points: int = 21) -> tuple[float, float, float, float]:
+    """The UTM box around a box of longitudes and latitudes: of points along each of its sides, so that bent sides lie within."""
+    steps = spark.range(points).select((F.col("id") / (points - 1)).alias("t"))
+    side = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    x, y = west + (east - west) * F.col("t"), south + (north - south) * F.col("t")
+    edge = steps.select(F.explode(F.array(side(x, F.lit(south)), side(x, F.lit(north)), side(F.lit(west), y), side(F.lit(east), y))).alias("p"))
+    e, n = utm(F.col("p.lon"), F.col("p.lat"), zone)
+    row = edge.agg(F.min(e).alias("a"), F.min(n).alias("b"), F.max(e).alias("c"), F.max(n).alias("d")).first()
+    return tuple(row)
