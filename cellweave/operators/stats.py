@@ -117,10 +117,3 @@ def content(rows: DataFrame, *keys: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
     total = (F.sum(h.cast("decimal(20,0)")) % F.lit(1 << 62).cast("decimal(20,0)")).cast("long")
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), total.alias("s"), F.bit_xor(h).alias("x"))
-
-
-def best_window(cells: DataFrame, size: int, step: int, weight: str) -> DataFrame:
-    """r0, c0, total, n of windows (corners at multiples of step), by falling total."""
-    corner = lambda x: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(x) - size) / step).cast("int") + 1), F.floor(F.col(x) / step).cast("int")))
-    met = cells.withColumn("i", corner("r")).withColumn("j", corner("c"))
-    return met.groupBy((F.col("i") * step).alias("r0"), (F.col("j") * step).alias("c0")).agg(F.sum(weight).alias("total"), F.count("*").alias("n"))

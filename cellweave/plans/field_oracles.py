@@ -31,7 +31,20 @@ rowsof AS (SELECT *, unnest(generate_series(CAST(floor(least(y0, y1)) AS BIGINT)
 ends AS (SELECT r, x0 + (x1 - x0) * (greatest(least(r::DOUBLE, greatest(y0, y1)), least(y0, y1)) - y0) / (y1 - y0) AS a, x0 + (x1 - x0) * (greatest(least(r + 1::DOUBLE, greatest(y0, y1)), least(y0, y1)) - y0) / (y1 - y0) AS b FROM rowsof),
 mark AS (SELECT DISTINCT r, unnest(generate_series(CAST(floor(least(a, b)) AS BIGINT), CAST(floor(greatest(a, b)) AS BIGINT))) AS c FROM ends)"""
 
+
+
+def windowed(size: int) -> str:
+    """CTE win: r0, c0, valid, positive of all windows: rows summed by a frame along columns, then along rows."""
+    return f"""
+h AS (SELECT max(r) + 1 AS h FROM ev), dense AS MATERIALIZED (SELECT CAST(a.r AS INT) AS r, CAST(b.c AS INT) AS c, CASE WHEN f.r IS NULL THEN 0 ELSE 1 END AS valid, CASE WHEN t.r IS NULL THEN 0 ELSE 1 END AS positive FROM range(0, (SELECT h FROM h)) a(r) CROSS JOIN range(0, 720) b(c) LEFT JOIN foot f ON f.r = a.r AND f.c = b.c LEFT JOIN truth t ON t.r = a.r AND t.c = b.c),
+across AS MATERIALIZED (SELECT r, c, sum(valid) OVER w AS valid, sum(positive) OVER w AS positive FROM dense WINDOW w AS (PARTITION BY r ORDER BY c ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)),
+win AS (SELECT r AS r0, c AS c0, sum(valid) OVER w AS valid, sum(positive) OVER w AS positive FROM across WINDOW w AS (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)),
+whole AS (SELECT w.* FROM win w CROSS JOIN h WHERE r0 <= h - {size} AND c0 <= 720 - {size})"""
+
+
 ORACLE_SQL = {
+    "window_sums": f"WITH {EV}, {windowed(24)} SELECT r0, count(*) AS n, CAST(sum(valid) AS BIGINT) AS valid_sum, CAST(sum(positive) AS BIGINT) AS positive_sum, CAST(max(valid) AS BIGINT) AS valid_max, CAST(max(positive) AS BIGINT) AS positive_max FROM whole GROUP BY r0",
+    "best_window_valid": f"WITH {EV}, {windowed(12)} SELECT r0, c0, 12 AS size, CAST(positive AS BIGINT) AS positives, CAST(valid AS BIGINT) AS valids, round(positive / 144, 6) AS positive_share, round(valid / 144, 6) AS valid_share FROM whole WHERE valid >= 0.02 * 144 ORDER BY positives DESC, r0, c0 LIMIT 1",
     "reconstruct_grid": f"""WITH {EV}, {SHIP}, shape AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM li), target_shape AS (SELECT CAST(trunc((h - 0.75) / 1.5) AS INT) + 1 AS th, CAST(trunc((w - 3.5) / 2.25) AS INT) + 1 AS tw FROM shape),
       target AS MATERIALIZED (SELECT CAST(a.r AS INT) AS r, CAST(b.c AS INT) AS c FROM range(0, (SELECT th FROM target_shape)) a(r), range(0, (SELECT tw FROM target_shape)) b(c)),
       {gathered('v', 'round(CAST(v AS DOUBLE) * 100)', 'true', 0)}, {gathered('q', 'CAST(q AS DOUBLE)', 'true', 0)}, {gathered('x', 'round(CAST(x AS DOUBLE) * 100)', 'x > 0', 2)},

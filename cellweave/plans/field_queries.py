@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import reprojection
+from cellweave.operators import integral, reprojection
 from cellweave.plans.grid_queries import in_cents, query, rounded
-from cellweave.sources.tables import event_cells, ship_grid
+from cellweave.sources.tables import COLUMNS, event_cells, footprint_of, ship_grid, truth_of
 
 #: Cells of the rebuilt grid, 1.5 rows high and 2.25 columns wide, turned by nothing, from a corner inside the source.
 TARGET = (2.25, 0.0, 3.5, 0.0, 1.5, 0.75)
@@ -28,3 +28,28 @@ def reconstruct_grid(spark, sf):
     target = {"shape": (int((shape[0] - 0.75) / 1.5) + 1, int((shape[1] - 3.5) / 2.25) + 1), "transform": TARGET}
     out = reprojection.reconstruct_grid(spark, sources, target, "v", lines_of(event_cells(spark, sf)), ("x",), 100.0, 2.0)
     return rounded(out, 3)
+
+
+def marked_cells(cells):
+    """r, c, valid, positive: the cells with events, and those with an error among them."""
+    return footprint_of(cells).withColumn("valid", F.lit(1)).join(truth_of(cells).withColumn("positive", F.lit(1)), ["r", "c"], "left").na.fill(0, ["positive"])
+
+
+def shape_of(cells):
+    return cells.agg(F.max("r")).first()[0] + 1, COLUMNS
+
+
+@query
+def window_sums(spark, sf):
+    """Windows of 24 by 24 at every offset: by first row, how many of them there are, their cells and errors, and the most of both."""
+    cells = event_cells(spark, sf)
+    w = integral.window_sums(marked_cells(cells), ["valid", "positive"], shape_of(cells), 24)
+    sums = [F.sum(F.col(x)).cast("long").alias(f"{x}_sum") for x in ("valid", "positive")]
+    return w.groupBy("r0").agg(F.count("*").alias("n"), *sums, *[F.max(x).cast("long").alias(f"{x}_max") for x in ("valid", "positive")])
+
+
+@query
+def best_window_valid(spark, sf):
+    """The window of 12 by 12 with most errors whose cells are a fiftieth valid at least."""
+    cells = event_cells(spark, sf)
+    return rounded(integral.best_window(marked_cells(cells), shape_of(cells), 12, 1, 0.02))
