@@ -75,9 +75,9 @@ ORACLE_SQL = {
       x AS (SELECT DISTINCT mode, corridor, r + dy AS r, c + dx AS c FROM ev JOIN k USING (kind), co, disk WHERE d <= corridor) SELECT mode, corridor, count(*) AS px FROM x GROUP BY ALL""",
     "policy_precedence": """WITH o AS (SELECT CAST(month(o_orderdate) AS INT) AS m FROM orders GROUP BY 1), x AS (SELECT m, CASE WHEN m % 3 = 0 THEN m / 100 END AS e, CASE WHEN m % 2 = 0 THEN CAST('0.' || m AS DOUBLE) END AS a, CASE WHEN m <> 1 THEN 0.3::DOUBLE END AS k FROM o)
       SELECT m, round(coalesce(e, a, k), 6) AS t0, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN a IS NOT NULL THEN 'adopted' WHEN k IS NOT NULL THEN 'calibrated' END AS source FROM x""",
-    "population_agreement": f"WITH {EV}, {population('lb', 'truth')}, {population('px', 'other')}, {diffs('lb', 'purchase', 'a.part < 12')}, {diffs('px', 'purchase', 'a.part < 12')}, {AGREE} SELECT * FROM agree",
+    "population_agreement": f"WITH {EV}, {population('lb', 'truth')}, {population('px', 'other')}, {diffs('lb', 'purchase')}, {diffs('px', 'purchase')}, {AGREE} SELECT * FROM agree",
     "majority_conflict": f"""WITH {EV}, {population('lb', 'truth')}, {population('px', 'other')}, {diffs('lb', 'click')}, {diffs('px', 'click')}, {AGREE}, w AS (SELECT candidate, round({SCORE}, 6) AS dti FROM px GROUP BY candidate)
-      SELECT a.candidate, gain, scoreable, w.dti, r.dti AS reference_dti, gain > scoreable / 2 AND w.dti < r.dti AS conflict FROM agree a JOIN w USING (candidate) JOIN w r ON r.candidate = 'click'""",
+      SELECT a.candidate, gain, scoreable, w.dti, r.dti AS reference_dti FROM agree a JOIN w USING (candidate) JOIN w r ON r.candidate = 'click' WHERE gain > scoreable / 2 AND w.dti < r.dti""",
     "rescore_audit": f"WITH {EV}, {parts('fields', '0')} SELECT candidate, round({GLOBAL}, 6) AS dti, true AS ok FROM comp GROUP BY candidate",
     "baselines": f"""WITH {EV}, base AS (SELECT 'copy' AS candidate, r, c, 1::DOUBLE AS p FROM truth UNION ALL SELECT 'blanket', r, c, 1 FROM foot), {parts('base', '0')}
       SELECT candidate, round(sum(tp), 6) AS tp, round(sum(fp), 6) AS fp, CAST(sum(n_gt) AS BIGINT) AS n_gt, round({GLOBAL}, 6) AS dti FROM comp GROUP BY candidate UNION ALL SELECT 'zeros', 0, 0, count(*), CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM truth""",

@@ -8,6 +8,7 @@ from cellweave.functions import kernel
 from cellweave.operators import audits, distance, emission, focal, kernels, partition, scoring, selection, shaping, stats, text, windows
 from cellweave.plans.grid_queries import by_block, by_fold, footprint_of, in_cents, main_field, near_cells, query, rounded, ship_bands, slotted, sweep_of  # noqa: F401
 from cellweave.sources import codec, grids
+from cellweave.sources.shared import stored
 from cellweave.sources.tables import COLUMNS, event_cells, field_of, fields, read, ship_grid, truth_of
 
 INSIDE = f"r >= 0 AND c BETWEEN 0 AND {COLUMNS - 1}"
@@ -136,7 +137,7 @@ def by_part(parts):
 
 @query
 def population_agreement(spark, sf):
-    labels, proxy = (by_part(x).where("part < 12") for x in two_populations(spark, sf))
+    labels, proxy = (stored(by_part(x), "scores") for x in two_populations(spark, sf))
     return rounded(audits.population_agreement(labels, proxy, "purchase"))
 
 
@@ -144,9 +145,10 @@ def population_agreement(spark, sf):
 def majority_conflict(spark, sf):
     """Candidates that gain in most blocks of a population and lose over it; against click."""
     labels, proxy = two_populations(spark, sf)
+    labels, proxy = stored(labels, "labels"), stored(proxy, "proxy")
     agreement = audits.population_agreement(by_part(labels), by_part(proxy), "click")
     whole = scoring.score(proxy, "candidate").withColumn("dti", F.round("dti", 6))
-    return rounded(agreement.join(whole.select("candidate", "dti"), "candidate").crossJoin(F.broadcast(whole.where("candidate = 'click'").select(F.col("dti").alias("reference_dti")))).select("candidate", "gain", "scoreable", "dti", "reference_dti", ((F.col("gain") > F.col("scoreable") / 2) & (F.col("dti") < F.col("reference_dti"))).alias("conflict")))
+    return rounded(audits.majority_conflicts(agreement, whole, "click"))
 
 
 @query

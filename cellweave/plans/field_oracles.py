@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.plans.grid_oracles import EV, SHIP, gradient
+from cellweave.plans.grid_oracles import BLOCK, EV, GLOBAL, SCORE, SHIP, gradient, parts
 
 
 def gathered(band: str, value: str, where: str, shift: float) -> str:
@@ -42,7 +42,41 @@ win AS (SELECT r AS r0, c AS c0, sum(valid) OVER w AS valid, sum(positive) OVER
 whole AS (SELECT w.* FROM win w CROSS JOIN h WHERE r0 <= h - {size} AND c0 <= 720 - {size})"""
 
 
+#: CTE sweep: field, fi, t0, width, dti, tp, fp, px of every field's bands, from comp (by block).
+BANDS = """
+lev AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE), (2, 0.5::DOUBLE), (3, 0.7::DOUBLE)) v(fi, t0)),
+mask AS (SELECT candidate AS field, fi, r, c FROM fields, lev WHERE p > t0),
+emit AS (SELECT DISTINCT field || ':' || fi || ':' || w AS candidate, r + dy AS r, c + dx AS c, 1::DOUBLE AS p FROM mask, disk, (SELECT unnest([0, 1, 2]) AS w) WHERE d <= w AND r + dy >= 0 AND c + dx BETWEEN 0 AND 719)
+"""
+SWEPT = f"""
+sweep AS MATERIALIZED (SELECT candidate, split_part(candidate, ':', 1) AS field, lev.t0, CAST(split_part(candidate, ':', 3) AS INT) AS width, round({GLOBAL}, 6) AS dti, sum(tp) AS tp, sum(fp) AS fp, CAST(sum(pred_px) AS BIGINT) AS px FROM comp JOIN lev ON fi = CAST(split_part(candidate, ':', 2) AS INT) GROUP BY candidate, lev.t0)
+"""
+STATUS = lambda ok: f"CASE WHEN coalesce({ok}, false) THEN 'PASS' ELSE 'FAIL' END"
+EV_SIGNUP = EV.replace("kind = 'error'", "kind = 'signup'")
+
 ORACLE_SQL = {
+    "field_selection": f"""WITH {EV_SIGNUP}, {BANDS}, {parts('emit', BLOCK)}, {SWEPT}, sup AS (SELECT px AS s FROM sweep WHERE field = 'purchase' AND t0 = 0.3 AND width = 0),
+      fit AS (SELECT w.*, tol FROM sweep w, sup, (SELECT unnest([0.15, 0.25, 0.40]) AS tol) WHERE abs(px - s) <= tol * s), rk AS (SELECT *, row_number() OVER (PARTITION BY field, tol ORDER BY dti DESC, t0, width) AS k, count(*) OVER (PARTITION BY field, tol) AS n FROM fit), bw AS MATERIALIZED (SELECT * FROM rk WHERE k = 1),
+      firsts AS (SELECT field, count(*) AS firsts FROM (SELECT tol, field, row_number() OVER (PARTITION BY tol ORDER BY dti DESC, field) AS k FROM bw) WHERE k = 1 GROUP BY field),
+      ship AS (SELECT max(dti) AS ship FROM bw WHERE tol = 0.25 AND field = 'purchase'),
+      sl AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS slot FROM (SELECT DISTINCT part FROM comp)), nn AS (SELECT count(*) AS n FROM sl),
+      dr AS (SELECT boot, (boot * 7919 + place * 104729 + 17) % n AS slot FROM nn, range(0, 100) a(boot), range(0, (SELECT n FROM nn)) p(place)),
+      dw AS (SELECT boot, bw.field, {SCORE} AS dti FROM dr JOIN sl USING (slot) JOIN comp USING (part) JOIN (SELECT field, candidate FROM bw WHERE tol = 0.25) bw ON bw.candidate = comp.candidate GROUP BY ALL),
+      pb AS (SELECT x.field, avg(CASE WHEN round(x.dti - y.dti, 12) > 0 THEN 1 ELSE 0 END) AS p FROM dw x JOIN dw y ON x.boot = y.boot AND y.field = 'purchase' WHERE x.field = 'click' GROUP BY x.field),
+      mo AS (SELECT event_type, strftime(ts, '%Y-%m') AS run FROM events), ru AS (SELECT DISTINCT event_type AS field, run FROM mo WHERE event_type IN ('purchase', 'click', 'view')), se AS (SELECT DISTINCT run FROM mo WHERE event_type = 'error'),
+      f1 AS (SELECT field, CASE WHEN count(*) = count(se.run) THEN 'PASS' ELSE 'UNVERIFIED' END AS f1 FROM ru LEFT JOIN se USING (run) GROUP BY field),
+      j AS (SELECT f1.field, f1.f1, {STATUS('rf.dti IS NOT NULL AND ad.dti IS NOT NULL')} AS f2, CASE WHEN f1.field = 'purchase' THEN 'NOT_APPLICABLE' ELSE {STATUS('h.dti > ship + 0.010')} END AS r1, {STATUS('firsts = 3')} AS r2,
+        CASE WHEN f1.field = 'purchase' THEN 'NOT_APPLICABLE' WHEN pb.p IS NULL THEN 'NOT_MEASURABLE_FROM_COMMITTED_BYTES' ELSE {STATUS('pb.p >= 0.95')} END AS r3, {STATUS('ad.dti - rf.dti > 0.010')} AS r4, {STATUS('h.n >= 3')} AS r5
+        FROM f1 CROSS JOIN ship LEFT JOIN bw h ON h.field = f1.field AND h.tol = 0.25 LEFT JOIN firsts ON firsts.field = f1.field LEFT JOIN pb ON pb.field = f1.field
+        LEFT JOIN sweep ad ON ad.field = f1.field AND ad.t0 = 0.3 AND ad.width = 0 LEFT JOIN sweep rf ON rf.field = f1.field AND rf.t0 = 0.5 AND rf.width = 1),
+      k AS (SELECT *, field <> 'purchase' AND f1 = 'PASS' AND f2 = 'PASS' AND r1 = 'PASS' AND r2 = 'PASS' AND r3 = 'PASS' AND r4 = 'PASS' AND r5 = 'PASS' AS passes FROM j), v AS (SELECT count(*) FILTER (passes) AS n, min(field) FILTER (passes) AS one FROM k)
+      SELECT k.*, CASE WHEN n = 1 THEN 'ADOPT ' || one WHEN n > 1 THEN 'CONFLICT' ELSE 'KEEP purchase' END AS verdict FROM k, v""",
+    "width_decision": f"""WITH {EV}, {BANDS}, {parts('emit', BLOCK)}, {SWEPT}, g AS (SELECT count(*) AS n FROM truth), best AS (SELECT * FROM sweep WHERE field = 'purchase' ORDER BY dti DESC, t0, width LIMIT 1), cur AS (SELECT * FROM sweep WHERE field = 'purchase' AND t0 = 0.3 AND width = 0),
+      an AS (SELECT n * m AS t, n FROM g, (SELECT unnest([0.25::DOUBLE, 1, 4]) AS m)), pr AS (SELECT t, round(b.tp / n, 6) * t AS bt, round(b.fp, 3) AS bf, round(c.tp / n, 6) * t AS ct, round(c.fp, 3) AS cf FROM an, best b, cur c),
+      wi AS (SELECT count(*) AS anchors, count(*) FILTER (bt / (0.2::DOUBLE * (bt + bf) + 0.8::DOUBLE * t + 1e-12::DOUBLE) > ct / (0.2::DOUBLE * (ct + cf) + 0.8::DOUBLE * t + 1e-12::DOUBLE)) AS wins FROM pr),
+      ot AS (SELECT o.dti, r.dti AS ref FROM sweep o JOIN best b ON o.t0 = b.t0 AND o.width = b.width JOIN sweep r ON r.field = o.field AND r.t0 = 0.3 AND r.width = 0 WHERE o.field <> 'purchase'), re AS (SELECT count(*) AS ensembles, count(*) FILTER (round(dti - ref, 6) > 0.010 AND dti > ref) AS reproduced FROM ot),
+      x AS (SELECT b.t0, b.width, round(b.dti - c.dti, 6) AS gain, anchors, wins, ensembles, reproduced FROM best b, cur c, wi, re), y AS (SELECT *, concat_ws('/', CASE WHEN NOT gain > 0.010 THEN '1' END, CASE WHEN wins <> anchors THEN '2' END, CASE WHEN NOT (ensembles > 0 AND reproduced = ensembles) THEN '3' END) AS failed FROM x)
+      SELECT *, CASE WHEN failed = '' THEN 'SHIP' WHEN ensembles = 0 THEN 'NOT REPRODUCED' ELSE 'NOT SHIPPED' END AS verdict FROM y""",
     "window_sums": f"WITH {EV}, {windowed(24)} SELECT r0, count(*) AS n, CAST(sum(valid) AS BIGINT) AS valid_sum, CAST(sum(positive) AS BIGINT) AS positive_sum, CAST(max(valid) AS BIGINT) AS valid_max, CAST(max(positive) AS BIGINT) AS positive_max FROM whole GROUP BY r0",
     "best_window_valid": f"WITH {EV}, {windowed(12)} SELECT r0, c0, 12 AS size, CAST(positive AS BIGINT) AS positives, CAST(valid AS BIGINT) AS valids, round(positive / 144, 6) AS positive_share, round(valid / 144, 6) AS valid_share FROM whole WHERE valid >= 0.02 * 144 ORDER BY positives DESC, r0, c0 LIMIT 1",
     "reconstruct_grid": f"""WITH {EV}, {SHIP}, shape AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM li), target_shape AS (SELECT CAST(trunc((h - 0.75) / 1.5) AS INT) + 1 AS th, CAST(trunc((w - 3.5) / 2.25) AS INT) + 1 AS tw FROM shape),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import integral, reprojection
-from cellweave.plans.grid_queries import in_cents, query, rounded
-from cellweave.sources.tables import COLUMNS, event_cells, footprint_of, ship_grid, truth_of
+from cellweave.operators import emission, field_rules, integral, reprojection, scoring
+from cellweave.plans.grid_queries import FLOORS, WIDTHS, by_block, in_cents, query, rounded
+from cellweave.sources.shared import stored
+from cellweave.sources.tables import COLUMNS, event_cells, fields, footprint_of, read, ship_grid, truth_of
 
 #: Cells of the rebuilt grid, 1.5 rows high and 2.25 columns wide, turned by nothing, from a corner inside the source.
 TARGET = (2.25, 0.0, 3.5, 0.0, 1.5, 0.75)
@@ -53,3 +55,54 @@ def best_window_valid(spark, sf):
     """The window of 12 by 12 with most errors whose cells are a fiftieth valid at least."""
     cells = event_cells(spark, sf)
     return rounded(integral.best_window(marked_cells(cells), shape_of(cells), 12, 1, 0.02))
+
+
+def field_parts(cells, kind: str):
+    """Components by block of every field's bands at four floors and three widths against a truth: candidate is field:floor:width."""
+    masks = fields(cells).withColumn("f", F.explode(F.array(*[F.struct(F.lit(i).alias("fi"), F.lit(t).alias("t0")) for i, t in enumerate(FLOORS)])))
+    masks = masks.where(F.col("p") > F.col("f.t0")).select("candidate", F.col("f.fi").alias("fi"), "r", "c")
+    bands = emission.bands(masks, list(WIDTHS), ["candidate", "fi"]).where((F.col("r") >= 0) & F.col("c").between(0, COLUMNS - 1))
+    emit = bands.select(F.concat_ws(":", "candidate", "fi", "width").alias("candidate"), "r", "c", F.lit(1.0).alias("p"))
+    return stored(scoring.components(truth_of(cells, kind), emit, by_block()), "parts")
+
+
+def field_sweep(parts):
+    """field, t0, width, dti, tp, fp, px."""
+    name = F.split("candidate", ":")
+    t0 = F.element_at(F.array(*[F.lit(t) for t in FLOORS]), name[1].cast("int") + 1)
+    s = scoring.score(parts, "candidate")
+    return stored(s.select("candidate", name[0].alias("field"), t0.alias("t0"), name[2].cast("int").alias("width"), F.round("dti", 6).alias("dti"), "tp", "fp", F.col("pred_px").alias("px")), "sweep")
+
+
+@query
+def field_selection(spark, sf):
+    """Which of three fields an adopted policy (second floor, no width) is applied to; a month of events is a run, and an error in it is
+    the evidence of its folds. The bootstrap of views is left unmeasured."""
+    cells = event_cells(spark, sf)
+    parts = field_parts(cells, "signup")
+    sweep = field_sweep(parts).withColumn("adopted", (F.col("t0") == FLOORS[1]) & (F.col("width") == 0))
+    support = sweep.where("adopted AND field = 'purchase'").first()
+    best = field_rules.in_windows(sweep, support.px).where(F.col("tol") == field_rules.PRIMARY)
+    chosen = best.join(sweep.select("field", "t0", "width", "candidate"), ["field", "t0", "width"]).select("field", "candidate")
+    slots = parts.select("part").distinct().withColumn("slot", F.row_number().over(Window.orderBy("part")) - 1)
+    drawn = parts.join(F.broadcast(chosen), "candidate").drop("candidate").withColumnRenamed("field", "candidate").join(F.broadcast(slots), "part")
+    draw = ((F.col("boot") * 7919 + F.col("place") * 104729 + 17) % F.col("n")).cast("int")
+    p = scoring.bootstrap(drawn, "purchase", 100, draw).where("candidate <> 'view'").select(F.col("candidate").alias("field"), F.col("prob_beats").alias("p"))
+    months = read(spark, sf, "events").select("event_type", F.date_format("ts", "yyyy-MM").alias("run"))
+    runs = months.where("event_type IN ('purchase', 'click', 'view')").groupBy(F.col("event_type").alias("field")).agg(F.collect_set("run").alias("runs"))
+    f1 = field_rules.fold_completeness(runs, months.where("event_type = 'error'"))
+    reference = sweep.where((F.col("t0") == FLOORS[2]) & (F.col("width") == 1)).select("field", F.col("dti").alias("reference"))
+    facts = f1.join(reference, "field", "left").join(p, "field", "left")
+    return field_rules.field_selection(sweep, facts, "purchase", float(support.px))
+
+
+@query
+def width_decision(spark, sf):
+    """Whether the best policy of purchases ships against their adopted one; clicks and views are the other ensembles."""
+    cells = event_cells(spark, sf)
+    sweep = field_sweep(field_parts(cells, "error"))
+    reference = sweep.where((F.col("t0") == FLOORS[1]) & (F.col("width") == 0)).select("field", F.col("dti").alias("reference"))
+    others = sweep.where("field <> 'purchase'").join(reference, "field").withColumnRenamed("field", "ensemble")
+    n = truth_of(cells).count()
+    anchors = spark.createDataFrame([(n / 4,), (float(n),), (4.0 * n,)], "truth_px double")
+    return rounded(field_rules.width_decision(sweep.where("field = 'purchase'"), others, anchors, (FLOORS[1], 0), n))
