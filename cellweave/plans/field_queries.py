@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import emission, field_rules, integral, reprojection, scoring
+from cellweave.operators import boosting, emission, field_rules, integral, reprojection, scoring
 from cellweave.plans.grid_queries import FLOORS, WIDTHS, by_block, in_cents, query, rounded
 from cellweave.sources.shared import stored
 from cellweave.sources.tables import COLUMNS, event_cells, fields, footprint_of, read, ship_grid, truth_of
@@ -106,3 +106,15 @@ def width_decision(spark, sf):
     n = truth_of(cells).count()
     anchors = spark.createDataFrame([(n / 4,), (float(n),), (4.0 * n,)], "truth_px double")
     return rounded(field_rules.width_decision(sweep.where("field = 'purchase'"), others, anchors, (FLOORS[1], 0), n))
+
+
+@query
+def boosted_lines(spark, sf):
+    """Boosted trees for returned lines from five features, one of them with holes: how likely each line is returned."""
+    li = read(spark, sf, "lineitem")
+    rows = li.select(
+        "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"),
+        F.when(F.col("l_discount") > 0.02, F.col("l_discount").cast("double")).alias("discount"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("shipped"), F.col("l_tax").cast("double").alias("tax"),
+    )
+    model = boosting.fit(rows, ["quantity", "price", "discount", "shipped", "tax"], "y", trees=6, bins=32, leaves=8, depth=4, rate=0.3)
+    return rounded(boosting.predicted(rows, model).select("l_orderkey", "l_linenumber", "y", "p"))
