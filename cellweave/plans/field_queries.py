@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import boosting, emission, field_rules, integral, reprojection, scoring
+from cellweave.operators import boosting, dominating, emission, field_rules, integral, reprojection, scoring
 from cellweave.plans.grid_queries import FLOORS, WIDTHS, by_block, in_cents, query, rounded
 from cellweave.sources.shared import stored
 from cellweave.sources.tables import COLUMNS, event_cells, fields, footprint_of, read, ship_grid, truth_of
@@ -118,3 +118,11 @@ def boosted_lines(spark, sf):
     )
     model = boosting.fit(rows, ["quantity", "price", "discount", "shipped", "tax"], "y", trees=6, bins=32, leaves=8, depth=4, rate=0.3)
     return rounded(boosting.predicted(rows, model).select("l_orderkey", "l_linenumber", "y", "p"))
+
+
+@query
+def thin_budget(spark, sf):
+    """The main field's mask and clicks' thinned to a skeleton with up to 40 cells more: cells kept and added, and where."""
+    masks = fields(event_cells(spark, sf)).where("p > 0.05 AND candidate IN ('purchase', 'click')").select((F.col("candidate") == "click").cast("int").alias("k"), "r", "c", "p")
+    wide = emission.dilate_square(masks.where("k = 0"), 4).where((F.col("r") >= 0) & F.col("c").between(0, COLUMNS - 1)).select(F.lit(2).alias("k"), "r", "c", F.lit(0.5).alias("p"))
+    return dominating.thin_budget(masks.unionByName(wide), "k")
