@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.plans.grid_oracles import BLOCK, EV, GLOBAL, SCORE, SHIP, gradient, parts
+from cellweave.plans.grid_oracles import BLOCK, EV, FOLDS, GLOBAL, SCORE, SHIP, gradient, parts
 
 
 def gathered(band: str, value: str, where: str, shift: float) -> str:
@@ -54,7 +54,42 @@ sweep AS MATERIALIZED (SELECT candidate, split_part(candidate, ':', 1) AS field,
 STATUS = lambda ok: f"CASE WHEN coalesce({ok}, false) THEN 'PASS' ELSE 'FAIL' END"
 EV_SIGNUP = EV.replace("kind = 'error'", "kind = 'signup'")
 
+
+
+def split_windows(test: str, unknown: str, gone: str) -> str:
+    """CTEs of windows of 24 (training ones every 12): of the test windows, the cells whose truth is unknown, and the windows that go."""
+    return f"""
+hh AS (SELECT CAST(ceil((max(r) + 1) / 24.0) AS INT) * 24 AS ph, max(r) + 1 AS h FROM ev),
+gw AS MATERIALIZED (SELECT DISTINCT CAST(r // 24 * 24 AS INT) AS r0, CAST(c // 24 * 24 AS INT) AS c0 FROM foot WHERE c BETWEEN 0 AND 719 AND r >= 0),
+test AS MATERIALIZED ({test}),
+known AS MATERIALIZED (SELECT r, c FROM truth WHERE NOT ({unknown})),
+wins AS MATERIALIZED (SELECT CAST(a.x * 12 AS INT) AS r0, CAST(b.x * 12 AS INT) AS c0 FROM range(0, (SELECT (ph - 24) // 12 + 1 FROM hh)) a(x), range(0, (720 - 24) // 12 + 1) b(x)),
+seen AS (SELECT w.r0, w.c0, count(*) AS n FROM known k JOIN (SELECT unnest([0, 1]) AS y) y ON true JOIN (SELECT unnest([0, 1]) AS x) x ON true JOIN wins w ON w.r0 = (k.r // 12 - y.y) * 12 AND w.c0 = (k.c // 12 - x.x) * 12 GROUP BY w.r0, w.c0),
+gone AS MATERIALIZED ({gone}),
+judged AS MATERIALIZED (SELECT w.r0, w.c0, coalesce(s.n, 0) AS truth, CASE WHEN g.r0 IS NOT NULL THEN 'dropped' WHEN coalesce(s.n, 0) >= 3 THEN 'positive' ELSE 'negative' END AS use FROM wins w LEFT JOIN seen s USING (r0, c0) LEFT JOIN gone g ON g.r0 = w.r0 AND g.c0 = w.c0),
+pn AS (SELECT CAST(round_even(0.35::DOUBLE * count(*) FILTER (use = 'positive') / 0.65::DOUBLE, 0) AS BIGINT) AS k FROM judged),
+kept AS (SELECT *, row_number() OVER (PARTITION BY use ORDER BY (CAST(r0 AS BIGINT) * 7919 + CAST(c0 AS BIGINT) * 104729) % 1000003, r0, c0) AS nth FROM judged),
+every AS (SELECT r0, c0, CASE WHEN use = 'negative' AND nth > k THEN 'spare' ELSE use END AS use, truth FROM kept, pn
+  UNION ALL SELECT t.r0, t.c0, 'test', (SELECT count(*) FROM truth u WHERE u.r // 24 * 24 = t.r0 AND u.c // 24 * 24 = t.c0) FROM test t)
+SELECT use, count(*) AS n, CAST(sum(truth) AS BIGINT) AS truth, CAST(sum(r0) AS BIGINT) AS rows, CAST(sum(c0 * (r0 % 7)) AS BIGINT) AS columns FROM every GROUP BY use"""
+
+
+HELD = "fb AS MATERIALIZED (SELECT block_row, block_col FROM cf WHERE fold = 1)"
+IN_HELD = "EXISTS (SELECT 1 FROM fb WHERE block_row = r // 64 AND block_col = c // 64)"
+
 ORACLE_SQL = {
+    "holdout_drawn": f"""WITH {EV}, {split_windows(
+        "SELECT r0, c0 FROM (SELECT *, row_number() OVER (ORDER BY (CAST(r0 AS BIGINT) * 7919 + CAST(c0 AS BIGINT) * 104729) % 1000003, r0, c0) AS n FROM gw) WHERE n <= (SELECT round_even(0.25::DOUBLE * count(*), 0) FROM gw)",
+        "EXISTS (SELECT 1 FROM test WHERE r0 = r // 24 * 24 AND c0 = c // 24 * 24)",
+        "SELECT w.r0, w.c0 FROM wins w JOIN test t ON abs(w.r0 - t.r0) < 24 AND abs(w.c0 - t.c0) < 24 GROUP BY w.r0, w.c0 HAVING sum((24 - abs(w.r0 - t.r0)) * (24 - abs(w.c0 - t.c0))) > 0.25 * 576",
+    )}""",
+    "holdout_blocks": f"""WITH {EV}, {FOLDS}, {HELD}, {split_windows(
+        "SELECT r0, c0 FROM gw, hh WHERE r0 + 24 <= h AND c0 + 24 <= 720 AND NOT EXISTS (SELECT 1 FROM range(0, 24) a(y), range(0, 24) b(x) WHERE NOT EXISTS (SELECT 1 FROM fb WHERE block_row = (r0 + y) // 64 AND block_col = (c0 + x) // 64))",
+        IN_HELD,
+        "SELECT DISTINCT r0, c0 FROM wins, fb, hh WHERE r0 - 3 < least((block_row + 1) * 64, h) AND r0 + 24 + 3 > block_row * 64 AND c0 - 3 < least((block_col + 1) * 64, 720) AND c0 + 24 + 3 > block_col * 64",
+    )}""",
+    "training_weights": f"""WITH {EV}, {FOLDS}, {HELD}, known AS (SELECT r, c FROM truth WHERE NOT {IN_HELD}), w AS (SELECT r + dy AS r, c + dx AS c, 1 - max(k) AS w FROM known, disk WHERE k > 0 GROUP BY ALL) SELECT r, c, round(w, 6) AS w FROM w WHERE NOT {IN_HELD}""",
+    "raster_roundtrip": f"WITH {SHIP} SELECT r, c, CAST(v AS DOUBLE) AS v, CAST(q AS DOUBLE) AS q FROM li",
     "field_selection": f"""WITH {EV_SIGNUP}, {BANDS}, {parts('emit', BLOCK)}, {SWEPT}, sup AS (SELECT px AS s FROM sweep WHERE field = 'purchase' AND t0 = 0.3 AND width = 0),
       fit AS (SELECT w.*, tol FROM sweep w, sup, (SELECT unnest([0.15, 0.25, 0.40]) AS tol) WHERE abs(px - s) <= tol * s), rk AS (SELECT *, row_number() OVER (PARTITION BY field, tol ORDER BY dti DESC, t0, width) AS k, count(*) OVER (PARTITION BY field, tol) AS n FROM fit), bw AS MATERIALIZED (SELECT * FROM rk WHERE k = 1),
       firsts AS (SELECT field, count(*) AS firsts FROM (SELECT tol, field, row_number() OVER (PARTITION BY tol ORDER BY dti DESC, field) AS k FROM bw) WHERE k = 1 GROUP BY field),

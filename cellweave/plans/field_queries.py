@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import boosting, dominating, emission, field_rules, integral, reprojection, scoring
-from cellweave.plans.grid_queries import FLOORS, WIDTHS, by_block, in_cents, query, rounded
-from cellweave.sources.shared import stored
-from cellweave.sources.tables import COLUMNS, event_cells, fields, footprint_of, read, ship_grid, truth_of
+from cellweave.operators import boosting, dominating, emission, field_rules, holdout, integral, partition, reprojection, scoring
+from cellweave.plans.grid_queries import FLOORS, WIDTHS, blocks, by_block, in_cents, query, rounded
+from cellweave.sources import archive, raster
+from cellweave.sources.shared import shared_dir, stored
+from cellweave.sources.tables import BLOCK, COLUMNS, event_cells, fields, footprint_of, read, ship_grid, truth_of
 
 #: Cells of the rebuilt grid, 1.5 rows high and 2.25 columns wide, turned by nothing, from a corner inside the source.
 TARGET = (2.25, 0.0, 3.5, 0.0, 1.5, 0.75)
@@ -126,3 +127,60 @@ def thin_budget(spark, sf):
     masks = fields(event_cells(spark, sf)).where("p > 0.05 AND candidate IN ('purchase', 'click')").select((F.col("candidate") == "click").cast("int").alias("k"), "r", "c", "p")
     wide = emission.dilate_square(masks.where("k = 0"), 4).where((F.col("r") >= 0) & F.col("c").between(0, COLUMNS - 1)).select(F.lit(2).alias("k"), "r", "c", F.lit(0.5).alias("p"))
     return dominating.thin_budget(masks.unionByName(wide), "k")
+
+
+def place_order():
+    """An arithmetic order of windows stands for a hash, so that other engines agree."""
+    return (F.col("r0") * 7919 + F.col("c0") * 104729) % 1000003
+
+
+def by_use(windows):
+    return windows.groupBy("use").agg(F.count("*").alias("n"), F.sum("truth").alias("truth"), F.sum("r0").alias("rows"), F.sum(F.col("c0") * (F.col("r0") % 7)).alias("columns"))
+
+
+def held_blocks(cells):
+    """block_row, block_col of the second contiguous fold."""
+    wide = -(-COLUMNS // BLOCK)
+    held = partition.contiguous_folds(blocks(cells)).where("fold = 1")
+    return held.select(F.floor(F.col("block") / wide).cast("int").alias("block_row"), (F.col("block") % wide).cast("int").alias("block_col"))
+
+
+@query
+def holdout_drawn(spark, sf):
+    """Test windows of 24 drawn, training windows every 12: how many of each use, their truth, and where they are."""
+    cells = event_cells(spark, sf)
+    return by_use(holdout.train_windows(marked_cells(cells).withColumnRenamed("positive", "t"), shape_of(cells), 24, 12, share=0.25, order=place_order()))
+
+
+@query
+def holdout_blocks(spark, sf):
+    """The same with the blocks of a contiguous fold held out, and a collar of three cells."""
+    cells = event_cells(spark, sf)
+    return by_use(holdout.train_windows(marked_cells(cells).withColumnRenamed("positive", "t"), shape_of(cells), 24, 12, held_blocks(cells), BLOCK, order=place_order()))
+
+
+@query
+def training_weights(spark, sf):
+    """What false positives weigh near the truth that a held-out fold leaves known."""
+    cells = event_cells(spark, sf)
+    held = held_blocks(cells)
+    at = {"block_row": F.floor(F.col("r") / BLOCK).cast("int"), "block_col": F.floor(F.col("c") / BLOCK).cast("int")}
+    truth = truth_of(cells).select("r", "c")
+    near = scoring.spread(truth, 3).select(F.col("nr").alias("r"), F.col("nc").alias("c")).unionByName(truth).distinct()
+    return rounded(holdout.training_weights(truth, near.withColumns(at).join(held, ["block_row", "block_col"], "left_semi").select("r", "c")))
+
+
+@query
+def raster_roundtrip(spark, sf):
+    """The shipping grid written as a raster of strips and read back, by band; cells without goods are no data."""
+    grid = ship_grid(spark, sf).select("r", "c", F.col("v").cast("double").alias("v"), F.col("q").cast("double").alias("q"))
+    size = grid.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    path = shared_dir(spark)
+    raster.write_raster(grid, path, ["v", "q"], {"height": size.r + 1, "width": size.c + 1}, 16, 64, "float64", predictor=3)
+    return raster.read_raster(spark, path).where("v IS NOT NULL OR q IS NOT NULL")
+
+
+@query
+def corpus_crc(spark, sf):
+    """Length and CRC-32 of all texts of a language one behind the other, by id."""
+    return archive.crc_in_order(read(spark, sf, "documents"), "text", ["doc_id"], "lang")
