@@ -51,80 +51,108 @@ def quotas(sizes: dict, weights: dict, repeats: int = REPEATS) -> dict:
     return out
 
 
-def min_cost_flow(patterns: list[tuple[frozenset, int]], demand: dict, repeats: int = REPEATS) -> list[dict]:
-    """Words that each pattern (sources, size) sends to each source, at least cost: round k costs k a word.
+def by_name(source: str | None) -> tuple[bool, str]:
+    """The order of sources, null last."""
+    return source is None, source or ""
 
-    Successive shortest paths over the graph of patterns and sources; each augmentation fills a round of
-    a pattern, a quota, or an edge's flow back. What patterns cannot give stays unmet.
-    """
-    flow = [dict.fromkeys(p, 0.0) for p, _ in patterns]
-    sent, left = [0.0] * len(patterns), dict(demand)
-    users: dict = {s: [] for s in demand}
-    for i, (p, _) in enumerate(patterns):
+
+def parts_of(patterns: list[tuple[frozenset, int]]) -> list[list[int]]:
+    """The patterns of each part of the graph: patterns that share a source, or are joined by such, are one part."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for p, _ in patterns:
+        first = None
         for s in p:
+            if first is None:
+                first = find(("s", s))
+            root[find(("s", s))] = first
+    parts: dict = {}
+    for i, (p, _) in enumerate(patterns):
+        if p:
+            parts.setdefault(find(("s", next(iter(p)))), []).append(i)
+    return list(parts.values())
+
+
+def min_cost_flow(patterns: list[tuple[frozenset, int]], demand: dict, repeats: int = REPEATS, steps: list | None = None) -> list[dict]:
+    """Whole words that each pattern (sources, size) sends to each source, at least cost: round k costs k a word.
+
+    Successive shortest paths over the graph of patterns and sources, each part of it by itself; each augmentation fills
+    a round of a pattern, a quota, or an edge's flow back. What patterns cannot give stays unmet, as do the parts of
+    words in demand. steps: takes the words of every augmentation.
+    """
+    flow = [dict.fromkeys(sorted(p, key=by_name), 0) for p, _ in patterns]  # in order, so that reruns agree
+    for part in parts_of(patterns):
+        augment(part, patterns, {s: int(demand[s]) for s in {s for i in part for s in patterns[i][0]}}, flow, repeats, steps)
+    return flow
+
+
+def augment(part: list[int], patterns: list[tuple[frozenset, int]], left: dict, flow: list[dict], repeats: int, steps: list | None) -> None:
+    """Fill the flow of a part of the graph; left: the words that its sources want."""
+    users: dict = {s: [] for s in left}
+    for i in part:
+        for s in patterns[i][0]:
             users[s].append(i)
-    for s, own in users.items():  # a source that shares no document with another has one way
-        if len(own) == 1 and len(patterns[own[0]][0]) == 1:
-            i = own[0]
-            sent[i] = flow[i][s] = min(left[s], float(repeats * patterns[i][1]))
-            left[s] = 0.0
-    tiny = 1e-9 * max(1.0, sum(demand.values()))
-
-    def price(i: int) -> float | None:
+    sent = dict.fromkeys(part, 0)
+
+    def price(i: int) -> int | None:
         size = patterns[i][1]
-        if not size:
-            return None
-        k = int((sent[i] + tiny) // size)
-        return None if k >= repeats else float(k + 1)
+        return None if not size or sent[i] >= repeats * size else sent[i] // size + 1
 
     while True:
         best: dict = {}
         heap, order, done, goal = [], 0, set(), None
-        for s, d in left.items():
-            if d > tiny:
+        for s in sorted(left, key=by_name):
+            if left[s] > 0:
                 order += 1
-                best[("s", s)] = (0.0, None)
-                heapq.heappush(heap, (0.0, order, ("s", s)))
+                best["s", s] = (0, None)
+                heapq.heappush(heap, (0, order, ("s", s)))
         while heap:
             cost, _, node = heapq.heappop(heap)
             if node in done:
                 continue
             done.add(node)
-            if node[0] == "end":
+            kind, at = node
+            if kind == "end":
                 goal = node
                 break
-            if node[0] == "s":
-                steps = [(("p", i), 0.0) for i in users[node[1]]]
+            if kind == "s":
+                ways = [(("p", i), 0) for i in users[at]]
             else:
-                i = node[1]
-                steps = [(("s", s), 0.0) for s, f in flow[i].items() if f > tiny]
-                if (p := price(i)) is not None:
-                    steps.append((("end", i), p))
-            for to, c in steps:
+                ways = [(("s", s), 0) for s, f in flow[at].items() if f > 0]
+                if (p := price(at)) is not None:
+                    ways.append((("end", at), p))
+            for to, c in ways:
                 if to not in done and cost + c < best.get(to, (float("inf"),))[0]:
                     order += 1
                     best[to] = (cost + c, node)
                     heapq.heappush(heap, (cost + c, order, to))
         if goal is None:
-            return flow
+            return
         path = [goal]
         while path[-1] is not None:
             path.append(best[path[-1]][1])
         path = path[:-1][::-1]
         last = path[-1][1]
         size = patterns[last][1]
-        room = (int((sent[last] + tiny) // size) + 1) * size - sent[last]
-        amount = min(room, left[path[0][1]])
-        for a, b in zip(path, path[1:], strict=False):
-            if a[0] == "p" and b[0] == "s":
+        amount = min((sent[last] // size + 1) * size - sent[last], left[path[0][1]])
+        pairs = [(a, b) for a, b in zip(path, path[1:], strict=False) if b[0] != "end"]
+        for a, b in pairs:
+            if a[0] == "p":
                 amount = min(amount, flow[a[1]][b[1]])
-        for a, b in zip(path, path[1:], strict=False):
-            if a[0] == "s" and b[0] == "p":
+        for a, b in pairs:
+            if a[0] == "s":
                 flow[b[1]][a[1]] += amount
-            elif a[0] == "p" and b[0] == "s":
+            else:
                 flow[a[1]][b[1]] -= amount
         sent[last] += amount
         left[path[0][1]] -= amount
+        if steps is not None:
+            steps.append(amount)
 
 
 #: The columns that mix adds.
@@ -144,12 +172,12 @@ def plan(slim: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> d
     the driver: as many as there are sources and combinations of them, not documents."""
     sums = slim.groupBy("__pattern").agg(F.sum(F.col("__size") * F.col("__k")).alias("n")).collect()
     patterns = sorted(((frozenset(json.loads(r["__pattern"])), r["__pattern"], int(r.n or 0)) for r in sums), key=lambda x: x[1])
-    names = sorted({s for p, _, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    names = sorted({s for p, _, _ in patterns for s in p}, key=by_name)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     size = {s: sum(n for p, _, n in patterns if s in p) for s in names}
     target = quotas(size, weight, repeats)
     flow = min_cost_flow([(p, n) for p, _, n in patterns], target, repeats)
-    return {text: {"size": n, "take": sum(f.values()), "targets": {s: target[s] for s in p}, "sizes": {s: size[s] for s in p}} for (p, text, n), f in zip(patterns, flow, strict=True)}
+    return {text: {"size": n, "take": float(sum(f.values())), "targets": {s: target[s] for s in p}, "sizes": {s: size[s] for s in p}} for (p, text, n), f in zip(patterns, flow, strict=True)}
 
 
 def fitting(slices: DataFrame, ends: list[tuple]) -> list[tuple]:
@@ -219,7 +247,7 @@ def mixed_rows(docs: DataFrame, sources: Column, id_col: str, text_col: str, wei
     slim = stored(rows.groupBy("__pattern", "__u", "__size").agg(F.count("*").alias("__k")), "sizes")
     chosen = plan(slim, weights, repeats)
     spark = docs.sparkSession
-    told = [(p, int(x["take"] // x["size"]) if x["size"] else 0, x["take"] - x["size"] * (x["take"] // x["size"]) if x["size"] else 0.0, sum(x["sizes"].values()), sum(x["targets"].values())) for p, x in chosen.items()]
+    told = [(p, int(x["take"] // x["size"]) if x["size"] else 0, x["take"] - x["size"] * (x["take"] // x["size"]) if x["size"] else 0.0, sum(x["sizes"].values()), sum(x["targets"].values(), 0.0)) for p, x in chosen.items()]
     told = [(p, r if r < repeats else repeats, e if r < repeats else 0.0, s, t) for p, r, e, s, t in told]
     plan_df = spark.createDataFrame(told, "__pattern string, __rounds int, __extra double, __source_size long, __target double")
     slice_ = F.pmod(F.shiftrightunsigned("__u", 20), F.lit(SLICES))

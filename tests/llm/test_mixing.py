@@ -41,6 +41,57 @@ def test_flow_is_least_cost():
     assert abs(cost(flow, [4, 6, 2]) - best) < 1e-6
 
 
+def best_cost(patterns, demand):
+    """The most words that any flow brings, and the least cost of so many, by trying all that patterns may give."""
+    names = sorted(demand)
+    best = {}
+    for given in itertools.product(*(range(3 * n + 1) for _, n in patterns)):
+        # patterns can send so much if no set of sources gets more than it wants of those that go nowhere else
+        sets = (set(c) for k in range(1, len(names) + 1) for c in itertools.combinations(names, k))
+        if all(sum(g for g, (p, _) in zip(given, patterns, strict=True) if p <= c) <= sum(demand[s] for s in c) for c in sets):
+            c = sum((k + 1) * min(n, max(0, g - k * n)) for g, (_, n) in zip(given, patterns, strict=True) for k in range(3))
+            best[sum(given)] = min(c, best.get(sum(given), c))
+    return max(best), best[max(best)]
+
+
+def test_flow_of_overlapping_sources():
+    r = random.Random(5)
+    for _ in range(25):
+        patterns = [(frozenset(r.sample("abc", r.randint(1, 3))), r.randint(0, 4)) for _ in range(3)]
+        patterns = list({p: (p, n) for p, n in patterns}.values())
+        demand = {s: r.randint(0, 9) for s in {s for p, _ in patterns for s in p}}
+        steps = []
+        flow = M.min_cost_flow(patterns, demand, steps=steps)
+        words, least = best_cost(patterns, demand)
+        assert sum(steps) == sum(sum(f.values()) for f in flow) == words and cost(flow, [n for _, n in patterns]) == least
+        assert all(0 <= sum(f.get(s, 0) for f in flow) <= d for s, d in demand.items()) and all(x >= 0 for f in flow for x in f.values())
+
+
+def test_sources_apart_go_through_the_flow():
+    patterns, steps = [(frozenset([f"s{i}"]), 10) for i in range(2000)] + [(frozenset([None]), 4)], []
+    flow = M.min_cost_flow(patterns, {f"s{i}": 25.9 for i in range(2000)} | {None: 99.0}, steps=steps)
+    assert len(steps) == 3 * 2001 and flow[7] == {"s7": 25} and flow[-1] == {None: 12} and sorted(set(steps)) == [4, 5, 10]
+
+
+def test_documents_of_several_sources(spark):
+    """Each source of overlapping ones gets what the flow of their patterns brings, but for less than a document."""
+    r = random.Random(6)
+    rows = [(i, " ".join("w" * r.randint(1, 30)), r.choice([["a"], ["a", "b"], ["b", "c"], ["c"], ["c", "a", "b"], []])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own array<string>")
+    got = {x.doc_id: x["__times"] for x in M.mix(df, F.col("own")).collect()}
+    groups = {}
+    for i, t, own in rows:
+        groups.setdefault(frozenset(own), []).append((i, len(t.split())))
+    size = {s: sum(n for p, d in groups.items() if s in p for _, n in d) for s in "abc"}
+    target = M.quotas(size, dict(zip("abc", (5, 2, 1), strict=True)))
+    named = [(p, sum(n for _, n in d)) for p, d in sorted(groups.items(), key=lambda x: str(sorted(x[0])).replace("'", '"').replace(" ", "")) if p]
+    flow = M.min_cost_flow(named, target)
+    for (p, _), f in zip(named, flow, strict=True):
+        taken = sum(got[i] * n for i, n in groups[p])
+        assert 0 <= sum(f.values()) - taken < 31
+    assert all(got[i] == 0 for i, _ in groups.get(frozenset(), []))
+
+
 def test_sources_come_near_their_targets(spark):
     r = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(r.randint(0, 60))), r.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(3000)]
