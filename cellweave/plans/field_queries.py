@@ -184,3 +184,20 @@ def raster_roundtrip(spark, sf):
 def corpus_crc(spark, sf):
     """Length and CRC-32 of all texts of a language one behind the other, by id."""
     return archive.crc_in_order(read(spark, sf, "documents"), "text", ["doc_id"], "lang")
+
+
+@query
+def raster_format(spark, sf):
+    """The rules that forms of the main field break as rasters, against the field itself: as it is, doubled, its half above 0.5, and
+    as whole numbers."""
+    cells = event_cells(spark, sf)
+    field = fields(cells).where("candidate = 'purchase'").select("r", "c", "p")
+    meta = {"height": shape_of(cells)[0], "width": COLUMNS, "transform": (100.0, 0.0, 0.0, 0.0, -100.0, 0.0), "epsg": 32611}
+    forms = {"whole": field, "doubled": field.withColumn("p", F.col("p") * 2), "half": field.where("p > 0.5"), "numbers": field.withColumn("p", F.lit(1.0))}
+    paths, found = {}, []
+    for name, form in forms.items():
+        paths[name] = shared_dir(spark)
+        raster.write_raster(form, paths[name], ["p"], meta, 16, 128, "int16" if name == "numbers" else "float32")
+    for name, path in paths.items():
+        found.append((name, ",".join(raster.failed_raster(spark, path, 32611, 100.0, paths["whole"])[0])))
+    return spark.createDataFrame(found, "form string, failed string")

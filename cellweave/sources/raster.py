@@ -355,3 +355,54 @@ def write_raster(cells: DataFrame, path: str, bands: list[str], meta: dict, rows
 
     done = every.groupBy("file").cogroup(made.groupBy("file")).applyInPandas(write, "first_row int, file string, length long, sha256 string")
     return cells.sparkSession.createDataFrame(done.collect(), "first_row int, file string, length long, sha256 string")  # a row for each file
+
+
+def describe_raster(path: str) -> dict:
+    """height, width, bands, dtype, epsg, transform and nodata of a raster; the files of a folder count as one."""
+    files = RasterSource({"path": path}).files()
+    heads = [read_header(p) for p, _ in files]
+    first = heads[0]
+    height = max(start + h.height for (_, start), h in zip(files, heads, strict=True))
+    return {"height": height, "width": first.width, "bands": first.bands, "dtype": np.dtype(first.dtype).name, "epsg": first.epsg, "transform": first.transform, "nodata": first.nodata}
+
+
+def same_nodata(a: float | None, b: float | None) -> bool:
+    return a == b or (a is not None and b is not None and a != a and b != b)
+
+
+def failed_raster(spark: SparkSession, path: str, epsg: int, resolution: float, template: str | None = None, slack: float = 0.01, most_missing: float = 0.9, about: float = 1.0) -> tuple[list[str], list[str]]:
+    """Names of the rules that a raster of probabilities breaks, and of what is odd but no error.
+
+    Rules: crs (none, or another code), resolution (off by more than about), bands (not one), dtype (not float32), range (a value
+    out of 0 to 1, with slack), missing (more than most_missing of its cells have none); against a template also size,
+    inside (a cell without a value where the template has one), outside (the reverse) and nodata (another tag). Odd: template_crs,
+    template_transform, zero (all values are 0). Headers are read here, cells by one job.
+    """
+    d = describe_raster(path)
+    t = d["transform"]
+    off = t is None or max(abs(abs(t[0]) - resolution), abs(abs(t[4]) - resolution)) > about
+    failed = [name for name, bad in (("crs", d["epsg"] != epsg), ("resolution", off), ("bands", d["bands"] != 1), ("dtype", d["dtype"] != "float32")) if bad]
+    cells = read_raster(spark, path, [1], names=None).toDF("r", "c", "p")
+    odd = []
+    if template is None:
+        cells = cells.withColumn("has", F.lit(None).cast("boolean"))
+    else:
+        other = describe_raster(template)
+        odd += [f"template_{name}" for name, key in (("crs", "epsg"), ("transform", "transform")) if d[key] != other[key]]
+        if (d["height"], d["width"]) != (other["height"], other["width"]):
+            failed.append("size")
+            cells = cells.withColumn("has", F.lit(None).cast("boolean"))
+        else:
+            cells = cells.join(read_raster(spark, template, [1]).toDF("r", "c", "q").select("r", "c", F.col("q").isNotNull().alias("has")), ["r", "c"])
+            if not same_nodata(d["nodata"], other["nodata"]):
+                failed.append("nodata")
+    known = F.col("p").isNotNull()
+    s = cells.agg(F.count("*").alias("n"), F.count_if(~known).alias("none"), F.min("p").alias("low"), F.max("p").alias("high"), F.count_if(F.col("has") & ~known).alias("inside"), F.count_if(~F.col("has") & known).alias("outside")).first()
+    if s.low is not None and (s.low < -slack or s.high > 1 + slack):
+        failed.append("range")
+    failed += [name for name, n in (("inside", s.inside), ("outside", s.outside)) if n]
+    if s.none > most_missing * s.n:
+        failed.append("missing")
+    if s.high == 0.0:
+        odd.append("zero")
+    return failed, odd

@@ -104,3 +104,27 @@ def test_what_is_no_raster(spark, tmp_path):
         raster.read_header(str(tmp_path / "x.tif"))
     with pytest.raises(Exception, match="no raster at"):
         raster.read_raster(spark, str(tmp_path)).collect()
+
+
+def test_rules_of_a_raster(spark, tmp_path):
+    rows = [(y, x, 0.25 + x / 100) for y in range(150) for x in range(37) if x != 5]
+    field = spark.createDataFrame(rows, "r int, c int, p double")
+
+    def written(name, df, meta=META, bands=("p",), **more):
+        raster.write_raster(df, str(tmp_path / name), list(bands), meta, 32, 64, **more)
+        return str(tmp_path / name)
+
+    template = written("t", field)
+    of = lambda path, **more: raster.failed_raster(spark, path, 32611, 100.0, template, **more)
+    assert of(template) == ([], [])
+    assert of(written("a", field.where("r <> 3"))) == (["inside"], [])
+    assert of(written("b", field.unionByName(field.where("c = 6").selectExpr("r", "5 AS c", "p")))) == (["outside"], [])
+    assert of(written("c", field.selectExpr("r", "c", "p * 3 AS p"))) == (["range"], []) and of(str(tmp_path / "c"), slack=5.0) == ([], [])
+    assert of(written("d", field.selectExpr("r", "c", "0.0D AS p"))) == ([], ["zero"])
+    assert of(written("e", field, META | {"epsg": 4326})) == (["crs"], ["template_crs"])
+    assert of(written("f", field, META | {"transform": (50.0, 0.0, 5000.0, 0.0, -50.0, 9000.0)})) == (["resolution"], ["template_transform"])
+    assert of(written("g", field.selectExpr("r", "c", "p", "p AS q"), bands=("p", "q"))) == (["bands"], [])
+    assert of(written("h", field, META | {"nodata": -1.0})) == (["nodata"], [])
+    assert of(written("i", field, META | {"height": 140})) == (["size"], [])
+    assert of(written("j", field.where("r < 9"), dtype="float64"))[0] == ["dtype", "inside", "missing"]
+    assert raster.describe_raster(template)["height"] == 150
