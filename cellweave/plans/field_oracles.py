@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "raster_format": f"""WITH {EV}, z AS (SELECT (max(r) + 1) * 720 AS n FROM ev), f AS (SELECT 'whole' AS form, r, c, p FROM main UNION ALL SELECT 'doubled', r, c, p * 2 FROM main UNION ALL SELECT 'half', r, c, p FROM main WHERE p > 0.5),
       g AS (SELECT form, max(p) AS hi, count(*) AS n FROM f GROUP BY form), m AS (SELECT count(*) AS k FROM main)
       SELECT form, concat_ws(',', CASE WHEN hi > 1.01 THEN 'range' END, CASE WHEN g.n < k THEN 'inside' END, CASE WHEN z.n - g.n > 0.9 * z.n THEN 'missing' END) AS failed FROM g, m, z
-      UNION ALL SELECT 'numbers', concat_ws(',', 'dtype', 'nodata', CASE WHEN z.n > k THEN 'outside' END) FROM m, z""",
+      UNION ALL SELECT 'numbers', concat_ws(',', 'dtype', 'nodata', CASE WHEN z.n - k > 0.9 * z.n THEN 'missing' END) FROM m, z""",
     "raster_roundtrip": f"WITH {SHIP} SELECT r, c, CAST(v AS DOUBLE) AS v, CAST(q AS DOUBLE) AS q FROM li",
     "field_selection": f"""WITH {EV_SIGNUP}, {BANDS}, {parts('emit', BLOCK)}, {SWEPT}, sup AS (SELECT px AS s FROM sweep WHERE field = 'purchase' AND t0 = 0.3 AND width = 0),
       fit AS (SELECT w.*, tol FROM sweep w, sup, (SELECT unnest([0.15, 0.25, 0.40]) AS tol) WHERE abs(px - s) <= tol * s), rk AS (SELECT *, row_number() OVER (PARTITION BY field, tol ORDER BY dti DESC, t0, width) AS k, count(*) OVER (PARTITION BY field, tol) AS n FROM fit), bw AS MATERIALIZED (SELECT * FROM rk WHERE k = 1),
