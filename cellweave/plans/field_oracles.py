@@ -89,6 +89,10 @@ ORACLE_SQL = {
         "SELECT DISTINCT r0, c0 FROM wins, fb, hh WHERE r0 - 3 < least((block_row + 1) * 64, h) AND r0 + 24 + 3 > block_row * 64 AND c0 - 3 < least((block_col + 1) * 64, 720) AND c0 + 24 + 3 > block_col * 64",
     )}""",
     "training_weights": f"""WITH {EV}, {FOLDS}, {HELD}, known AS (SELECT r, c FROM truth WHERE NOT {IN_HELD}), w AS (SELECT r + dy AS r, c + dx AS c, 1 - max(k) AS w FROM known, disk WHERE k > 0 GROUP BY ALL) SELECT r, c, round(w, 6) AS w FROM w WHERE NOT {IN_HELD}""",
+    "readiness_gates": f"""WITH {EV}, pin AS (SELECT o_orderstatus AS name, count(*) AS n, sha256(count(*) || '|' || CAST(sum(o_orderkey) AS BIGINT)) AS h FROM orders GROUP BY 1), got AS (SELECT l_linestatus AS name, count(*) AS n, sha256(count(*) || '|' || CAST(sum(l_orderkey) AS BIGINT)) AS h FROM lineitem GROUP BY 1),
+      odd AS (SELECT p.name, CASE WHEN g.name IS NULL THEN 'missing' WHEN g.h <> p.h THEN 'other content' WHEN g.n <> p.n THEN 'other length' END AS problem FROM pin p LEFT JOIN got g ON g.name = p.name)
+      SELECT 'customers' AS name, 'PASS' AS status, '' AS note UNION ALL SELECT 'orders', CASE WHEN count(*) FILTER (problem <> 'missing') > 0 THEN 'FAIL' WHEN count(problem) > 0 THEN 'MISSING' ELSE 'PASS' END, coalesce(string_agg(name || ': ' || problem, '; ' ORDER BY name) FILTER (problem IS NOT NULL), '') FROM odd
+      UNION ALL SELECT 'field', CASE WHEN 2 * max(p) > 1.01 THEN 'FAIL' ELSE 'PASS' END, CASE WHEN 2 * max(p) > 1.01 THEN 'range' ELSE '' END FROM main UNION ALL SELECT 'rules read', 'HUMAN', ''""",
     "raster_format": f"""WITH {EV}, z AS (SELECT (max(r) + 1) * 720 AS n FROM ev), f AS (SELECT 'whole' AS form, r, c, p FROM main UNION ALL SELECT 'doubled', r, c, p * 2 FROM main UNION ALL SELECT 'half', r, c, p FROM main WHERE p > 0.5),
       g AS (SELECT form, max(p) AS hi, count(*) AS n FROM f GROUP BY form), m AS (SELECT count(*) AS k FROM main)
       SELECT form, concat_ws(',', CASE WHEN hi > 1.01 THEN 'range' END, CASE WHEN g.n < k THEN 'inside' END, CASE WHEN z.n - g.n > 0.9 * z.n THEN 'missing' END) AS failed FROM g, m, z

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.operators import boosting, dominating, emission, field_rules, holdout, integral, partition, reprojection, scoring
+from cellweave.operators import boosting, dominating, emission, field_rules, gates, holdout, integral, partition, reprojection, scoring
 from cellweave.plans.grid_queries import FLOORS, WIDTHS, blocks, by_block, in_cents, query, rounded
 from cellweave.sources import archive, raster
 from cellweave.sources.shared import shared_dir, stored
@@ -201,3 +201,21 @@ def raster_format(spark, sf):
     for name, path in paths.items():
         found.append((name, ",".join(raster.failed_raster(spark, path, 32611, 100.0, paths["whole"])[0])))
     return spark.createDataFrame(found, "form string, failed string")
+
+
+def inventory_of(rows, name, number):
+    """What rows of a kind are, as a file would be: their count, and a hash of count and sum."""
+    text = F.concat_ws("|", F.count("*").cast("string"), F.sum(number).cast("long").cast("string"))
+    return rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("length"), F.sha2(text, 256).alias("sha256"))
+
+
+@query
+def readiness_gates(spark, sf):
+    """Gates: customers as pinned, lines against the pins of orders of their status, the main field's format, and a person's word."""
+    customers, orders, lines = (read(spark, sf, t) for t in ("customer", "orders", "lineitem"))
+    field = fields(event_cells(spark, sf)).where("candidate = 'purchase'").select("r", "c", "p")
+    pins = inventory_of(customers, "c_mktsegment", "c_custkey")
+    return gates.readiness([
+        gates.files_gate("customers", pins, pins), gates.files_gate("orders", inventory_of(orders, "o_orderstatus", "o_orderkey"), inventory_of(lines, "l_linestatus", "l_orderkey")),
+        gates.rules_gate("field", emission.failed_format(field.withColumn("p", F.col("p") * 2), field)), gates.gate(spark, "rules read", gates.HUMAN),
+    ])
