@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = entry.SMALL
-CHECKED = "dti_global dti_by_block block_table fold_balanced sweep_floor_width components edt window_stats bootstrap_paired rle_encode".split()
+CHECKED = "training_weights holdout_drawn width_decision window_sums dti_global dti_by_block block_table fold_balanced sweep_floor_width components edt window_stats bootstrap_paired rle_encode".split()
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
