@@ -25,3 +25,10 @@ def test_components_are_planned_once(spark):
     assert scans(both) == 4  # each side of the contrast reads the parts and, summed, all of them
     got = {x.part: x.contrast for x in both.collect()}
     assert sorted(got) == [-1, 0, 1, 2] and all(v < 0 for v in got.values())
+
+
+def test_every_candidate_is_judged(spark):
+    agreement = spark.createDataFrame([("a", 3, 4), ("b", 1, 4), ("d", 3, 4)], "candidate string, gain long, scoreable long")
+    whole = spark.createDataFrame([("a", 0.1), ("b", 0.1), ("c", 0.2), ("d", 0.3)], "candidate string, dti double")
+    got = {x.candidate: x.conflict for x in audits.majority_conflicts(agreement, whole, "c").collect()}
+    assert got == {"a": True, "b": False, "d": False}
