@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-RUNS = ArrayType(StructType([StructField("length", LongType()), StructField("code", IntegerType())]))
+#: Rows whose runs a task has as Python objects at once.
+ROWS = 64
 
 
 def write_length(n: int) -> bytes:
@@ -43,9 +43,13 @@ def read_runs(blob: bytes, cells: int) -> list[dict]:
     return runs
 
 
-@F.pandas_udf(BinaryType())
-def run_bytes(runs: pd.Series) -> pd.Series:
-    return runs.map(lambda own: b"".join(write_length(int(x["length"])) + bytes([int(x["code"])]) for x in own))
+def run_hex(run: Column) -> Column:
+    """A run (length, code) as hex: the length by groups of seven bits, lowest first, all but the last marked; then the code."""
+    n = run["length"].cast("long")
+    groups = F.ceil(F.length(F.bin(n)) / 7).cast("int")
+    byte = lambda i: F.pmod(F.floor(n / F.pow(F.lit(128.0), i)).cast("long"), F.lit(128)) + F.when(i < groups - 1, 128).otherwise(0)
+    own = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
+    return F.concat(F.array_join(own, ""), F.lpad(F.hex(run["code"]), 2, "0"))
 
 
 def encode_rows(cells: DataFrame) -> DataFrame:
@@ -59,17 +63,22 @@ def encode_rows(cells: DataFrame) -> DataFrame:
     marked = marked.withColumn("run", F.sum(F.coalesce((F.col("code") != F.lag("code").over(w)).cast("int"), F.lit(0))).over(w))
     runs = marked.groupBy("r", "run").agg(F.count("*").alias("length"), F.max("code").alias("code"))
     by_row = runs.groupBy("r").agg(F.sum("length").alias("cells"), F.array_sort(F.collect_list(F.struct("run", "length", "code"))).alias("x"))
-    return by_row.select("r", "cells", run_bytes(F.transform("x", lambda x: F.struct(x["length"].alias("length"), x["code"].alias("code")))).alias("blob"))
+    return by_row.select("r", "cells", F.unhex(F.array_join(F.transform("x", run_hex), "")).alias("blob"))
 
 
 def decode_rows(rows: DataFrame) -> DataFrame:
     """r, c (from 0), p of rows (r, cells, blob); a blob that read_runs refuses is an error."""
 
-    @F.pandas_udf(RUNS)
-    def runs_of(blob: pd.Series, cells: pd.Series) -> pd.Series:
-        return pd.Series([read_runs(bytes(b), int(n)) for b, n in zip(blob, cells, strict=True)])
+    def runs_of(parts):
+        for pdf in parts:
+            for at in range(0, len(pdf), ROWS):
+                own = pdf[at : at + ROWS]
+                found = [(r, k, x["length"], x["code"]) for r, n, b in zip(own.r, own.cells, own.blob, strict=True) for k, x in enumerate(read_runs(bytes(b), int(n)))]
+                yield pd.DataFrame(found, columns=["r", "run", "length", "code"])
 
-    runs = rows.select("r", F.posexplode(runs_of("blob", "cells")).alias("run", "x"))
+    kind = rows.schema["r"].dataType.simpleString()
+    runs = rows.select("r", F.col("cells").cast("long").alias("cells"), "blob").mapInPandas(runs_of, f"r {kind}, run int, length long, code int")
+    runs = runs.select("r", "run", F.struct("length", "code").alias("x"))
     before = F.sum("x.length").over(Window.partitionBy("r").orderBy("run")) - F.col("x.length")
     cells = runs.withColumn("start", before).select("r", F.explode(F.sequence("start", F.col("start") + F.col("x.length") - 1)).alias("c"), F.col("x.code").alias("code"))
     return cells.select("r", F.col("c").cast("int").alias("c"), F.when(F.col("code") < 2, F.col("code").cast("double")).alias("p"))

@@ -1,8 +1,12 @@
 """What operators leave for later is small: lineage ends where facts are asked for several times."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from cellweave.operators import audits, scoring
+from cellweave.operators import audits, integral, kernels, scoring
+from cellweave.sources import codec
 
 CELLS = "r int, c int"
 
@@ -32,3 +36,35 @@ def test_every_candidate_is_judged(spark):
     whole = spark.createDataFrame([("a", 0.1), ("b", 0.1), ("c", 0.2), ("d", 0.3)], "candidate string, dti double")
     got = {x.candidate: x.conflict for x in audits.majority_conflicts(agreement, whole, "c").collect()}
     assert got == {"a": True, "b": False, "d": False}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_areas_are_joined_tile_by_tile(spark):
+    cells = spark.createDataFrame([(r, c, 1) for r in range(0, 20, 3) for c in range(0, 20, 5)], "r int, c int, w int")
+    area = integral.summed_area(cells, ["w"], (20, 20), 8)
+    assert "MapInPandas" not in plan(area) and area.count() == 9
+    assert max(np.frombuffer(x.area).max() for x in area.collect()) == 28
+
+
+def test_run_bytes_need_no_python(spark):
+    lengths = [1, 127, 128, 300, 16383, 16384, 20000]
+    cells = spark.createDataFrame(list(enumerate(lengths)), "r int, n int").select("r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), F.lit(1.0).alias("p"))
+    rows = codec.encode_rows(cells)
+    assert "Python" not in plan(rows) and "pandas" not in plan(rows)
+    assert {x.r: bytes(x.blob) for x in rows.collect()} == {i: codec.write_length(n) + b"\x01" for i, n in enumerate(lengths)}
+    assert codec.value_histogram(codec.decode_rows(rows)).first().ones == sum(lengths)
+    assert "MapInPandas" in plan(codec.decode_rows(rows))  # runs leave a task's Python a few rows at a time
+
+
+def test_derivatives_are_products(monkeypatch):
+    a = np.random.default_rng(1).random((30, 50))
+    s = 2.0 / math.sqrt(2)
+    by_row = kernels.smooth(a, s, (1, 0), "symmetric", 8.0)
+    want = kernels.smooth(by_row, s, (1, 0), "symmetric", 8.0), kernels.smooth(by_row, s, (0, 1), "symmetric", 8.0)
+    got = kernels.hessian(a, 2.0)
+    assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
+    monkeypatch.setattr(kernels, "along", None)  # a second array of that size filters no line by itself
+    kernels.hessian(a + 1, 2.0)
