@@ -56,17 +56,15 @@ def summed_area(cells: DataFrame, weights: list[str], shape: tuple[int, int], ti
                 out[e["at"]] = e["x"]
         return out
 
-    def join(parts):
-        for pdf in parts:
-            areas = []
-            for area, side, foot, whole in zip(pdf.area, pdf.side, pdf.foot, pdf.whole, strict=True):
-                a = np.zeros((k, tile, tile)) if area is None else np.frombuffer(area, float).reshape(k, tile, tile).copy()
-                a += edges(side, k * tile).reshape(k, tile, 1) + edges(foot, k * tile).reshape(k, 1, tile) + edges(whole, k).reshape(k, 1, 1)
-                areas.append(a.tobytes())
-            yield pd.DataFrame({"ti": pdf.ti, "tj": pdf.tj, "area": areas})
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        area, side, foot, whole = (pdf[x].iloc[0] for x in ("area", "side", "foot", "whole"))
+        a = np.zeros((k, tile, tile)) if area is None else np.frombuffer(area, float).reshape(k, tile, tile).copy()
+        a += edges(side, k * tile).reshape(k, tile, 1) + edges(foot, k * tile).reshape(k, 1, tile) + edges(whole, k).reshape(k, 1, 1)
+        return pd.DataFrame({"ti": pdf.ti, "tj": pdf.tj, "area": [a.tobytes()]})
 
     both = every.join(made.select("ti", "tj", "area"), ["ti", "tj"], "left").join(left, ["ti", "tj"], "left").join(above, ["ti", "tj"], "left").join(corner, ["ti", "tj"], "left")
-    return both.mapInPandas(join, "ti int, tj int, area binary")
+    # tile by tile: a batch of rows would hold as many tiles as a task has
+    return both.groupBy("ti", "tj").applyInPandas(join, "ti int, tj int, area binary")
 
 
 def window_sums(cells: DataFrame, weights: list[str], shape: tuple[int, int], size: int, step: int = 1, tile: int = TILE) -> DataFrame:
