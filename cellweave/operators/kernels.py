@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,12 +75,19 @@ def smooth(a: np.ndarray, sigma: float, orders: tuple[int, int] = (0, 0), border
     return along(along(a, gauss(sigma, orders[0], truncate), 0, border), gauss(sigma, orders[1], truncate), 1, border)
 
 
+@lru_cache(maxsize=32)
+def line_operator(n: int, sigma: float, orders: tuple[int, int]) -> np.ndarray:
+    """The matrix that filters a line of n cells twice, by Gaussian derivatives of two orders with mirrored borders."""
+    first, second = (along(np.eye(n), gauss(sigma, o, 8.0), 0, "symmetric") for o in orders)
+    return second @ first
+
+
 def hessian(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Second derivatives (by rows, mixed, by columns): two first derivatives, each of the image smoothed at sigma over
-    the root of 2, with mirrored borders."""
-    s = sigma / math.sqrt(2)
-    by_row, by_column = ((smooth(a, s, o, "symmetric", 8.0)) for o in ((1, 0), (0, 1)))
-    return smooth(by_row, s, (1, 0), "symmetric", 8.0), smooth(by_row, s, (0, 1), "symmetric", 8.0), smooth(by_column, s, (0, 1), "symmetric", 8.0)
+    the root of 2, with mirrored borders. Filters along rows and columns do not meet, so both passes are one product each."""
+    s, (h, w) = sigma / math.sqrt(2), a.shape
+    twice = lambda down, across: line_operator(h, s, down) @ a @ line_operator(w, s, across).T
+    return twice((1, 1), (0, 0)), twice((1, 0), (0, 1)), twice((0, 0), (1, 1))
 
 
 def hessian_halo(sigma: float) -> int:
