@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import stored
+
 
 def dense(grid: DataFrame, value: str = "v", fill: float = 0.0) -> DataFrame:
     """Every cell of the grid's bounding box, with valid; holes have the fill."""
@@ -30,24 +32,35 @@ def gradients(grid: DataFrame, step: float = 100.0) -> DataFrame:
     return grid.withColumn("gy", axis_gradient("v", "r", "c", step)).withColumn("gx", axis_gradient("v", "c", "r", step))
 
 
+def slope_of() -> Column:
+    """Degrees, from gradients."""
+    return F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))))
+
+
 def slope(grid: DataFrame, step: float = 100.0) -> DataFrame:
-    g = gradients(grid, step)
-    return g.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))))
+    return gradients(grid, step).withColumn("slope", slope_of())
+
+
+def second_gradients(grid: DataFrame, step: float) -> DataFrame:
+    """grid, which has gradients, with curvature."""
+    return grid.withColumn("gyy", axis_gradient("gy", "r", "c", step)).withColumn("gxx", axis_gradient("gx", "c", "r", step)).withColumn("curvature", F.col("gxx") + F.col("gyy"))
 
 
 def curvature(grid: DataFrame, step: float = 100.0) -> DataFrame:
-    g = gradients(grid, step)
-    return g.withColumn("gyy", axis_gradient("gy", "r", "c", step)).withColumn("gxx", axis_gradient("gx", "c", "r", step)).withColumn("curvature", F.col("gxx") + F.col("gyy"))
+    return second_gradients(gradients(grid, step), step)
 
 
-def hillshade(grid: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, step: float = 100.0) -> DataFrame:
-    """As defined on rasters whose first gradient is that of the rows."""
-    g = gradients(grid, step)
+def shade_of(azimuth: float = 315.0, altitude: float = 45.0) -> Column:
+    """From gradients, as defined on rasters whose first gradient is that of the rows."""
     x, y = F.col("gy"), F.col("gx")
     s = math.pi / 2 - F.atan(F.sqrt(x * x + y * y))
     aspect, az, alt = F.atan2(-x, y), math.radians(360.0 - azimuth), math.radians(altitude)
     shade = math.sin(alt) * F.sin(s) + math.cos(alt) * F.cos(s) * F.cos(F.lit(az - math.pi / 2) - aspect)
-    return g.withColumn("shade", 255 * (shade + 1) / 2)
+    return 255 * (shade + 1) / 2
+
+
+def hillshade(grid: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, step: float = 100.0) -> DataFrame:
+    return gradients(grid, step).withColumn("shade", shade_of(azimuth, altitude))
 
 
 def window_sums(grid: DataFrame, half: int, columns: dict[str, Column]) -> DataFrame:
@@ -107,9 +120,10 @@ def dem_stack(grid: DataFrame, step: float = 100.0) -> DataFrame:
     computed, and are left out of the result."""
     middle = grid.agg(F.percentile("v", F.lit(0.5)).alias("m"))
     box = dense(grid).select("r", "c", "v", "valid").crossJoin(F.broadcast(middle))
-    full = box.select("r", "c", F.when(F.col("valid"), F.col("v")).otherwise(F.col("m")).alias("v"), "valid")
-    out = full.where("valid").select("r", "c")
-    parts = (slope(full, step).select("r", "c", "slope"), curvature(full, step).select("r", "c", "curvature"), tpi(full).select("r", "c", "tpi"), tri(full), hillshade(full, step=step).select("r", "c", F.col("shade").alias("hillshade")))
-    for part in parts:
+    # written once, and with one pass of gradients: each part would plan and make the whole grid again, several times
+    full = stored(box.select("r", "c", F.when(F.col("valid"), F.col("v")).otherwise(F.col("m")).alias("v"), "valid"), "dem")
+    by_gradients = second_gradients(gradients(full, step), step).where("valid")
+    out = by_gradients.select("r", "c", slope_of().alias("slope"), "curvature", shade_of().alias("hillshade"))
+    for part in (tpi(full).select("r", "c", "tpi"), tri(full)):
         out = out.join(part, ["r", "c"])
-    return out
+    return out.select("r", "c", "slope", "curvature", "tpi", "tri", "hillshade")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellweave.operators import audits, integral, kernels, scoring
+from cellweave.operators import audits, focal, integral, kernels, scoring
 from cellweave.sources import codec
 
 CELLS = "r int, c int"
@@ -68,3 +68,10 @@ def test_derivatives_are_products(monkeypatch):
     assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
     monkeypatch.setattr(kernels, "along", None)  # a second array of that size filters no line by itself
     kernels.hessian(a + 1, 2.0)
+
+
+def test_dem_stack_reads_its_grid_once_written(spark):
+    grid = spark.createDataFrame([(r, c, float(r * r + 3 * c)) for r in range(6) for c in range(7) if (r, c) != (2, 3)], "r int, c int, v double")
+    found = focal.dem_stack(grid)
+    assert scans(found) == 7  # gradients, and for each of two windows the grid, its box and what it is met by
+    assert found.count() == 41 and found.columns == ["r", "c", "slope", "curvature", "tpi", "tri", "hillshade"]
