@@ -59,14 +59,14 @@ def test_run_bytes_need_no_python(spark):
     assert "MapInPandas" in plan(codec.decode_rows(rows))  # runs leave a task's Python a few rows at a time
 
 
-def test_derivatives_are_products(monkeypatch):
+def test_derivatives_filter_no_line_by_itself(monkeypatch):
     a = np.random.default_rng(1).random((30, 50))
     s = 2.0 / math.sqrt(2)
     by_row = kernels.smooth(a, s, (1, 0), "symmetric", 8.0)
     want = kernels.smooth(by_row, s, (1, 0), "symmetric", 8.0), kernels.smooth(by_row, s, (0, 1), "symmetric", 8.0)
     got = kernels.hessian(a, 2.0)
     assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
-    monkeypatch.setattr(kernels, "along", None)  # a second array of that size filters no line by itself
+    monkeypatch.setattr(kernels, "along", None)
     kernels.hessian(a + 1, 2.0)
 
 
