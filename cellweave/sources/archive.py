@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.sources.raster import opened
+from cellweave.sources.shared import stored
 
 #: Fixed value of the check sum: its polynomial, lowest power at the highest of 32 bits.
 POLYNOMIAL = 0xEDB88320
@@ -63,12 +64,24 @@ def shifted_crc(crc: Column, after: Column) -> Column:
 
     @F.pandas_udf("long")
     def shift(crcs: pd.Series, lengths: pd.Series) -> pd.Series:
-        known = {n: times_x8(n) for n in set(lengths.tolist())}
-        return pd.Series([applied(known[n], c) for c, n in zip(crcs.tolist(), lengths.tolist(), strict=True)], dtype="int64")
+        return pd.Series(shifted(crcs.to_numpy(np.int64), lengths.to_numpy(np.int64)))
 
     return shift(crc, after)
 
 
+def shifted(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each check sum moved by its own number of bytes, all together: one matrix for each binary place of the numbers."""
+    out, step = crcs.copy(), times_x8(1)
+    for place in range(int(lengths.max(initial=0)).bit_length()):
+        met = np.flatnonzero(lengths >> place & 1)
+        own, moved = out[met], np.zeros(len(met), np.int64)
+        for bit, column in enumerate(step):
+            moved ^= np.where(own >> bit & 1, column, 0)
+        out[met] = moved
+        step = multiplied(step, step)
+    return out
+
+
 def whole_crc(parts: DataFrame, *keys: str) -> DataFrame:
     """keys, length and crc of what parts (keys, offset, length, crc) make: an aggregate, each part's share by itself."""
     total = parts.groupBy(*keys).agg(F.sum("length").alias("total"))
@@ -240,8 +253,15 @@ def stored_archive(spark: SparkSession, members: list[tuple[str, str]], out: str
 
 def crc_in_order(rows: DataFrame, text: str, order: list[str], *keys: str) -> DataFrame:
     """keys, length and crc of all texts of each key one behind the other in order, as UTF-8 (null: nothing): each text's own
-    CRC-32, and where it begins, are enough; texts do not move."""
+    CRC-32, and how many bytes follow it, are enough; texts do not move.
+
+    Rows are dealt by ranges of keys and order; what follows is counted within a range, then, over a row for each, among them.
+    """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    own = rows.select(*keys, *order, F.octet_length(raw).cast("long").alias("length"), F.crc32(raw).alias("crc"))
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return whole_crc(own.withColumn("offset", F.coalesce(F.sum("length").over(by), F.lit(0))), *keys)
+    own = stored(rows.select(*keys, *order, F.octet_length(raw).cast("long").alias("length"), F.crc32(raw).alias("crc")), "own")
+    dealt = stored(own.repartitionByRange(*keys, *order).withColumn("slab", F.spark_partition_id()), "slabs")
+    after = lambda by, last: F.coalesce(F.sum("length").over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in last]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = dealt.withColumn("after", after([*keys, "slab"], order)).withColumn("share", shifted_crc(F.col("crc"), F.col("after")))
+    slabs = shares.groupBy(*keys, "slab").agg(F.sum("length").alias("length"), F.bit_xor("share").alias("crc"))
+    whole = slabs.withColumn("after", after(keys, ["slab"])).withColumn("share", shifted_crc(F.col("crc"), F.col("after")))
+    return whole.groupBy(*keys).agg(F.sum("length").alias("length"), F.bit_xor("share").alias("crc"))
