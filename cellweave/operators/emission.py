@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.kernel import clean_probability
+from cellweave.operators import kernels
 from cellweave.operators.scoring import spread
 
 
@@ -39,7 +40,7 @@ def erode_square(mask: DataFrame, half: int) -> DataFrame:
 
 
 def close_square(mask: DataFrame, size: int = 3) -> DataFrame:
-    return erode_square(dilate_square(mask, size // 2), size // 2)
+    return kernels.closed_square(mask, size)
 
 
 def vote(members: DataFrame, k: int) -> DataFrame:

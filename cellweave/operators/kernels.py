@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.functions.kernel import offset_rows
 from cellweave.operators import focal
 from cellweave.operators.scoring import spread
 from cellweave.sources.shared import stored
@@ -51,6 +52,44 @@ def over_tiles(grid: DataFrame, fn, tile: int, halo: int, fill: float = 0.0, wan
     return dealt.join(own, ["ty", "tx"], "left_semi").groupBy("ty", "tx").applyInPandas(run, "r int, c int, x double").join(asked, ["r", "c"], "left_semi")
 
 
+def over_masks(mask: DataFrame, fn, tile: int, halo: int) -> DataFrame:
+    """r, c of the cells that fn gives for a mask (r, c) as an array, tile by tile: its cells reach no further than halo.
+
+    Cells move once, not once for each neighbour, and a task holds a tile of them; rows are distinct.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[0] * tile - halo, key[1] * tile - halo
+        m = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        m[pdf.r - top, pdf.c - left] = True
+        y, x = np.nonzero(fn(m)[halo : halo + tile, halo : halo + tile])
+        return pd.DataFrame({"r": (y + top + halo).astype(np.int32), "c": (x + left + halo).astype(np.int32)})
+
+    return tiles(mask.select("r", "c"), tile, halo).groupBy("ty", "tx").applyInPandas(run, "r int, c int")
+
+
+def grown_mask(m: np.ndarray, offsets) -> np.ndarray:
+    """Cells with a cell of m at one of the offsets (y, x)."""
+    out, n = np.zeros_like(m), max(max(abs(y), abs(x)) for y, x in offsets)
+    wide = np.pad(m, n)
+    for y, x in offsets:
+        out |= wide[n - y : n - y + m.shape[0], n - x : n - x + m.shape[1]]
+    return out
+
+
+def near_cells(cells: DataFrame, radius: int, positive: bool, tile: int = 128) -> DataFrame:
+    """r, c within radius of any of cells (r, c), each once; positive: only nearer than radius. Joins merge them."""
+    disk = [(y, x) for y, x, _, k in offset_rows(radius) if k > 0 or not positive]
+    return over_masks(cells, lambda m: grown_mask(m, disk), tile, radius).hint("merge")
+
+
+def closed_square(mask: DataFrame, size: int, tile: int = 128) -> DataFrame:
+    """r, c of the mask closed by a square of size cells a side; beyond the grid lies nothing, and a mask grows into it."""
+    half = size // 2
+    square = [(y, x) for y in range(-half, half + 1) for x in range(-half, half + 1)]
+    return over_masks(mask, lambda m: ~grown_mask(~grown_mask(m, square), square), tile, 2 * half)
+
+
 def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> np.ndarray:
     n = int(truncate * sigma + 0.5)
     x = np.arange(-n, n + 1)
