@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.functions.kernel import offset_rows
-from cellweave.operators import focal
 from cellweave.operators.scoring import spread
 from cellweave.sources.shared import stored
 
@@ -263,21 +264,67 @@ def thin_cover(mask: DataFrame, key: str, radius: int = 3, tile: int = 128) -> D
     return lines.unionByName(best.select("of", F.col("m.r").alias("r"), F.col("m.c").alias("c"))).withColumnRenamed("of", key)
 
 
-def feature_matrix(grid: DataFrame, bands: dict[str, list[str]], sizes=(5, 11), tile: int = 128) -> DataFrame:
+def window_stats(a: np.ndarray, known: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the known cells of each square window, as focal.window_stats defines them: the border
+    repeated, 0 where half of a window or more is missing."""
+    half = size // 2
+
+    def total(m: np.ndarray) -> np.ndarray:
+        wide = np.pad(m, half, mode="edge")
+        across = sum(wide[:, i : i + m.shape[1]] for i in range(size))
+        return sum(across[i : i + m.shape[0]] for i in range(size))
+
+    v = np.where(known, a, 0.0)
+    n, s1, s2 = total(known.astype(float)), total(v), total(v * v)
+    enough = n / (size * size) > 0.5
+    n = np.where(enough, n, 1.0)
+    mean = s1 / n
+    std = np.sqrt(np.maximum(0.0, s2 / n - mean * mean))
+    return np.where(enough, mean, 0.0), np.where(enough, std, 0.0)
+
+
+def feature_matrix(grid: DataFrame, bands: dict[str, list[str]], sizes=(5, 11), tile: int = 256) -> DataFrame:
     """r, c and the columns of the model matrix in their order: every band of grid (r, c, bands); ridge_b of the bands under
     ridge; coher_b of those under coher; mean5_b, std5_b, mean11_b, std11_b of those under window. Null where the band is.
 
-    A missing value counts as 0 while a filter passes over it.
+    A missing value counts as 0 while a filter passes over it. The grid is written once and its cells move once, with the
+    halo of the widest filter; a task makes all columns of a tile. Tiles beyond the grid's bounding box are not made.
     """
     own = [c for c in grid.columns if c not in ("r", "c")]
-    out = grid
-    for prefix, fn, halo in (("ridge", ridgeness, hessian_halo(3.0)), ("coher", coherence, 8)):
-        for b in bands.get(prefix, []):
-            found = over_tiles(grid.select("r", "c", F.coalesce(b, F.lit(0.0)).alias("v")), fn, tile, halo)
-            out = out.join(found.withColumnRenamed("x", "found"), ["r", "c"]).withColumn(f"{prefix}_{b}", F.when(F.col(b).isNotNull(), F.col("found"))).drop("found")
-    for b in bands.get("window", []):
-        cells = focal.dense(grid.select("r", "c", F.col(b).cast("double").alias("v")))
-        for n in sizes:
-            found = focal.window_stats(cells, n).select("r", "c", F.col("mean").alias(f"mean{n}_{b}"), F.col("std").alias(f"std{n}_{b}"))
-            out = out.join(found, ["r", "c"])
-    return out.select("r", "c", *own, *[c for c in out.columns if c not in ("r", "c", *own)])
+    made = [(prefix, b, fn) for prefix, fn in (("ridge", ridgeness), ("coher", coherence)) for b in bands.get(prefix, [])]
+    windows = bands.get("window", [])
+    names = [f"{prefix}_{b}" for prefix, b, _ in made] + [f"{what}{n}_{b}" for b in windows for n in sizes for what in ("mean", "std")]
+    used = list(dict.fromkeys([b for _, b, _ in made] + windows))
+    halo = max([hessian_halo(3.0)] * bool(bands.get("ridge")) + [8] * bool(bands.get("coher")) + [n // 2 for n in sizes] * bool(windows), default=0)
+    grid = stored(grid.where("r IS NOT NULL AND c IS NOT NULL"), "grid")
+    box = grid.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
+    r0, r1, c0, c1 = box
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ty, tx = (x.as_py() for x in key)
+        top, left = max(r0, ty * tile - halo), max(c0, tx * tile - halo)
+        shape = min(r1, (ty + 1) * tile + halo - 1) - top + 1, min(c1, (tx + 1) * tile + halo - 1) - left + 1
+        y, x = table.column("r").to_numpy() - top, table.column("c").to_numpy() - left
+        arrays, known = {}, {}
+        for i, b in enumerate(used):
+            column = table.column(f"u{i}")
+            arrays[b], known[b] = np.zeros(shape), np.zeros(shape, bool)
+            arrays[b][y, x] = column.fill_null(0.0).to_numpy()
+            known[b][y, x] = column.is_valid().to_numpy()
+        found = [(b, fn(arrays[b])) for _, b, fn in made] + [(b, m) for b in windows for n in sizes for m in window_stats(arrays[b], known[b], n)]
+        mine = table.column("own").is_valid().to_numpy()
+        y, x, rest = y[mine], x[mine], table.filter(pa.array(mine)).select(["r", "c", "own"])
+        for name, (b, m) in zip(names, found, strict=True):
+            rest = rest.append_column(name, pa.array(m[y, x], mask=~known[b][y, x]))
+        return rest
+
+    def span(x: str, low: int | None, high: int | None):
+        at = lambda shift, edge, pick: pick(F.floor((F.col(x) + shift) / tile), F.floor(F.lit(edge) / tile)).cast("int")
+        return F.sequence(at(-halo, low, F.greatest), at(halo, high, F.least))
+
+    dealt = grid.select("r", "c", *[F.col(b).cast("double").alias(f"u{i}") for i, b in enumerate(used)], F.struct(*own).alias("own"))
+    dealt = dealt.withColumn("ty", F.explode(span("r", r0, r1))).withColumn("tx", F.explode(span("c", c0, c1)))
+    inside = (F.floor(F.col("r") / tile) == F.col("ty")) & (F.floor(F.col("c") / tile) == F.col("tx"))
+    dealt = dealt.withColumn("own", F.when(inside, F.col("own")))
+    kinds = T.StructType([*(dealt.schema[x] for x in ("r", "c", "own")), *(T.StructField(x, T.DoubleType()) for x in names)])
+    return dealt.groupBy("ty", "tx").applyInArrow(run, kinds).select("r", "c", "own.*", *names)
