@@ -71,13 +71,22 @@ def cut_points(rows: DataFrame, features: list[str], bins: int) -> list[list[flo
 
 
 def binned(rows: DataFrame, features: list[str], cuts: list[list[float]], label: str) -> DataFrame:
-    """codes (the bin of each feature, null if missing) and y of rows with a label."""
-    code = lambda f, own: F.when(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")), F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c: c < F.col(f).cast("double"))) if own else F.lit(0))
-    return rows.where(F.col(label).isNotNull()).select(F.array(*[code(f, own).cast("short") for f, own in zip(features, cuts, strict=True)]).alias("codes"), F.col(label).cast("double").alias("y"))
+    """codes (the bin of each feature, null if missing), y and n: how many rows with a label have them."""
+    edges = [np.array(own) for own in cuts]
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(edges))], axis=1)
+            codes = np.stack([np.searchsorted(own, x[:, i]) for i, own in enumerate(edges)], axis=1).astype(np.int16)
+            values = pa.array(codes.ravel(), mask=np.isnan(x).ravel())
+            yield pa.record_batch([pa.ListArray.from_arrays(np.arange(0, len(values) + 1, len(edges), dtype=np.int32), values), batch.column("y")], ["codes", "y"])
+
+    known = rows.where(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"))
+    return known.mapInArrow(run, "codes array<short>, y double").groupBy("codes", "y").agg(F.count("*").alias("n"))
 
 
 def histograms(rows: DataFrame, leaves: int, features: int, bins: int) -> np.ndarray:
-    """Sums of first and second derivatives and of rows by leaf, feature and bin (the last one: missing). rows: leaf, g, h, codes.
+    """Sums of first and second derivatives and of rows by leaf, feature and bin (the last one: missing). rows: leaf, g, h, n, codes.
 
     Every task adds up its own; as many numbers as leaves * features * (bins + 1) * 3 reach the driver, whatever the rows.
     """
@@ -87,16 +96,16 @@ def histograms(rows: DataFrame, leaves: int, features: int, bins: int) -> np.nda
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf, g, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "g", "h"))
+            leaf, g, h, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "g", "h", "n"))
             codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, features)
             codes = np.where(np.isnan(codes), bins, codes).astype(np.int64)
             at = ((leaf[:, None] * features + np.arange(features)) * (bins + 1) + codes).ravel()
-            for k, w in enumerate((g, h, np.ones(len(g)))):
+            for k, w in enumerate((g, h, n)):
                 total[k] += np.bincount(at, weights=np.repeat(w, features), minlength=total.shape[1])
         met = np.flatnonzero(total[2])
         yield pa.record_batch([pa.array(met), *(pa.array(t[met]) for t in total)], ["at", "g", "h", "n"])
 
-    found = rows.select("leaf", "g", "h", "codes").mapInArrow(run, "at long, g double, h double, n double").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("g", "h", "n"))).toArrow()
+    found = rows.select("leaf", "g", "h", "n", "codes").mapInArrow(run, "at long, g double, h double, n double").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("g", "h", "n"))).toArrow()
     out = np.zeros((3, leaves * features * (bins + 1)))
     at = found.column("at").to_numpy()
     for k, c in enumerate(("g", "h", "n")):
@@ -155,12 +164,13 @@ def grown(histogram, cuts: list[list[float]], leaves: int, depth: int, rate: flo
 def fit(rows: DataFrame, features: list[str], label: str, trees: int = 100, bins: int = 64, leaves: int = 31, depth: int = 8, rate: float = 0.1, l2: float = 0.0, least: int = 20) -> Model:
     """Boosted trees for label (0 or 1; rows without one are left out). Missing values (null, NaN) go where they gain more.
 
-    Rows are read, binned and written once, and their scores again after every few trees; a level of a tree is one pass over
-    them that moves only sums. Without rows, or of one class, no tree is grown.
+    Rows are read and binned once; those of equal bins and label are one row with their number from then on, since all trees
+    treat them alike. Scores are written after every few trees; a level of a tree is one pass that moves only sums. Without
+    rows, or of one class, no tree is grown.
     """
     cuts = cut_points(rows, features, bins)
     table = stored(binned(rows, features, cuts, label), "binned")
-    total = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).first()
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("y")), F.lit(0.0)).alias("y")).first()
     if not total.n or total.y in (0, total.n):
         return Model(features, cuts, 0.0 if not total.n else math.copysign(20.0, total.y - 0.5))
     model = Model(features, cuts, math.log(total.y / (total.n - total.y)))
@@ -169,7 +179,7 @@ def fit(rows: DataFrame, features: list[str], label: str, trees: int = 100, bins
     scored = table.withColumn("score", F.lit(model.base))
     for k in range(trees):
         p = 1 / (1 + F.exp(-F.col("score")))
-        now = scored.select("codes", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
+        now = scored.select("codes", "n", (F.col("n") * (p - F.col("y"))).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
 
         def histogram(root: Node, open_: list[Node], now=now) -> np.ndarray:
             numbers = {id(leaf): i for i, leaf in enumerate(open_)}
