@@ -6,6 +6,8 @@ task reads by offset and length, inflates and turns back. Files are opened by py
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 import struct
 import zlib
@@ -131,6 +133,34 @@ def packed(a: np.ndarray, compression: int, predictor: int) -> bytes:
     return raw.tobytes() if compression == NONE else zlib.compress(raw.tobytes(), 6)
 
 
+def block_values(f, h: Header, i: int, j: int, bands: list[int]) -> list[np.ndarray]:
+    """The bands (from 0) of a file's block (i, j) of blocks, without what a tile has beyond the border."""
+    rows, columns = h.grid()
+    # the last strip is short, a tile is not
+    height = h.block[0] if columns > 1 or len(h.offsets) != rows * (h.bands if h.apart else 1) or h.block[1] != h.width else min(h.block[0], h.height - i * h.block[0])
+    at = i * columns + j
+    high, wide = min(h.block[0], h.height - i * h.block[0]), min(h.block[1], h.width - j * h.block[1])
+
+    def block(at: int, samples: int) -> np.ndarray:
+        f.seek(h.offsets[at])
+        return restored(f.read(h.sizes[at]), h.compression, h.predictor, h.dtype, (height, h.block[1], samples))
+
+    if h.apart:
+        return [block(b * rows * columns + at, 1)[:high, :wide, 0] for b in bands]
+    whole = block(at, h.bands)
+    return [whole[:high, :wide, b] for b in bands]
+
+
+def masked(v: np.ndarray, nodata: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Samples as doubles, and which of them are none."""
+    v = np.ascontiguousarray(v)
+    v = v.astype(v.dtype.newbyteorder("="))
+    gone = np.isnan(v) if v.dtype.kind == "f" else np.zeros(v.shape, bool)
+    if nodata is not None and nodata == nodata:
+        gone |= v == nodata
+    return v.astype(float), gone
+
+
 class Blocks(InputPartition):
     def __init__(self, path: str, first_row: int, blocks: list[tuple[int, int]]):
         self.path, self.first_row, self.blocks = path, first_row, blocks
@@ -175,33 +205,15 @@ class RasterReader(DataSourceReader):
         if not partition.blocks:
             return
         h = read_header(partition.path)
-        rows, columns = h.grid()
         system, name = opened(partition.path)
         with system.open_input_file(name) as f:
-
-            def block(at: int, height: int, samples: int) -> np.ndarray:
-                f.seek(h.offsets[at])
-                return restored(f.read(h.sizes[at]), h.compression, h.predictor, h.dtype, (height, h.block[1], samples))
-
             for i, j in partition.blocks:
-                # the last strip is short, a tile is not
-                height = h.block[0] if columns > 1 or len(h.offsets) != rows * (h.bands if h.apart else 1) or h.block[1] != h.width else min(h.block[0], h.height - i * h.block[0])
-                at = i * columns + j
-                if h.apart:
-                    values = [block(b * rows * columns + at, height, 1)[:, :, 0] for b in self.bands]
-                else:
-                    whole = block(at, height, h.bands)
-                    values = [whole[:, :, b] for b in self.bands]
-                high, wide = min(h.block[0], h.height - i * h.block[0]), min(h.block[1], h.width - j * h.block[1])
+                values = [masked(v, h.nodata) for v in block_values(f, h, i, j, self.bands)]
+                high, wide = values[0][0].shape
                 r, c = np.mgrid[:high, :wide].astype(np.int32)
                 own = [pa.array((r + partition.first_row + i * h.block[0]).ravel()), pa.array((c + j * h.block[1]).ravel())]
-                for v in values:
-                    v = np.ascontiguousarray(v[:high, :wide]).ravel()
-                    v = v.astype(v.dtype.newbyteorder("="))
-                    gone = np.isnan(v) if v.dtype.kind == "f" else np.zeros(len(v), bool)
-                    if h.nodata is not None and h.nodata == h.nodata:
-                        gone |= v == h.nodata
-                    own.append(pa.array(v.astype(float), mask=gone))
+                for v, gone in values:
+                    own.append(pa.array(v.ravel(), mask=gone.ravel()))
                 yield pa.RecordBatch.from_arrays(own, names=["r", "c", *self.names])
 
 
@@ -370,34 +382,98 @@ def same_nodata(a: float | None, b: float | None) -> bool:
     return a == b or (a is not None and b is not None and a != a and b != b)
 
 
+def window_values(header, files: list[tuple[str, int]], rows: tuple[int, int], columns: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first band in rows and columns (from, to) of a raster's files: its values, where there are none, and where no file has cells.
+    header: from a file's path its header."""
+    shape = rows[1] - rows[0], columns[1] - columns[0]
+    values, none, beyond = np.zeros(shape), np.ones(shape, bool), np.ones(shape, bool)
+    for path, first in files:
+        if first >= rows[1]:
+            continue
+        h = header(path)
+        low, high = max(rows[0], first) - first, min(rows[1], first + h.height) - first
+        if low >= high:
+            continue
+        system, name = opened(path)
+        with system.open_input_file(name) as f:
+            for i in range(low // h.block[0], -(-high // h.block[0])):
+                for j in range(columns[0] // h.block[1], -(-min(columns[1], h.width) // h.block[1])):
+                    v, gone = masked(block_values(f, h, i, j, [0])[0], h.nodata)
+                    top, left = first + i * h.block[0] - rows[0], j * h.block[1] - columns[0]
+                    to = slice(max(0, top), max(0, top + len(v))), slice(max(0, left), max(0, left + v.shape[1]))
+                    own = slice(max(0, -top), max(0, -top) + shape[0] - to[0].start), slice(max(0, -left), max(0, -left) + shape[1] - to[1].start)
+                    values[to], none[to], beyond[to] = v[own], gone[own], False
+    return values, none, beyond
+
+
+def compared(spark: SparkSession, path: str, template: str | None, shape: tuple[int, int]):
+    """n, none, low, high, inside, outside of the first band of a raster of that shape, the last two against a template of its size (0 without one).
+
+    A task takes windows that hold some blocks of either raster, a window's blocks at once, and gives a row of counts.
+    """
+    files = RasterSource({"path": path}).files()
+    others = RasterSource({"path": template}).files() if template is not None else None
+    heads = [read_header(own[0][0]) for own in (files, others) if own]
+    height, width = shape
+    step = max(h.block[0] for h in heads), max(h.block[1] for h in heads)
+    across = -(-width // step[1])
+
+    def near(own: list[tuple[str, int]], rows: tuple[int, int]) -> list[tuple[str, int]]:
+        """Files that may have some of rows: those that begin in them, and the last before."""
+        k = bisect.bisect_right([first for _, first in own], rows[0])
+        return own[max(0, k - 1) : bisect.bisect_left([first for _, first in own], rows[1])]
+
+    def run(batches):
+        header = functools.lru_cache(maxsize=16)(read_header)
+        n, none, inside, outside, low, high = 0, 0, 0, 0, None, None
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                i, j = divmod(k, across)
+                rows, columns = (i * step[0], min(height, (i + 1) * step[0])), (j * step[1], min(width, (j + 1) * step[1]))
+                v, gone, beyond = window_values(header, near(files, rows), rows, columns)
+                met = ~beyond
+                if others is not None:
+                    _, lacking, beyond = window_values(header, near(others, rows), rows, columns)
+                    met &= ~beyond
+                    inside += int((met & ~lacking & gone).sum())
+                    outside += int((met & lacking & ~gone).sum())
+                n += int(met.sum())
+                none += int((met & gone).sum())
+                known = v[met & ~gone]
+                if len(known):
+                    low, high = (pick([x for x in (now, edge) if x is not None]) for pick, now, edge in ((min, low, float(known.min())), (max, high, float(known.max()))))
+        yield pa.record_batch([pa.array([x], t) for x, t in ((n, pa.int64()), (none, pa.int64()), (inside, pa.int64()), (outside, pa.int64()), (low, pa.float64()), (high, pa.float64()))], ["n", "none", "inside", "outside", "low", "high"])
+
+    windows = -(-height // step[0]) * across
+    size = max(1, PARTITION_BYTES // (step[0] * step[1] * 8))
+    each = spark.range(0, windows, 1, max(1, -(-windows // size))).mapInArrow(run, "n long, none long, inside long, outside long, low double, high double")
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "none", "inside", "outside")]
+    return each.agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")).first()
+
+
 def failed_raster(spark: SparkSession, path: str, epsg: int, resolution: float, template: str | None = None, slack: float = 0.01, most_missing: float = 0.9, about: float = 1.0) -> tuple[list[str], list[str]]:
     """Names of the rules that a raster of probabilities breaks, and of what is odd but no error.
 
     Rules: crs (none, or another code), resolution (off by more than about), bands (not one), dtype (not float32), range (a value
     out of 0 to 1, with slack), missing (more than most_missing of its cells have none); against a template also size,
     inside (a cell without a value where the template has one), outside (the reverse) and nodata (another tag). Odd: template_crs,
-    template_transform, zero (all values are 0). Headers are read here, cells by one job.
+    template_transform, zero (all values are 0). Headers are read here, cells by one job, which moves only counts.
     """
     d = describe_raster(path)
     t = d["transform"]
     off = t is None or max(abs(abs(t[0]) - resolution), abs(abs(t[4]) - resolution)) > about
     failed = [name for name, bad in (("crs", d["epsg"] != epsg), ("resolution", off), ("bands", d["bands"] != 1), ("dtype", d["dtype"] != "float32")) if bad]
-    cells = read_raster(spark, path, [1], names=None).toDF("r", "c", "p")
-    odd = []
-    if template is None:
-        cells = cells.withColumn("has", F.lit(None).cast("boolean"))
-    else:
+    odd, beside = [], None
+    if template is not None:
         other = describe_raster(template)
         odd += [f"template_{name}" for name, key in (("crs", "epsg"), ("transform", "transform")) if d[key] != other[key]]
         if (d["height"], d["width"]) != (other["height"], other["width"]):
             failed.append("size")
-            cells = cells.withColumn("has", F.lit(None).cast("boolean"))
         else:
-            cells = cells.join(read_raster(spark, template, [1]).toDF("r", "c", "q").select("r", "c", F.col("q").isNotNull().alias("has")), ["r", "c"])
+            beside = template
             if not same_nodata(d["nodata"], other["nodata"]):
                 failed.append("nodata")
-    known = F.col("p").isNotNull()
-    s = cells.agg(F.count("*").alias("n"), F.count_if(~known).alias("none"), F.min("p").alias("low"), F.max("p").alias("high"), F.count_if(F.col("has") & ~known).alias("inside"), F.count_if(~F.col("has") & known).alias("outside")).first()
+    s = compared(spark, path, beside, (d["height"], d["width"]))
     if s.low is not None and (s.low < -slack or s.high > 1 + slack):
         failed.append("range")
     failed += [name for name, n in (("inside", s.inside), ("outside", s.outside)) if n]
