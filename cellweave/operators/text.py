@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql.types import StringType
 
 
 #: Quotes that one pass over the documents looks for, in bytes of text; more are looked for in several passes.
-QUOTE_BYTES = 32 << 20
+QUOTE_BYTES = 16 << 20
+#: Documents in which quotes are looked up at once, bits of a bitmap of runs, and an odd number that mixes hashes.
+AT_ONCE, BITS, MIX = 64, 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 @F.pandas_udf(StringType())
@@ -33,14 +36,78 @@ def words_alone(text: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(normalised(text)), F.lit(" "))
 
 
+def doubled(h: np.ndarray, n: int) -> np.ndarray:
+    """From hashes of runs of n words those of runs of 2 n."""
+    x = h[:-n] * MIX + h[n:]
+    return (x ^ (x >> np.uint64(29))) * MIX
+
+
+class Quotes:
+    """Distinct quotes (words by single spaces, a space at both ends) by hashes of their first and last 2 ** k words, the most there are.
+
+    These two runs cover a quote, so that a look-up takes no longer for quotes that begin alike. Hashes are the process's own.
+    """
+
+    def __init__(self, quotes: list[str]):
+        self.quotes, by_length = quotes, {}
+        for i, q in enumerate(quotes):
+            by_length.setdefault(q.count(" ") - 1, []).append(i)
+        self.levels: dict[int, tuple[np.ndarray, list]] = {}  # by k: a bitmap of first runs, and for each length its keys and quotes
+        for length, own in sorted(by_length.items()):
+            k = length.bit_length() - 1
+            h = self.hashes(quotes[i] for i in own).reshape(-1, length + 1)[:, :length].T  # a column for each quote
+            for n in range(k):
+                h = doubled(h, 1 << n)
+            keys = self.key(h[0], h[-1])
+            order = keys.argsort(kind="stable")
+            bits, lengths = self.levels.setdefault(k, (np.zeros(1 << BITS, bool), []))
+            bits[h[0] >> np.uint64(64 - BITS)] = True
+            lengths.append((length, keys[order], np.array(own)[order]))
+
+    @staticmethod
+    def hashes(texts) -> np.ndarray:
+        """Hashes of the words of all texts, a space's behind each text."""
+        words: list[str] = []
+        for t in texts:
+            words += t[1:-1].split(" ")
+            words.append(" ")
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+    @staticmethod
+    def key(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (first ^ (first >> np.uint64(31))) * MIX + last
+
+    def found(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(quote, text) by their numbers, each once, wherever a quote stands in a text."""
+        h, out = self.hashes(texts), set()
+        ends = np.cumsum([t.count(" ") if len(t) > 2 else 2 for t in texts])
+        for k in range(max(self.levels, default=-1) + 1):
+            if k:
+                if len(h) <= 1 << (k - 1):
+                    break
+                h = doubled(h, 1 << (k - 1))
+            if k not in self.levels:
+                continue
+            bits, lengths = self.levels[k]
+            at = np.flatnonzero(bits[h >> np.uint64(64 - BITS)])
+            for length, keys, own in lengths if len(at) else ():
+                fits = at[at + length - (1 << k) < len(h)]
+                mine = self.key(h[fits], h[fits + length - (1 << k)])
+                low = keys.searchsorted(mine)
+                hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == mine)
+                for place, low_, key in zip(ends.searchsorted(fits[hit], "right").tolist(), low[hit].tolist(), mine[hit].tolist(), strict=True):
+                    while low_ < len(keys) and int(keys[low_]) == key:
+                        out.add((int(own[low_]), place))
+                        low_ += 1
+        return [(q, t) for q, t in out if self.quotes[q] in texts[t]]
+
+
 def quoted(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     """item_id, doc_id of quotes (item_id, text) of any length that stand word for word in a document, both normalised.
 
-    Every document is read once, by an automaton of all quotes; nothing moves. Quotes of more than QUOTE_BYTES are dealt
-    to as many automata, one pass each. A quote without words stands nowhere.
+    Every document is read once, its runs of words looked up among the quotes'; nothing moves. Quotes of more than QUOTE_BYTES
+    are dealt to as many passes, so a task holds no more of them. A quote without words stands nowhere.
     """
-    import ahocorasick
-
     q = quotes.select("item_id", words_alone(F.col("text")).alias("quote")).where("length(trim(quote)) > 0")
     size = q.agg(F.coalesce(F.sum(F.octet_length("quote")), F.lit(0)).alias("n")).first().n
     d, passes = documents.select("doc_id", words_alone(F.col("text")).alias("whole")).where("whole IS NOT NULL"), max(1, -(-size // QUOTE_BYTES))
@@ -50,16 +117,17 @@ def quoted(documents: DataFrame, quotes: DataFrame) -> DataFrame:
         own: dict[str, list] = {}
         for r in q.where(F.pmod(F.xxhash64("quote"), F.lit(passes)) == k).collect():
             own.setdefault(r.quote, []).append(r.item_id)
-        sent = documents.sparkSession.sparkContext.broadcast(own)
+        sent = documents.sparkSession.sparkContext.broadcast((list(own), list(own.values())))
 
         def find(batches, sent=sent):
-            automaton = ahocorasick.Automaton()
-            for quote, items in sent.value.items():
-                automaton.add_word(quote, items)
-            automaton.make_automaton()
+            texts, items = sent.value
+            index = Quotes(texts)
             for pdf in batches:
-                rows = [(i, doc) for doc, whole in zip(pdf.doc_id, pdf.whole, strict=True) if len(automaton) for i in {i for _, items in automaton.iter(whole) for i in items}]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+                for start in range(0, len(pdf), AT_ONCE):
+                    part = pdf.iloc[start : start + AT_ONCE]
+                    ids = part.doc_id.tolist()
+                    rows = [(i, ids[t]) for n, t in index.found(part.whole.tolist()) for i in items[n]]
+                    yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
 
         out.append(d.mapInPandas(find, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}"))
     found = out[0]
