@@ -74,9 +74,9 @@ def touched(parts: DataFrame) -> DataFrame:
     down = F.col("y1") - F.col("y0")
     rows = F.sequence(F.floor(F.least("y0", "y1")).cast("int"), F.floor(F.greatest("y0", "y1")).cast("int"))
     cut = parts.withColumn("r", F.explode(rows))
-    # how much of a segment lies above and below the row's edges
-    at = lambda edge: F.when(down == 0, 0.0).otherwise((F.greatest(F.least(edge, F.greatest("y0", "y1")), F.least("y0", "y1")) - F.col("y0")) / F.when(down != 0, down))
-    x = lambda edge: F.col("x0") + (F.col("x1") - F.col("x0")) * at(edge)
+    # where a segment meets the row's edges; multiplied before it is divided, as in SQL: a place on a cell's edge is in one cell
+    met = lambda edge: F.greatest(F.least(edge, F.greatest("y0", "y1")), F.least("y0", "y1")) - F.col("y0")
+    x = lambda edge: F.col("x0") + (F.col("x1") - F.col("x0")) * met(edge) / F.when(down != 0, down)
     flat = down == 0
     one, other = F.when(flat, F.col("x0")).otherwise(x(F.col("r").cast("double"))), F.when(flat, F.col("x1")).otherwise(x(F.col("r") + 1.0))
     columns = F.sequence(F.floor(F.least(one, other)).cast("int"), F.floor(F.greatest(one, other)).cast("int"))
