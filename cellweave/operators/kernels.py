@@ -204,22 +204,35 @@ def vessel_blend(pred: DataFrame, weight: float = 0.4, tile: int = 256) -> DataF
 
 def zhang_suen(mask: np.ndarray, rounds: int) -> np.ndarray:
     """A boolean array after so many rounds of thinning (Zhang and Suen), or as many as change it; beyond it lies nothing."""
-    m = np.pad(mask, 1)
+    wide = np.pad(mask, 1).astype(np.uint8)
+    m = wide[1:-1, 1:-1]
+    h, w = m.shape
     for _ in range(rounds):
-        before = m.sum()
-        for ends in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6))):
-            ring = np.stack([np.roll(m, (-y, -x), (0, 1)) for y, x in RING])
-            count = ring.sum(0)
-            turns = (~ring & np.roll(ring, -1, 0)).sum(0)
-            free = np.logical_and.reduce([~ring[list(e)].all(0) for e in ends])
-            m = m & ~((count >= 2) & (count <= 6) & (turns == 1) & free)
-        if m.sum() == before:
+        before = np.count_nonzero(m)
+        for stays in STAYS:
+            code = np.zeros((h, w), np.uint8)
+            for i, (y, x) in enumerate(RING):
+                code |= wide[1 + y : 1 + y + h, 1 + x : 1 + x + w] << i
+            m &= stays.take(code)
+        if np.count_nonzero(m) == before:
             break
-    return m[1:-1, 1:-1]
+    return m.astype(bool)
 
 
 #: Neighbours of a cell, clockwise from the one above.
 RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def staying(ends) -> np.ndarray:
+    """For each set of neighbours (a bit each, in the order of RING) whether a cell stays; ends: one of each must be empty for it to go."""
+    ring = (np.arange(256) >> np.arange(8)[:, None] & 1).astype(bool)
+    count, turns = ring.sum(0), (~ring & np.roll(ring, -1, 0)).sum(0)
+    free = np.logical_and.reduce([~ring[list(e)].all(0) for e in ends])
+    return (~((count >= 2) & (count <= 6) & (turns == 1) & free)).astype(np.uint8)
+
+
+#: The two halves of a round.
+STAYS = [staying(ends) for ends in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6)))]
 #: Rounds of thinning that a task does at once; each reaches two cells far.
 ROUNDS = 8
 
