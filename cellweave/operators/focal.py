@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.kernels import over_tiles
+from cellweave.operators.stats import histogram, quantiles
 from cellweave.sources.shared import stored
 
 
@@ -115,15 +118,44 @@ def tri(grid: DataFrame) -> DataFrame:
     return asked.join(other, ["nr", "nc"]).groupBy("r", "c").agg((F.sum(F.abs(F.col("nv") - F.col("v"))) / 9).alias("tri"))
 
 
-def dem_stack(grid: DataFrame, step: float = 100.0) -> DataFrame:
+def tpi_of(a: np.ndarray, radius: int = 3) -> np.ndarray:
+    """tpi of a whole array without holes."""
+    side, wide = 2 * radius + 1, np.pad(a, radius, mode="edge")
+    across = sum(wide[:, i : i + a.shape[1]] for i in range(side))
+    return a - sum(across[i : i + a.shape[0]] for i in range(side)) / float(side**2)
+
+
+def tri_of(a: np.ndarray) -> np.ndarray:
+    """tri of a whole array without holes."""
+    wide = np.pad(a, 1, mode="edge")
+    return sum(np.abs(wide[y : y + a.shape[0], x : x + a.shape[1]] - a) for y in range(3) for x in range(3)) / 9
+
+
+def filled(grid: DataFrame) -> DataFrame:
+    """r, c, v, valid of every cell of the bounding box of grid (r, c, v); holes have the median. Tasks share the rows of the box, and
+    the median comes from counts of values, of which a task ranks a bucket: no task holds all of either."""
+    cells = stored(grid.select("r", "c", "v"), "cells")
+    box = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
+    kind = {x: cells.schema[x].dataType for x in ("r", "c")}
+    rows = cells.sparkSession.range(*((0,) if box.r0 is None else (box.r0, box.r1 + 1))).select(F.col("id").cast(kind["r"]).alias("r"))
+    everywhere = rows.select("r", F.explode(F.sequence(F.lit(box.c0).cast(kind["c"]), F.lit(box.c1).cast(kind["c"]))).alias("c"))
+    values = histogram(cells.select(F.lit("v").alias("band"), F.col("v").cast("double").alias("v")))
+    middle = quantiles(values, {"m": 0.5}).select("m")
+    met = everywhere.join(cells.hint("merge"), ["r", "c"], "left").crossJoin(F.broadcast(middle))
+    return stored(met.select("r", "c", F.coalesce("v", "m").alias("v"), F.col("v").isNotNull().alias("valid")), "dem")
+
+
+def dem_stack(grid: DataFrame, step: float = 100.0, tile: int = 256) -> DataFrame:
     """r, c, slope, curvature, tpi, tri, hillshade of a grid (r, c, v) with holes: they take the median while derivatives are
-    computed, and are left out of the result."""
-    middle = grid.agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    box = dense(grid).select("r", "c", "v", "valid").crossJoin(F.broadcast(middle))
-    # written once, and with one pass of gradients: each part would plan and make the whole grid again, several times
-    full = stored(box.select("r", "c", F.when(F.col("valid"), F.col("v")).otherwise(F.col("m")).alias("v"), "valid"), "dem")
-    by_gradients = second_gradients(gradients(full, step), step).where("valid")
-    out = by_gradients.select("r", "c", slope_of().alias("slope"), "curvature", shade_of().alias("hillshade"))
-    for part in (tpi(full).select("r", "c", "tpi"), tri(full)):
-        out = out.join(part, ["r", "c"])
+    computed, and are left out of the result. The grid is written once; along a row and along a column derivatives come from one
+    pass each, and windows tile by tile, so that no cell moves once for each of its neighbours."""
+    full = filled(grid)
+    by_gradients = full
+    for first, second, along, across in (("gx", "gxx", "c", "r"), ("gy", "gyy", "r", "c")):
+        by_gradients = by_gradients.withColumn(first, axis_gradient("v", along, across, step)).withColumn(second, axis_gradient(first, along, across, step))
+    out = by_gradients.where("valid").select("r", "c", slope_of().alias("slope"), (F.col("gxx") + F.col("gyy")).alias("curvature"), shade_of().alias("hillshade"))
+    wanted = full.where("valid").hint("merge")
+    for name, fn, halo in (("tpi", tpi_of, 3), ("tri", tri_of, 1)):
+        part = over_tiles(full, fn, tile, halo, wanted=wanted).withColumnRenamed("x", name)
+        out = out.join(part.hint("merge"), ["r", "c"])
     return out.select("r", "c", "slope", "curvature", "tpi", "tri", "hillshade")
